@@ -7,6 +7,7 @@ many levels as their number needs.
 """
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -102,29 +103,31 @@ def islands(
 
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[Column],
-    begin: Callable[[tuple], object], step: Callable[[object, tuple], tuple[object, list]],
+    begin: Callable[[], object], step: Callable[[object, tuple], tuple[object, list]],
     finish: Callable[[object], list], schema: str,
 ) -> DataFrame:
     """Run a small state machine over the ordered rows of every group.
 
     Rows stream through the task batch by batch: memory holds one batch and
-    one group's state, never a whole group. ``step`` returns the new state and
-    the finished output rows, ``finish`` the rows left at the end of a group.
+    one group's state, never a whole group. Rows arrive as named tuples;
+    ``step`` returns the new state and the finished output rows, ``finish`` the
+    rows left at the end of a group.
     """
     columns = df.columns
     at = [columns.index(k) for k in keys]
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        record = namedtuple("Row", columns)
         current, state = None, None
         for batch in batches:
             out: list = []
-            for row in zip(*[batch[c].tolist() for c in columns]):
+            for row in map(record._make, zip(*[batch[c].tolist() for c in columns])):
                 key = tuple(row[i] for i in at)
                 if key != current:
                     if current is not None:
                         out.extend(finish(state))
-                    current, state = key, begin(key)
+                    current, state = key, begin()
                 state, done = step(state, row)
                 out.extend(done)
             if out:
