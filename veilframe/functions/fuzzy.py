@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,6 +15,33 @@ def ratio(a: str, b: str) -> int:
     return round(100 * difflib.SequenceMatcher(None, a, b).ratio())
 
 
+def reaches(a: str, b: str, least: int) -> bool:
+    """``ratio(a, b) >= least``, ruled out by cheap upper bounds where possible."""
+    if not a or not b:
+        return False
+    match, floor = difflib.SequenceMatcher(None, a, b), (least - 0.5) / 100
+    if match.real_quick_ratio() < floor or match.quick_ratio() < floor:
+        return False
+    return round(100 * match.ratio()) >= least
+
+
+def partial_reaches(a: str, b: str, least: int) -> bool:
+    """``partial_ratio(a, b) >= least`` with the same short cuts.
+
+    No piece can share more characters with the shorter string than the whole
+    longer string does.
+    """
+    if not a or not b:
+        return False
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if short in long:
+        return True
+    shared = sum((Counter(short) & Counter(long)).values())
+    if shared / len(short) < (least - 0.5) / 100:
+        return False
+    return partial_ratio(a, b) >= least
+
+
 def partial_ratio(a: str, b: str) -> int:
     """Best ratio of the shorter string against an equally long piece of the other."""
     if not a or not b:

@@ -23,10 +23,11 @@ DETECTION = [*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priori
 def number_tokens(tokens: DataFrame, gap: Column | None = None) -> DataFrame:
     """Add ``idx``, the place of a token on its page, counted without holes.
 
-    ``gap`` is an optional condition; ``gaps`` then counts earlier tokens that
-    meet it, which names the runs between them.
+    ``char0`` is the token's place in the page text. ``gap`` is an optional
+    condition; ``gaps`` then counts earlier tokens that meet it, which names
+    the runs between them.
     """
-    measures = {"idx": ("sum", F.lit(1).cast("bigint"))}
+    measures = {"idx": ("sum", F.lit(1).cast("bigint")), "char0": ("sum", (F.length("text") + 1).cast("bigint"))}
     if gap is not None:
         measures["gaps"] = ("sum", F.when(gap, 1).otherwise(0).cast("bigint"))
     return exclusive_scan(tokens, PAGE, F.floor(F.col("pos") / SEGMENT), ["pos"], measures)

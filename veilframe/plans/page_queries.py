@@ -44,8 +44,8 @@ def _window_ctes(patterns) -> str:
     return f"""runs AS (SELECT doc_id, page_no, idx, list(text) OVER w AS ts, list(box) OVER w AS bs FROM tok
   WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 sized AS (SELECT *, unnest(range(2, len(ts) + 1)) AS n FROM runs WHERE len(ts) > 1),
-cand AS (SELECT doc_id, page_no, idx, n, jo, array_to_string(ts[1:n], sep) AS word, list_filter(bs[1:n], lambda b: b IS NOT NULL) AS bs
-  FROM sized, (VALUES (0, ''), (1, ' '), (2, '-')) j(jo, sep)),
+cand AS (SELECT doc_id, page_no, idx, n, jo, CASE jo WHEN 0 THEN array_to_string(ts[1:n], '') WHEN 1 THEN array_to_string(ts[1:n], ' ') ELSE array_to_string(ts[1:n], '-') END AS word, list_filter(bs[1:n], lambda b: b IS NOT NULL) AS bs
+  FROM sized, (VALUES (0), (1), (2)) j(jo)),
 hits AS ({hits}),
 firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, page_no, idx, n, pno ORDER BY jo) = 1),
 merged AS (SELECT *, {D.valid_box(
