@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 
 from veilframe.fixtures import TABLES
 
 
+SECONDS: dict[str, float] = {}
+
+
 def connect(folder: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -43,8 +47,11 @@ def kinds(spark_types):
 
 def compare(spark, con, folder, query, sql):
     """None if equal, else a message."""
+    began = time.time()
     got = query(spark, folder)
-    mine = rows_of(got.columns, got.collect())
+    rows = got.collect()
+    SECONDS["spark"] = time.time() - began
+    mine = rows_of(got.columns, rows)
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     types = {d[0]: str(d[1]) for d in cur.description}

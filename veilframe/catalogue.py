@@ -16,6 +16,8 @@ class Pattern(NamedTuple):
     label: str = ""
     priority: int = 0
     ignore_case: bool = False
+    longest: int = 0  # longest possible match with single blanks; 0 is open
+    needs: str = ""  # a character every match holds
 
 
 # --- fixed values: free-text patterns, in matching order -------------------
@@ -49,20 +51,20 @@ REGION_PATTERNS = [
 
 # --- fixed values: identifier catalogue for page tokens --------------------
 ID_PATTERNS = [
-    Pattern("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "B-DOC", 100),
-    Pattern("AADHAAR", r"\b\d{4}\s*\d{4}\s*\d{4}\b", "B-DOC", 95),
-    Pattern("AADHAAR", r"\b\d{12}\b", "B-DOC", 90),
-    Pattern("PASSPORT", r"\b[A-Z]\d{7}\b", "B-DOC", 85),
-    Pattern("DL", r"\b[A-Z]{2}[\s-]?\d{2}[\s-]?\d{11}\b", "B-DOC", 85),
-    Pattern("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "B-EMAIL", 90),
-    Pattern("PHONE", r"\b\+91[\s-]?[6-9]\d{9}\b", "B-PHONE", 85),
-    Pattern("PHONE", r"\b[6-9]\d{9}\b", "B-PHONE", 75),
-    Pattern("DOB", r"\b\d{2}[/\-\.]\d{2}[/\-\.]\d{4}\b", "B-DATE", 85),
-    Pattern("DOB", r"\b\d{4}[/\-\.]\d{2}[/\-\.]\d{2}\b", "B-DATE", 80),
-    Pattern("CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "B-FINANCIAL", 85),
-    Pattern("PINCODE", r"\b[1-9]\d{5}\b", "B-LOC", 40),
+    Pattern("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "B-DOC", 100, longest=10),
+    Pattern("AADHAAR", r"\b\d{4}\s*\d{4}\s*\d{4}\b", "B-DOC", 95, longest=14),
+    Pattern("AADHAAR", r"\b\d{12}\b", "B-DOC", 90, longest=14),
+    Pattern("PASSPORT", r"\b[A-Z]\d{7}\b", "B-DOC", 85, longest=8),
+    Pattern("DL", r"\b[A-Z]{2}[\s-]?\d{2}[\s-]?\d{11}\b", "B-DOC", 85, longest=17),
+    Pattern("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "B-EMAIL", 90, needs="@"),
+    Pattern("PHONE", r"\b\+91[\s-]?[6-9]\d{9}\b", "B-PHONE", 85, longest=14),
+    Pattern("PHONE", r"\b[6-9]\d{9}\b", "B-PHONE", 75, longest=14),
+    Pattern("DOB", r"\b\d{2}[/\-\.]\d{2}[/\-\.]\d{4}\b", "B-DATE", 85, longest=10),
+    Pattern("DOB", r"\b\d{4}[/\-\.]\d{2}[/\-\.]\d{2}\b", "B-DATE", 80, longest=10),
+    Pattern("CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "B-FINANCIAL", 85, longest=19),
+    Pattern("PINCODE", r"\b[1-9]\d{5}\b", "B-LOC", 40, longest=6),
     Pattern("ADDRESS", r"\b\d{1,4}\s+[A-Za-z]+\s+(Street|St|Road|Rd|Lane|Ln|Nagar|Colony)\b", "B-LOC", 85, True),
-    Pattern("GENERIC_ID", r"\b\d{10,15}\b", "B-SENSITIVE", 70),
+    Pattern("GENERIC_ID", r"\b\d{10,15}\b", "B-SENSITIVE", 70, longest=15),
 ]
 
 # --- fixed values: health catalogue ----------------------------------------

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def ratio(a: str, b: str) -> int:
@@ -75,7 +76,7 @@ def token_set_ratio(a: str, b: str) -> int:
 
 
 def _pairwise(score):
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def column(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict = {}
         out = []

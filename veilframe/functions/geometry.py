@@ -31,20 +31,21 @@ def box(prefix: str = "", names: tuple = ("x0", "y0", "x1", "y1")) -> tuple:
 
 def valid_box(x0, y0, x1, y1, width, height) -> Column:
     """Sorted, clipped box as a struct, or null if its size is implausible."""
-    lo_x = F.greatest(F.lit(0), F.least(F.least(x0, x1), width - 1))
-    lo_y = F.greatest(F.lit(0), F.least(F.least(y0, y1), height - 1))
-    hi_x = F.greatest(F.lit(0), F.least(F.greatest(x0, x1), width))
-    hi_y = F.greatest(F.lit(0), F.least(F.greatest(y0, y1), height))
-    w, h = hi_x - lo_x, hi_y - lo_y
-    good = (
-        (w >= C.BOX_MIN_SIDE) & (h >= C.BOX_MIN_SIDE)
-        & (w <= C.BOX_MAX_WIDTH) & (h <= C.BOX_MAX_HEIGHT)
-        & (w * h <= C.BOX_MAX_AREA)
-        & (F.greatest(w, h) <= F.least(w, h) * C.BOX_MAX_ASPECT)
-    )
-    return F.when(good, F.struct(
-        lo_x.cast("int").alias("x0"), lo_y.cast("int").alias("y0"),
-        hi_x.cast("int").alias("x1"), hi_y.cast("int").alias("y1")))
+    def clip(value: Column, most: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(value, most)).cast("int")
+
+    box = F.struct(clip(F.least(x0, x1), width - 1).alias("x0"), clip(F.least(y0, y1), height - 1).alias("y0"),
+                   clip(F.greatest(x0, x1), width).alias("x1"), clip(F.greatest(y0, y1), height).alias("y1"))
+
+    def check(b: Column) -> Column:
+        w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
+        return F.when(
+            (w >= C.BOX_MIN_SIDE) & (h >= C.BOX_MIN_SIDE) & (w <= C.BOX_MAX_WIDTH) & (h <= C.BOX_MAX_HEIGHT)
+            & (w * h <= C.BOX_MAX_AREA) & (w <= h * C.BOX_MAX_ASPECT) & (h <= w * C.BOX_MAX_ASPECT), b)
+
+    # The lambda names the clipped box once; written out, it would repeat in
+    # every comparison and outgrow the code generator.
+    return F.get(F.transform(F.array(box), check), 0)
 
 
 def padded_box(x0, y0, x1, y1, width, height, pad: int) -> Column:

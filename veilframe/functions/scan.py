@@ -2,8 +2,8 @@
 
 A plain window over a key sorts that key's rows in a single task. Here rows
 are first cut into segments of bounded length; each segment is scanned on its
-own, and the few segment totals carry the result across segments, through as
-many levels as their number needs.
+own, and one total per segment carries the result across segments. With 65536
+rows to a segment, a key of a trillion rows has some fifteen million totals.
 """
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 4096
+SEGMENT = 65536
 
 
 def _exclusive(kind: str, value: Column, window) -> Column:
@@ -26,7 +26,7 @@ def _exclusive(kind: str, value: Column, window) -> Column:
 
 def exclusive_scan(
     df: DataFrame, keys: list[str], segment: Column, order: list[str],
-    measures: dict[str, tuple[str, Column]], levels: int = 2,
+    measures: dict[str, tuple[str, Column]],
 ) -> DataFrame:
     """Add running ``sum`` or ``max`` over all earlier rows of the key.
 
@@ -43,16 +43,9 @@ def exclusive_scan(
     totals = df.groupBy(*keys, "_seg").agg(*[
         (F.sum(i) if kind == "sum" else F.max(i)).alias(f"_tot_{name}")
         for i, (name, (kind, _)) in zip(inputs, measures.items())])
-    # Totals keep the names of the measures so that the recursion ends plainly.
-    again = {f"_car_{name}": (kind, F.col(f"_tot_{name}")) for name, (kind, _) in measures.items()}
-    if levels > 1:
-        carried = exclusive_scan(
-            totals.withColumnRenamed("_seg", "_sub"), keys, F.floor(F.col("_sub") / SEGMENT), ["_sub"],
-            again, levels - 1).withColumnRenamed("_sub", "_seg")
-    else:
-        over = Window.partitionBy(*keys).orderBy("_seg")
-        carried = totals.select("*", *[_exclusive(kind, v, over).alias(n) for n, (kind, v) in again.items()])
-    carried = carried.select(*keys, "_seg", *again)
+    over = Window.partitionBy(*keys).orderBy("_seg")
+    carried = totals.select(*keys, "_seg", *[
+        _exclusive(kind, F.col(f"_tot_{name}"), over).alias(f"_car_{name}") for name, (kind, _) in measures.items()])
     out = local.join(carried, keys + ["_seg"], "left")
     results = []
     for name, (kind, _) in measures.items():
@@ -62,6 +55,15 @@ def exclusive_scan(
     return out.select(*kept, *results)
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once, however often they are used.
+
+    The optimiser copies a plain column into every later filter and projection
+    that names it. It does not look through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def bands(
     df: DataFrame, keys: list[str], low: str, high: Column, out: str, slack: Column | None = None,
 ) -> DataFrame:
@@ -117,12 +119,15 @@ def ordered_fold(
     at = [columns.index(k) for k in keys]
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
+    def plain(values: pd.Series) -> list:
+        return values.astype(object).where(values.notna(), None).tolist() if values.hasnans else values.tolist()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         record = namedtuple("Row", columns)
         current, state = None, None
         for batch in batches:
             out: list = []
-            for row in map(record._make, zip(*[batch[c].tolist() for c in columns])):
+            for row in map(record._make, zip(*[plain(batch[c]) for c in columns])):
                 key = tuple(row[i] for i in at)
                 if key != current:
                     if current is not None:

@@ -43,9 +43,16 @@ def any_of(column: Column, patterns: list[C.Pattern], full: bool = False) -> Col
     return reduce(or_, parts)
 
 
+# --- fixed values: characters that count as white space -------------------
+WHITE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(column: Column) -> Column:
     """Remove white space of any kind on both sides."""
-    return F.regexp_replace(column, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(column, F.lit(WHITE))
 
 
 def _pieces(text: Column, pattern: C.Pattern) -> Column:
@@ -185,8 +192,8 @@ def title_start(text: Column, start: Column) -> Column:
 def non_sensitive(text: Column) -> Column:
     """Headers, field labels and other words that are never personal data."""
     low = strip(F.lower(text))
-    phrases = reduce(or_, [low.contains(p) for p in C.NON_SENSITIVE_PHRASES])
-    return (F.length(low) < 2) | low.isin(C.IGNORE_WORDS) | phrases
+    phrases = "|".join(rf"\Q{p}\E" for p in C.NON_SENSITIVE_PHRASES)
+    return (F.length(low) < 2) | low.isin(C.IGNORE_WORDS) | F.lower(text).rlike(phrases)
 
 
 # --- fixed values: substrings that decide a canonical label, in order ------

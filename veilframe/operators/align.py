@@ -238,7 +238,7 @@ def propagate_names(people: DataFrame, tokens: DataFrame, lines: DataFrame) -> D
 
     def spread(table: DataFrame, fn) -> DataFrame:
         met = _meet(needles, table, 0, fn, "hits array<int>")
-        at = met.select(*PAGE, (F.col("idx0") + F.explode("hits")).alias("idx")).distinct()
+        at = met.select(*PAGE, "idx0", F.explode("hits").alias("pos")).select(*PAGE, (F.col("idx0") + F.col("pos")).alias("idx")).distinct()
         boxed = table.select(*PAGE, "idx", F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),
                              (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
         return boxed.join(at, PAGE + ["idx"], "left_semi").drop("idx")

@@ -9,7 +9,7 @@ from veilframe import catalogue as C
 from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.greedy import dropped_rows
-from veilframe.functions.scan import SEGMENT, bands, exclusive_scan, ordered_fold
+from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -19,14 +19,14 @@ def validate(dets: DataFrame) -> DataFrame:
     """Correct and clip boxes by page size, drop implausible ones."""
     fixed = G.valid_box(*[F.col(c) for c in BOX], F.col("page_w"), F.col("page_h"))
     rest = [c for c in dets.columns if c not in BOX]
-    return dets.withColumn("_b", fixed).where("_b IS NOT NULL").select(*rest, "_b.*")
+    return bind(dets, _b=fixed).where("_b IS NOT NULL").select(*rest, "_b.*")
 
 
 def expand(dets: DataFrame, kind: str = "page") -> DataFrame:
     """Grow boxes by the padding of their kind, inside the page."""
     grown = G.padded_box(*[F.col(c) for c in BOX], F.col("page_w"), F.col("page_h"), C.BOX_PADDING[kind])
     rest = [c for c in dets.columns if c not in BOX]
-    return dets.withColumn("_b", grown).select(*rest, "_b.*")
+    return bind(dets, _b=grown).select(*rest, "_b.*")
 
 
 def drop_tiny(dets: DataFrame, side: int = C.BOX_MIN_SIDE_V0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import SEGMENT, bands, exclusive_scan, ordered_fold
+from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold
 
 PAGE = ["doc_id", "page_no"]
 PAGE_SIZE = (2550, 3300)
@@ -49,7 +49,7 @@ def _spread(tokens: DataFrame, size: int, ahead: int) -> DataFrame:
 
 
 def _detections(df: DataFrame, box: Column) -> DataFrame:
-    return df.select("*", box.alias("_box")).where("_box IS NOT NULL").select("*", "_box.*").drop("_box")
+    return bind(df, _box=box).where("_box IS NOT NULL").select("*", "_box.*").drop("_box")
 
 
 def match_tokens(tokens: DataFrame, patterns: list[C.Pattern], size: tuple = PAGE_SIZE) -> DataFrame:
@@ -71,32 +71,38 @@ def match_windows(
 ) -> DataFrame:
     """Runs of 2 to ``longest`` tokens that, joined by nothing, a blank or a
     dash, a pattern covers entirely; the first joiner that fits counts."""
-    placed = _spread(tokens.select(*PAGE, "idx", T.strip(F.col("text")).alias("t"), token_box(size).alias("b")), segment, longest - 1)
+    clean = F.regexp_replace(T.strip(F.col("text")), r"(?U)\s+", " ")
+    placed = _spread(tokens.select(*PAGE, "idx", clean.alias("t"), token_box(size).alias("b")), segment, longest - 1)
     ahead = Window.partitionBy(*PAGE, "seg").orderBy("idx").rowsBetween(0, longest - 1)
     # An absent box would vanish from a collected list, so it travels in a struct.
     runs = placed.withColumn("run", F.collect_list(F.struct("t", "b")).over(ahead)).where("own AND size(run) > 1")
-    sized = runs.select(*PAGE, "idx", "run", F.explode(F.sequence(F.lit(2), F.size("run"))).alias("n_tokens"))
-    sized = sized.select(*PAGE, "idx", "n_tokens", F.slice("run", F.lit(1), F.col("n_tokens")).alias("run"))
-    texts = F.transform("run", lambda r: r["t"])
 
-    def joined(sep: str) -> Column:
-        text = F.array_join(texts, sep)
-        return T.strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    def sized(n: Column) -> Column:
+        run = F.slice("run", F.lit(1), n)
+        texts = F.transform(run, lambda r: r["t"])
+        boxes = F.filter(F.transform(run, lambda r: r["b"]), lambda b: b.isNotNull())
+        return F.struct(n.alias("n_tokens"), boxes.alias("boxes"), *[
+            F.array_join(texts, sep).alias(f"w{i}") for i, sep in enumerate(("", " ", "-"))])
 
-    sized = sized.select("*", joined("").alias("w0"), joined(" ").alias("w1"), joined("-").alias("w2"))
-    words = [F.col("w0"), F.col("w1"), F.col("w2")]
-    hopeful = T.any_of(words[0], patterns, True) | T.any_of(words[1], patterns, True) | T.any_of(words[2], patterns, True)
+    texts = runs.select(*PAGE, "idx", F.inline(F.transform(F.sequence(F.lit(2), F.size("run")), sized)))
+
+    def fits(p: C.Pattern, word: Column) -> Column:
+        """The pattern covers the word; cheap necessary conditions come first."""
+        test = word.rlike(T.full_regex(p))
+        if p.needs:
+            test = word.contains(p.needs) & test
+        return (F.length(word) <= p.longest) & test if p.longest else test
 
     def hit(p: C.Pattern, i: int) -> Column:
-        chosen = F.coalesce(*[F.when(w.rlike(T.full_regex(p)), w) for w in words])
-        return F.when(chosen.isNotNull(), F.struct(chosen.alias("word"), *[_row(p, i)[n].alias(n) for n in ("label", "pattern", "priority", "pno")]))
+        chosen = F.coalesce(*[F.when(fits(p, F.col(w)), F.col(w)) for w in ("w0", "w1", "w2")])
+        return F.transform(F.array(chosen), lambda w: F.when(w.isNotNull(), F.struct(
+            w.alias("word"), *[_row(p, i)[n].alias(n) for n in ("label", "pattern", "priority", "pno")])))
 
-    rows = F.array_compact(F.array(*[hit(p, i) for i, p in enumerate(patterns)]))
-    found = sized.where(hopeful).select(*PAGE, "idx", "n_tokens", "run", F.inline(rows))
-    merged = G.union_box(F.filter(F.transform("run", lambda r: r["b"]), lambda b: b.isNotNull()))
-    boxed = found.withColumn("_m", merged)
+    rows = F.array_compact(F.concat(*[hit(p, i) for i, p in enumerate(patterns)]))
+    found = texts.select(*PAGE, "idx", "n_tokens", "boxes", F.inline(rows))
+    merged = bind(found, _m=G.union_box(F.col("boxes")))
     box = G.valid_box(*[F.col(f"_m.{c}") for c in BOX], F.lit(size[0]), F.lit(size[1]))
-    return _detections(boxed, box).select(*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "pno")
+    return _detections(merged, box).select(*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "pno")
 
 
 def find_patterns(tokens: DataFrame, patterns: list[C.Pattern], size: tuple = PAGE_SIZE) -> DataFrame:
@@ -140,7 +146,7 @@ def field_values(tokens: DataFrame, size: tuple = PAGE_SIZE, limit: int = C.FIEL
     key = [*PAGE, "at", "label", "pattern", "priority", "pno"]
     around = near.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("near"))
     back = F.reverse(F.filter("near", lambda t: (t["step"] < 0) & ~t["sep"] & t["level"] & t["named"] & ~t["plain"]))
-    around = around.withColumn("back", back)
+    around = bind(around, back=back)
     start = F.struct(F.lit(True).alias("open"), F.slice("back", F.lit(1), F.lit(0)).alias("kept"))
 
     def step(state: Column, t: Column) -> Column:
@@ -151,11 +157,10 @@ def field_values(tokens: DataFrame, size: tuple = PAGE_SIZE, limit: int = C.FIEL
             .otherwise(F.struct((F.size("back") + F.size(kept) < limit).alias("open"), kept.alias("kept"))))
 
     ahead = F.aggregate(F.filter("near", lambda t: t["step"] > 0), start, step, lambda s: s["kept"])
-    valued = around.withColumn("values", F.concat("back", ahead)).where("size(values) > 0")
-    valued = valued.withColumn("word", F.array_join(F.transform("values", lambda t: t["text"]), " "))
-    valued = valued.withColumn("_m", G.union_box(F.col("values"))).where(F.length(T.strip(F.col("word"))) >= 3)
+    valued = bind(around, values=F.concat("back", ahead)).where("size(values) > 0")
+    valued = bind(valued, word=F.array_join(F.transform("values", lambda t: t["text"]), " "), _m=G.union_box(F.col("values")))
     box = G.valid_box(*[F.col(f"_m.{c}") for c in BOX], F.lit(size[0]), F.lit(size[1]))
-    found = valued.withColumn("idx", F.col("at")).withColumn("n_tokens", F.size("values"))
+    found = valued.where(F.length(T.strip(F.col("word"))) >= 3).withColumn("idx", F.col("at")).withColumn("n_tokens", F.size("values"))
     return _detections(found, box).select(*DETECTION)
 
 
