@@ -41,7 +41,7 @@ def rows_of(columns, rows):
 
 def kinds(spark_types):
     names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
-             "timestamp": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+             "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
     return {n: names.get(t, t) for n, t in spark_types}
 
 

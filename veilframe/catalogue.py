@@ -18,6 +18,7 @@ class Pattern(NamedTuple):
     ignore_case: bool = False
     longest: int = 0  # longest possible match with single blanks; 0 is open
     needs: str = ""  # a character every match holds
+    first: str = ""  # characters a match can begin with, as a class
 
 
 # --- fixed values: free-text patterns, in matching order -------------------
@@ -63,18 +64,18 @@ ID_PATTERNS = [
     Pattern("DOB", r"\b\d{4}[/\-\.]\d{2}[/\-\.]\d{2}\b", "B-DATE", 80, longest=10),
     Pattern("CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "B-FINANCIAL", 85, longest=19),
     Pattern("PINCODE", r"\b[1-9]\d{5}\b", "B-LOC", 40, longest=6),
-    Pattern("ADDRESS", r"\b\d{1,4}\s+[A-Za-z]+\s+(Street|St|Road|Rd|Lane|Ln|Nagar|Colony)\b", "B-LOC", 85, True),
+    Pattern("ADDRESS", r"\b\d{1,4}\s+[A-Za-z]+\s+(Street|St|Road|Rd|Lane|Ln|Nagar|Colony)\b", "B-LOC", 85, True, first=r"\d"),
     Pattern("GENERIC_ID", r"\b\d{10,15}\b", "B-SENSITIVE", 70, longest=15),
 ]
 
 # --- fixed values: health catalogue ----------------------------------------
 HEALTH_PATTERNS = [
-    Pattern("MRN", r"\bMRN[:\s]*\d+\b", "B-HEALTH", 95, True),
-    Pattern("PATIENT_ID", r"\bPatient\s*ID[:\s]*\w+\b", "B-HEALTH", 95, True),
-    Pattern("BLOOD_GROUP", r"\bBlood\s*Group[:\s]*[ABO]{1,2}[+-]\b", "B-HEALTH", 80, True),
-    Pattern("DIAGNOSIS", r"\b(HIV|AIDS|Cancer|Diabetes|Tuberculosis|TB)\b", "B-HEALTH", 85, True),
-    Pattern("PRESCRIPTION", r"\bPrescription\s*No[:\s]*\w+\b", "B-HEALTH", 90, True),
-    Pattern("INSURANCE_ID", r"\bInsurance\s*ID[:\s]*\w+\b", "B-HEALTH", 90, True),
+    Pattern("MRN", r"\bMRN[:\s]*\d+\b", "B-HEALTH", 95, True, first="Mm"),
+    Pattern("PATIENT_ID", r"\bPatient\s*ID[:\s]*\w+\b", "B-HEALTH", 95, True, first="Pp"),
+    Pattern("BLOOD_GROUP", r"\bBlood\s*Group[:\s]*[ABO]{1,2}[+-]\b", "B-HEALTH", 80, True, first="Bb"),
+    Pattern("DIAGNOSIS", r"\b(HIV|AIDS|Cancer|Diabetes|Tuberculosis|TB)\b", "B-HEALTH", 85, True, first="HACDThacdt"),
+    Pattern("PRESCRIPTION", r"\bPrescription\s*No[:\s]*\w+\b", "B-HEALTH", 90, True, first="Pp"),
+    Pattern("INSURANCE_ID", r"\bInsurance\s*ID[:\s]*\w+\b", "B-HEALTH", 90, True, first="Iiİı"),
 ]
 
 # --- fixed values: older identifier catalogues, matched in running text ----

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.session import checkpoint
+
 SEGMENT = 65536
 
 
@@ -85,16 +87,17 @@ def bands(
 
 
 def islands(
-    df: DataFrame, keys: list[str], start: str, end: str, segment: Column, extra: list[Column] | None = None,
+    df: DataFrame, keys: list[str], start: str, end: str, segment: Column,
 ) -> DataFrame:
     """Join intervals that overlap or touch, per key.
 
-    Equal starts are reduced first; segments keep a long key spread out.
+    Equal starts are reduced first; segments keep a long key spread out. Each
+    scan reads its input twice, so the reduced intervals are written once.
     """
-    base = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    base = checkpoint(df.groupBy(*keys, start).agg(F.max(end).alias(end)))
     reach = exclusive_scan(base, keys, segment, [start], {"_reach": ("max", F.col(end))})
     fresh = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0)
-    marked = reach.withColumn("_fresh", fresh)
+    marked = checkpoint(reach.withColumn("_fresh", fresh))
     numbered = exclusive_scan(marked, keys, segment, [start], {"_before": ("sum", F.col("_fresh"))})
     return (
         numbered.withColumn("_island", F.col("_before") + F.col("_fresh"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import text as T
 from veilframe.functions.scan import SEGMENT, bind, exclusive_scan, islands
+from veilframe.session import checkpoint
 
 KEY = ["audio_id"]
 SPAN_CELL = 64
@@ -67,7 +68,8 @@ def edit_list(words: DataFrame, merged: DataFrame, mode: str = "beep") -> DataFr
     """
     if mode not in ("beep", "silence"):
         raise ValueError(f"mode must be beep or silence, not {mode!r}")
-    ms = merged.select(*KEY, (F.col("start_time") * 1000).cast("bigint").alias("a"), (F.col("end_time") * 1000).cast("bigint").alias("b"))
+    ms = checkpoint(merged.select(
+        *KEY, (F.col("start_time") * 1000).cast("bigint").alias("a"), (F.col("end_time") * 1000).cast("bigint").alias("b")))
     scanned = exclusive_scan(ms, KEY, F.floor(F.col("a") / (STRETCH_SECONDS * 1000)), ["a"], {
         "done": ("max", F.col("b")), "nth": ("sum", F.lit(1).cast("bigint"))})
     before = F.coalesce("done", F.lit(0))

@@ -10,6 +10,7 @@ from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.greedy import dropped_rows
 from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold
+from veilframe.session import checkpoint
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -117,10 +118,11 @@ def merge_by_priority(dets: DataFrame) -> DataFrame:
     and no blank columns (20 px) cut, so pages split into such blocks, each
     folded on its own with nothing but its kept boxes in memory.
     """
-    rows = bands(dets, PAGE, "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "band")
+    # Numbering bands reads its input twice; writing between the two levels
+    # keeps that from multiplying.
+    rows = checkpoint(bands(dets, PAGE, "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "band"))
     rows = bands(rows, [*PAGE, "band"], "x0", F.greatest(F.col("x1"), F.col("x0")) + 19, "block")
-    rows = bands(rows, [*PAGE, "band", "block"], "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "part")
-    rows = rows.select(*PAGE, "band", "block", "part", "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX,
+    rows = rows.select(*PAGE, "band", "block", "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX,
                        "label", "pattern", "priority", "score")
 
     def step(kept: list, row: tuple) -> tuple[list, list]:
@@ -144,7 +146,7 @@ def merge_by_priority(dets: DataFrame) -> DataFrame:
 
     schema = ("doc_id bigint, page_no int, det_no bigint, word string, x0 int, y0 int, x1 int, y1 int, "
               "label string, pattern string, priority int, score double, n_merged int")
-    return ordered_fold(rows, [*PAGE, "band", "block", "part"], [F.desc("priority"), F.col("det_no")], list, step, finish, schema)
+    return ordered_fold(rows, [*PAGE, "band", "block"], [F.desc("priority"), F.col("det_no")], list, step, finish, schema)
 
 
 def merge_chain(dets: DataFrame) -> DataFrame:

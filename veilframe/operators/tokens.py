@@ -6,6 +6,9 @@ page that holds a large share of all tokens still spreads over many tasks.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,18 +76,45 @@ def match_windows(
     dash, a pattern covers entirely; the first joiner that fits counts."""
     clean = F.regexp_replace(T.strip(F.col("text")), r"(?U)\s+", " ")
     placed = _spread(tokens.select(*PAGE, "idx", clean.alias("t"), token_box(size).alias("b")), segment, longest - 1)
-    ahead = Window.partitionBy(*PAGE, "seg").orderBy("idx").rowsBetween(0, longest - 1)
+    inside = Window.partitionBy(*PAGE, "seg").orderBy("idx")
+    ahead = inside.rowsBetween(0, longest - 1)
+    needed = "".join(sorted({p.needs for p in patterns if p.needs}))
+    marked = F.col("t").rlike(f"[{needed}]") if needed else F.lit(False)
+    placed = placed.withColumn("c", F.sum(F.length("t")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # An absent box would vanish from a collected list, so it travels in a struct.
-    runs = placed.withColumn("run", F.collect_list(F.struct("t", "b")).over(ahead)).where("own AND size(run) > 1")
-
-    def sized(n: Column) -> Column:
-        run = F.slice("run", F.lit(1), n)
-        texts = F.transform(run, lambda r: r["t"])
-        boxes = F.filter(F.transform(run, lambda r: r["b"]), lambda b: b.isNotNull())
-        return F.struct(n.alias("n_tokens"), boxes.alias("boxes"), *[
-            F.array_join(texts, sep).alias(f"w{i}") for i, sep in enumerate(("", " ", "-"))])
-
-    texts = runs.select(*PAGE, "idx", F.inline(F.transform(F.sequence(F.lit(2), F.size("run")), sized)))
+    runs = placed.select(*PAGE, "idx", "own", "t", F.col("c") - F.length("t"), F.collect_list(F.struct("t", "b", "c")).over(ahead).alias("run"),
+                         (F.min(F.when(marked, F.col("idx"))).over(ahead) - F.col("idx")).alias("mark"))
+    runs = runs.toDF(*PAGE, "idx", "own", "t", "c0", "run", "mark").where("own AND size(run) > 1")
+    # Most runs are ruled out by length, a missing character or their first
+    # letter before any text is put together.
+    most = max((p.longest for p in patterns), default=0)
+    heads = "".join(p.first for p in patterns if not p.longest and not p.needs)
+    opens = F.col("t").rlike(rf"(?U)\A[{heads}]") if heads else F.lit(False)
+
+    def hopeful(n: Column) -> Column:
+        return (F.get("run", n - 1)["c"] - F.col("c0") <= most) | (n > F.col("mark")) | opens
+
+    def worded(n: Column) -> Column:
+        texts = F.transform(F.slice("run", F.lit(1), n), lambda r: r["t"])
+        return F.struct(n.alias("n_tokens"), *[F.array_join(texts, sep).alias(f"w{i}") for i, sep in enumerate(("", " ", "-"))])
+
+    def boxed(w: Column) -> Column:
+        boxes = F.transform(F.slice("run", F.lit(1), w["n_tokens"]), lambda r: r["b"])
+        return F.struct(*[w[c].alias(c) for c in ("n_tokens", "w0", "w1", "w2")], F.filter(boxes, lambda b: b.isNotNull()).alias("boxes"))
+
+    # One test per kind of pattern, so that only hits are told apart.
+    kinds = [[p for p in patterns if p.needs], [p for p in patterns if p.longest and not p.needs],
+             [p for p in patterns if not p.longest and not p.needs]]
+
+    def any_fit(word: Column) -> Column:
+        limits = [word.rlike(f"[{needed}]") if needed else F.lit(False), F.length(word) <= most,
+                  word.rlike(rf"(?U)\A[{heads}]") if heads else F.lit(False)]
+        tests = [limit & T.any_of(word, kind, True) for limit, kind in zip(limits, kinds) if kind]
+        return reduce(or_, tests)
+
+    sizes = F.filter(F.sequence(F.lit(2), F.size("run")), hopeful)
+    fitting = F.filter(F.transform(sizes, worded), lambda w: any_fit(w["w0"]) | any_fit(w["w1"]) | any_fit(w["w2"]))
+    texts = runs.select(*PAGE, "idx", F.inline(F.transform(fitting, boxed)))
 
     def fits(p: C.Pattern, word: Column) -> Column:
         """The pattern covers the word; cheap necessary conditions come first."""

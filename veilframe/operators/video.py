@@ -1,7 +1,7 @@
 """Video detections: filters, votes, tracks, identity, policy and risk."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
@@ -9,6 +9,7 @@ from veilframe.functions import geometry as G
 from veilframe.functions import tracking
 from veilframe.functions.greedy import dropped_rows
 from veilframe.functions.scan import bands, bind, ordered_fold
+from veilframe.session import checkpoint
 
 FRAME = ["video_id", "frame_no"]
 BOX = ("x1", "y1", "x2", "y2")
@@ -65,7 +66,7 @@ def vote(dets: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     solid = (x[2] > x[0]) & (x[3] > x[1])
     firsts = dets.where(solid).groupBy(*keys, *BOX).agg(F.min("det_id").alias("det_id"), F.count("*").alias("weight"))
     pairs = G.overlapping_pairs(firsts, firsts, keys, names=BOX).where("a_det_id < b_det_id")
-    near = pairs.where(G.iou(G.box("a_", BOX), G.box("b_", BOX)) > C.VOTE_IOU)
+    near = checkpoint(pairs.where(G.iou(G.box("a_", BOX), G.box("b_", BOX)) > C.VOTE_IOU).select(*keys, "a_det_id", "b_det_id"))
     ident = [F.struct(*keys, F.col(f"{p}_det_id").alias("det_id")) for p in ("a", "b")]
     lost = dropped_rows(near.select(ident[0].alias("lo"), ident[1].alias("hi"))).select("id.*")
     led = firsts.join(lost, [*keys, "det_id"], "left_anti")
@@ -117,7 +118,6 @@ def track(dets: DataFrame) -> DataFrame:
     local = ordered_fold(rows, ["video_id", "stretch"], [F.col("frame_no"), F.col("det_id")],
                          lambda: {"tracks": [], "next": 1, "found": [], "at": None}, step, settle, schema)
     begun = local.groupBy("video_id", "stretch").agg(F.max("track_id").alias("n"))
-    from pyspark.sql import Window
     earlier = Window.partitionBy("video_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     shift = begun.select("video_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     return local.join(shift, ["video_id", "stretch"]).select(

@@ -122,11 +122,11 @@ def policy_apply(spark, folder):
     return video.apply_policy(moded).select(*FRAME, "det_id", "type", "mode", "authorised", "redact")
 
 
-@query("identity_match", """SELECT v.vec_id FROM embeddings v WHERE EXISTS (SELECT 1 FROM embeddings r WHERE r.label = 0 AND r.vec_id % 2 = 0
+@query("identity_match", """SELECT v.vec_id FROM embeddings v WHERE EXISTS (SELECT 1 FROM embeddings r WHERE r.label = 0
   AND sqrt(list_sum(list_transform(list_zip(v.embedding, r.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))) < 1.2)""")
 def identity_match(spark, folder):
     every = view(spark, folder, "embeddings")
-    return video.match_identities(every, every.where("label = 0 AND vec_id % 2 = 0"), limit=1.2)
+    return video.match_identities(every, every.where("label = 0"), limit=1.2)
 
 
 _VOTE_IOU = """CASE WHEN least(b.x2, x2) > greatest(b.x1, x1) AND least(b.y2, y2) > greatest(b.y1, y1) THEN

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
+from veilframe.operators import boxes as box_ops
 from veilframe.operators import feedback as feedback_ops
 from veilframe.operators import tokens as ops
 from veilframe.plans import duck as D
@@ -179,7 +180,8 @@ pages_ AS (SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY pos) AS text FR
 raw AS (SELECT doc_id, page_no, unnest(regexp_extract_all(text, {D.rx(_RESCUE_PATTERNS[0])})) AS hit FROM pages_
   UNION ALL SELECT doc_id, page_no, unnest(regexp_extract_all(text, {D.rx(_RESCUE_PATTERNS[1])})) FROM pages_),
 hits AS (SELECT DISTINCT doc_id, page_no, replace(hit, ' ', '') AS hit FROM raw),
-found AS (SELECT doc_id, page_no, text AS word FROM tok WHERE idx % 3 = 0),
+found AS (SELECT doc_id, page_no, text AS word FROM tok
+  WHERE regexp_full_match(text, '[A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z]') AND box IS NOT NULL),
 open_ AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = h.doc_id AND f.page_no = h.page_no
   AND contains(replace(f.word, ' ', ''), h.hit)))
 SELECT o.doc_id, o.page_no, t.idx, CAST(1 AS INT) AS n_tokens, o.hit AS word, t.left_x AS x0, t.top AS y0, t.left_x + t.width AS x1,
@@ -188,7 +190,7 @@ FROM open_ o JOIN tok t ON t.doc_id = o.doc_id AND t.page_no = o.page_no AND rep
 QUALIFY row_number() OVER (PARTITION BY o.doc_id, o.page_no, o.hit ORDER BY t.idx) = 1""")
 def rescue_ids(spark, folder):
     toks = numbered(spark, folder)
-    found = toks.where("idx % 3 = 0").select("doc_id", "page_no", F.col("text").alias("word"))
+    found = box_ops.valid_identifiers(ops.match_tokens(toks, C.ID_PATTERNS).where("pattern = 'PAN'"))
     return ops.rescue_ids(toks, found, _RESCUE_PATTERNS, [10, 12])
 
 

@@ -99,11 +99,11 @@ def adaptive_thresholds(spark, folder):
     return fb.threshold_shifts(rated(spark, folder), stored)
 
 
-@query("feedback_join", """SELECT doc_id, page_no, det_no, label, pattern, score, word, det_no % 9 <> 0 AS user_feedback, false AS missed_detection FROM v_dets
+@query("feedback_join", """SELECT doc_id, page_no, det_no, label, pattern, score, word, label <> 'B-LOC' AS user_feedback, false AS missed_detection FROM v_dets
 UNION ALL SELECT c_custkey, NULL, NULL, 'B-SENSITIVE', 'MISSED_ENTITY', NULL, c_name, NULL, true FROM customer""")
 def feedback_join(spark, folder):
     every = dets(spark, folder)
-    wrong = every.where("det_no % 9 = 0").select("det_no")
+    wrong = every.where("label = 'B-LOC'").select("det_no")
     missed = view(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("word"))
     return fb.join_feedback(every, wrong, missed, ["doc_id", "page_no", "det_no"])
 
@@ -139,7 +139,7 @@ def laplace_noise(spark, folder):
 
 @query("retention", f"SELECT event_id FROM v_feedback WHERE ts >= {NOW} - INTERVAL 7 DAYS")
 def retention(spark, folder):
-    return fb.retain(rated(spark, folder), F.expr(NOW)).select("event_id")
+    return fb.retain(rated(spark, folder), F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("event_id")
 
 
 @query("issue_log", """SELECT 'issue_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_id AS issue_id, event_id AS frame_number,
@@ -153,15 +153,14 @@ def issue_log(spark, folder):
     return fb.issues(events, "event_id", ["b0", "b1", "b2", "b3"], kind, F.lit("unknown"), F.col("ts"))
 
 
-@query("session_ids", "SELECT event_id, substr(sha256(CAST(epoch_us(ts) AS VARCHAR)), 1, 16) AS session_id FROM events")
+@query("session_ids", "SELECT event_id, substr(sha256(strftime(ts, '%Y-%m-%d %H:%M:%S.%f')), 1, 16) AS session_id FROM events")
 def session_ids(spark, folder):
-    return view(spark, folder, "events").select("event_id", fb.session_id(F.unix_micros(F.to_timestamp("ts"))).alias("session_id"))
+    return view(spark, folder, "events").select("event_id", fb.session_id(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("session_id"))
 
 
 @query("pii_rate_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def pii_rate_hourly(spark, folder):
-    events = view(spark, folder, "events").withColumn("ts", F.to_timestamp("ts"))
-    return report.hourly_rate(events).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return report.hourly_rate(view(spark, folder, "events"))
 
 
 def seeds(spark, folder):
@@ -271,5 +270,5 @@ def label_vocab(spark, folder):
 @query("gate")
 def gate(spark, folder):
     found = boxes.features(dets(spark, folder))
-    model = gate_ops.train(found.withColumn("user_feedback", F.col("det_no") % 9 != 0))
+    model = gate_ops.train(found.withColumn("user_feedback", F.col("label") != "B-LOC"))
     return gate_ops.apply(found, model).select("doc_id", "page_no", "det_no", "label", "pattern")
