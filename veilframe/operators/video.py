@@ -89,10 +89,12 @@ def track(dets: DataFrame) -> DataFrame:
     with only the live tracks in memory; numbers are then shifted by the
     tracks begun earlier.
     """
+    known = F.col("is_auth") if "is_auth" in dets.columns else F.lit(False)
+    dets = dets.withColumn("is_auth", F.coalesce(known, F.lit(False)))
     last = dets.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
     seen = detection_frames(dets).join(last, "video_id")
     cut = bands(seen, ["video_id"], "frame_no", F.col("frame_no") + C.DETECTION_INTERVAL, "stretch")
-    rows = cut.select(*FRAME, "stretch", "det_id", *BOX, "type", "last_frame")
+    rows = cut.select(*FRAME, "stretch", "det_id", *BOX, "type", "is_auth", "last_frame")
 
     def settle(state: dict) -> list:
         """Update with the collected frame, then predict up to the next one."""
@@ -111,17 +113,17 @@ def track(dets: DataFrame) -> DataFrame:
         at = (row.video_id, row.stretch, row.frame_no, row.last_frame)
         out = settle(state) if at != state["at"] else []
         state["at"] = at
-        state["found"].append((row.x1, row.y1, row.x2, row.y2, row.type))
+        state["found"].append((row.x1, row.y1, row.x2, row.y2, row.type, row.is_auth))
         return state, out
 
-    schema = ("video_id bigint, stretch int, frame_no int, track_id bigint, x1 int, y1 int, x2 int, y2 int, type string")
+    schema = ("video_id bigint, stretch int, frame_no int, track_id bigint, x1 int, y1 int, x2 int, y2 int, type string, authorised boolean")
     local = ordered_fold(rows, ["video_id", "stretch"], [F.col("frame_no"), F.col("det_id")],
                          lambda: {"tracks": [], "next": 1, "found": [], "at": None}, step, settle, schema)
     begun = local.groupBy("video_id", "stretch").agg(F.max("track_id").alias("n"))
     earlier = Window.partitionBy("video_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     shift = begun.select("video_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     return local.join(shift, ["video_id", "stretch"]).select(
-        *FRAME, (F.col("track_id") + F.col("shift")).alias("track_id"), *BOX, "type")
+        *FRAME, (F.col("track_id") + F.col("shift")).alias("track_id"), *BOX, "type", "authorised")
 
 
 def sticky_authorised(rows: DataFrame, keys: list[str], frame: str = "frame_no", flag: str = "is_auth") -> DataFrame:
