@@ -51,6 +51,16 @@ SELECT conv_id AS audio_id, CAST(turn * 100000 + p AS BIGINT) AS pos, w AS word,
 FROM (SELECT conv_id, turn, p, w FROM {words}) t WHERE length(w) > 0
 """
 
+_PREDICTED = ["ASHA", "Road", " PATIL ", "Aadhaar", "asha patil pan", "MG Road", "Pattil", "zzqx"]
+# The two models disagree on the entity of every third word.
+_PREDS = """
+SELECT c_custkey AS doc_id, CAST(1 AS INT) AS page_no, m AS model, word,
+  CASE WHEN m = 1 AND (c_custkey + length(word)) % 3 = 0 THEN 'ORG' WHEN word = 'Aadhaar' THEN 'MISC'
+    WHEN word IN ('Road', 'MG Road') THEN 'LOC' ELSE 'PER' END AS entity_group,
+  CAST(((c_custkey * 31 + m * 17 + length(word)) % 100) AS DOUBLE) / 100 AS score
+FROM {source}
+"""
+
 VIEWS = {
     "v_notes": (_NOTES, _NOTES),
     "v_texts": (_TEXTS, _TEXTS),
@@ -65,16 +75,11 @@ VIEWS = {
         _WORDS.format(words="(SELECT conv_id, turn, unnest(range(len(string_split(text, ' ')))) AS p, "
                             "unnest(string_split(text, ' ')) AS w FROM conversations) u"),
     ),
-    "v_ner_preds": ("""
-SELECT doc_id, CAST(1 AS INT) AS page_no, m AS model, word, entity_group,
-  CAST(((doc_id * 31 + m * 17 + length(word)) % 100) AS DOUBLE) / 100 AS score
-FROM (SELECT c_custkey AS doc_id FROM customer) d
-CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1) k
-CROSS JOIN (SELECT 'ASHA' AS word, 'PER' AS entity_group UNION ALL SELECT 'Road', 'LOC' UNION ALL SELECT ' PATIL ', 'PER'
-  UNION ALL SELECT 'Aadhaar', 'MISC' UNION ALL SELECT 'asha patil pan', 'PER' UNION ALL SELECT 'MG Road', 'LOC'
-  UNION ALL SELECT 'Pattil', 'PER' UNION ALL SELECT 'zzqx', 'PER') e
-WHERE (doc_id + m + length(word)) % 3 <> 0
-""",) * 2,
+    "v_ner_preds": tuple(_PREDS.format(source=source) for source in (
+        "customer LATERAL VIEW explode(array(0, 1)) k AS m LATERAL VIEW explode(array({words})) e AS word".format(
+            words=", ".join(f"'{w}'" for w in _PREDICTED)),
+        "(SELECT c_custkey, m, unnest([{words}]) AS word FROM (SELECT c_custkey, unnest([0, 1]) AS m FROM customer))".format(
+            words=", ".join(f"'{w}'" for w in _PREDICTED)))),
     "v_spans": ("""
 SELECT DISTINCT conv_id AS audio_id, CAST((conv_id * 13 + turn * 29) % 200 AS INT) AS s,
   CAST((conv_id * 13 + turn * 29) % 200 + 5 + turn AS INT) AS e,

@@ -30,7 +30,7 @@ def partial_reaches(a: str, b: str, least: int) -> bool:
     """``partial_ratio(a, b) >= least`` with the same short cuts.
 
     No piece can share more characters with the shorter string than the whole
-    longer string does.
+    longer string does, and a piece at the end may be as short as what it shares.
     """
     if not a or not b:
         return False
@@ -38,7 +38,7 @@ def partial_reaches(a: str, b: str, least: int) -> bool:
     if short in long:
         return True
     shared = sum((Counter(short) & Counter(long)).values())
-    if shared / len(short) < (least - 0.5) / 100:
+    if 2 * shared / (len(short) + shared) < (least - 0.5) / 100:
         return False
     return partial_ratio(a, b) >= least
 

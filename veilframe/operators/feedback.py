@@ -104,7 +104,7 @@ def calibrate(detections: DataFrame, history: DataFrame) -> DataFrame:
     means = means.join(enough.select("key"), "key", "left_semi")
     keyed = detections.withColumn("key", calibration_key(F.col("label"), F.col("pattern"))).join(means, "key", "left")
     moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.col("_shift") * C.CALIBRATION_WEIGHT))
-    return keyed.withColumn("calibrated", F.when(F.col("_shift").isNull(), F.col("score")).otherwise(moved)).drop("_shift")
+    return keyed.withColumn("calibrated", F.when(F.col("_shift").isNull() | F.col("score").isNull(), F.col("score")).otherwise(moved)).drop("_shift")
 
 
 def noisy_scores(df: DataFrame, seed: Column, epsilon: float = 1.0) -> DataFrame:

@@ -16,7 +16,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: list[str]
 
 def write_texts(df: DataFrame, path: str, column: str = "redacted") -> None:
     """One line of text per row; line breaks inside a text are escaped."""
-    df.select(F.regexp_replace(column, r"\R", r"\\\\n").alias("value")).write.mode("overwrite").text(path)
+    df.select(F.regexp_replace(column, r"\R", r"\\n").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
