@@ -14,7 +14,7 @@ EAGER = {"dedup_strict", "dedup_tokens", "box_vote", "gate"}
 def test_no_cross_products(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan or name in {"synth_cap", "train_set"}
+    assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_filters_and_columns_reach_the_files(spark, folder):

@@ -66,6 +66,14 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def unfold(df: DataFrame, keep: list, value: Column, name: str | None = None) -> DataFrame:
+    """One row per element of a computed array; structs become columns unless
+    ``name`` is given. The array is computed once: a bare generator would get a
+    copy of it in front that tests for emptiness."""
+    bound = bind(df, _list=value)
+    return bound.select(*keep, F.explode("_list").alias(name) if name else F.inline("_list"))
+
+
 def bands(
     df: DataFrame, keys: list[str], low: str, high: Column, out: str, slack: Column | None = None,
 ) -> DataFrame:

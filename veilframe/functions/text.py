@@ -38,7 +38,9 @@ def any_of(column: Column, patterns: list[C.Pattern], full: bool = False) -> Col
     for folded in (False, True):
         bodies = [p.regex for p in patterns if p.ignore_case is folded]
         if bodies:
-            body = "|".join(f"(?:{b})" for b in bodies)
+            # A shared leading boundary is tested once per position, not once per pattern.
+            edge = r"\b" if len(bodies) > 1 and all(b.startswith(r"\b") for b in bodies) else ""
+            body = edge + "(?:" + "|".join(f"(?:{b[len(edge):]})" for b in bodies) + ")"
             parts.append(column.rlike(full_regex(body, folded) if full else regex(body, folded)))
     return reduce(or_, parts)
 
@@ -295,28 +297,28 @@ def language_codes(lang: Column) -> Column:
     return F.when(lang.isNull() | (F.size(parts) == 0), F.lit("eng")).otherwise(F.array_join(named, "+"))
 
 
-def keyword_hits(text: Column, keywords: list[str], before: int, after: int) -> Column:
+def keyword_hits(text: Column, low: Column, keywords: list[str], before: int, after: int) -> Column:
     """Every occurrence of every keyword with its surrounding snippet.
 
+    ``low`` is the text in lower case, as a column of its own.
+
     No keyword in use overlaps itself, so cutting the text at a keyword finds
     all of its occurrences; two different keywords may overlap freely.
     """
-    low = F.lower(text)
-    item = "array<struct<at:int,keyword:string,snippet:string>>"
-    empty = F.from_json(F.lit("[]"), item)
-    def hits(word: str) -> Column:
-        gaps, n = F.split(low, rf"\Q{word}\E", -1), len(word)
-        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    present = F.filter(F.array(*map(F.lit, keywords)), lambda word: low.contains(word))
+
+    def hits(word: Column) -> Column:
+        gaps = F.split(low, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), F.lit(-1))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("found"))
 
         def step(state: Column, gap: Column) -> Column:
-            at = state["at"] + F.length(gap)
-            begin = F.greatest(F.lit(0), at - before)
-            end = F.least(F.length(text), at + n + after)
-            hit = F.struct(at.alias("at"), F.lit(word).alias("keyword"),
-                           F.substring(text, begin + 1, end - begin).alias("snippet"))
-            return F.struct((at + n).alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
+            at = state["end"] + F.length(gap)
+            return F.struct((at + F.length(word)).alias("end"), F.concat(state["found"], F.array(at)).alias("found"))
 
-        heads = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
-        return F.when(low.contains(word), F.aggregate(heads, start, step, lambda s: s["found"])).otherwise(empty)
+        places = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda state: state["found"])
+        return F.transform(places, lambda at: F.struct(
+            at.alias("at"), word.alias("keyword"),
+            F.substring(text, F.greatest(F.lit(0), at - before) + 1,
+                        F.length(word) + F.least(at, F.lit(before)) + after).alias("snippet")))
 
-    return F.concat(*map(hits, keywords))
+    return F.flatten(F.transform(present, hits))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
+from veilframe.functions.scan import unfold
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
 
 SEGMENT_TOKENS = 512
@@ -253,7 +254,7 @@ def dictionary_entities(texts: DataFrame, keys: list[str], words: dict[str, str]
     """A stand-in entity model: whole-word dictionary look-up with offsets."""
     patterns = [C.Pattern(label, r"\b(?:" + "|".join(rf"\Q{w}\E" for w, l in words.items() if l == label) + r")\b")
                 for label in sorted(set(words.values()))]
-    spans = texts.select(*keys, F.explode(T.find_spans(F.col(text), patterns)).alias("s"))
+    spans = unfold(texts, keys, T.find_spans(F.col(text), patterns), "s")
     return spans.select(*keys, "s.start", "s.end", F.col("s.original").alias("word"), F.col("s.label").alias("entity_group"))
 
 

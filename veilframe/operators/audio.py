@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
 from veilframe.functions import text as T
-from veilframe.functions.scan import SEGMENT, bind, exclusive_scan, islands
+from veilframe.functions.scan import SEGMENT, bind, exclusive_scan, islands, unfold
 from veilframe.session import checkpoint
 
 KEY = ["audio_id"]
@@ -33,7 +33,7 @@ def phone_spans(words: DataFrame) -> DataFrame:
         F.min("start_char").alias("base"), F.max(F.col("word").rlike(r"(?U)\d")).alias("digits"),
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
     body = bind(texts.where("digits"), body=F.array_join(F.transform("ws", lambda w: w["word"]), " "))
-    spans = body.select(*KEY, "base", F.explode(T.find_spans(F.col("body"), [C.TRANSCRIPT_PHONE])).alias("s"))
+    spans = unfold(body, [*KEY, "base"], T.find_spans(F.col("body"), [C.TRANSCRIPT_PHONE]), "s")
     return spans.select(*KEY, (F.col("base") + F.col("s.start")).alias("s"), (F.col("base") + F.col("s.end")).alias("e"))
 
 

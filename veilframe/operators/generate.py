@@ -98,17 +98,15 @@ def capped(synthetic: DataFrame, real: DataFrame) -> DataFrame:
     """The first synthetic rows, at most three per real example but fifty at least.
 
     The list places persons first, then PAN and Aadhaar rows; a row's place
-    follows from its number and the size of the groups before its own.
+    follows from its number and the size of the groups before its own. Only
+    counts come to the driver.
     """
-    sizes = synthetic.groupBy().agg(
-        F.count("*").alias("n_all"), F.count_if(F.col("grp") == 0).alias("n0"), F.count_if(F.col("grp") == 1).alias("n1"))
-    reals = real.groupBy().agg(F.greatest(F.lit(1).cast("bigint"), F.count("*")).alias("n_real"))
-    bounds = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(reals.withColumn("_one", F.lit(1))), "_one").select("n0", "n1", F.greatest(
-        F.lit(C.SYNTHETIC_MIN).cast("bigint"), F.least("n_all", F.col("n_real") * C.SYNTHETIC_RATIO)).alias("cap"))
-    # The broadcast table is one row of totals.
-    placed = synthetic.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one").withColumn("place", F.when(F.col("grp") == 0, F.col("i")).when(
-        F.col("grp") == 1, F.col("n0") + F.expr("i DIV 4")).otherwise(F.col("n0") + F.col("n1") + F.expr("i DIV 4")))
-    return placed.where("place < cap").drop("n0", "n1", "cap")
+    sizes = synthetic.agg(F.count("*").alias("n"), F.count_if(F.col("grp") == 0).alias("n0"), F.count_if(F.col("grp") == 1).alias("n1")).first()
+    cap = max(C.SYNTHETIC_MIN, min(sizes.n, C.SYNTHETIC_RATIO * max(1, real.count())))
+    quarter = F.expr("i DIV 4")
+    placed = synthetic.withColumn("place", F.when(F.col("grp") == 0, F.col("i")).when(
+        F.col("grp") == 1, sizes.n0 + quarter).otherwise(sizes.n0 + sizes.n1 + quarter))
+    return placed.where(F.col("place") < cap)
 
 
 def training_set(real: DataFrame, synthetic: DataFrame) -> DataFrame:

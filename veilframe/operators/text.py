@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
 from veilframe.functions import text as T
+from veilframe.functions.scan import bind, unfold
 
 
 def detect(df: DataFrame, patterns: list[C.Pattern] | None = None, text: str = "text", e164: bool = False) -> DataFrame:
@@ -17,7 +18,7 @@ def detect(df: DataFrame, patterns: list[C.Pattern] | None = None, text: str = "
     patterns = list(C.TEXT_PATTERNS if patterns is None else patterns)
     if e164:
         patterns.append(C.PHONE_E164)
-    return df.withColumn("spans", T.find_spans(F.col(text), patterns))
+    return bind(df.drop("spans"), spans=T.find_spans(F.col(text), patterns))
 
 
 def explode_spans(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def redact(df: DataFrame, level: int, text: str = "text", key: str = "veil", out
     """Replace the resolved spans: level 1 masks them, level 2 swaps in pseudonyms."""
     if level not in (1, 2):
         raise ValueError(f"redaction level must be 1 or 2, not {level!r}")
-    df = df.withColumn("spans", T.resolve_overlaps(F.col("spans")))
+    rest = [c for c in df.columns if c != "spans"]
+    df = bind(df, kept=T.resolve_overlaps(F.col("spans"))).select(*rest, F.col("kept").alias("spans"))
 
     def replacement(span: Column) -> Column:
         if level == 1:
@@ -71,13 +73,13 @@ def address_windows(df: DataFrame, keys: list[str], variant: str = "v0", text: s
     """Snippets around address keywords, one row per occurrence."""
     words = C.ADDRESS_KEYWORDS_V0 if variant == "v0" else C.ADDRESS_KEYWORDS_V1
     before, after = C.ADDRESS_CONTEXT[variant]
-    hits = F.explode(T.keyword_hits(F.col(text), words, before, after))
-    return df.select(*keys, hits.alias("h")).select(
+    low = bind(df, _low=F.lower(F.col(text)))
+    return unfold(low, keys, T.keyword_hits(F.col(text), F.col("_low"), words, before, after), "h").select(
         *keys, F.col("h.at").alias("char_at"), F.col("h.keyword").alias("keyword"),
         F.col("h.snippet").alias("snippet"), F.lit("B-LOC").alias("label"))
 
 
 def label_counts(df: DataFrame) -> DataFrame:
     """Redactions per label over all texts."""
-    kept = df.select(F.explode(T.resolve_overlaps(F.col("spans"))).alias("s"))
+    kept = unfold(df, [], T.resolve_overlaps(F.col("spans")), "s")
     return kept.groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold
+from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold, unfold
 
 PAGE = ["doc_id", "page_no"]
 PAGE_SIZE = (2550, 3300)
@@ -60,7 +60,8 @@ def match_tokens(tokens: DataFrame, patterns: list[C.Pattern], size: tuple = PAG
     word = T.strip(F.col("text"))
     hits = tokens.where(T.any_of(word, patterns, full=True))
     rows = F.array_compact(F.array(*[F.when(word.rlike(T.full_regex(p)), _row(p, i)) for i, p in enumerate(patterns)]))
-    named = hits.select(*PAGE, "idx", F.lit(1).alias("n_tokens"), word.alias("word"), token_box(size).alias("_b"), F.inline(rows))
+    keep = [*PAGE, "idx", F.lit(1).alias("n_tokens"), word.alias("word"), token_box(size).alias("_b")]
+    named = unfold(hits, keep, rows)
     return named.where("_b IS NOT NULL").select(*PAGE, "idx", "n_tokens", "word", "_b.*", "label", "pattern", "priority", "pno")
 
 
@@ -114,7 +115,7 @@ def match_windows(
 
     sizes = F.filter(F.sequence(F.lit(2), F.size("run")), hopeful)
     fitting = F.filter(F.transform(sizes, worded), lambda w: any_fit(w["w0"]) | any_fit(w["w1"]) | any_fit(w["w2"]))
-    texts = runs.select(*PAGE, "idx", F.inline(F.transform(fitting, boxed)))
+    texts = unfold(runs, [*PAGE, "idx"], F.transform(fitting, boxed))
 
     def fits(p: C.Pattern, word: Column) -> Column:
         """The pattern covers the word; cheap necessary conditions come first."""
@@ -129,7 +130,7 @@ def match_windows(
             w.alias("word"), *[_row(p, i)[n].alias(n) for n in ("label", "pattern", "priority", "pno")])))
 
     rows = F.array_compact(F.concat(*[hit(p, i) for i, p in enumerate(patterns)]))
-    found = texts.select(*PAGE, "idx", "n_tokens", "boxes", F.inline(rows))
+    found = unfold(texts, [*PAGE, "idx", "n_tokens", "boxes"], rows)
     merged = bind(found, _m=G.union_box(F.col("boxes")))
     box = G.valid_box(*[F.col(f"_m.{c}") for c in BOX], F.lit(size[0]), F.lit(size[1]))
     return _detections(merged, box).select(*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "pno")
@@ -158,9 +159,9 @@ def field_values(tokens: DataFrame, size: tuple = PAGE_SIZE, limit: int = C.FIEL
     word = T.strip(F.col("text"))
     rows = F.array_compact(F.array(*[
         F.when(word.rlike(T.regex(p)), _row(p, i)) for i, p in enumerate(C.FIELD_LABELS)]))
-    labels = tokens.where((F.length(word) >= 3) & T.any_of(word, C.FIELD_LABELS)).select(
+    labels = unfold(tokens.where((F.length(word) >= 3) & T.any_of(word, C.FIELD_LABELS)), [
         *PAGE, F.col("idx").alias("at"), F.col("top").alias("line"),
-        F.greatest(F.lit(15.0), F.col("height") * 0.7).alias("reach"), F.inline(rows))
+        F.greatest(F.lit(15.0), F.col("height") * 0.7).alias("reach")], rows)
     steps = [s for s in range(-C.FIELD_LOOK_BACK, C.FIELD_LOOK_AHEAD + 1) if s]
     wanted = labels.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("idx", F.col("at") + F.col("step"))
     near = wanted.join(tokens.select(*PAGE, "idx", "text", "left_x", "top", "width", "height"), PAGE + ["idx"])
@@ -340,7 +341,7 @@ def rescue_ids(
     cut = F.flatten(F.array(*[
         F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i, n=n: F.substring("w", i, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in lengths]))
-    covered = pieces.select(*PAGE, F.explode(cut).alias("hit")).distinct()
+    covered = unfold(pieces, PAGE, cut, "hit").distinct()
     left = hits.join(covered, PAGE + ["hit"], "left_anti")
     return left.select(
         *PAGE, F.col("t.idx").alias("idx"), F.lit(1).alias("n_tokens"), F.col("hit").alias("word"),

@@ -244,10 +244,10 @@ def name_propagate(spark, folder):
 @query("fuzz_scores")
 def fuzz_scores(spark, folder):
     from veilframe.functions import fuzzy
-    preds = view(spark, folder, "v_ner_preds").select(*PAGE, F.lower("word").alias("a")).distinct()
-    toks = numbered(spark, folder).select(*PAGE, "idx", F.lower("text").alias("b"))
-    firsts = F.substring("a", 1, 1) == F.substring("b", 1, 1)
-    pairs = preds.join(toks, PAGE).where(firsts)
+    # Every token against the next one of its page.
+    toks = numbered(spark, folder).select(*PAGE, "idx", F.lower("text").alias("a"))
+    after = toks.select(*PAGE, (F.col("idx") - 1).alias("idx"), F.col("a").alias("b"))
+    pairs = toks.join(after, PAGE + ["idx"])
     return pairs.select(*PAGE, "idx", "a", "b", fuzzy.ratio_udf("a", "b").alias("ratio"),
                         fuzzy.partial_ratio_udf("a", "b").alias("partial"), fuzzy.token_set_ratio_udf("a", "b").alias("token_set"))
 

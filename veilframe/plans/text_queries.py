@@ -151,7 +151,7 @@ def _address_sql() -> str:
         before, after = C.ADDRESS_CONTEXT[variant]
         parts.append(f"""SELECT {D.lit(variant)} AS catalogue, src, id, kw AS keyword, CAST(p AS INT) AS char_at,
   substr(text, greatest(0, p - {before}) + 1, least(length(text), p + length(kw) + {after}) - greatest(0, p - {before})) AS snippet, 'B-LOC' AS label
-FROM (SELECT src, id, text, kw, sum(length(gap)) OVER w + (i - 1) * length(kw) AS p, i, n
+FROM (SELECT src, id, text, kw, CAST(sum(length(gap)) OVER w + (i - 1) * length(kw) AS INT) AS p, i, n
   FROM (SELECT src, id, text, kw, len(gaps) AS n, unnest(range(1, len(gaps) + 1)) AS i, unnest(gaps) AS gap
     FROM (SELECT src, id, text, kw, string_split(lower(text), kw) AS gaps FROM v_texts, (SELECT unnest({D.array(words)}) AS kw) k
           WHERE contains(lower(text), kw)))
