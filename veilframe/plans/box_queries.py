@@ -272,7 +272,19 @@ def dedup_priority(spark, folder):
     return ops.merge_by_priority(ops.validate(dets(spark, folder)))
 
 
-@query("box_chain_merge")
+_MEETS = "(least(w.x1, t.x1) > greatest(w.x0, t.x0) AND least(w.y1, t.y1) > greatest(w.y0, t.y0))"
+_GROWN = ", ".join(f"CASE WHEN {_MEETS} THEN {f}(w.{c}, t.{c}) ELSE t.{c} END" for c, f in
+                   (("x0", "least"), ("y0", "least"), ("x1", "greatest"), ("y1", "greatest")))
+
+
+@query("box_chain_merge", f"""WITH RECURSIVE {VALID},
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, det_no) AS rk FROM valid),
+w AS (SELECT doc_id, page_no, rk, det_no AS head, x0, y0, x1, y1 FROM t WHERE rk = 1
+  UNION ALL SELECT t.doc_id, t.page_no, t.rk, CASE WHEN {_MEETS} THEN w.head ELSE t.det_no END, {_GROWN}
+  FROM w JOIN t ON t.doc_id = w.doc_id AND t.page_no = w.page_no AND t.rk = w.rk + 1)
+SELECT w.doc_id, w.page_no, head AS det_no, string_agg(t.word, ' ' ORDER BY t.rk) AS word, min(t.x0) AS x0, min(t.y0) AS y0, max(t.x1) AS x1,
+  max(t.y1) AS y1, arg_min(t.label, t.rk) AS label, CAST(count(*) AS INT) AS n_merged
+FROM w JOIN t ON t.doc_id = w.doc_id AND t.page_no = w.page_no AND t.rk = w.rk GROUP BY w.doc_id, w.page_no, head""")
 def box_chain_merge(spark, folder):
     return ops.merge_chain(ops.validate(dets(spark, folder)))
 
@@ -285,7 +297,10 @@ def anon_examples(spark, folder):
     return sinks.examples(labelled)
 
 
-@query("dict_ner")
+_NAMES = {"ASHA PATIL": "PERSON", "MG Road": "LOC", "Maharashtra": "GPE"}
+
+
+@query("dict_ner", "WITH " + D.spans([C.Pattern(label, rf"\b(?:{word})\b") for word, label in _NAMES.items()])
+       + ' SELECT src, id, "start", "end", original AS word, label AS entity_group FROM found')
 def dict_ner(spark, folder):
-    words = {"ASHA PATIL": "PERSON", "MG Road": "LOC", "Maharashtra": "GPE"}
-    return align.dictionary_entities(view(spark, folder, "v_texts"), ["src", "id"], words)
+    return align.dictionary_entities(view(spark, folder, "v_texts"), ["src", "id"], _NAMES)

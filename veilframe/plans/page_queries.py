@@ -194,21 +194,63 @@ def rescue_ids(spark, folder):
     return ops.rescue_ids(toks, found, _RESCUE_PATTERNS, [10, 12])
 
 
-@query("upper_names")
+def _names_sql(variant: str) -> str:
+    letters = "length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= length(text) * 0.7"
+    if variant == "v3":
+        joins = f"{D.is_upper('text')} AND regexp_matches(text, '^\\p{{L}}+$') AND text NOT IN {D.in_list(C.NAME_STOPWORDS)}"
+        begins, reach, most, least, look = f"length(text) >= 3 AND top <= {H} * 0.75", "14.5", 4, 2, 4
+        keep, points = "length(word) <= 40", "80"
+    else:
+        joins = (f"length(text) >= 2 AND regexp_matches(text, '^\\p{{Lu}}') AND {letters} AND NOT {D.non_sensitive('text')} "
+                 f"AND lower(text) NOT IN {D.in_list(C.IGNORE_WORDS)}")
+        begins, reach, most, least, look = "length(text) >= 3", "greatest(15.0, height * 0.7)", 6, 1, 5
+        keep, points = f"NOT {D.non_sensitive('word')} AND length(word) >= 4", "CASE WHEN n >= 2 THEN 85 ELSE 82 END"
+    near = [f"(coalesce(lead(fits, {k}) OVER o, false) AND abs(lead(top, {k}) OVER o - top) <= {reach})" for k in range(1, look + 1)]
+    n = "1 + " + " + ".join(f"CASE WHEN {' AND '.join(near[:k])} THEN 1 ELSE 0 END" for k in range(1, look + 1))
+    return f"""WITH RECURSIVE {NUMBERED},
+f AS (SELECT *, ({joins}) AS fits FROM tok),
+c AS (SELECT *, {n} AS n, fits AND {begins} AS starts FROM f WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY idx)),
+g AS (SELECT *, starts AND n BETWEEN {least} AND {most} AS named FROM c),
+v AS (SELECT doc_id, page_no, idx, n, named FROM g WHERE idx = 0
+  UNION ALL SELECT g.doc_id, g.page_no, g.idx, g.n, g.named FROM v JOIN g ON g.doc_id = v.doc_id AND g.page_no = v.page_no
+    AND g.idx = v.idx + CASE WHEN v.named THEN v.n ELSE 1 END),
+r AS (SELECT v.doc_id, v.page_no, v.idx, v.n, string_agg(t.text, ' ' ORDER BY t.idx) AS word, min(t.left_x) AS x0, min(t.top) AS y0,
+  max(t.left_x + t.width) AS x1, max(t.top + t.height) AS y1 FROM v JOIN tok t ON t.doc_id = v.doc_id AND t.page_no = v.page_no
+  AND t.idx >= v.idx AND t.idx < v.idx + v.n WHERE v.named GROUP BY v.doc_id, v.page_no, v.idx, v.n),
+m AS (SELECT *, {D.valid_box('x0', 'y0', 'x1', 'y1', W, H)} AS b FROM r WHERE {keep})
+SELECT doc_id, page_no, idx, CAST(n AS INT) AS n_tokens, word, {_BOX}, 'B-PER' AS label, 'CAPITALIZED_NAME' AS pattern, CAST({points} AS INT) AS priority
+FROM m WHERE b IS NOT NULL"""
+
+
+@query("upper_names", _names_sql("v3"))
 def upper_names(spark, folder):
     return ops.upper_names(tokens(spark, folder)).select(*OUT)
 
 
-@query("upper_names_v2")
+@query("upper_names_v2", _names_sql("v2"))
 def upper_names_v2(spark, folder):
     return ops.upper_names(tokens(spark, folder), variant="v2").select(*OUT)
 
 
-@query("line_merge")
+def _line_sql(variant: str) -> str:
+    fits = ("t.left_x - w.right_ <= greatest(20, CAST(trunc(CAST(0.2 AS DOUBLE) * t.width) AS INT))" if variant == "v0" else
+            "t.left_x - w.right_ BETWEEN 0 AND greatest(15, CAST(trunc(CAST(0.15 AS DOUBLE) * t.width) AS INT)) AND w.n < 5")
+    joins = f"(abs(t.top - w.htop) <= greatest(8, CAST(trunc(CAST(0.02 AS DOUBLE) * t.height) AS INT)) AND {fits})"
+    return f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, left_x, pos) AS rk FROM v_tokens),
+w AS (SELECT doc_id, page_no, rk, pos AS head, top AS htop, left_x + width AS right_, 1 AS n FROM t WHERE rk = 1
+  UNION ALL SELECT t.doc_id, t.page_no, t.rk, CASE WHEN {joins} THEN w.head ELSE t.pos END, CASE WHEN {joins} THEN w.htop ELSE t.top END,
+    t.left_x + t.width, CASE WHEN {joins} THEN w.n + 1 ELSE 1 END
+  FROM w JOIN t ON t.doc_id = w.doc_id AND t.page_no = w.page_no AND t.rk = w.rk + 1)
+SELECT doc_id, page_no, head AS pos, string_agg(t.text, ' ' ORDER BY rk) AS text, arg_min(t.left_x, rk) AS left_x, arg_min(t.top, rk) AS top,
+  arg_max(t.left_x + t.width, rk) - arg_min(t.left_x, rk) AS width, arg_min(t.height, rk) AS height, CAST(count(*) AS INT) AS n_tokens
+FROM w JOIN t USING (doc_id, page_no, rk) GROUP BY doc_id, page_no, head"""
+
+
+@query("line_merge", _line_sql("v0"))
 def line_merge(spark, folder):
     return ops.merge_lines(tokens(spark, folder))
 
 
-@query("line_merge_v1")
+@query("line_merge_v1", _line_sql("v1"))
 def line_merge_v1(spark, folder):
     return ops.merge_lines(tokens(spark, folder), variant="v1")
