@@ -88,7 +88,7 @@ FROM conversations
 """,) * 2,
     "v_frame_dets": ("""
 SELECT l_suppkey AS video_id, CAST(l_partkey % 60 AS INT) AS frame_no,
-  (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS det_id,
+  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS det_id,
   CASE WHEN l_returnflag = 'A' THEN 'face' WHEN l_returnflag = 'N' THEN 'plate' ELSE 'phone_number' END AS type,
   CAST((l_orderkey * 37) % 900 AS INT) AS x1, CAST((l_partkey * 53) % 500 AS INT) AS y1,
   CAST((l_orderkey * 37) % 900 + 20 + CAST(l_quantity AS BIGINT) AS INT) AS x2,
