@@ -19,6 +19,7 @@ class Pattern(NamedTuple):
     longest: int = 0  # longest possible match with single blanks; 0 is open
     needs: str = ""  # a character every match holds
     first: str = ""  # characters a match can begin with, as a class
+    last: str = r"\s\S"  # characters a match can end with, as a class
 
 
 # --- fixed values: free-text patterns, in matching order -------------------
@@ -64,7 +65,7 @@ ID_PATTERNS = [
     Pattern("DOB", r"\b\d{4}[/\-\.]\d{2}[/\-\.]\d{2}\b", "B-DATE", 80, longest=10),
     Pattern("CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "B-FINANCIAL", 85, longest=19),
     Pattern("PINCODE", r"\b[1-9]\d{5}\b", "B-LOC", 40, longest=6),
-    Pattern("ADDRESS", r"\b\d{1,4}\s+[A-Za-z]+\s+(Street|St|Road|Rd|Lane|Ln|Nagar|Colony)\b", "B-LOC", 85, True, first=r"\d"),
+    Pattern("ADDRESS", r"\b\d{1,4}\s+[A-Za-z]+\s+(Street|St|Road|Rd|Lane|Ln|Nagar|Colony)\b", "B-LOC", 85, True, first=r"\d", last="tdenryTDENRY"),
     Pattern("GENERIC_ID", r"\b\d{10,15}\b", "B-SENSITIVE", 70, longest=15),
 ]
 

@@ -90,10 +90,12 @@ def match_windows(
     # letter before any text is put together.
     most = max((p.longest for p in patterns), default=0)
     heads = "".join(p.first for p in patterns if not p.longest and not p.needs)
+    tails = "".join(p.last for p in patterns if not p.longest and not p.needs)
     opens = F.col("t").rlike(rf"(?U)\A[{heads}]") if heads else F.lit(False)
 
     def hopeful(n: Column) -> Column:
-        return (F.get("run", n - 1)["c"] - F.col("c0") <= most) | (n > F.col("mark")) | opens
+        end = F.get("run", n - 1)
+        return (end["c"] - F.col("c0") <= most) | (n > F.col("mark")) | (opens & end["t"].rlike(rf"[{tails}]\z"))
 
     def worded(n: Column) -> Column:
         texts = F.transform(F.slice("run", F.lit(1), n), lambda r: r["t"])
