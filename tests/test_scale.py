@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import veilframe.plans  # noqa: F401
+from veilframe import catalogue as C
 from veilframe.functions.greedy import dropped_rows
 from veilframe.operators import boxes, tokens
 from veilframe.plans.registry import QUERIES
@@ -50,5 +51,5 @@ def test_one_page_with_everything(spark):
     assert numbered.where("idx <> pos").count() == 0
     found = tokens.field_values(numbered).where("pattern = 'DOB_FIELD'")
     assert found.count() == 200
-    assert tokens.match_windows(rows.withColumn("idx", F.col("pos")), [p for p in __import__("veilframe.catalogue").catalogue.ID_PATTERNS if p.name == "DOB"],
-                                segment=1000).count() == 0
+    dates = [p for p in C.ID_PATTERNS if p.name == "DOB"]
+    assert tokens.match_windows(rows.withColumn("idx", F.col("pos")), dates, segment=1000).count() == 0

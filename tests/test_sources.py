@@ -145,6 +145,25 @@ def test_align_needs_token_start(spark, page):
     assert got == {"Ravi Kumar": 1, "Broadway": 4}
 
 
+def test_quiet_foot(spark, page):
+    low = preds(spark, "ravi kumar").withColumn("score", F.lit(.7))
+    assert align.align(low, page, size=(2550, 60), quiet_foot=True).count() == 1
+    assert align.align(low, page, size=(2550, 52), quiet_foot=True).count() == 0
+    assert align.align(low, page, size=(2550, 52)).count() == 1
+
+
+def test_windows_split_by_segments(spark):
+    # Runs that cross a segment border are found like any other.
+    words = "x 12 MG Road and 1234 5678 9012 ok a@ b.com".split()
+    rows = [(1, 1, i, w, 60 + 90 * i, 40, 8 * len(w), 20, 90) for i, w in enumerate(words)]
+    page = tokens.number_tokens(spark.createDataFrame(rows, TOK))
+    want = {(r.idx, r.n_tokens, r.word, r.pattern) for r in tokens.match_windows(page, C.ID_PATTERNS).collect()}
+    with pytest.raises(ValueError):
+        tokens.match_windows(page, C.ID_PATTERNS, segment=5)
+    got = {(r.idx, r.n_tokens, r.word, r.pattern) for r in tokens.match_windows(page, C.ID_PATTERNS, segment=9).collect()}
+    assert got == want and (1, 3, "12 MG Road", "ADDRESS") in want and (5, 3, "123456789012", "AADHAAR") in want
+
+
 def test_align_across_segments(spark, monkeypatch, page):
     monkeypatch.setattr(align, "SEGMENT_TOKENS", 2)
     monkeypatch.setattr(align._segments, "__defaults__", (2,))

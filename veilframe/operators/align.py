@@ -87,9 +87,14 @@ def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
     return met.groupBy(*PAGE, "needle").agg(F.min("at").alias("at")).select(*PAGE, "needle", "at.*")
 
 
-def align(preds: DataFrame, tokens: DataFrame, rule: str = "v3", size: tuple = PAGE_SIZE) -> DataFrame:
+def align(
+    preds: DataFrame, tokens: DataFrame, rule: str = "v3", size: tuple = PAGE_SIZE, quiet_foot: bool = False,
+) -> DataFrame:
     """Token runs under predictions, one box each.
 
+    ``quiet_foot`` drops unsure predictions (score below .9) in the lowest
+    quarter of a page, where machine-readable lines stand.
+
     Rule v3 wants the run to begin with the word and checks the box. Rule v0
     counts characters from the run's start twice, as its users expect, and may
     therefore end a run early.
@@ -122,6 +127,8 @@ def align(preds: DataFrame, tokens: DataFrame, rule: str = "v3", size: tuple = P
         runs = runs.withColumn("_m", box).where("_m IS NOT NULL")
     keyed = preds.withColumn("needle", F.lower(T.strip(F.col("word")))).drop("word")
     joined = keyed.join(runs.select(*PAGE, "needle", "idx", "n_tokens", "found", "_m.*"), PAGE + ["needle"])
+    if quiet_foot:
+        joined = joined.where((F.col("y0") <= size[1] * 0.75) | (F.col("score") >= 0.90))
     return joined.withColumnRenamed("found", "word").drop("needle")
 
 

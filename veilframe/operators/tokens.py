@@ -75,6 +75,8 @@ def match_windows(
 ) -> DataFrame:
     """Runs of 2 to ``longest`` tokens that, joined by nothing, a blank or a
     dash, a pattern covers entirely; the first joiner that fits counts."""
+    if segment < longest - 1:
+        raise ValueError("a segment must hold the tokens borrowed from the next one")
     clean = F.regexp_replace(T.strip(F.col("text")), r"(?U)\s+", " ")
     placed = _spread(tokens.select(*PAGE, "idx", clean.alias("t"), token_box(size).alias("b")), segment, longest - 1)
     inside = Window.partitionBy(*PAGE, "seg").orderBy("idx")
