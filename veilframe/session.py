@@ -1,6 +1,8 @@
 """Session defaults and the shared checkpoint folder."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,21 @@ def build_session(app: str = "veilframe", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(), name)
+    context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), name))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing to the cluster's checkpoint folder.
 
