@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,18 +42,35 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), name))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the cluster's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for checkpoints and tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    a local master with nothing set falls back to a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    master with nothing set falls back to a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path inside the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder once nothing reads it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
