@@ -1,3 +1,3 @@
 """All queries of the subpackage; importing this registers them."""
-from veilframe.llm import exact, quality  # noqa: F401
+from veilframe.llm import exact, mixing, quality  # noqa: F401
 from veilframe.llm.registry import CHECKS, QUERIES  # noqa: F401
