@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from compare import compare
 
-from veilframe.llm import exact
+from veilframe.llm import common, exact
 from veilframe.llm.registry import CHECKS, QUERIES
 
 SCHEMA = "doc_id bigint, text string, sha string, digest string, row string, kept string"
@@ -40,7 +40,7 @@ def test_defined_cases(spark, bits):
 
 
 def test_beyond_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     docs = spark.createDataFrame([(i, f"text {i % 7}", "a", "b", "c", "d") for i in range(100)], SCHEMA)
     got = exact.dedup(docs, 8).collect()
     assert {(r.keep_id, r.group_size) for r in got} == {(max(range(k, 100, 7)), len(range(k, 100, 7))) for k in range(7)}

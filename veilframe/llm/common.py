@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import checkpoint
+
 #: Words are runs of anything but these; the same set is Python's ``bytes.split()``.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -40,5 +42,47 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, upper, upper.lower()))
 
 
+#: Tables of keys of at most 48 bytes a row are broadcast up to this many rows.
+BROADCAST_ROWS = 500_000
+#: A key with more than this share of all rows is hot; there are at most 1/share of them.
+HOT_SHARE = 0.001
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows to a table with unique keys of which some may hold most rows.
+
+    ``weight`` is a column of the table with the number of rows of each key and
+    ``total`` that of all. Hot keys, at most 1/HOT_SHARE, are joined by
+    broadcast, all others by a shuffle in which no key is large. ``rows`` is read
+    twice, so it should be written or cheap.
+    """
+    hot = F.col(weight) > HOT_SHARE * total
+    hot_keys = F.broadcast(table.filter(hot).select(key))
+    cold = rows.join(hot_keys, key, "left_anti").join(table.filter(~hot), key, how)
+    return rows.join(F.broadcast(table.filter(hot)), key, "left_semi" if how == "left_semi" else "inner").unionByName(cold)
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those that ``verdicts`` drops, columns unchanged.
+
+    Verdicts are narrow: doc_id, body (``xxhash64`` of the text) and kept, for
+    the rows of groups that lose some. Where a kept row has dropped repeats of
+    itself, equal in doc_id and text, all go and one comes back; which one is
+    left open if other columns differ.
+    """
+    keys = checkpoint(verdicts.groupBy(F.col("doc_id").alias("_vf_id"), F.col("body").alias("_vf_body")).agg(
+        F.max("kept").alias("_vf_stays"), F.min("kept").alias("_vf_alone")).filter("not _vf_alone"))
+    goes, back = keys.drop("_vf_stays", "_vf_alone"), keys.filter("_vf_stays").drop("_vf_stays", "_vf_alone")
+    if goes.count() <= BROADCAST_ROWS:
+        goes, back = F.broadcast(goes), F.broadcast(back)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select("*", F.xxhash64("text").alias("_vf_own"))
+    same = F.col("doc_id").eqNullSafe(F.col("_vf_id")) & (F.col("_vf_own") == F.col("_vf_body"))
+    kept = own.join(goes, same, "left_anti").select(*names)
+    if keys.filter("_vf_stays").isEmpty():
+        return kept
+    return kept.unionByName(own.join(back, same, "left_semi").dropDuplicates(["doc_id", "_vf_own"]).select(*names))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")

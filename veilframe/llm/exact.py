@@ -18,15 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import ascii_lower, documents
+from veilframe.llm import common
+from veilframe.llm.common import ascii_lower, documents, keep_rows, look_up
 from veilframe.llm.registry import query
 from veilframe.session import checkpoint, remove, scratch_path
 
-#: Tables of keys (at most 48 bytes a row) up to this many rows are broadcast.
-BROADCAST_ROWS = 500_000
-#: A digest with more than this share of all rows is hot; there are at most 1/share of them.
-HOT_SHARE = 0.001
-ARRIVAL = "doc_id bigint, sha binary, file string, row bigint"
+ARRIVAL = "doc_id bigint, sha binary, file string, body bigint, row bigint"
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -48,7 +45,7 @@ def arrivals(docs: DataFrame) -> str:
     """
     path = scratch_path(docs.sparkSession, "arrivals")
     docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _sha().alias("sha"), F.input_file_name().alias("file"),
-                F.monotonically_increasing_id().alias("row")).write.parquet(path)
+                F.xxhash64("text").alias("body"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
     return path
 
 
@@ -74,16 +71,6 @@ def registry(spark: SparkSession, came: str, bits: int = 256, bytes_per_batch: i
     return out
 
 
-def _look_up(rows: DataFrame, table: DataFrame, total: int, how: str = "inner") -> DataFrame:
-    """Join on digest: hot digests, a bounded number, by broadcast, others by shuffle."""
-    hot = F.col("group_size") > HOT_SHARE * total
-    if how == "left_semi":
-        table = table.select("digest", "group_size")
-    few, many = F.broadcast(table.filter(hot)), table.filter(~hot)
-    cold = rows.join(F.broadcast(table.filter(hot).select("digest")), "digest", "left_anti")
-    return rows.join(few, "digest", how).unionByName(cold.join(many, "digest", how))
-
-
 def collided(docs: DataFrame, held: DataFrame, total: int, bits: int = 256) -> DataFrame:
     """Digests under which the full bytes of some two texts differ.
 
@@ -92,25 +79,20 @@ def collided(docs: DataFrame, held: DataFrame, total: int, bits: int = 256) -> D
     """
     hits = held.filter(F.col("group_size") > 1).select("digest", "group_size")
     texts = docs.select(_sha().alias("sha"), ascii_lower(F.col("text")).alias("norm")).select(_digest(bits).alias("digest"), "norm")
-    if hits.count() <= BROADCAST_ROWS:
+    if hits.count() <= common.BROADCAST_ROWS:
         texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
     else:
-        texts = _look_up(texts, hits, total, "left_semi")
+        texts = look_up(texts, hits, "digest", "group_size", total, "left_semi")
     ends = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     return checkpoint(ends.filter(F.col("least") != F.col("most")).select("digest"))
 
 
 def _columns(key: Column) -> list[Column]:
     return ["doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
-            (F.col("row") == F.col("keep.row")).alias("kept"), key.alias("text_sha256")]
+            (F.col("row") == F.col("keep.row")).alias("kept"), key.alias("text_sha256"), "body"]
 
 
-def dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """Every row with the doc_id that stays for its text, the group's size and whether it stays.
-
-    ``bits`` is the length of the digest that keys the state; short ones make
-    texts collide, which the full comparison then sorts out.
-    """
+def _decide(docs: DataFrame, bits: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     path = arrivals(docs)
@@ -121,37 +103,30 @@ def dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
     rows = came.withColumn("digest", _digest(bits))
     clash = collided(docs, held, total, bits)
     if clash.isEmpty():
-        return _look_up(rows, held, total).select(*_columns(sha))
+        return look_up(rows, held, "digest", "group_size", total).select(*_columns(sha))
     # Group what shares a digest by its text instead.
     path = scratch_path(spark, "collided")
     docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _sha().alias("sha"), ascii_lower(F.col("text")).alias("norm"),
-                F.monotonically_increasing_id().alias("row")).withColumn("digest", _digest(bits)).join(
+                F.xxhash64("text").alias("body"), F.monotonically_increasing_id().alias("row")).withColumn("digest", _digest(bits)).join(
         clash, "digest", "left_semi").write.parquet(path)
     met = spark.read.parquet(path)
     groups = met.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep"))
-    fine = _look_up(rows.join(clash, "digest", "left_anti"), held.join(clash, "digest", "left_anti"), total)
+    fine = look_up(rows.join(clash, "digest", "left_anti"), held.join(clash, "digest", "left_anti"), "digest", "group_size", total)
     return fine.select(*_columns(sha)).unionByName(met.join(groups, "norm").select(*_columns(sha)))
 
 
-def keep_one(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """The rows that stay, with their own columns.
+def dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
+    """Every row with the doc_id that stays for its text, the group's size and whether it stays.
 
-    Rows to drop are known by doc_id and text digest. Where a row that stays has
-    repeats of itself, all are dropped and one is put back.
+    ``bits`` is the length of the digest that keys the state; short ones make
+    texts collide, which the full comparison then sorts out.
     """
-    verdicts = checkpoint(dedup(docs, bits).filter("group_size > 1").groupBy(
-        F.col("doc_id").alias("_vf_id"), F.col("text_sha256").alias("_vf_sha")).agg(
-        F.max("kept").alias("stays"), F.min("kept").alias("alone")))
-    goes, back = verdicts.filter("not alone").drop("stays", "alone"), verdicts.filter("stays and not alone").drop("stays", "alone")
-    if goes.count() <= BROADCAST_ROWS:
-        goes, back = F.broadcast(goes), F.broadcast(back)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select("*", F.lower(F.hex(_sha())).alias("_vf_own"))
-    same = F.col("doc_id").eqNullSafe(F.col("_vf_id")) & (F.col("_vf_own") == F.col("_vf_sha"))
-    kept = own.join(goes, same, "left_anti").select(*names)
-    if verdicts.filter("stays and not alone").isEmpty():
-        return kept
-    return kept.unionByName(own.join(back, same, "left_semi").dropDuplicates(["doc_id", "_vf_own"]).select(*names))
+    return _decide(docs, bits).drop("body")
+
+
+def keep_one(docs: DataFrame, bits: int = 256) -> DataFrame:
+    """The rows that stay, with their own columns."""
+    return keep_rows(docs, _decide(docs, bits).filter("group_size > 1"))
 
 
 CHECK = """
