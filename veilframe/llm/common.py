@@ -84,5 +84,40 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return kept.unionByName(own.join(back, same, "left_semi").dropDuplicates(["doc_id", "_vf_own"]).select(*names))
 
 
+SPANS = "array<struct<kind:string,start:int,stop:int,base:boolean>>"
+
+
+def scan_texts(docs: DataFrame, find: Callable[[], Callable[[str], list[tuple]]]) -> DataFrame:
+    """doc_id and spans of every row; ``find()``, called once per task, gives the
+    function from a text to its (kind, start, stop, base) spans."""
+    import pyarrow as pa
+
+    item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())])
+
+    def run(batches):
+        spans_of = find()
+        for batch in batches:
+            found = [[dict(zip(("kind", "start", "stop", "base"), s)) for s in spans_of(t.as_py() or "")] for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(item))], names=["doc_id", "spans"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, f"doc_id bigint, spans {SPANS}")
+
+
+def span_digests(found: DataFrame, counted: list[str]) -> DataFrame:
+    """Counts of the base kinds, a digest of the base spans and a list of all, in the order given."""
+    found = found.select("doc_id", F.col("spans").alias("_s"))
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    base = F.filter("_s", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("_s", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in counted],
+        F.sha2(F.array_join(F.transform(base, line), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("_s", line), ",").alias("spans"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
