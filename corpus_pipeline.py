@@ -1,29 +1,65 @@
-"""Corpus pipeline: the stages from raw documents to encoded training data.
+"""Corpus pipeline: from raw documents to encoded training data.
 
-Each stage takes the documents its predecessor kept and returns documents.
+Each stage works on all documents its predecessor kept and takes effect on
+them; the last turns texts into pieces. Between stages documents are written
+as Parquet into the shared folder and read again.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import quality
-from veilframe.session import ship_package
+from veilframe.llm import exact, mixing, pieces, quality, simhash
+from veilframe.session import scratch_path, ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base test or meet a learned rule."""
+    """Documents that pass the base test and meet no learned rule."""
     ship_package(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    ship_package(spark)
+    return exact.keep_one(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    ship_package(spark)
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    ship_package(spark)
+    return mixing.take(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the sampled pieces of every document."""
+    ship_package(spark)
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 
-#: Learned rules have no SQL form; tests compare the run with a brute-force one.
+#: Learned rules, fingerprints and sampled pieces have no SQL form; the tests compare
+#: every stage with a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents`` of the folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
