@@ -1,3 +1,3 @@
 """All queries of the subpackage; importing this registers them."""
-from veilframe.llm import exact, mixing, personal, pieces, quality, recurrent, secrets, simhash  # noqa: F401
+from veilframe.llm import exact, mixing, personal, pieces, quality, recurrent, secrets, simhash, toxicity  # noqa: F401
 from veilframe.llm.registry import CHECKS, QUERIES  # noqa: F401
