@@ -1,6 +1,8 @@
 """Text operators on edge cases, and invariants on all texts."""
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,11 +30,16 @@ def python_spans(text, patterns):
 
 
 def python_redact(text, found):
-    out, last = [], 0
+    groups = []
     for start, end, _, _ in found:
-        if start >= last:
-            out += [text[last:start], C.PLACEHOLDER]
-            last = end
+        if groups and start < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], end)
+        else:
+            groups.append([start, end])
+    out, last = [], 0
+    for start, end in groups:
+        out += [text[last:start], C.PLACEHOLDER]
+        last = end
     return "".join(out) + text[last:]
 
 
@@ -54,6 +61,42 @@ def test_all_documents_equal_python(spark, folder):
     assert all(r.redacted == python_redact(r.text, python_spans(r.text, C.TEXT_PATTERNS)) for r in rows)
 
 
+def test_overlapping_tail_is_masked(spark):
+    df = ops.detect(texts(spark, "call Ravi 9876543210 now"))
+    ents = spark.createDataFrame([(0, 5, 15, "PERSON")], "id int, start int, end int, label string")
+    mixed = ops.with_entities(df, ents, ["id"])
+    assert ops.redact(mixed, 1).first().redacted == "call [REDACTED] now"
+    swapped = ops.redact(mixed, 2).first().redacted
+    assert "43210" not in swapped and swapped.startswith("call ") and swapped.endswith(" now")
+
+
+def test_no_covered_character_is_left(spark):
+    """Random spans of every overlap: what one covers never comes out."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        body = "".join(chr(0x4E00 + k) for k in range(rng.randrange(1, 700)))
+        found = sorted((a, -(b - a), b) for a, b in ((rng.randrange(len(body)), rng.randrange(len(body) + 1)) for _ in range(rng.randrange(12))) if a <= b)
+        rows.append((i, body, [(a, b, body[a:b], "PERSON" if a % 2 else "CITY") for a, _, b in found]))
+    df = spark.createDataFrame(rows, f"id int, text string, spans array<{T.SPAN}>")
+    for level in (1, 2):
+        for r in ops.redact(df, level).collect():
+            body, found = rows[r.id][1], rows[r.id][2]
+            covered = {c for a, b, _, _ in found for c in body[a:b]}
+            assert not covered & set(r.redacted)
+            assert [c for c in r.redacted if c in set(body)] == [c for c in body if c not in covered]
+            assert [s.original for s in r.spans] == [body[s.start:s.end] for s in r.spans]
+
+
+def test_very_many_matches(spark):
+    """A log of one hundred thousand matches in one row is no longer than the work it holds."""
+    body = "".join(f"user{i}@example.com phone 98765{i:05d} | " for i in range(50_000))
+    began = time.time()
+    row = ops.redact(ops.detect(texts(spark, body)), 2).first()
+    assert len(row.spans) >= 100_000 and "example.com" not in row.redacted
+    assert time.time() - began < 60
+
+
 def test_nothing_is_left_after_masking(spark, folder):
     done = ops.redact(ops.detect(view(spark, folder, "v_texts")), 1)
     assert done.where(T.any_of(F.col("redacted"), C.TEXT_PATTERNS)).count() == 0

@@ -64,31 +64,69 @@ def _pieces(text: Column, pattern: C.Pattern) -> Column:
     return F.split(F.regexp_replace(safe, body, f"{_MARK}$1{_MARK}"), _MARK, -1)
 
 
+#: Texts are cut into blocks of this many characters, so that a piece anywhere
+#: is found without walking through the text before it.
+_BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda variable is not copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, size: Column) -> Column:
+    """``size`` characters of a text given as blocks, from a 0-based place."""
+    first = F.floor(start / _BLOCK).cast("int")
+    last = F.floor((start + size + (_BLOCK - 1)) / _BLOCK).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, F.greatest(F.lit(0), last - first)), "")
+    return F.substring(near, start - first * _BLOCK + 1, size)
+
+
+def _sums_before(values: Column) -> Column:
+    """For every number of an array the sum of those before it.
+
+    Lists grow inside rows of 512 numbers only, so the work stays in
+    proportion to the array.
+    """
+    wide = 512
+
+    def running(numbers: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("done"))
+        return F.aggregate(numbers, begin, lambda state, x: F.struct(
+            (state["sum"] + x).alias("sum"), F.concat(state["done"], F.array(state["sum"])).alias("done")))
+
+    def whole(numbers: Column) -> Column:
+        count = F.floor((F.size(numbers) + (wide - 1)) / wide).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), count - 1), lambda k: running(F.slice(numbers, k * wide + 1, F.lit(wide))))
+        return let(rows, lambda rs: let(running(F.transform(rs, lambda r: r["sum"]))["done"], lambda carried: F.flatten(F.transform(
+            rs, lambda r, k: F.transform(r["done"], lambda x: x + F.get(carried, k))))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(whole(v)))
+
+
 def _candidates(text: Column, pattern: C.Pattern, order: int) -> Column:
     """All matches of one pattern with exact offsets, as sortable structs."""
     empty = F.from_json(F.lit("[]"), _CANDIDATE)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("found"))
-
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(
-            state["at"].alias("start"), (-F.length(piece)).alias("neg_len"), F.lit(order).alias("ord"),
-            end.alias("end"), F.lit(pattern.name).alias("label"),
-        )
-        return F.struct(
-            end.alias("at"), (~state["hit"]).alias("hit"),
-            F.when(state["hit"], F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
-        )
-
-    found = F.aggregate(_pieces(text, pattern), start, step, lambda state: state["found"])
+
+    def matches(sizes: Column) -> Column:
+        spans = let(_sums_before(sizes), lambda starts: F.transform(sizes, lambda size, i: F.struct(
+            F.get(starts, i).alias("start"), (-size).alias("neg_len"), F.lit(order).alias("ord"),
+            (F.get(starts, i) + size).alias("end"), F.lit(pattern.name).alias("label"))))
+        return F.filter(spans, lambda span, i: i % 2 == 1)
+
+    found = let(F.transform(_pieces(text, pattern), lambda piece: F.length(piece)), matches)
     return F.when(text.rlike(regex(pattern)), found).otherwise(empty)
 
 
 def _with_original(text: Column, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(
+    return let(blocks(text), lambda parts: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
-        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("original"), s["label"].alias("label"),
-    ))
+        cut(parts, s["start"], s["end"] - s["start"]).alias("original"), s["label"].alias("label"),
+    )))
 
 
 def find_spans(text: Column, patterns: list[C.Pattern]) -> Column:
@@ -99,33 +137,67 @@ def find_spans(text: Column, patterns: list[C.Pattern]) -> Column:
     return F.when(any_of(text, patterns), found).otherwise(F.from_json(F.lit("[]"), f"array<{SPAN}>"))
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Keep a span unless it starts before the end of the last kept one.
+def resolve_overlaps(spans: Column, text: Column | None = None) -> Column:
+    """Join spans that overlap, so that whatever one of them covers stays covered.
+
+    A joined span has the label of the first and, where ``text`` is given, the
+    covered text as its original. Spans come in by start, longer first; ones
+    that only touch stay apart, empty ones are dropped. A span begins a new
+    group if as many spans have ended by its start as stand before it.
+    """
+    def joined(ordered: Column, ends: Column, parts: Column | None) -> Column:
+        heads = F.filter(F.transform(ordered, lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
+                         lambda h: (h["i"] == 0) | (F.get(ends, h["i"] - 1) <= h["s"]["start"]))
+
+        def group(h: Column, following: Column) -> Column:
+            end = F.get(ends, F.coalesce(following, F.size(ordered)) - 1)
+            original = h["s"]["original"]
+            if parts is not None:
+                original = F.when(end == h["s"]["end"], original).otherwise(cut(parts, h["s"]["start"], end - h["s"]["start"]))
+            return F.struct(h["s"]["start"].alias("start"), end.alias("end"), original.alias("original"), h["s"]["label"].alias("label"))
+
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: group(h, F.get(hs, k + 1)["i"])))
+
+    def resolved(ordered: Column) -> Column:
+        ends = F.array_sort(F.transform(ordered, lambda s: s["end"]))
+        if text is None:
+            return let(ends, lambda es: joined(ordered, es, None))
+        return let(ends, lambda es: let(blocks(text), lambda parts: joined(ordered, es, parts)))
 
-    Input order decides between spans with the same start.
+    real = F.filter(spans, lambda s: s["end"] > s["start"])
+    return let(real, lambda ordered: F.when(F.size(ordered) <= 1, ordered).otherwise(resolved(ordered)))
+
+
+def last_labels(spans: Column) -> Column:
+    """For each span the label of the last span with the same original.
+
+    Spans are sorted by original, each run's last label is spread over the
+    run by counting the runs before, and the order is restored.
     """
-    start = F.struct(F.lit(0).alias("end"), F.from_json(F.lit("[]"), f"array<{SPAN}>").alias("kept"))
+    item = F.transform(spans, lambda s, i: F.struct(s["original"].alias("original"), (-i).alias("back"), s["label"].alias("label")))
 
-    def step(state: Column, span: Column) -> Column:
-        return F.when(
-            span["start"] >= state["end"],
-            F.struct(span["end"].alias("end"), F.concat(state["kept"], F.array(span)).alias("kept")),
-        ).otherwise(state)
+    def spread(ordered: Column) -> Column:
+        fresh = F.transform(ordered, lambda x, k: F.when((k > 0) & (F.get(ordered, k - 1)["original"] == x["original"]), 0).otherwise(1))
+        heads = F.filter(ordered, lambda x, k: (k == 0) | (F.get(ordered, k - 1)["original"] != x["original"]))
+        return let(fresh, lambda f: let(_sums_before(f), lambda before: let(heads, lambda hs: F.transform(
+            F.array_sort(F.transform(ordered, lambda x, k: F.struct(
+                (-x["back"]).alias("i"), F.get(hs, F.get(before, k) + F.get(f, k) - 1)["label"].alias("label")))),
+            lambda x: x["label"]))))
 
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(spans, start, step, lambda s: s["kept"]))
+    return let(F.array_sort(item), spread)
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
-    """Replace disjoint ordered spans; ``replacement`` maps a span to a column."""
-    def piece(span: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        return F.concat(F.substring(text, before + 1, span["start"] - before), replacement(span))
-
-    last = F.element_at(spans, -1)["end"]
-    tail = F.substring(text, last + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(F.array_join(F.transform(spans, piece), ""), tail)
-    )
+    """Replace disjoint ordered spans; ``replacement`` maps a span and its place to a column."""
+    def body(parts: Column) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+            return F.concat(cut(parts, before, span["start"] - before), replacement(span, i))
+
+        last = F.element_at(spans, -1)["end"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, last + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks(text), body))
 
 
 def pick(options: list[str], seed: Column) -> Column:
@@ -307,18 +379,20 @@ def keyword_hits(text: Column, low: Column, keywords: list[str], before: int, af
     """
     present = F.filter(F.array(*map(F.lit, keywords)), lambda word: low.contains(word))
 
-    def hits(word: Column) -> Column:
+    def hits(word: Column, parts: Column) -> Column:
         gaps = F.split(low, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), F.lit(-1))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("found"))
 
-        def step(state: Column, gap: Column) -> Column:
-            at = state["end"] + F.length(gap)
-            return F.struct((at + F.length(word)).alias("end"), F.concat(state["found"], F.array(at)).alias("found"))
+        def places(sizes: Column) -> Column:
+            # Characters and keywords before each gap's end.
+            ends = let(_sums_before(sizes), lambda before: F.transform(
+                sizes, lambda size, i: F.get(before, i) + size + i * F.length(word)))
+            return F.slice(ends, F.lit(1), F.size(sizes) - 1)
+
+        def snippet(at: Column) -> Column:
+            begin = F.greatest(F.lit(0), at - before)
+            return F.struct(at.alias("at"), word.alias("keyword"),
+                            cut(parts, begin, F.length(word) + F.least(at, F.lit(before)) + after).alias("snippet"))
 
-        places = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda state: state["found"])
-        return F.transform(places, lambda at: F.struct(
-            at.alias("at"), word.alias("keyword"),
-            F.substring(text, F.greatest(F.lit(0), at - before) + 1,
-                        F.length(word) + F.least(at, F.lit(before)) + after).alias("snippet")))
+        return F.transform(let(F.transform(gaps, lambda g: F.length(g)), places), snippet)
 
-    return F.flatten(F.transform(present, hits))
+    return let(blocks(text), lambda parts: F.flatten(F.transform(present, lambda word: hits(word, parts))))

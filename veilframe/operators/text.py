@@ -58,15 +58,11 @@ def redact(df: DataFrame, level: int, text: str = "text", key: str = "veil", out
     if level not in (1, 2):
         raise ValueError(f"redaction level must be 1 or 2, not {level!r}")
     rest = [c for c in df.columns if c != "spans"]
-    df = bind(df, kept=T.resolve_overlaps(F.col("spans"))).select(*rest, F.col("kept").alias("spans"))
-
-    def replacement(span: Column) -> Column:
-        if level == 1:
-            return F.lit(C.PLACEHOLDER)
-        same = F.filter(F.col("spans"), lambda o: o["original"] == span["original"])
-        return T.pseudonym(F.element_at(same, -1)["label"], span["original"], key)
-
-    return df.withColumn(out, T.splice(F.col(text), F.col("spans"), replacement))
+    df = bind(df, _kept=T.resolve_overlaps(F.col("spans"), F.col(text))).select(*rest, F.col("_kept").alias("spans"))
+    if level == 1:
+        return df.withColumn(out, T.splice(F.col(text), F.col("spans"), lambda span, i: F.lit(C.PLACEHOLDER)))
+    return df.withColumn(out, T.let(T.last_labels(F.col("spans")), lambda labels: T.splice(
+        F.col(text), F.col("spans"), lambda span, i: T.pseudonym(F.get(labels, i), span["original"], key))))
 
 
 def address_windows(df: DataFrame, keys: list[str], variant: str = "v0", text: str = "text") -> DataFrame:

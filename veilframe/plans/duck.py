@@ -43,14 +43,12 @@ found{tag} AS (SELECT {keys}, text, ord, label, kind, s AS "start", CAST(s + len
 
 
 def kept_spans(keys: str = "src, id", found: str = "found") -> str:
-    """CTEs ending in ``kept``: spans left after overlap resolution, in order."""
-    on = " AND ".join(f"r.{k.strip()} = k.{k.strip()}" for k in keys.split(","))
-    ks = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY "start", "end" DESC, ord) AS rk FROM {found}),
-scan AS (SELECT {keys}, rk, "end" AS last_end, true AS keep FROM ranked WHERE rk = 1
-  UNION ALL SELECT {ks}, r.rk, CASE WHEN r."start" >= k.last_end THEN r."end" ELSE k.last_end END, r."start" >= k.last_end
-  FROM scan k JOIN ranked r ON {on} AND r.rk = k.rk + 1),
-kept AS (SELECT ranked.* FROM ranked JOIN scan USING ({keys}, rk) WHERE keep)"""
+    """CTEs ending in ``kept``: the ranges that overlapping spans cover, in order."""
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY "start", "end" DESC, ord) AS rk FROM {found} WHERE "end" > "start"),
+reach AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ranked),
+cover AS (SELECT *, sum(CASE WHEN reached IS NULL OR "start" >= reached THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY rk ROWS UNBOUNDED PRECEDING) AS grp FROM reach),
+ranges AS (SELECT {keys}, grp, min(rk) AS rk, arg_min(label, rk) AS label, any_value(text) AS text, min("start") AS "start", max("end") AS "end" FROM cover GROUP BY {keys}, grp),
+kept AS (SELECT *, substr(text, "start" + 1, "end" - "start") AS original FROM ranges)"""
 
 
 def spliced(replacement: str, keys: str = "src, id", source: str = "v_texts") -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
+from veilframe.functions.scan import bind
 from veilframe.operators import text as ops
 from veilframe.plans import duck as D
 from veilframe.plans.registry import query
@@ -88,19 +89,43 @@ def id_patterns_v1(spark, folder):
     return one("v1", C.ID_PATTERNS_V1).unionByName(one("v0", C.ID_PATTERNS_V0))
 
 
-@query("redact_text_l1", f"WITH RECURSIVE {D.spans(C.TEXT_PATTERNS)}, {D.kept_spans()} {D.spliced(D.lit(C.PLACEHOLDER))}")
+@query("redact_text_l1", f"WITH {D.spans(C.TEXT_PATTERNS)}, {D.kept_spans()} {D.spliced(D.lit(C.PLACEHOLDER))}")
 def redact_text_l1(spark, folder):
     done = ops.redact(ops.detect(view(spark, folder, "v_texts")), level=1)
     return done.select(*KEYS, "redacted", F.size("spans").alias("n_spans"))
 
 
-@query("redact_text_l2", f"""WITH RECURSIVE {D.spans(C.TEXT_PATTERNS)}, {D.kept_spans()}
+@query("redact_text_l2", f"""WITH {D.spans(C.TEXT_PATTERNS)}, {D.kept_spans()}
 {D.spliced(D.pseudonym('last_label', 'original', 'veil'))}""")
 def redact_text_l2(spark, folder):
     done = ops.redact(ops.detect(view(spark, folder, "v_texts")), level=2)
     return done.select(*KEYS, "redacted", F.size("spans").alias("n_spans"))
 
 
+# Entities of a stand-in model: capital letters of the notes, so that they cut
+# into pattern spans on either side.
+_ENTITIES = r"[A-Z]{2,}[A-Z0-9 ]{3,9}"
+_ENTITY_SQL = f"""{D.spans(C.TEXT_PATTERNS)},
+ep AS (SELECT src, id, text, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (SELECT src, id, text,
+  string_split(regexp_replace(std, {D.lit('(' + _ENTITIES + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS ps FROM std)),
+eo AS (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY src, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s FROM ep),
+every_ AS (SELECT src, id, text, ord, label, "start", "end" FROM found
+  UNION ALL SELECT src, id, text, -1, CASE WHEN p % 2 = 0 THEN 'PERSON' ELSE 'ORG' END, CAST(CASE {_TITLE_CASE} ELSE p END AS INT), CAST(p + length(piece) AS INT)
+  FROM (SELECT *, s AS p FROM eo) WHERE i % 2 = 0)"""
+
+
+@query("redact_text_entities", f"""WITH {_ENTITY_SQL}, {D.kept_spans(found='every_')},
+one AS ({D.spliced(D.lit(C.PLACEHOLDER))}), two AS ({D.spliced(D.pseudonym('last_label', 'original', 'veil'))})
+SELECT src, id, one.redacted AS masked, two.redacted AS swapped, n_spans FROM one JOIN two USING (src, id, n_spans)""")
+def redact_text_entities(spark, folder):
+    texts = bind(view(spark, folder, "v_texts"), _found=T.find_spans(F.col("text"), [C.Pattern("ENTITY", _ENTITIES)]))
+    entities = texts.select(*KEYS, F.explode("_found").alias("s")).select(
+        *KEYS, "s.start", "s.end", F.when(F.col("s.start") % 2 == 0, "PERSON").otherwise("ORG").alias("label"))
+    mixed = ops.with_entities(ops.detect(texts.drop("_found")), entities, KEYS)
+    masked = ops.redact(mixed, level=1, out="masked").select(*KEYS, "masked", F.size("spans").alias("n_spans"))
+    return masked.join(ops.redact(mixed, level=2, out="swapped").select(*KEYS, "swapped"), KEYS)
+
+
 _WORDS_OF_TEXTS = """words AS (SELECT src, id, unnest(range(len(string_split(text, ' ')))) AS pos,
   unnest(string_split(text, ' ')) AS word FROM v_texts)"""
 
