@@ -35,7 +35,19 @@ MARK = "▁"
 _LITERAL = "\udc00"
 #: Chunks sampled side by side, and edges kept in forward tables before they start anew.
 BLOCK = 200_000
-EDGES = 3_000_000
+EDGES = 6_000_000
+#: Chunks up to this length are filtered side by side.
+SIDE_BY_SIDE = 48
+#: Weight of a character that is written as bytes.
+_BARE = 1e-5
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def _codes(texts: list[str]):
+    """Code points of texts of one length, positions first."""
+    import numpy as np
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.ascontiguousarray(flat.reshape(len(texts), -1).T).astype(np.uint64)
 
 
 def vocabulary(model: str = MODEL) -> tuple[dict[str, int], list[bytes], int]:
@@ -63,26 +75,49 @@ def weights(ids: dict[str, int], alpha: float) -> dict[str, tuple[float, int]]:
 
 
 class Lattices:
-    """Forward tables of distinct chunks as growing flat arrays.
+    """Forward tables of distinct chunks as flat arrays.
 
     Nodes are numbered through; the edges into a node lie together, keyed by
     node plus cumulative probability, so one search finds the edge that a
-    uniform number draws.
+    uniform number draws. Chunks of one length are filtered side by side:
+    substrings of every length are found by rolling hashes.
     """
 
     def __init__(self, table: dict[str, tuple[float, int]], zero: int):
+        import numpy as np
+
         self.table, self.zero = table, zero
         self.longest = max(map(len, table))
-        # Keeps sums near 1: a typical weight by character.
-        self.lift = 30.0
+        self.lift = 30.0  # a typical weight by character, to keep sums near 1
+        pieces = sorted(table)
+        self.weight = np.array([table[p][0] for p in pieces] + [0.0])
+        self.ids = np.array([table[p][1] for p in pieces] + [0], np.int64)
+        hashes = np.zeros(len(pieces), np.uint64)
+        for n in {len(p) for p in pieces}:
+            some = [i for i, p in enumerate(pieces) if len(p) == n]
+            codes, h = _codes([pieces[i] for i in some]), np.zeros(len(some), np.uint64)
+            for k in range(n):
+                h = (h + codes[k]) * np.uint64(_MULTIPLIER)
+            hashes[some] = h
+        assert len(set(hashes.tolist())) == len(pieces)
+        # An open table: a few tries, each a column, hold all pieces of a slot.
+        self.tries, left = [], np.arange(len(pieces))
+        while len(left):
+            column, slots = np.full(1 << 18, len(pieces), np.int64), (hashes[left] >> np.uint64(46)).astype(np.int64)
+            _, first = np.unique(slots, return_index=True)
+            column[slots[first]] = left[first]
+            self.tries.append(column)
+            left = np.delete(left, first)
+        self.hashes = np.append(hashes, np.uint64(0))
         self.clear()
 
     def clear(self) -> None:
+        import numpy as np
         self.last: dict[str, int] = {}
-        self.nodes, self.keys, self.back, self.piece = 0, [], [], []
+        self.nodes = 0
+        self.keys, self.back, self.piece = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
         self.bytes: dict[str, int] = {}
         self.runs: list[list[int]] = []
-        self.done = None
 
     def code(self, char: str) -> int:
         """Byte ids of a character without a piece, as a negative code."""
@@ -92,16 +127,75 @@ class Lattices:
             self.bytes[char] = -len(self.runs)
         return self.bytes[char]
 
-    def end_of(self, chunk: str) -> int:
-        """The chunk's last node, its table being made if new."""
-        node = self.last.get(chunk)
-        if node is None:
-            node = self.last[chunk] = self.add(chunk)
-        return node
+    def find(self, hashes):
+        """Row of the piece with each hash; the last row where there is none."""
+        import numpy as np
+        none, slots = len(self.hashes) - 1, (hashes >> np.uint64(46)).astype(np.int64)
+        found = self.tries[0][slots]
+        hit = self.hashes[found] == hashes
+        for column in self.tries[1:]:
+            other = column[slots]
+            better = ~hit & (self.hashes[other] == hashes)
+            found = np.where(better, other, found)
+            hit |= better
+        return np.where(hit, found, none)
+
+    def ends_of(self, chunks: list[str]) -> list[int]:
+        """The last node of each chunk, tables of new ones being made."""
+        fresh: dict[int, list[str]] = {}
+        for c in dict.fromkeys(chunks):
+            if c not in self.last:
+                fresh.setdefault(len(c), []).append(c)
+        parts = []
+        for n, some in fresh.items():
+            step = max(1, 2_000_000 // (n * min(n, self.longest))) if n <= SIDE_BY_SIDE else 1
+            for at in range(0, len(some), step):
+                parts.append(self.add_alike(some[at:at + step], n) if n <= SIDE_BY_SIDE else self.add_long(some[at]))
+        if parts:
+            import numpy as np
+            self.keys, self.back, self.piece = (np.concatenate([old, *[p[k] for p in parts]]) for k, old in enumerate((self.keys, self.back, self.piece)))
+        return [self.last[c] for c in chunks]
+
+    def add_alike(self, chunks: list[str], n: int):
+        """Edges of chunks of one length, all filtered at once."""
+        import numpy as np
+
+        codes, width = _codes(chunks), min(n, self.longest)
+        count = len(chunks)
+        # By end, then length of the last piece: sums so far and pieces.
+        cum, pieces = np.zeros((n, width, count)), np.zeros((n, width, count), np.int64)
+        h, power, into = np.zeros((n, count), np.uint64), 1.0, np.zeros((n, width, count))
+        for k in range(width):
+            h = (h[:n - k] + codes[k:]) * np.uint64(_MULTIPLIER)
+            found = self.find(h)
+            power *= self.lift
+            weight, ids = self.weight[found] * power, self.ids[found]
+            if k == 0 and (bare := weight == 0).any():
+                chars, place = np.unique(codes[bare], return_inverse=True)
+                ids[bare] = np.array([self.code(chr(c)) for c in chars])[place]
+                weight[bare] = _BARE * power
+            into[k:, k], pieces[k:, k] = weight, ids
+        total = np.ones((n + 1, count))
+        for j in range(n):
+            m = min(width, j + 1)
+            np.cumsum(into[j, :m] * total[j - m + 1:j + 1][::-1], axis=0, out=cum[j, :m])
+            total[j + 1] = cum[j, m - 1]
+            cum[j, :m] /= total[j + 1]
+        base = self.nodes + np.arange(count) * (n + 1)
+        ends = np.arange(1, n + 1)
+        where = np.broadcast_to((base[:, None, None] + ends[None, :, None]), (count, n, width))
+        real = into.transpose(2, 0, 1) > 0
+        self.nodes += count * (n + 1)
+        self.last.update(zip(chunks, (base + n).tolist()))
+        back = where - np.arange(1, width + 1)
+        return (where + cum.transpose(2, 0, 1))[real], back[real], pieces.transpose(2, 0, 1)[real]
+
+    def add_long(self, chunk: str):
+        """Edges of one long chunk, with sums kept in range on the way."""
+        import numpy as np
 
-    def add(self, chunk: str) -> int:
         base, get, lift, longest = self.nodes, self.table.get, self.lift, self.longest
-        keys, back, pieces = self.keys, self.back, self.piece
+        keys, back, pieces = [], [], []
         total = [1.0] + [0.0] * len(chunk)
         for j in range(1, len(chunk) + 1):
             found, whole, power = [], 0.0, 1.0
@@ -111,14 +205,11 @@ class Lattices:
                 if hit is None:
                     if i < j - 1:
                         continue
-                    weight, piece = 1e-5, self.code(chunk[i])
-                else:
-                    weight, piece = hit
-                weight *= power * total[i]
-                whole += weight
-                found.append((whole, i, piece))
-            for cum, i, piece in found:
-                keys.append(base + j + cum / whole)
+                    hit = _BARE, self.code(chunk[i])
+                whole += hit[0] * power * total[i]
+                found.append((whole, i, hit[1]))
+            for so_far, i, piece in found:
+                keys.append(base + j + so_far / whole)
                 back.append(base + i)
                 pieces.append(piece)
             total[j] = whole
@@ -126,13 +217,8 @@ class Lattices:
                 for i in range(max(0, j - longest), j + 1):
                     total[i] /= whole
         self.nodes += len(chunk) + 1
-        return base + len(chunk)
-
-    def arrays(self):
-        import numpy as np
-        if self.done is None or len(self.done[0]) != len(self.keys):
-            self.done = np.array(self.keys), np.array(self.back, np.int64), np.array(self.piece, np.int64)
-        return self.done
+        self.last[chunk] = base + len(chunk)
+        return np.array(keys), np.array(back, np.int64), np.array(pieces, np.int64)
 
 
 def _mixed(x):
@@ -151,8 +237,9 @@ def sample(lattices: Lattices, ends, bases, stream):
     """
     import numpy as np
 
-    keys, back, piece = lattices.arrays()
-    node, live, steps, drawn = ends.copy(), np.arange(len(ends)), 0, []
+    keys, back, piece = lattices.keys, lattices.back, lattices.piece
+    # Equal chunks together, so that searches stay near each other.
+    node, live, steps, drawn = ends.copy(), np.argsort(ends, kind="stable"), 0, []
     count = np.zeros(len(ends), np.int64)
     while len(live):
         here = node[live]
@@ -192,10 +279,10 @@ def encode_batch(texts: list, row_keys: list, lattices: Lattices, seed: int):
     parts: list[list] = [[] for _ in texts]
 
     def flush(block: list) -> None:
-        ends, lengths, streams, owners = [], [], [], []
+        everything, streams, owners = [c for _, _, chunks in block for c in chunks], [], []
+        ends = lattices.ends_of(everything)
+        lengths = np.fromiter(map(len, everything), np.int64, len(everything))
         for owner, start, chunks in block:
-            ends += [lattices.end_of(c) for c in chunks]
-            lengths += map(len, chunks)
             key = np.uint64((row_keys[owner] if row_keys[owner] is not None else -(1 << 62)) % (1 << 64))
             with np.errstate(over="ignore"):
                 root = _mixed(np.array([key ^ np.uint64(seed)], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -203,7 +290,7 @@ def encode_batch(texts: list, row_keys: list, lattices: Lattices, seed: int):
             owners.append((owner, len(chunks)))
         nodes = np.array(ends, np.int64)
         with np.errstate(over="ignore"):
-            ids, count = sample(lattices, nodes, nodes - np.array(lengths, np.int64), np.concatenate(streams))
+            ids, count = sample(lattices, nodes, nodes - lengths, np.concatenate(streams))
         bounds, at = np.concatenate([[0], np.cumsum(count)]), 0
         for owner, n in owners:
             parts[owner].append(ids[bounds[at]:bounds[at + n]])
