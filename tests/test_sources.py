@@ -97,6 +97,8 @@ def test_report_score_is_capped(spark):
 def test_text_report(spark):
     dets = spark.createDataFrame([(1, 1, i, f"w{i}", "B-DOC", "PAN" if i < 5 else None) for i in range(6)],
                                  "doc_id int, page_no int, det_no int, word string, label string, pattern string")
+    bar = dets.limit(1).withColumn("word", F.lit("a | b"))
+    assert "    - a | b" in [r.text for r in report.lines(bar).collect()]
     lines = [r.text for r in report.lines(dets).orderBy("line").collect()]
     assert lines == ["Total Redactions: 6", "  PAN                 :   5", "  B-DOC               :   1", "Page 1: 6 redactions",
                      "  B-DOC:", "    - w5", "  PAN:", "    - w0", "    - w1", "    - w2", "    ... and 2 more"]
@@ -110,8 +112,25 @@ def test_identity_spreads_and_matches(spark):
     refs = df.where("vec_id < 20")
     dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** .5
     want = {i for i, v in enumerate(vectors) if min(dist(v, r) for r in vectors[:20]) < .5}
-    for small in (20000, 5):
-        assert {r.vec_id for r in video.match_identities(df, refs, small=small).collect()} == want and len(want) > 20
+    for most in (1 << 20, 300):
+        got = [r.vec_id for r in video.match_identities(df, refs, most=most).collect()]
+        assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_report_counts_frames_without_boxes(spark):
+    dets = spark.range(3).selectExpr("1L video_id", "cast(id as int) frame_no", "'face' type")
+    videos = spark.createDataFrame([(1, 48), (2, 24)], "video_id bigint, frames int")
+    rows = {r.video_id: r for r in video.report(dets, 24, videos).collect()}
+    assert rows[1].video_duration_sec == 2 and rows[2].video_duration_sec == 1
+    assert (rows[2].faces_redacted, rows[2].privacy_risk_score, rows[2].pii_detected) == (0, 0, {})
+
+
+def test_cap_ranks_rows_with_holes(spark):
+    from veilframe.operators import generate
+    rows = spark.createDataFrame([(7 + 1000 * i, 0) for i in range(100)] + [(3 + 900 * i, 1) for i in range(9)], "i bigint, grp int")
+    kept = generate.capped(rows, spark.range(5), least=50, ratio=3).collect()
+    assert sorted(r.place for r in kept) == list(range(50)) and {r.i for r in kept} == {7 + 1000 * i for i in range(50)}
+    assert len(generate.capped(rows, spark.range(35), least=50, ratio=3).collect()) == 105
 
 
 def test_gate_trains_and_keeps(spark):

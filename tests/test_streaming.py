@@ -62,5 +62,10 @@ def test_feedback_store(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     query = flows.store_feedback(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     query.processAllAvailable()
+    later = spark.sql("SELECT 'B-DOC' label, TIMESTAMP '2024-01-02 00:00:00' ts")
+    later.write.mode("append").parquet(f"{tmp_path}/in")
+    query.processAllAvailable()
     query.stop()
-    assert [r.label for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["B-PER"]
+    # The second batch alone would have kept its row; the newest row of all decides.
+    assert [r.label for r in flows.stored_feedback(spark, f"{tmp_path}/out").collect()] == ["B-PER"]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3

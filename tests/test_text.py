@@ -193,4 +193,26 @@ def test_failing_detector_does_not_stop_others(spark):
         return lambda batch: batch.assign(word=batch["text"].str[:3])[["id", "word"]]
 
     out = align.run_detectors(texts(spark, "abcdef"), [broken, good], "id int, word string, model long").collect()
-    assert [(r.word, r.model) for r in out] == [("abc", 1)]
+    assert sorted((r.model, r.id, r.word, r.error) for r in out) == [(0, 0, None, "RuntimeError('no weights')"), (1, 0, "abc", None)]
+
+    def halfway():
+        def run(batch):
+            raise ValueError("bad page")
+        return run
+
+    out = align.run_detectors(texts(spark, "a", "b"), [halfway], "id int, word string, model long").collect()
+    assert sorted((r.id, r.error) for r in out) == [(0, "ValueError('bad page')"), (1, "ValueError('bad page')")]
+
+
+def test_chunks_cover_the_whole_text(spark):
+    bodies = ["", "x", "é" * 100, "".join(chr(97 + i % 26) for i in range(3333)), None]
+    rows = ops.chunks(texts(spark, *bodies), size=100, overlap=30).collect()
+    for i, body in enumerate(bodies):
+        own = sorted((r.chunk_no, r.start, r.chunk) for r in rows if r.id == i)
+        if body is None:
+            assert not own
+            continue
+        assert all(body[start:start + 100] == chunk for _, start, chunk in own)
+        assert own[0][1] == 0 and own[-1][1] + len(own[-1][2]) == len(body)
+        # Anything as long as the overlap lies whole in some piece.
+        assert all(any(s <= at and at + 30 <= s + len(c) for _, s, c in own) for at in range(len(body) - 29))

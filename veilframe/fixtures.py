@@ -14,6 +14,9 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: Narrow tables of which a view makes many rows from one.
+_SPREAD = ("customer", "conversations")
+
 _NOTES = """
 SELECT c_custkey AS doc_id,
   concat('Name: ', CASE WHEN c_custkey % 3 = 0 THEN 'Mr. ' WHEN c_custkey % 3 = 1 THEN 'Dr. ' ELSE '' END, 'ASHA PATIL',
@@ -94,6 +97,9 @@ SELECT l_suppkey AS video_id, CAST(l_partkey % 60 AS INT) AS frame_no,
   CAST((l_orderkey * 37) % 900 + 20 + CAST(l_quantity AS BIGINT) AS INT) AS x2,
   CAST((l_partkey * 53) % 500 + 20 + CAST(l_quantity AS BIGINT) AS INT) AS y2,
   1 - l_discount * 5 AS score FROM lineitem
+""",) * 2,
+    "v_videos": ("""
+SELECT s_suppkey AS video_id, CAST(60 + s_suppkey % 7 AS INT) AS frames FROM supplier
 """,) * 2,
     "v_dets": ("""
 SELECT o_custkey AS doc_id, CAST(1 + o_orderkey % 5 AS INT) AS page_no, o_orderkey AS det_no,
@@ -138,14 +144,9 @@ def _needed(sql: str, dialect: int) -> list[str]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table; a file too small to occupy all slots is spread out.
-
-    Only a handful of splits triggers the shuffle, so large inputs are read as
-    they lie.
-    """
+    """One given table. Those whose rows the views multiply are spread out first."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots <= 64 else df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if name in _SPREAD else df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql.types import IntegerType
 
 
 def ratio(a: str, b: str) -> int:
-    """Twice the matched characters over all characters."""
+    """Twice the matched characters over all characters; equal strings are alike, empty ones too."""
+    if a == b:
+        return 100
     if not a or not b:
         return 0
     return round(100 * difflib.SequenceMatcher(None, a, b).ratio())
@@ -18,6 +20,8 @@ def ratio(a: str, b: str) -> int:
 
 def reaches(a: str, b: str, least: int) -> bool:
     """``ratio(a, b) >= least``, ruled out by cheap upper bounds where possible."""
+    if a == b:
+        return True
     if not a or not b:
         return False
     match, floor = difflib.SequenceMatcher(None, a, b), (least - 0.5) / 100
@@ -32,6 +36,8 @@ def partial_reaches(a: str, b: str, least: int) -> bool:
     No piece can share more characters with the shorter string than the whole
     longer string does, and a piece at the end may be as short as what it shares.
     """
+    if a == b:
+        return True
     if not a or not b:
         return False
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -45,6 +51,8 @@ def partial_reaches(a: str, b: str, least: int) -> bool:
 
 def partial_ratio(a: str, b: str) -> int:
     """Best ratio of the shorter string against an equally long piece of the other."""
+    if a == b:
+        return 100
     if not a or not b:
         return 0
     short, long = (a, b) if len(a) <= len(b) else (b, a)

@@ -269,22 +269,35 @@ def run_detectors(df: DataFrame, detectors: list, schema: str) -> DataFrame:
     """Run outside models over batches of rows; each is made once per worker task.
 
     ``detectors`` are factories; a detector maps a pandas batch to prediction
-    rows. One that fails is skipped, the others go on.
+    rows. One that fails does not stop the others, but every row it missed comes
+    out with the columns it shares with the predictions and the ``error``, so
+    that nothing passes as free of findings.
     """
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def missed(batch: pd.DataFrame, number: int, error: str) -> pd.DataFrame:
+        fixed = {"model": number, "error": error}
+        plain = {c: pd.Series([fixed.get(c)] * len(batch), index=batch.index, dtype=object) for c in [*names, "error"]}
+        return pd.DataFrame({**plain, **{c: batch[c] for c in batch.columns if c in names and c not in fixed}})
+
     def run(batches):
-        live = []
+        live: list = []
         for number, make in enumerate(detectors):
             try:
-                live.append((number, make()))
-            except Exception:  # a missing model must not stop the others
-                continue
+                live.append((number, make(), None))
+            except Exception as problem:  # reported with every row
+                live.append((number, None, repr(problem)))
         for batch in batches:
-            for number, detector in live:
-                try:
-                    rows = detector(batch)
-                except Exception:
-                    continue
-                if len(rows):
-                    yield rows.assign(model=number)
-
-    return df.mapInPandas(run, schema)
+            for number, detector, broken in live:
+                if broken is None:
+                    try:
+                        rows = detector(batch)
+                    except Exception as problem:  # reported with this batch's rows
+                        yield missed(batch, number, repr(problem))
+                        continue
+                    if len(rows):
+                        yield rows.assign(model=number, error=pd.Series([None] * len(rows), index=rows.index, dtype=object))
+                else:
+                    yield missed(batch, number, broken)
+
+    return df.mapInPandas(run, f"{schema}, error string")

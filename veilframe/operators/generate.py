@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
 from veilframe.functions import text as T
+from veilframe.functions.scan import SEGMENT, exclusive_scan
 
 
 def _hex(key: str, kind: str) -> Column:
@@ -94,19 +95,20 @@ def sentences(rows: DataFrame, n: int | None = None, key: str = "veil") -> DataF
     return people.unionByName(extra).withColumn("grp", group)
 
 
-def capped(synthetic: DataFrame, real: DataFrame) -> DataFrame:
-    """The first synthetic rows, at most three per real example but fifty at least.
+def capped(
+    synthetic: DataFrame, real: DataFrame, least: int = C.SYNTHETIC_MIN, ratio: int = C.SYNTHETIC_RATIO,
+) -> DataFrame:
+    """The first synthetic rows, at most ``ratio`` per real example but ``least`` at least.
 
-    The list places persons first, then PAN and Aadhaar rows; a row's place
-    follows from its number and the size of the groups before its own. Only
-    counts come to the driver.
+    The list places persons first, then PAN and Aadhaar rows, each by number. A
+    row's place is its rank in its group, counted over segments of numbers, plus
+    the groups before. Only counts come to the driver.
     """
     sizes = synthetic.agg(F.count("*").alias("n"), F.count_if(F.col("grp") == 0).alias("n0"), F.count_if(F.col("grp") == 1).alias("n1")).first()
-    cap = max(C.SYNTHETIC_MIN, min(sizes.n, C.SYNTHETIC_RATIO * max(1, real.count())))
-    quarter = F.expr("i DIV 4")
-    placed = synthetic.withColumn("place", F.when(F.col("grp") == 0, F.col("i")).when(
-        F.col("grp") == 1, sizes.n0 + quarter).otherwise(sizes.n0 + sizes.n1 + quarter))
-    return placed.where(F.col("place") < cap)
+    cap = max(least, min(sizes.n, ratio * max(1, real.count())))
+    ranked = exclusive_scan(synthetic, ["grp"], F.floor(F.col("i") / SEGMENT), ["i"], {"place": ("sum", F.lit(1).cast("bigint"))})
+    before = F.when(F.col("grp") == 0, 0).when(F.col("grp") == 1, sizes.n0).otherwise(sizes.n0 + sizes.n1)
+    return ranked.withColumn("place", F.col("place") + before).where(F.col("place") < cap)
 
 
 def training_set(real: DataFrame, synthetic: DataFrame) -> DataFrame:

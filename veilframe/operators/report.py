@@ -31,17 +31,22 @@ def breakdown(dets: DataFrame) -> DataFrame:
     return _kinds(dets).groupingSets(sets, "doc_id", "page_no", "kind").agg(F.count("*").alias("n"))
 
 
-def preview(dets: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
-    """The first words per page and kind and how many more there are."""
+def first_words(dets: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
+    """The first words per page and kind as an array and how many more there are."""
     named = _kinds(dets).select(*PAGE, "kind", "det_no", F.substring(F.coalesce("word", F.lit("")), 1, width).alias("word"))
     order = Window.partitionBy(*PAGE, "kind").orderBy("det_no")
     first = named.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
     shown = first.groupBy(*PAGE, "kind").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "word"))), lambda r: r["word"]), " | ").alias("words"))
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "word"))), lambda r: r["word"]).alias("words"))
     counts = named.groupBy(*PAGE, "kind").agg(F.count("*").alias("n"))
     return shown.join(counts, PAGE + ["kind"]).select(*PAGE, "kind", "words", F.greatest(F.lit(0).cast("bigint"), F.col("n") - n).alias("more"))
 
 
+def preview(dets: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
+    """The first words per page and kind in one string, and how many more there are."""
+    return first_words(dets, n, width).withColumn("words", F.array_join("words", " | "))
+
+
 def lines(dets: DataFrame) -> DataFrame:
     """The text report of each document, one row per line, ordered by ``line``."""
     def line(df: DataFrame, text, *order) -> DataFrame:
@@ -54,8 +59,8 @@ def lines(dets: DataFrame) -> DataFrame:
     pages = counted.where("page_no IS NOT NULL AND kind IS NULL")
     kinds = _kinds(dets).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
     rank = F.lpad((F.lit(10**12) - F.col("n")).cast("string"), 13, "0")
-    shown = preview(dets)
-    words = shown.select("doc_id", "page_no", "kind", "more", F.posexplode(F.split("words", r" \| ")).alias("k", "word"))
+    shown = first_words(dets)
+    words = shown.select("doc_id", "page_no", "kind", "more", F.posexplode("words").alias("k", "word"))
     return (
         line(total, F.format_string("Total Redactions: %d", "n"), F.lit("1"))
         .unionByName(line(kinds, F.format_string("  %-20s: %3d", "kind", "n"), F.lit("2"), rank, F.col("kind")))

@@ -75,6 +75,23 @@ def address_windows(df: DataFrame, keys: list[str], variant: str = "v0", text: s
         F.col("h.snippet").alias("snippet"), F.lit("B-LOC").alias("label"))
 
 
+def chunks(df: DataFrame, size: int = 5000, overlap: int = 500, text: str = "text") -> DataFrame:
+    """The whole of each text in pieces for models with bounded input.
+
+    Pieces repeat the last ``overlap`` characters of the one before, so that an
+    entity of up to that length lies whole in one of them; ``start`` moves its
+    offsets back. A text of up to ``size`` characters is one piece.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be shorter than a piece")
+    step = size - overlap
+    rest = [c for c in df.columns if c != text]
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / step) - 1).cast("int"))
+    pieces = T.let(T.blocks(F.col(text)), lambda parts: F.transform(numbers, lambda k: F.struct(
+        k.alias("chunk_no"), (k * step).alias("start"), T.cut(parts, k * step, F.lit(size)).alias("chunk"))))
+    return unfold(df.where(F.col(text).isNotNull()), rest, pieces)
+
+
 def label_counts(df: DataFrame) -> DataFrame:
     """Redactions per label over all texts."""
     kept = unfold(df, [], T.resolve_overlaps(F.col("spans")), "s")

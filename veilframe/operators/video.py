@@ -81,9 +81,13 @@ def vote(dets: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     return groups.unionByName(alone).where(F.col("votes") >= least)
 
 
-def track(dets: DataFrame) -> DataFrame:
+def track(dets: DataFrame, videos: DataFrame | None = None) -> DataFrame:
     """Boxes with track numbers on every frame from detection to detection.
 
+    ``videos`` gives each video's number of frames, up to which boxes are
+    predicted; without it a video ends with its last detection. Faces and
+    plates are what is tracked; text boxes are carried on as they stand.
+
     Tracks die where a detection frame sees nothing, so a video falls into
     stretches of detection frames without a gap. Each is folded on its own
     with only the live tracks in memory; numbers are then shifted by the
@@ -91,7 +95,10 @@ def track(dets: DataFrame) -> DataFrame:
     """
     known = F.col("is_auth") if "is_auth" in dets.columns else F.lit(False)
     dets = dets.withColumn("is_auth", F.coalesce(known, F.lit(False)))
-    last = dets.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
+    if videos is None:
+        last = dets.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
+    else:
+        last = videos.select("video_id", (F.col("frames") - 1).alias("last_frame"))
     seen = detection_frames(dets).join(last, "video_id")
     cut = bands(seen, ["video_id"], "frame_no", F.col("frame_no") + C.DETECTION_INTERVAL, "stretch")
     rows = cut.select(*FRAME, "stretch", "det_id", *BOX, "type", "is_auth", "last_frame")
@@ -133,33 +140,54 @@ def sticky_authorised(rows: DataFrame, keys: list[str], frame: str = "frame_no",
         "authorised", F.coalesce(F.col(frame) >= F.col("_since"), F.lit(False))).drop("_since")
 
 
+#: References of up to this many bytes are compared in one pass.
+REFERENCE_BYTES = 64 << 20
+
+
 def match_identities(
     vectors: DataFrame, refs: DataFrame, limit: float = C.FACE_MATCH_DISTANCE, ident: str = "vec_id",
-    vector: str = "embedding", small: int = 20000,
+    vector: str = "embedding", most: int = REFERENCE_BYTES,
 ) -> DataFrame:
     """Ids of vectors nearer than ``limit`` to any reference.
 
-    Two fixed directions give each vector a grid cell as wide as the limit.
-    Projections differ no more than the vectors do, so a match lies in the
-    same or a neighbouring cell, and the comparison is an equi-join on cells.
-    References are counted first; only a small table is broadcast.
+    References are a small authorised set. Their bytes are summed first and
+    divided by ``most`` into blocks; each block is sent to all tasks and compared
+    with whole batches by one matrix product. A larger set takes more passes over
+    the vectors, never a larger block.
     """
-    def along(sign: Column) -> Column:
-        total = F.aggregate(F.transform(vector, lambda v, i: v.cast("double") * F.when(i % 2 == 0, F.lit(1.0)).otherwise(sign)),
-                            F.lit(0.0), lambda a, v: a + v)
-        return F.floor(total / F.sqrt(F.size(vector)) / limit).cast("int")
-
-    celled = bind(vectors, c1=along(F.lit(1.0)), c2=along(F.lit(-1.0)))
-    near = F.array(*map(F.lit, (-1, 0, 1)))
-    known = bind(refs.select(F.col(vector).alias("ref"), vector), r1=along(F.lit(1.0)), r2=along(F.lit(-1.0))).drop(vector)
-    known = known.withColumn("d1", F.explode(near)).withColumn("d2", F.explode(near)).select(
-        "ref", (F.col("r1") + F.col("d1")).alias("c1"), (F.col("r2") + F.col("d2")).alias("c2"))
-    if refs.limit(small + 1).count() <= small:
-        known = F.broadcast(known)
-    apart = F.sqrt(F.aggregate(F.zip_with(vector, "ref", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
-                               F.lit(0.0), lambda a, v: a + v))
-    on = (celled.c1 == known.c1) & (celled.c2 == known.c2) & (apart < limit)
-    return celled.join(known, on, "left_semi").select(ident)
+    import numpy as np
+    import pyarrow as pa
+
+    known = refs.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    size = known.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // most))
+    kind = vectors.schema[ident].dataType.simpleString()
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def compared(block: int) -> DataFrame:
+        held = known.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block).toArrow()
+        table = np.array(held["v"].to_pylist(), np.float64).reshape(held.num_rows, -1)
+        squares = (table**2).sum(1)
+
+        def run(batches):
+            for batch in batches:
+                if not len(table) or not batch.num_rows:
+                    continue
+                own = np.array(batch.column(1).to_pylist(), np.float64)
+                gaps = (own**2).sum(1)[:, None] + squares - 2 * own @ table.T
+                near = gaps < limit * limit
+                # The product rounds; what is close to the limit is measured again.
+                for i, k in zip(*np.nonzero(np.abs(gaps - limit * limit) < 1e-6 * max(1.0, limit * limit))):
+                    near[i, k] = np.sqrt(((own[i] - table[k])**2).sum()) < limit
+                yield pa.record_batch([batch.column(0).filter(pa.array(near.any(1)))], names=["id"])
+
+        return rows.mapInArrow(run, f"id {kind}")
+
+    out = compared(0)
+    for block in range(1, blocks):
+        out = out.union(compared(block))
+    out = out.select(F.col("id").alias(ident))
+    return out if blocks == 1 else out.distinct()
 
 
 def policies(spark) -> DataFrame:
@@ -186,8 +214,12 @@ def frame_risk(dets: DataFrame) -> DataFrame:
     return sums.agg(F.least(F.lit(C.RISK_CAP).cast("bigint"), F.sum("points")).alias("risk"))
 
 
-def report(dets: DataFrame, fps: float) -> DataFrame:
-    """One privacy report per video."""
+def report(dets: DataFrame, fps: float, videos: DataFrame | None = None) -> DataFrame:
+    """One privacy report per video; ``dets`` are the redacted boxes.
+
+    ``videos`` gives the number of frames of every video, those without a box
+    included; without it only frames with boxes count.
+    """
     kinds = dets.groupBy("video_id", "type").agg(F.count("*").alias("n"))
     low = F.lower("type")
     points = F.lit(C.REPORT_TEXT_DEFAULT)
@@ -201,10 +233,15 @@ def report(dets: DataFrame, fps: float) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.when(is_text, F.struct("type", "n"))))).alias("pii_detected"),
         F.least(F.lit(C.RISK_CAP).cast("bigint"), F.sum(F.col("n") * points)).alias("privacy_risk_score"),
         F.lit(C.RISK_CAP).alias("max_score"))
-    frames = dets.groupBy("video_id").agg(F.countDistinct("frame_no").alias("frames"))
+    frames = videos.select("video_id", "frames") if videos is not None else dets.groupBy("video_id").agg(
+        F.countDistinct("frame_no").alias("frames"))
     length = F.col("frames") / F.lit(float(fps)) if fps else F.lit(0.0)
-    return per_video.join(frames, "video_id").select(
-        "video_id", length.alias("video_duration_sec"), "faces_redacted", "plates_redacted", "pii_detected", "privacy_risk_score", "max_score")
+    none = F.lit(0).cast("bigint")
+    return frames.join(per_video, "video_id", "left").select(
+        "video_id", length.alias("video_duration_sec"), F.coalesce("faces_redacted", none).alias("faces_redacted"),
+        F.coalesce("plates_redacted", none).alias("plates_redacted"),
+        F.coalesce("pii_detected", F.create_map().cast("map<string,bigint>")).alias("pii_detected"),
+        F.coalesce("privacy_risk_score", none).alias("privacy_risk_score"), F.lit(C.RISK_CAP).alias("max_score"))
 
 
 def report_json(reports: DataFrame) -> DataFrame:

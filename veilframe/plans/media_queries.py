@@ -99,12 +99,12 @@ def frame_sample(spark, folder):
     return video.detection_frames(dets(spark, folder)).select(*FRAME, "det_id", "type")
 
 
-@query("text_carry", """WITH l AS (SELECT video_id, max(frame_no) AS last_frame FROM v_frame_dets GROUP BY 1)
+@query("text_carry", """WITH l AS (SELECT video_id, frames - 1 AS last_frame FROM v_videos)
 SELECT video_id, det_id, CAST(frame_no + k AS INT) AS shown, x1, y1, x2, y2 FROM v_frame_dets JOIN l USING (video_id), (SELECT unnest([0, 1, 2, 3, 4]) AS k)
 WHERE type NOT IN ('face', 'plate') AND frame_no % 5 = 0 AND frame_no + k <= last_frame""")
 def text_carry(spark, folder):
     every = dets(spark, folder)
-    last = every.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
+    last = view(spark, folder, "v_videos").select("video_id", (F.col("frames") - 1).alias("last_frame"))
     return video.carry_text(every.where("type NOT IN ('face', 'plate')"), last).select("video_id", "det_id", "shown", *BOX)
 
 
@@ -149,7 +149,7 @@ def box_vote(spark, folder):
 
 @query("track_boxes")
 def track_boxes(spark, folder):
-    return video.track(dets(spark, folder))
+    return video.track(dets(spark, folder).where("type IN ('face', 'plate')"), view(spark, folder, "v_videos"))
 
 
 @query("auth_sticky", """WITH d AS (SELECT video_id, frame_no, det_id, CAST(det_id % 5 AS INT) AS track_id, det_id % 50 = 0 AS is_auth FROM v_frame_dets WHERE type = 'face')
@@ -170,11 +170,11 @@ def frame_risk(spark, folder):
 
 
 @query("video_report", """WITH k AS (SELECT video_id, type, count(*) AS n FROM v_frame_dets GROUP BY 1, 2),
-f AS (SELECT video_id, count(DISTINCT frame_no) AS frames FROM v_frame_dets GROUP BY 1),
 r AS (SELECT video_id, CAST(coalesce(sum(n) FILTER (type = 'face'), 0) AS BIGINT) AS faces_redacted, CAST(coalesce(sum(n) FILTER (type = 'plate'), 0) AS BIGINT) AS plates_redacted,
   '{' || coalesce(string_agg('"' || type || '":' || n, ',' ORDER BY type) FILTER (type NOT IN ('face', 'plate')), '') || '}' AS pii_detected,
   least(50, CAST(sum(n * CASE type WHEN 'face' THEN 2 WHEN 'plate' THEN 3 ELSE CASE WHEN contains(type, 'phone') THEN 4 WHEN contains(type, 'address') THEN 5
     WHEN contains(type, 'name') THEN 4 ELSE 3 END END) AS BIGINT)) AS privacy_risk_score FROM k GROUP BY 1)
-SELECT video_id, frames / CAST(24 AS DOUBLE) AS video_duration_sec, faces_redacted, plates_redacted, pii_detected, privacy_risk_score, CAST(50 AS INT) AS max_score FROM r JOIN f USING (video_id)""")
+SELECT video_id, frames / CAST(24 AS DOUBLE) AS video_duration_sec, coalesce(faces_redacted, 0) AS faces_redacted, coalesce(plates_redacted, 0) AS plates_redacted,
+  coalesce(pii_detected, '{}') AS pii_detected, coalesce(privacy_risk_score, 0) AS privacy_risk_score, CAST(50 AS INT) AS max_score FROM v_videos LEFT JOIN r USING (video_id)""")
 def video_report(spark, folder):
-    return video.report(dets(spark, folder), fps=24).withColumn("pii_detected", F.to_json("pii_detected"))
+    return video.report(dets(spark, folder), 24, view(spark, folder, "v_videos")).withColumn("pii_detected", F.to_json("pii_detected"))

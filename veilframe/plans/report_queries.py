@@ -244,7 +244,7 @@ def synth_label(spark, folder):
     return real_examples(spark, folder)
 
 
-_PLACED = """pl AS (SELECT *, CASE grp WHEN 0 THEN i WHEN 1 THEN (SELECT count(*) FROM sn WHERE grp = 0) + i // 4 ELSE (SELECT count(*) FROM sn WHERE grp <= 1) + i // 4 END AS place FROM sn)"""
+_PLACED = """pl AS (SELECT *, row_number() OVER (ORDER BY grp, i) - 1 AS place FROM sn)"""
 
 
 @query("synth_cap", f"""WITH {_IDS}, {_ID_SENT}, {_SENT}, {_PLACED}

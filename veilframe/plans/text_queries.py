@@ -204,9 +204,11 @@ def lang_norm(spark, folder):
         T.language_codes(F.concat(F.lit(" + "), F.substring(lang, 3, 9))).alias("none"))
 
 
-@query("truncate_text", "SELECT src, id, substr(text, 1, 5000) AS text FROM v_texts")
-def truncate_text(spark, folder):
-    return view(spark, folder, "v_texts").select(*KEYS, F.substring("text", 1, 5000).alias("text"))
+@query("model_chunks", """
+SELECT src, id, CAST(k AS INT) AS chunk_no, CAST(k * 4500 AS INT) AS start, substr(text, CAST(k * 4500 + 1 AS BIGINT), 5000) AS chunk
+FROM (SELECT src, id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 500) / 4500.0) AS BIGINT)))) AS k FROM v_texts)""")
+def model_chunks(spark, folder):
+    return ops.chunks(view(spark, folder, "v_texts"))
 
 
 @query("verhoeff", f"""

@@ -32,14 +32,18 @@ def hourly_rate(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return report.hourly_rate(events.withWatermark("ts", delay))
 
 
-def store_feedback(rows: DataFrame, path: str, checkpoint: str, days: int = C.RETENTION_DAYS) -> StreamingQuery:
-    """Append feedback by day. Rows older than the retention period, measured
-    against the newest row of their batch, are not stored."""
+def store_feedback(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append all feedback by day, in whatever batches it arrives."""
     def append(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("ts").alias("newest")).first().newest
-        if newest is not None:
-            fresh = batch.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {days} DAYS"))
-            # The batch number makes a repeated batch overwrite itself.
-            sinks.write_table(fresh.withColumn("dt", F.to_date("ts")), f"{path}/batch={number}", by=["dt"])
+        # The batch number makes a repeated batch overwrite itself.
+        sinks.write_table(batch.withColumn("dt", F.to_date("ts")), f"{path}/batch={number}", by=["dt"])
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).start()
+
+
+def stored_feedback(spark: SparkSession, path: str, days: int = C.RETENTION_DAYS) -> DataFrame:
+    """Stored feedback no older than the retention period before the newest row of
+    all, so what is kept does not depend on the batches it came in."""
+    kept = spark.read.parquet(path).drop("batch", "dt")
+    newest = kept.agg(F.max("ts").alias("_newest"))
+    return kept.crossJoin(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).drop("_newest")
