@@ -219,3 +219,20 @@ def test_similarity_scores():
     for a, b in itertools.product(words, words):
         assert fuzzy.reaches(a, b, 70) == (fuzzy.ratio(a, b) >= 70)
         assert fuzzy.partial_reaches(a, b, 70) == (fuzzy.partial_ratio(a, b) >= 70)
+
+
+def test_needles_of_any_length_are_found(spark):
+    words = [f"w{i}" for i in range(1400)]
+    starts = [sum(len(w) + 1 for w in words[:i]) for i in range(len(words))]
+    tokens_ = spark.createDataFrame([(1, 1, i, s, w) for i, (w, s) in enumerate(zip(words, starts))], "doc_id bigint, page_no int, idx bigint, char0 bigint, text string")
+    wanted = {at: " ".join(words[at:at + 600]) for at in (0, 500, 511, 800)}
+    needles = spark.createDataFrame([(1, 1, n) for n in [*wanted.values(), " ".join(words), "w5 w7"]], "doc_id bigint, page_no int, needle string")
+    got = {r.needle: r.idx for r in align.occurrences(needles, tokens_).collect()}
+    assert got == {**{n: at for at, n in wanted.items()}, " ".join(words): 0}
+
+
+def test_numbers_run_on_through_pages(spark):
+    rows = [(d, p, n) for d in (1, 2) for p in (1, 2, 3) for n in range(p * 3)]
+    got = boxes.number_detections(spark.createDataFrame(rows[::-1], "doc_id int, page_no int, det_no int")).collect()
+    assert sorted((r.doc_id, r.page_no, r.det_no, r.number) for r in got) == [
+        (d, p, n, i + 1) for d in (1, 2) for i, (p, n) in enumerate([(p, n) for p in (1, 2, 3) for n in range(p * 3)])]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import unfold
+from veilframe.functions.scan import bind, unfold
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
 
 SEGMENT_TOKENS = 512
@@ -72,15 +72,17 @@ def _needles(df: DataFrame, word: str = "word") -> DataFrame:
 def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
     """First place of each needle in its page's lower-case text.
 
-    A segment carries all of the next one, so a needle of up to 512 tokens is
-    found wherever it starts; longer ones do not fit a model's input.
+    A segment carries all of the next one and is at least as long as the longest
+    needle, so a needle of any length is found wherever it starts.
     """
-    texts = _segments(tokens, SEGMENT_TOKENS).select(
+    # A needle of n characters covers fewer than n + 1 tokens; blanks tell them apart.
+    widest = needles.agg(F.max(F.length("needle") - F.length(F.replace(F.col("needle"), F.lit(" "), F.lit(""))) + 1)).first()[0]
+    size = max(SEGMENT_TOKENS, widest or 0)
+    texts = _segments(tokens, size, size).select(
         *PAGE, F.array_join(F.transform("toks", lambda t: t["low"]), " ").alias("body"),
         F.transform("toks", lambda t: t["char0"]).alias("starts"), F.get("toks", 0)["idx"].alias("idx0"))
-    met = needles.join(texts, PAGE).where(F.expr("instr(body, needle) > 0"))
-    place = F.get("starts", 0) + F.expr("instr(body, needle)") - 1
-    met = met.select(*PAGE, "needle", place.alias("place"), "starts", "idx0")
+    met = bind(needles.join(texts, PAGE), at=F.expr("instr(body, needle)")).where("at > 0")
+    met = met.select(*PAGE, "needle", (F.get("starts", 0) + F.col("at") - 1).alias("place"), "starts", "idx0")
     nth = F.size(F.filter("starts", lambda s: s <= F.col("place"))) - 1
     met = met.select(*PAGE, "needle", F.struct(
         "place", (F.col("idx0") + nth).alias("idx"), (F.col("place") - F.get("starts", nth)).alias("inside")).alias("at"))

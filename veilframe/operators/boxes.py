@@ -212,6 +212,17 @@ def overlay(dets: DataFrame, order: str = "det_no") -> DataFrame:
                          F.greatest(F.lit(0), F.col("y0") - 15).alias("caption_y"))
 
 
+def number_detections(dets: DataFrame, order: str = "det_no") -> DataFrame:
+    """Number a document's detections from 1 through all its pages, page by page.
+
+    Counts are carried over segments of a page, so long documents and pages
+    spread out. ``order`` is the integer that orders a page's detections.
+    """
+    segment = F.col("page_no").cast("bigint") * (1 << 40) + F.floor(F.col(order) / SEGMENT)
+    numbered = exclusive_scan(dets, ["doc_id"], segment, ["page_no", order], {"number": ("sum", F.lit(1).cast("bigint"))})
+    return numbered.withColumn("number", F.col("number") + 1)
+
+
 def instructions(dets: DataFrame, level: Column) -> DataFrame:
     """What a renderer has to draw over each box, by redaction level 1 to 4.
 
@@ -229,10 +240,20 @@ def instructions(dets: DataFrame, level: Column) -> DataFrame:
 
 
 def instructions_named(dets: DataFrame, mode: str) -> DataFrame:
-    """The older named modes: mask, synth and inpaint for every label alike."""
-    level = {"mask": 2, "synth": 3, "inpaint": 4}[mode]
-    plain = instructions(dets.withColumn("_label", F.col("label")).withColumn("label", F.lit("O")), F.lit(level))
-    return plain.withColumn("label", F.col("_label")).drop("_label")
+    """The older named modes: mask, synth or inpaint every box, whatever its label.
+
+    Corners are put in order and boxes grown; what is still tiny is left out.
+    Synth writes the word's stand-in on white.
+    """
+    if mode not in ("mask", "synth", "inpaint"):
+        raise ValueError(f"no redaction mode {mode!r}")
+    low, high = [F.least("x0", "x1"), F.least("y0", "y1")], [F.greatest("x0", "x1"), F.greatest("y0", "y1")]
+    rest = [c for c in dets.columns if c not in BOX]
+    corners = dets.select(*rest, *[c.alias(n) for c, n in zip(low + high, BOX)])
+    drawn = drop_tiny(expand(corners, "v1"))
+    fill = {"mask": "0,0,0", "synth": "255,255,255", "inpaint": None}[mode]
+    text = T.surrogate(F.col("word")) if mode == "synth" else F.lit(None).cast("string")
+    return drawn.withColumn("action", F.lit(mode)).withColumn("fill", F.lit(fill).cast("string")).withColumn("text", text)
 
 
 def union_all(parts: dict[str, DataFrame]) -> DataFrame:

@@ -59,6 +59,24 @@ def redact_instructions(spark, folder):
     return ops.instructions(levelled, F.col("each")).select(*PAGE, "det_no", "level", *BOX, "action", "fill", "text")
 
 
+@query("number_detections", """SELECT doc_id, page_no, det_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, det_no) AS number FROM v_dets""")
+def number_detections(spark, folder):
+    return ops.number_detections(dets(spark, folder)).select(*PAGE, "det_no", "number")
+
+
+_MODES = {"mask": ("'0,0,0'", "CAST(NULL AS VARCHAR)"), "synth": ("'255,255,255'", D.surrogate("word")), "inpaint": ("CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)")}
+_CORNERS = "(SELECT doc_id, page_no, det_no, word, page_w, page_h, least(x0, x1) AS x0, least(y0, y1) AS y0, greatest(x0, x1) AS x1, greatest(y0, y1) AS y1 FROM v_dets)"
+
+
+@query("instructions_named", f"WITH g AS ({_grown(C.BOX_PADDING['v1'], _CORNERS)}) " + " UNION ALL ".join(
+    f"SELECT doc_id, page_no, det_no, '{m}' AS action, x0, y0, x1, y1, {fill} AS fill, {text} AS text FROM g WHERE x1 - x0 >= 6 AND y1 - y0 >= 6"
+    for m, (fill, text) in _MODES.items()))
+def instructions_named(spark, folder):
+    modes = [ops.instructions_named(dets(spark, folder), m) for m in _MODES]
+    every = modes[0].unionByName(modes[1]).unionByName(modes[2])
+    return every.select(*PAGE, "det_no", "action", *BOX, "fill", "text")
+
+
 @query("overlay_labels", f"""SELECT doc_id, page_no, det_no, x0, y0, x1, y1,
   CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY det_no) AS VARCHAR) || ':' || coalesce(pattern, label) AS caption,
   CASE label {' '.join(f"WHEN {D.lit(k)} THEN {D.lit(v)}" for k, v in C.OVERLAY_COLOURS.items())} ELSE {D.lit(C.OVERLAY_DEFAULT)} END AS colour,
@@ -86,8 +104,11 @@ def det_distinct(spark, folder):
 
 def _detectors(spark, folder):
     toks = numbered(spark, folder)
+    named = _aligned(spark, folder, "v3").withColumn("label", T.canonical_label(F.col("entity_group"), "v3")).select(
+        *PAGE, "idx", "n_tokens", "word", *BOX, "label", F.lit(None).cast("string").alias("pattern"), F.lit(C.NER_PRIORITY).alias("priority"), "score")
     return {
-        "pattern": token_ops.match_tokens(toks, C.ID_PATTERNS).drop("pno"),
+        "ner": named, "name": token_ops.upper_names(tokens(spark, folder)),
+        "pattern": token_ops.find_patterns(toks, C.ID_PATTERNS), "health": token_ops.find_patterns(toks, C.HEALTH_PATTERNS),
         "field": token_ops.field_values(toks), "context": token_ops.name_context(toks), "mrz": token_ops.machine_readable(toks),
         "given": ops.validate(dets(spark, folder)).select(*PAGE, "word", *BOX, "label", "pattern", "priority", "score"),
     }
@@ -99,18 +120,6 @@ def _check_sql(key: str) -> str:
     return f"({CHECKS[key]})"
 
 
-_ALL = " UNION ALL ".join([
-    *[f"SELECT {D.lit(d)} AS detector, doc_id, page_no, idx, n_tokens, word, x0, y0, x1, y1, label, pattern, priority, CAST(NULL AS DOUBLE) AS score FROM {_check_sql(k)}"
-      for d, k in (("pattern", "id_patterns"), ("field", "field_values"), ("context", "name_context"), ("mrz", "mrz"))],
-    "SELECT 'given', doc_id, page_no, CAST(NULL AS BIGINT), CAST(NULL AS INT), word, x0, y0, x1, y1, label, pattern, priority, score FROM valid"])
-
-
-@query("all_detections", f"WITH {VALID} {_ALL}")
-def all_detections(spark, folder):
-    cols = ["detector", *PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "score"]
-    return ops.union_all(_detectors(spark, folder)).select(*cols)
-
-
 @query("token_labels", f"""WITH {VALID},
 t AS (SELECT v_tokens.doc_id, v_tokens.page_no, v_tokens.pos, arg_max(v.label, v.det_no) AS label FROM v_tokens JOIN valid v
   ON v.doc_id = v_tokens.doc_id AND 1 + v.det_no % 5 = v.page_no AND v_tokens.left_x < v.x1 AND v_tokens.left_x + v_tokens.width > v.x0
@@ -193,6 +202,22 @@ def ner_align_v0(spark, folder):
     return _aligned(spark, folder, "v0")
 
 
+def _all_detections_sql() -> str:
+    """Every detector's check, once those further down are registered."""
+    return f"WITH {VALID} " + " UNION ALL ".join([
+    *[f"SELECT {D.lit(d)} AS detector, doc_id, page_no, idx, n_tokens, word, x0, y0, x1, y1, label, pattern, priority, CAST(NULL AS DOUBLE) AS score FROM {_check_sql(k)}"
+      for d, k in (("pattern", "id_patterns"), ("pattern", "token_windows"), ("health", "health_patterns"), ("name", "upper_names"),
+                   ("field", "field_values"), ("context", "name_context"), ("mrz", "mrz"))],
+    f"SELECT 'ner', doc_id, page_no, idx, n_tokens, word, x0, y0, x1, y1, {_CANON}, CAST(NULL AS VARCHAR), CAST({C.NER_PRIORITY} AS INT), score FROM {_check_sql('ner_align')}",
+    "SELECT 'given', doc_id, page_no, CAST(NULL AS BIGINT), CAST(NULL AS INT), word, x0, y0, x1, y1, label, pattern, priority, score FROM valid"])
+
+
+@query("all_detections", _all_detections_sql())
+def all_detections(spark, folder):
+    cols = ["detector", *PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "score"]
+    return ops.union_all(_detectors(spark, folder)).select(*cols)
+
+
 @query("anti_overlap", f"""SELECT h.* FROM {_check_sql('id_patterns')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
   WHERE a.doc_id = h.doc_id AND a.page_no = h.page_no AND a.x0 < h.x1 AND h.x0 < a.x1 AND a.y0 < h.y1 AND h.y0 < a.y1)
 UNION ALL SELECT h.* FROM {_check_sql('field_values')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
