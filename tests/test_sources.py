@@ -100,8 +100,12 @@ def test_text_report(spark):
     bar = dets.limit(1).withColumn("word", F.lit("a | b"))
     assert "    - a | b" in [r.text for r in report.lines(bar).collect()]
     lines = [r.text for r in report.lines(dets).orderBy("line").collect()]
-    assert lines == ["Total Redactions: 6", "  PAN                 :   5", "  B-DOC               :   1", "Page 1: 6 redactions",
+    assert lines == [*report.HEADER, "Total Pages: 1", *report.OVERALL, "Total Redactions: 6", "", "Redactions by Type:",
+                     "  PAN                 :   5", "  B-DOC               :   1", *report.BY_PAGE, "", "Page 1: 6 redactions",
                      "  B-DOC:", "    - w5", "  PAN:", "    - w0", "    - w1", "    - w2", "    ... and 2 more"]
+    pages = spark.createDataFrame([(1, 2), (7, 1)], "doc_id int, pages int")
+    empty = [r.text for r in report.lines(dets, pages).where("doc_id = 7").orderBy("line").collect()]
+    assert empty[3] == "Total Pages: 1" and empty[-1] == "Page 1: 0 redactions" and "Total Redactions: 0" in empty
 
 
 def test_identity_spreads_and_matches(spark):

@@ -47,24 +47,47 @@ def preview(dets: DataFrame, n: int = 3, width: int = 30) -> DataFrame:
     return first_words(dets, n, width).withColumn("words", F.array_join("words", " | "))
 
 
-def lines(dets: DataFrame) -> DataFrame:
-    """The text report of each document, one row per line, ordered by ``line``."""
+# --- fixed values: the lines of the text report -----------------------------
+RULE, THIN_RULE = "=" * 70, "-" * 70
+HEADER = [RULE, "REDACTION SUMMARY REPORT", RULE]
+OVERALL = ["", "OVERALL STATISTICS", THIN_RULE]
+BY_PAGE = ["", "PER-PAGE BREAKDOWN", THIN_RULE]
+
+
+def lines(dets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """The text report of each document, one row per line, ordered by ``line``.
+
+    ``pages`` gives each document's number of pages, so that documents and
+    pages without a detection are reported too; without it a document ends
+    with its last detection. The time of making the report is left out.
+    """
     def line(df: DataFrame, text, *order) -> DataFrame:
         keys = F.array(*[o.cast("string") for o in order])
         return df.select("doc_id", keys.alias("line"), text.alias("text"))
 
+    def fixed(section: str, *texts) -> DataFrame:
+        found = F.posexplode(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])).alias("k", "text")
+        return line(docs.select("doc_id", found), F.col("text"), F.lit(section), F.col("k"))
+
+    if pages is None:
+        pages = dets.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
     counted = breakdown(dets)
+    totals = counted.where("page_no IS NULL").select("doc_id", "n")
+    docs = pages.join(totals, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    each = pages.where("pages > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "pages")).alias("page_no"))
     page = F.lpad(F.col("page_no").cast("string"), 9, "0")
-    total = counted.where("page_no IS NULL")
-    pages = counted.where("page_no IS NOT NULL AND kind IS NULL")
+    by_page = each.join(counted.where("page_no IS NOT NULL AND kind IS NULL").select(*PAGE, "n"), PAGE, "left").withColumn(
+        "n", F.coalesce("n", F.lit(0).cast("bigint")))
     kinds = _kinds(dets).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
     rank = F.lpad((F.lit(10**12) - F.col("n")).cast("string"), 13, "0")
     shown = first_words(dets)
     words = shown.select("doc_id", "page_no", "kind", "more", F.posexplode("words").alias("k", "word"))
     return (
-        line(total, F.format_string("Total Redactions: %d", "n"), F.lit("1"))
-        .unionByName(line(kinds, F.format_string("  %-20s: %3d", "kind", "n"), F.lit("2"), rank, F.col("kind")))
-        .unionByName(line(pages, F.format_string("Page %d: %d redactions", "page_no", "n"), F.lit("3"), page))
+        fixed("0", *HEADER, F.format_string("Total Pages: %d", "pages"), *OVERALL, F.format_string("Total Redactions: %d", "n"), "", "Redactions by Type:")
+        .unionByName(line(kinds, F.format_string("  %-20s: %3d", "kind", "n"), F.lit("1"), rank, F.col("kind")))
+        .unionByName(fixed("2", *BY_PAGE))
+        .unionByName(line(by_page, F.lit(""), F.lit("3"), page))
+        .unionByName(line(by_page, F.format_string("Page %d: %d redactions", "page_no", "n"), F.lit("3"), page, F.lit("")))
         .unionByName(line(shown, F.format_string("  %s:", "kind"), F.lit("3"), page, F.col("kind")))
         .unionByName(line(words, F.format_string("    - %s", "word"), F.lit("3"), page, F.col("kind"), F.col("k")))
         .unionByName(line(shown.where("more > 0"), F.format_string("    ... and %d more", "more"), F.lit("3"), page, F.col("kind"), F.lit("9"))))

@@ -218,6 +218,19 @@ def all_detections(spark, folder):
     return ops.union_all(_detectors(spark, folder)).select(*cols)
 
 
+@query("redact_pages")
+def redact_pages(spark, folder):
+    """The whole run over pages: all detectors, disabled patterns, checksums, merge,
+    calibration, and what a renderer has to draw."""
+    rated = view(spark, folder, "v_feedback")
+    found = all_detections(spark, folder).drop("detector")
+    live = feedback_ops.drop_disabled(found, feedback_ops.disabled_patterns(rated))
+    checked = ops.valid_identifiers(live).withColumn("det_no", F.xxhash64(*PAGE, "idx", "n_tokens", "pattern", "label", *BOX))
+    merged = ops.merge_by_priority(checked)
+    sized = merged.withColumn("page_w", F.lit(2550)).withColumn("page_h", F.lit(3300))
+    return ops.instructions(sized, F.lit(2)).select(*PAGE, "word", *BOX, "label", "pattern", "priority", "n_merged", "action", "fill")
+
+
 @query("anti_overlap", f"""SELECT h.* FROM {_check_sql('id_patterns')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
   WHERE a.doc_id = h.doc_id AND a.page_no = h.page_no AND a.x0 < h.x1 AND h.x0 < a.x1 AND a.y0 < h.y1 AND h.y0 < a.y1)
 UNION ALL SELECT h.* FROM {_check_sql('field_values')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
@@ -314,7 +327,10 @@ def box_chain_merge(spark, folder):
     return ops.merge_chain(ops.validate(dets(spark, folder)))
 
 
-@query("anon_examples")
+@query("anon_examples", f"""WITH l AS ({_check_sql('token_labels')})
+SELECT doc_id, page_no, pos // 65536 AS part, list({D.surrogate('text')} ORDER BY pos) AS words,
+  list([left_x, top, left_x + width, top + height] ORDER BY pos) AS boxes, list(label ORDER BY pos) AS labels
+FROM v_tokens JOIN l USING (doc_id, page_no, pos) GROUP BY 1, 2, 3""")
 def anon_examples(spark, folder):
     given = ops.validate(dets(spark, folder)).withColumn("page_no", F.lit(1))
     labelled = ops.label_tokens(tokens(spark, folder), given)

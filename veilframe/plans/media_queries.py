@@ -160,6 +160,24 @@ def auth_sticky(spark, folder):
     return video.sticky_authorised(face, ["video_id", "track_id"])
 
 
+@query("redact_video")
+def redact_video(spark, folder):
+    """The whole run over videos: vote, filter, track, recognise, decide, report."""
+    videos = view(spark, folder, "v_videos")
+    every = video.clip(dets(spark, folder), 1280, 720)
+    seen = every.withColumn("is_auth", F.col("det_id") % 50 == 0)
+    moving = video.detection_frames(seen.where("type IN ('face', 'plate')"))
+    boxes_ = video.vote(moving, FRAME).select(*FRAME, "det_id", *BOX)
+    known = boxes_.join(moving.select(*FRAME, "det_id", "type", "is_auth"), [*FRAME, "det_id"])
+    tracked = video.track(known, videos).select(*FRAME, F.col("track_id").alias("no"), "type", *BOX, "authorised")
+    last = videos.select("video_id", (F.col("frames") - 1).alias("last_frame"))
+    text = video.carry_text(every.where("type NOT IN ('face', 'plate')"), last).select(
+        "video_id", F.col("shown").alias("frame_no"), F.col("det_id").alias("no"), "type", *BOX, F.lit(False).alias("authorised"))
+    moded = tracked.unionByName(text).withColumn("mode", F.get(F.array(*map(F.lit, _MODES)), (F.col("video_id") % 7).cast("int")))
+    hidden = video.apply_policy(moded).where("redact")
+    return video.report_json(video.report(hidden, 24, videos).withColumn("pii_detected", F.to_json("pii_detected")))
+
+
 _POINTS = " ".join(f"WHEN {D.lit(k)} THEN {v}" for k, v in C.FRAME_RISK_POINTS.items())
 
 

@@ -53,9 +53,27 @@ def pdf_report_preview(spark, folder):
     return report.preview(dets(spark, folder))
 
 
-@query("pdf_report_text")
+_LIST = lambda texts: ", ".join(t if t.startswith("printf(") else D.lit(t) for t in texts)
+_OPENING = _LIST([*report.HEADER, "printf('Total Pages: %d', pages)", *report.OVERALL, "printf('Total Redactions: %d', n)", "", "Redactions by Type:"])
+
+
+@query("pdf_report_text", f"""WITH k AS (SELECT doc_id, page_no, {_KIND} AS kind, substr(word, 1, 30) AS word,
+  row_number() OVER (PARTITION BY doc_id, page_no, {_KIND} ORDER BY det_no) AS rn FROM v_dets),
+p AS (SELECT c_custkey AS doc_id, CAST(6 AS INT) AS pages FROM customer),
+t AS (SELECT doc_id, pages, count(k.kind) AS n FROM p LEFT JOIN k USING (doc_id) GROUP BY 1, 2),
+e AS (SELECT doc_id, page_no, count(k.kind) AS n FROM (SELECT doc_id, CAST(unnest(range(1, pages + 1)) AS INT) AS page_no FROM p) LEFT JOIN k USING (doc_id, page_no) GROUP BY 1, 2),
+g AS (SELECT doc_id, page_no, lpad(CAST(page_no AS VARCHAR), 9, '0') AS pg, kind, count(*) AS n FROM k GROUP BY 1, 2, 3, 4)
+SELECT doc_id, ['0', CAST(i AS VARCHAR)] AS line, text FROM (SELECT doc_id, unnest(range(0, 10)) AS i, unnest([{_OPENING}]) AS text FROM t)
+UNION ALL SELECT doc_id, ['1', lpad(CAST(1000000000000 - sum(n) AS VARCHAR), 13, '0'), kind], printf('  %-20s: %3d', kind, CAST(sum(n) AS BIGINT)) FROM g GROUP BY doc_id, kind
+UNION ALL SELECT doc_id, ['2', CAST(i AS VARCHAR)], text FROM (SELECT doc_id, unnest(range(0, 3)) AS i, unnest([{_LIST(report.BY_PAGE)}]) AS text FROM t)
+UNION ALL SELECT doc_id, ['3', lpad(CAST(page_no AS VARCHAR), 9, '0')], '' FROM e
+UNION ALL SELECT doc_id, ['3', lpad(CAST(page_no AS VARCHAR), 9, '0'), ''], printf('Page %d: %d redactions', page_no, n) FROM e
+UNION ALL SELECT doc_id, ['3', pg, kind], printf('  %s:', kind) FROM g
+UNION ALL SELECT doc_id, ['3', lpad(CAST(page_no AS VARCHAR), 9, '0'), kind, CAST(rn - 1 AS VARCHAR)], printf('    - %s', word) FROM k WHERE rn <= 3
+UNION ALL SELECT doc_id, ['3', pg, kind, '9'], printf('    ... and %d more', n - 3) FROM g WHERE n > 3""")
 def pdf_report_text(spark, folder):
-    return report.lines(dets(spark, folder))
+    pages = view(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(6).alias("pages"))
+    return report.lines(dets(spark, folder), pages)
 
 
 @query("best_rotation", """WITH a AS (SELECT page_id, rotation, CASE WHEN count(*) FILTER (conf <> -1) = 0 THEN 0

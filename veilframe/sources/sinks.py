@@ -31,7 +31,7 @@ def append_feedback(df: DataFrame, path: str, ts: str = "ts") -> None:
 def examples(labelled: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Labelled pages without any original text: stand-in words, boxes, labels.
 
-    One example holds a page, or a stretch of 4096 token places of a longer one.
+    One example holds a page, or a stretch of 65536 token places of a longer one.
     """
     word = T.surrogate(F.col("text"))
     box = F.array(F.col("left_x"), F.col("top"), F.col("left_x") + F.col("width"), F.col("top") + F.col("height"))
