@@ -248,15 +248,16 @@ FEATURES = [
     "word_len", "is_upper", "has_digit", "num_tokens", "label_id",
 ]
 
-# --- fixed values: sentence templates of the example generators ------------
+# Sentences of the example generators. Any frame around the number works.
 PAN_TEMPLATES = [
-    "PAN: {}", "My PAN number is {}", "Permanent Account Number - {}",
-    "PAN card {}", "{} is the PAN assigned",
+    "the tax office filed {} as PAN", "income tax id PAN = {}", "quote PAN {} on every form",
+    "{} (PAN) was verified",
 ]
 AADHAAR_TEMPLATES = [
-    "Aadhaar no {}", "Aadhaar: {}", "UIDAI number {}", "Aadhaar Card {}",
-    "{} is the Aadhaar number",
+    "resident number Aadhaar = {}", "enrolled under Aadhaar {} last year", "{} (Aadhaar) was verified",
+    "please bring Aadhaar {} along",
 ]
+# --- fixed values: how many synthetic rows a training set takes -------------
 SYNTHETIC_MIN, SYNTHETIC_RATIO = 50, 3
 
 # Dictionaries behind pseudonyms and generated sentences. Any list works; the
@@ -284,8 +285,9 @@ FILLER_WORDS = [
     "island", "jasper", "kernel", "lantern", "meadow", "nectar", "orchard",
     "pebble",
 ]
-SYNTHETIC_STREET = "MG Road"
-SYNTHETIC_PINCODES = ["400070", "400701", "400707", "400089"]
+SYNTHETIC_STREET = "Lantern Lane"
+SYNTHETIC_REGION = "Northern District"
+SYNTHETIC_PINCODES = ["110203", "226417", "313042", "482915", "560388", "695214"]
 
 # Which dictionary a label draws from at pseudonym level; others stay masked.
 PSEUDONYM_KINDS = {

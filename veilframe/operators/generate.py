@@ -86,7 +86,7 @@ def sentences(rows: DataFrame, n: int | None = None, key: str = "veil") -> DataF
                         (T.hash_number(seed("house")) % 300 + 1).cast("string").alias("house"))
     name = F.concat_ws(" ", "first", F.when(F.col("middle") != "", F.col("middle")), "last")
     text = F.concat(F.lit("Name: "), name, F.lit(" DOB: "), F.col("dob"), F.lit(" Passport: "), F.col("passport"), F.lit(" Address: "),
-                    F.col("house"), F.lit(f" {C.SYNTHETIC_STREET}, "), F.col("city"), F.lit(", Maharashtra, India - "), F.col("pin"))
+                    F.col("house"), F.lit(f" {C.SYNTHETIC_STREET}, "), F.col("city"), F.lit(f", {C.SYNTHETIC_REGION} "), F.col("pin"))
     people = named.select("i", F.lit("person").alias("kind"), text.alias("text"), F.array("first", "middle", "last").alias("names"))
     people = people.withColumn("words", F.split("text", " "))
     people = people.select("i", "kind", "text", "words", F.transform("words", lambda w: word_label(w, F.col("names"))).alias("labels"))

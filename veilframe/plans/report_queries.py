@@ -233,7 +233,7 @@ _SENT = f"""pe AS (SELECT i, dob, passport, {D.pick(C.FIRST_NAMES, _seed('first'
   CASE WHEN {D.hash_number(_seed('has-middle'))} % 10 < 4 THEN {D.pick(C.FIRST_NAMES, _seed('middle'))} ELSE '' END AS middle,
   {D.pick(C.CITIES, _seed('city'))} AS city, {D.pick(C.SYNTHETIC_PINCODES, _seed('pin'))} AS pin, {D.hash_number(_seed('house'))} % 300 + 1 AS house FROM ids),
 pt AS (SELECT i, first_, middle, last_, 'Name: ' || first_ || CASE WHEN middle = '' THEN '' ELSE ' ' || middle END || ' ' || last_ || ' DOB: ' || dob || ' Passport: ' || passport
-  || ' Address: ' || house || ' {C.SYNTHETIC_STREET}, ' || city || ', Maharashtra, India - ' || pin AS text FROM pe),
+  || ' Address: ' || house || ' {C.SYNTHETIC_STREET}, ' || city || ', {C.SYNTHETIC_REGION} ' || pin AS text FROM pe),
 ps AS (SELECT i, 'person' AS kind, text, string_split(text, ' ') AS words, list_transform(list_transform(string_split(text, ' '), lambda w: trim(w, ',:-')), lambda b:
   CASE WHEN b <> '' AND b IN (first_, middle, last_) THEN 'B-PER' WHEN regexp_full_match(b, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN 'B-DATE'
     WHEN regexp_full_match(b, '[A-Z][0-9]{{7}}') THEN 'B-DOC' WHEN regexp_full_match(b, '[0-9]{{6}}') THEN 'B-LOC' ELSE 'O' END) AS labels FROM pt),
