@@ -240,3 +240,33 @@ def test_numbers_run_on_through_pages(spark):
     got = boxes.number_detections(spark.createDataFrame(rows[::-1], "doc_id int, page_no int, det_no int")).collect()
     assert sorted((r.doc_id, r.page_no, r.det_no, r.number) for r in got) == [
         (d, p, n, i + 1) for d in (1, 2) for i, (p, n) in enumerate([(p, n) for p in (1, 2, 3) for n in range(p * 3)])]
+
+
+def test_similar_pairs_are_all_found(spark):
+    """Random and nested boxes, at every threshold in use."""
+    import random
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        x, y = rng.randrange(60), rng.randrange(60)
+        rows.append((1, i, x, y, x + rng.choice([0, 1, 2, 4, 8, 16, 31, 32, 33]), y + rng.choice([1, 2, 3, 8, 16, 17])))
+    df = spark.createDataFrame(rows, "page int, i int, x0 int, y0 int, x1 int, y1 int")
+
+    def share(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        both = w * h if w > 0 and h > 0 else 0
+        whole = (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - both
+        return both / whole if whole else 0
+
+    for least in (0.5, 0.7, 0.85):
+        want = {(a[1], b[1]) for a in rows for b in rows if share(a, b) > least}
+        for quiet in (10, 1000):
+            got = [(r.a_i, r.b_i) for r in G.similar_pairs(df, ["page"], least, quiet=quiet).collect()]
+            assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_busy_page_makes_few_pairs(spark):
+    """Two hundred thousand distinct boxes on one page: candidates stay near the matches."""
+    rows = spark.range(200_000).selectExpr("1 page", "id i", "cast(id % 500 * 5 as int) x0", "cast(id div 500 * 8 as int) y0")
+    df = rows.withColumn("x1", F.col("x0") + 60).withColumn("y1", F.col("y0") + 20)
+    assert G.similar_pairs(df, ["page"], 0.85).count() >= 200_000

@@ -104,3 +104,59 @@ def overlapping_pairs(
             (F.floor(F.greatest(ax[0], bx[0]) / size) == F.col("cell.cx"))
             & (F.floor(F.greatest(ax[1], bx[1]) / size) == F.col("cell.cy")))
     return pairs.where(overlap(ax, bx) > 0).drop("cell")
+
+
+#: Boxes of one page or frame up to which all that overlap are compared.
+QUIET = 256
+
+
+def similar_pairs(
+    dets: DataFrame, keys: list[str], least: float, names: tuple = ("x0", "y0", "x1", "y1"), quiet: int = QUIET,
+) -> DataFrame:
+    """Pairs of boxes, in either order, with an IoU above ``least``.
+
+    Pages of up to ``quiet`` boxes compare those that overlap, so a box meets no more
+    than that many. Busier pages, found by counting, join on shape instead. The
+    pairs are the same either way; columns come out prefixed ``a_`` and ``b_``.
+    """
+    busy = dets.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > quiet).select(*keys)
+    few, many = dets.join(busy, keys, "left_anti"), dets.join(busy, keys, "left_semi")
+    near = overlapping_pairs(few, few, keys, names=names).withColumn("iou", iou(box("a_", names), box("b_", names)))
+    return near.where(F.col("iou") > least).unionByName(_alike_in_shape(many, many, keys, least, names))
+
+
+def _alike_in_shape(left: DataFrame, right: DataFrame, keys: list[str], least: float, names: tuple) -> DataFrame:
+    """Rows of two tables whose boxes have an IoU above ``least``, by an equi-join on shape.
+
+    Such boxes have widths and heights in a ratio above ``least`` and centres no
+    further apart than the larger side times ``1 - least``. So a box is keyed by
+    the logarithm of its sides, the next larger class included, and by a cell of
+    its centre as large as that distance; the other side lists the few cells in
+    reach. However many boxes a page holds, only like ones in like places meet.
+    Columns come out prefixed ``a_`` and ``b_`` with the pair's ``iou``; boxes
+    without area match nothing.
+    """
+    base = 1 / (least * 0.999)  # a margin for rounding at class borders
+    reach = 1 - least * 0.999
+
+    def spread(df: DataFrame, prefix: str, wide: bool) -> DataFrame:
+        x0, y0, x1, y1 = box("", names)
+        out = df.where((x1 > x0) & (y1 > y0))
+        cols = [F.col(c).alias(prefix + c) for c in df.columns if c not in keys]
+        for axis, lo, hi in (("x", x0, x1), ("y", y0, y1)):
+            own = F.floor(F.log(hi - lo) / F.log(F.lit(base))).cast("int")
+            out = out.withColumn(f"_own_{axis}", own).withColumn(f"_g_{axis}", F.explode(F.array(own, own + 1)))
+            edge = F.pow(F.lit(base), F.col(f"_g_{axis}") + 1) * reach
+            middle = (lo + hi) / 2
+            first, last = [F.floor((middle + shift) / edge).cast("int") for shift in ((-edge, edge) if wide else (F.lit(0.0),) * 2)]
+            out = out.withColumn(f"_c_{axis}", F.explode(F.sequence(first, last)) if wide else first)
+        own = [F.col(f"_own_{axis}").alias(f"{prefix}_own_{axis}") for axis in "xy"]
+        return out.select(*keys, *cols, *own, "_g_x", "_g_y", "_c_x", "_c_y")
+
+    grid = ["_g_x", "_g_y", "_c_x", "_c_y"]
+    pairs = spread(left, "a_", False).join(spread(right, "b_", True), [*keys, *grid])
+    # A pair meets once: in the class of its larger side.
+    for axis in "xy":
+        pairs = pairs.where(F.col(f"_g_{axis}") == F.greatest(f"a__own_{axis}", f"b__own_{axis}"))
+    pairs = pairs.drop(*grid, *[f"{p}__own_{axis}" for p in "ab" for axis in "xy"])
+    return pairs.withColumn("iou", iou(box("a_", names), box("b_", names))).where(F.col("iou") > least)

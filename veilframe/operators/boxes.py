@@ -75,11 +75,11 @@ def drop_similar(dets: DataFrame, keys: list[str], rank: Column, ident: str, min
     """
     ranked = dets.withColumn("_rank", F.struct(rank.alias("r"), F.col(ident).alias("i"))).withColumn("_look", _look(F.col("word")))
     solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    # A box without area overlaps nothing, itself included; an empty text reads like nothing.
-    comparable = ranked.where(solid & (F.length("_look") > 0))
-    firsts = comparable.groupBy(*keys, *BOX, "_look").agg(F.min("_rank").alias("_rank"))
-    pairs = G.overlapping_pairs(firsts, firsts, keys).where(F.col("a__rank") < F.col("b__rank"))
-    near = pairs.where(G.iou(G.box("a_"), G.box("b_")) > min_iou)
+    # A box without area overlaps nothing, itself included.
+    comparable = ranked.where(solid)
+    # Read several times below, so it is written once.
+    firsts = checkpoint(comparable.groupBy(*keys, *BOX, "_look").agg(F.min("_rank").alias("_rank")))
+    near = G.similar_pairs(firsts, keys, min_iou).where(F.col("a__rank") < F.col("b__rank"))
     la, lb = F.length("a__look"), F.length("b__look")
     # The score cannot exceed what the two lengths allow, so most pairs end here.
     near = near.where(200 * F.least(la, lb) >= (min_ratio + 0.5) * (la + lb))
@@ -88,7 +88,7 @@ def drop_similar(dets: DataFrame, keys: list[str], rank: Column, ident: str, min
                                      F.struct(*keys, F.col("b__rank").alias("_rank")).alias("hi"))
     lost = dropped_rows(edges).select("id.*")
     kept = firsts.join(lost, [*keys, "_rank"], "left_anti").select(*keys, "_rank")
-    rest = ranked.where(~(solid & (F.length("_look") > 0)))
+    rest = ranked.where(~solid)
     return ranked.join(kept, [*keys, "_rank"], "left_semi").unionByName(rest).select(*dets.columns)
 
 

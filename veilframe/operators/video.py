@@ -64,9 +64,10 @@ def vote(dets: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """
     x = [F.col(c) for c in BOX]
     solid = (x[2] > x[0]) & (x[3] > x[1])
-    firsts = dets.where(solid).groupBy(*keys, *BOX).agg(F.min("det_id").alias("det_id"), F.count("*").alias("weight"))
-    pairs = G.overlapping_pairs(firsts, firsts, keys, names=BOX).where("a_det_id < b_det_id")
-    near = checkpoint(pairs.where(G.iou(G.box("a_", BOX), G.box("b_", BOX)) > C.VOTE_IOU).select(*keys, "a_det_id", "b_det_id"))
+    # Read several times below, so it is written once.
+    firsts = checkpoint(dets.where(solid).groupBy(*keys, *BOX).agg(F.min("det_id").alias("det_id"), F.count("*").alias("weight")))
+    pairs = G.similar_pairs(firsts, keys, C.VOTE_IOU, BOX).where("a_det_id < b_det_id")
+    near = checkpoint(pairs.select(*keys, "a_det_id", "b_det_id"))
     ident = [F.struct(*keys, F.col(f"{p}_det_id").alias("det_id")) for p in ("a", "b")]
     lost = dropped_rows(near.select(ident[0].alias("lo"), ident[1].alias("hi"))).select("id.*")
     led = firsts.join(lost, [*keys, "det_id"], "left_anti")
