@@ -34,8 +34,8 @@ MARK = "▁"
 #: Stands for a literal mark inside a worker; no valid text holds it.
 _LITERAL = "\udc00"
 #: Chunks sampled side by side, and edges kept in forward tables before they start anew.
-BLOCK = 200_000
-EDGES = 6_000_000
+BLOCK = 100_000
+EDGES = 1_000_000
 #: Chunks up to this length are filtered side by side.
 SIDE_BY_SIDE = 48
 #: Weight of a character that is written as bytes.
@@ -115,7 +115,7 @@ class Lattices:
         import numpy as np
         self.last: dict[str, int] = {}
         self.nodes = 0
-        self.keys, self.back, self.piece = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.back, self.piece = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
         self.bytes: dict[str, int] = {}
         self.runs: list[list[int]] = []
 
@@ -148,7 +148,7 @@ class Lattices:
                 fresh.setdefault(len(c), []).append(c)
         parts = []
         for n, some in fresh.items():
-            step = max(1, 2_000_000 // (n * min(n, self.longest))) if n <= SIDE_BY_SIDE else 1
+            step = max(1, 300_000 // (n * min(n, self.longest))) if n <= SIDE_BY_SIDE else 1
             for at in range(0, len(some), step):
                 parts.append(self.add_alike(some[at:at + step], n) if n <= SIDE_BY_SIDE else self.add_long(some[at]))
         if parts:
@@ -163,7 +163,7 @@ class Lattices:
         codes, width = _codes(chunks), min(n, self.longest)
         count = len(chunks)
         # By end, then length of the last piece: sums so far and pieces.
-        cum, pieces = np.zeros((n, width, count)), np.zeros((n, width, count), np.int64)
+        cum, pieces = np.zeros((n, width, count)), np.zeros((n, width, count), np.int32)
         h, power, into = np.zeros((n, count), np.uint64), 1.0, np.zeros((n, width, count))
         for k in range(width):
             h = (h[:n - k] + codes[k:]) * np.uint64(_MULTIPLIER)
@@ -188,7 +188,7 @@ class Lattices:
         self.nodes += count * (n + 1)
         self.last.update(zip(chunks, (base + n).tolist()))
         back = where - np.arange(1, width + 1)
-        return (where + cum.transpose(2, 0, 1))[real], back[real], pieces.transpose(2, 0, 1)[real]
+        return (where + cum.transpose(2, 0, 1))[real], back[real].astype(np.int32), pieces.transpose(2, 0, 1)[real]
 
     def add_long(self, chunk: str):
         """Edges of one long chunk, with sums kept in range on the way."""
@@ -218,7 +218,7 @@ class Lattices:
                     total[i] /= whole
         self.nodes += len(chunk) + 1
         self.last[chunk] = base + len(chunk)
-        return np.array(keys), np.array(back, np.int64), np.array(pieces, np.int64)
+        return np.array(keys), np.array(back, np.int32), np.array(pieces, np.int32)
 
 
 def _mixed(x):
@@ -332,8 +332,8 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, alpha: float = 1.
         import numpy as np
         lattices = Lattices(table, zero)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
                 texts = some.column(1).to_pylist()
                 found = encode_batch(texts, some.column(0).to_pylist(), lattices, seed)
                 sizes = [0 if f is None else len(f) for f in found]
