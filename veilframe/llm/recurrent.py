@@ -300,6 +300,22 @@ def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
     return rows.filter("not held_out").select("doc_id", "body").mapInArrow(run, "key bigint, ids array<int>")
 
 
+def averaged(batches: Iterator) -> Iterator:
+    """Mean of the weights of each part, by tokens trained on; holds one sum per part."""
+    import numpy as np
+    import pyarrow as pa
+
+    sums: dict = {}
+    for batch in batches:
+        for part, met, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            own = np.asarray(weights.values, np.float64) * met
+            old = sums.get(part)
+            sums[part] = (own, met) if old is None else (old[0] + own, old[1] + met)
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([w / n for w, n in sums.values()], pa.list_(pa.float64()))],
+                              names=["part", "weights"])
+
+
 def fit(rows: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
     """Train shards in parallel from common weights and average them, ``rounds`` times."""
     import numpy as np
@@ -319,18 +335,17 @@ def fit(rows: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
                 met += train(own, batch.column(0).to_pylist(), d)
             if met:
                 flat = np.concatenate([own[k].ravel() for k in names])
-                parts = [flat[i:i + block].tolist() for i in range(0, len(flat), block)]
+                parts = [flat[i:i + block] for i in range(0, len(flat), block)]
                 yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([met] * len(parts), pa.int64()),
-                                       pa.array(parts, pa.list_(pa.float64()))], names=["part", "met", "weights"])
+                                       pa.array(parts, pa.list_(pa.float32()))], names=["part", "met", "weights"])
 
-        trained = table.select("ids").mapInArrow(run, "part int, met bigint, weights array<double>")
-        mean = trained.select("part", "met", F.posexplode("weights").alias("at", "x")).groupBy("part", "at").agg(
-            (F.sum(F.col("x") * F.col("met")) / F.sum("met")).alias("x")).collect()
+        # Every shard's weights meet by part; a task adds them up as they come.
+        trained = table.select("ids").mapInArrow(run, "part int, met bigint, weights array<float>")
+        parts = -(-sum(w.size for w in p.values()) // block)
+        mean = trained.repartition(parts, "part").mapInArrow(averaged, "part int, weights array<double>").collect()
         if not mean:
             break
-        flat = np.empty(len(mean), np.float32)
-        for r in mean:
-            flat[r["part"] * block + r["at"]] = r["x"]
+        flat = np.concatenate([np.array(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["part"])])
         at = 0
         for k in names:
             p[k] = flat[at:at + p[k].size].reshape(p[k].shape)
