@@ -42,7 +42,7 @@ WINDOW, SPAN = 32, 128
 #: One span in so many is trained on, drawn from every training text by hash.
 RATE = 16
 SHARD_SPANS = 2048
-ROUNDS, LEARNING_RATE, BATCH = 2, 0.01, 32
+ROUNDS, LEARNING_RATE, BATCH = 2, 0.015, 64
 END = b""
 
 
@@ -128,9 +128,9 @@ class Dictionary:
         self.word_bias = np.full((max(self.heads, 1), CLASS_WORDS), -1e9, np.float32)
         self.word_bias.flat[:head] = np.log(n[:head])
 
-    def numbers(self, body: bytes) -> list[int]:
+    def numbers(self, words: list[bytes]) -> list[int]:
         get = self.number.get
-        return [get(w, -1) for w in tokens(body)] + [get(END, -1)]
+        return [get(w, -1) for w in words]
 
 
 def dictionary(table: DataFrame) -> Dictionary:
@@ -156,19 +156,30 @@ def initial(d: Dictionary) -> dict:
             "W": np.zeros((max(d.heads, 1), HIDDEN, CLASS_WORDS), np.float32), "w": d.word_bias.copy()}
 
 
-def forward(p: dict, x, h):
-    """States after each input (steps first) and what the way back needs."""
+def forward(p: dict, x, h, keep: bool = True):
+    """States after each input (steps first) and, with ``keep``, what the way back needs."""
     import numpy as np
 
-    k = HIDDEN
-    states, kept = np.empty((len(x), *h.shape), np.float32), []
+    k, inputs, weights = HIDDEN, p["E"], p["U"]
+    states, kept = np.empty((len(x), *h.shape), h.dtype), []
     for t in range(len(x)):
-        a, g = p["E"][x[t]], h @ p["U"]
-        gates = 1 / (1 + np.exp(-(a[:, :2 * k] + g[:, :2 * k])))
+        a, g = inputs[x[t]], h @ weights
+        gates = a[:, :2 * k] + g[:, :2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :k], gates[:, k:]
-        n = np.tanh(a[:, 2 * k:] + r * g[:, 2 * k:])
-        kept.append((h, r, z, n, g[:, 2 * k:]))
-        h = states[t] = n + z * (h - n)
+        n = r * g[:, 2 * k:]
+        n += a[:, 2 * k:]
+        np.tanh(n, out=n)
+        after = states[t]
+        np.subtract(h, n, out=after)
+        after *= z
+        after += n
+        if keep:
+            kept.append((h, r, z, n, g[:, 2 * k:]))
+        h = after
     return states, kept
 
 
@@ -177,19 +188,25 @@ def outputs(p: dict, states, cls, slot, grads: dict | None = None):
     ``grads``, also adds the output weights' gradients and returns the states'."""
     import numpy as np
 
-    rows = np.arange(len(states))
-    scores = states @ p["C"] + p["c"]
-    scores -= scores.max(1, keepdims=True)
-    soft = np.exp(scores)
-    whole = soft.sum(1, keepdims=True)
-    logp = scores[rows, cls] - np.log(whole[:, 0])
-    back = None
-    if grads is not None:
-        soft /= whole
-        soft[rows, cls] -= 1
-        grads["C"] += states.T @ soft
-        grads["c"] += soft.sum(0)
-        back = soft @ p["C"].T
+    logp = np.empty(len(states), states.dtype)
+    back = None if grads is None else np.empty_like(states)
+    for at in range(0, len(states), 4096):  # blocks that stay in the processor's cache
+        some = slice(at, at + 4096)
+        own, want = states[some], cls[some]
+        rows = np.arange(len(own))
+        soft = own @ p["C"]
+        soft += p["c"]
+        soft -= soft.max(1, keepdims=True)
+        target = soft[rows, want]
+        np.exp(soft, out=soft)
+        whole = soft.sum(1, keepdims=True)
+        logp[some] = target - np.log(whole[:, 0])
+        if grads is not None:
+            soft /= whole
+            soft[rows, want] -= 1
+            grads["C"] += own.T @ soft
+            grads["c"] += soft.sum(0)
+            back[some] = soft @ p["C"].T
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(len(p["w"]) + 1))
     for c in np.flatnonzero(np.diff(bounds)):
@@ -197,12 +214,14 @@ def outputs(p: dict, states, cls, slot, grads: dict | None = None):
         if slot[some[0]] < 0:
             continue  # a tail class
         own = states[some]
-        inner = own @ p["W"][c] + p["w"][c]
-        inner -= inner.max(1, keepdims=True)
-        soft = np.exp(inner)
-        whole = soft.sum(1, keepdims=True)
+        soft = own @ p["W"][c]
+        soft += p["w"][c]
+        soft -= soft.max(1, keepdims=True)
         at = np.arange(len(some)), slot[some]
-        logp[some] += inner[at] - np.log(whole[:, 0])
+        target = soft[at]
+        np.exp(soft, out=soft)
+        whole = soft.sum(1, keepdims=True)
+        logp[some] += target - np.log(whole[:, 0])
         if grads is not None:
             soft /= whole
             soft[at] -= 1
@@ -217,16 +236,27 @@ def backward(p: dict, x, kept, back, grads: dict) -> None:
     import numpy as np
 
     k, dh = HIDDEN, np.zeros_like(kept[0][0])
+    da = np.empty((*x.shape, 3 * k), dh.dtype)
+    dg = np.empty_like(da)
+    turned = p["U"].T.copy()
     for t in range(len(x) - 1, -1, -1):
         h, r, z, n, gn = kept[t]
         dh = dh + back[t]
-        dz, dn = dh * (h - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-        dr = dn * gn * r * (1 - r)
-        da = np.concatenate([dr, dz, dn], 1)
-        dg = np.concatenate([dr, dz, dn * r], 1)
-        np.add.at(grads["E"], x[t], da)
-        grads["U"] += h.T @ dg
-        dh = dh * z + dg @ p["U"].T
+        dn = dh * (1 - z)
+        dn *= 1 - n * n
+        da[t, :, k:2 * k] = dh * (h - n) * z * (1 - z)
+        da[t, :, :k] = dn * gn * r * (1 - r)
+        da[t, :, 2 * k:] = dn
+        dg[t] = da[t]
+        dg[t, :, 2 * k:] *= r
+        dh = dh * z + dg[t] @ turned
+    # One product for the recurrent weights, one sum per input met.
+    before = np.concatenate([kept_t[0] for kept_t in kept])
+    grads["U"] += before.T @ dg.reshape(-1, 3 * k)
+    flat = np.asarray(x).ravel()
+    order = np.argsort(flat, kind="stable")
+    met, first = np.unique(flat[order], return_index=True)
+    grads["E"][met] += np.add.reduceat(da.reshape(-1, 3 * k)[order], first)
 
 
 class Adam:
@@ -291,10 +321,10 @@ def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
                     key = zlib.crc32(f"span {row} {k}".encode())
                     if key % RATE:
                         continue
-                    drawn = drawn or [d.number.get(END, -1), *d.numbers(body)]
+                    drawn = drawn or [END, *tokens(body), END]
                     if len(piece := drawn[k * SPAN:(k + 1) * SPAN + 1]) > 1:
                         keys.append(key * (1 << 20) + k % (1 << 20))
-                        out.append(piece)
+                        out.append(d.numbers(piece))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
 
     return rows.filter("not held_out").select("doc_id", "body").mapInArrow(run, "key bigint, ids array<int>")
@@ -369,7 +399,7 @@ def score_texts(p: dict, d: Dictionary, texts: list[list[int]]):
             piece = texts[order[j]][start:start + WINDOW]
             y[:len(piece), j] = piece
         x = np.concatenate([last[None, :live], y[:-1]])
-        states, _ = forward(p, d.inp[x], h[:live])
+        states, _ = forward(p, d.inp[x], h[:live], keep=False)
         valid = np.arange(start, start + WINDOW)[:, None] < lengths[None, :live]
         target = y[valid]
         logp, _ = outputs(p, states[valid], d.cls[target], d.slot[target])
@@ -396,14 +426,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
         import numpy as np
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
                 texts, outside, base, n_out = [], [], [], []
                 for body in some.column(1):
-                    body = body.as_py()
-                    ids = np.array(d.numbers(body), np.int32)
+                    words = [*tokens(body.as_py()), END]
+                    ids = np.array(d.numbers(words), np.int32)
                     missing = np.flatnonzero(ids < 0)
-                    words = [*tokens(body), END] if len(missing) else []
                     outside.append([{"token": w, "times": n} for w, n in Counter(words[i] for i in missing).items()])
                     base.append(float(d.base[ids].sum()))
                     n_out.append(len(missing))
