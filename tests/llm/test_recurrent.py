@@ -134,3 +134,13 @@ def test_defined_cases(spark):
     only = docs.filter(R.held_out())
     kept = [(r.doc_id, r.text) for r in only.collect()]
     same(R.score(only).collect(), plain(kept))
+
+
+def test_every_training_token_is_a_target(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(n))) for i, n in enumerate([0, 1, 5, 127, 128, 129, 300, 2, 3, 1000])]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
+    cut = R._rows(docs)
+    d = R.dictionary(R.counts(cut))
+    found = Counter(t for r in R.spans(cut, d).collect() for t in r.ids[1:])
+    want = Counter(d.numbers([w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*split(t), b""]]))
+    assert found == want and sum(want.values()) == d.total

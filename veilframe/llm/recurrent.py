@@ -9,9 +9,9 @@ of all words, and one for the unseen, sum to one.
 
 The network (gated recurrent units, numpy) starts as the unigram model and is
 trained by truncated backpropagation through time: windows of ``WINDOW`` tokens,
-state carried from window to window. A keyed hash draws spans from all training
-texts at a fixed rate, so what is learned from grows with the corpus. Shards of
-bounded size train copies in parallel, whose weights are averaged by Spark.
+state carried from window to window. All training texts are cut into spans and
+every span is trained on; a keyed hash deals them to shards of bounded size, which
+train copies in parallel, whose weights are averaged by Spark.
 
 Scoring runs each whole text in windows, the state carried across them.
 Dictionary words are looked up in place (the dictionary has at most ``WORDS``
@@ -39,10 +39,8 @@ WORDS = 131_072
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 32, 15
 HIDDEN = 24
 WINDOW, SPAN = 32, 128
-#: One span in so many is trained on, drawn from every training text by hash.
-RATE = 16
-SHARD_SPANS = 2048
-ROUNDS, LEARNING_RATE, BATCH = 2, 0.015, 64
+SHARD_SPANS = 32_768
+ROUNDS, LEARNING_RATE, BATCH = 1, 0.015, 64
 END = b""
 
 
@@ -306,7 +304,7 @@ def train(p: dict, spans: list[list[int]], d: Dictionary) -> int:
 
 
 def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
-    """Drawn spans of all training texts as word numbers, each with the token before it."""
+    """All spans of all training texts as word numbers, each with the token before it."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,15 +314,10 @@ def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
             for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = body.as_py()
                 row = zlib.crc32(body, zlib.crc32(str(i).encode()))
-                drawn = None
-                for k in range(len(body) // (2 * SPAN) + 1):  # no text has more spans than this
-                    key = zlib.crc32(f"span {row} {k}".encode())
-                    if key % RATE:
-                        continue
-                    drawn = drawn or [END, *tokens(body), END]
-                    if len(piece := drawn[k * SPAN:(k + 1) * SPAN + 1]) > 1:
-                        keys.append(key * (1 << 20) + k % (1 << 20))
-                        out.append(d.numbers(piece))
+                ids = d.numbers([END, *tokens(body), END])
+                for k, at in enumerate(range(0, len(ids) - 1, SPAN)):
+                    keys.append(zlib.crc32(f"span {row} {k}".encode()) * (1 << 20) + k % (1 << 20))
+                    out.append(ids[at:at + SPAN + 1])
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
 
     return rows.filter("not held_out").select("doc_id", "body").mapInArrow(run, "key bigint, ids array<int>")
@@ -352,9 +345,9 @@ def fit(rows: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
     import pyarrow as pa
 
     p = initial(d)
-    drawn = checkpoint(spans(rows, d))
-    shards = max(1, drawn.count() // SHARD_SPANS)
-    table = drawn.repartition(shards, F.xxhash64("key")).sortWithinPartitions("key")
+    every = checkpoint(spans(rows, d))
+    shards = max(1, every.count() // SHARD_SPANS)
+    table = every.repartition(shards, F.xxhash64("key")).sortWithinPartitions("key")
     names, block = sorted(p), 4096
     for _ in range(rounds):
         start = {k: w.copy() for k, w in p.items()}
