@@ -13,7 +13,8 @@ differ from each in at most one bit of the other four bytes, so every
 member is listed under its 33 neighbours and tied to the least fingerprint of
 each list. That loses no link between groups and stays linear.
 
-Groups are connected components, found by alternating star contraction.
+Groups are connected components, found by alternating star contraction. With
+``copies`` the near copies of ``jaccard`` (five words, 0.8) are linked as well.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; a text of one or two words is one shingle; a null doc_id joins its group
@@ -28,6 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm import jaccard
 from veilframe.llm.common import documents, keep_rows, look_up
 from veilframe.llm.registry import query
 from veilframe.session import checkpoint
@@ -151,11 +153,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, copies: bool = False) -> DataFrame:
     rows = checkpoint(fingerprints(docs))
     total = rows.count()
     nodes = checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    tied = components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    tied = components(edges.union(jaccard.links(docs, rows)).distinct() if copies else edges)
     rooted = checkpoint(nodes.join(tied, nodes["fp"] == tied["node"], "left").select(
         "fp", "n", "least", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"), F.sum("n").alias("group_size"))
@@ -168,9 +171,9 @@ def near_dups(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, copies: bool = False) -> DataFrame:
     """The rows that stay, columns unchanged: of each group that with the smallest doc_id."""
-    rows = checkpoint(_grouped(docs).filter("group_size > 1").select("doc_id", "body", "root"))
+    rows = checkpoint(_grouped(docs, copies).filter("group_size > 1").select("doc_id", "body", "root"))
     total = rows.count()
     choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     chosen = rows.groupBy("root").agg(F.min(choice).alias("keep"), F.count("*").alias("n"))
