@@ -126,6 +126,18 @@ def test_added_personal():
     assert not [s for s in find("IBAN DE88 3704 0044 0532 0130 00 SSN 000-12-3456 of account in http://example.com/a") if not s[3]]
 
 
+def test_announced_in_any_case():
+    find = personal.finder()
+    for text, kind, value in (
+            ("Social Security Number: 123-45-6789", "ssn", "123-45-6789"), ("é SSN Number: 123-45-6789", "ssn", "123-45-6789"),
+            ("Account Number: 12345678", "account", "12345678"), ("İ Account No. 12345678", "account", "12345678"),
+            ("ACCOUNT NR. 12345678", "account", "12345678"), ("Iban No: DE89370400440532013000", "iban", "DE89370400440532013000")):
+        assert [(k, text[a:b]) for k, a, b, base in find(text) if not base] == [(kind, value)], text
+    for user, password in (("u" * 65, "p"), ("u", "p" * 2000), ("u" * 300, "p" * 300)):
+        url = f"https://{user}:{password}@db.example.com/x"
+        assert [s[:3] for s in find(f"at {url} now") if s[0] == "url"] == [("url", 3, 3 + len(url))]
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "1" * 100_000), (4, "@" * 50_000), (5, "a@b.c " * 20_000), (None, "x@y.zz"), (5, "a@b.c " * 20_000),
             (6, "1.2.3.4." * 5000), (7, "M" * 20_000), (8, "ab" * 30_000), (9, "+1" * 30_000), (10, "😀 x@y.zz token=abcdef")]

@@ -31,8 +31,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOGIN = re.compile(r"://[^\s/?#@:\"'<>]{1,64}:[^\s/?#@\"'<>]{1,128}@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
-_AFTER = r"(?:\x20?(?:number|no\.?|nr\.?))?[\x20:#=]{1,4}"
+_LOGIN = re.compile(r"://[^\s/?#@:\"'<>]++:[^\s/?#@\"'<>]++@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
+_AFTER = r"(?:\x20?(?i:number|no\.?|nr\.?))?[\x20:#=]{1,4}"
 _IBAN = re.compile(_AFTER + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(_AFTER + r"([0-9](?:-?[0-9]){7,16})(?![0-9-])")
 _SSN = re.compile(_AFTER + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
@@ -57,7 +57,7 @@ def ssn_valid(value: str) -> bool:
 
 
 def automaton():
-    """Anchor words to their kinds; an announcing word in three letter cases."""
+    """Anchor words to their kinds; announcing words are lower-cased."""
     import ahocorasick
 
     anchors = ahocorasick.Automaton()
@@ -67,8 +67,7 @@ def automaton():
         anchors.add_word(d, ("digit", 1))
         anchors.add_word("+" + d, ("+", 2))
     for word, kind in _CUES.items():
-        for form in {word, word.upper(), word.capitalize()}:
-            anchors.add_word(form, (kind, len(form)))
+        anchors.add_word(word, (kind, len(word)))
     anchors.make_automaton()
     return anchors
 
@@ -86,7 +85,8 @@ def finder() -> Callable[[str], list[tuple]]:
     def spans_of(text: str) -> list[tuple[str, int, int, bool]]:
         found: list[tuple[str, int, int, bool]] = []
         done = dict.fromkeys(KINDS, 0)
-        for last, (kind, size) in anchors.iter(text):
+        # Announcing words count in any case; lowering ASCII letters only keeps every offset.
+        for last, (kind, size) in anchors.iter(text.encode().lower().decode()):
             at = last - size + 1
             if kind == "digit":
                 if at >= done["ip"]:
