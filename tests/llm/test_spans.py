@@ -107,6 +107,17 @@ def test_confirmed_keys():
             assert not [s for s in secrets.spans_of("x " + base64.b64encode(bad).decode().rstrip("=") + " y") if s[0] == "key" and bad != data], name
 
 
+def test_keys_in_configuration_files():
+    for name, data in keys().items():
+        b64 = base64.b64encode(data).decode()
+        lines = [b64[i:i + 64] for i in range(0, len(b64), 64)]
+        for gap in ("\\n", "\\r\\n", "\\\\n", "\n    ", "\r\n\t"):
+            text = f'é "-----BEGIN PRIVATE KEY-----{gap}{gap.join(lines)}{gap}-----END PRIVATE KEY-----{gap}"'
+            start = text.index(lines[0])
+            added = [s for s in secrets.spans_of(text) if s[0] == "key"]
+            assert added == [("key", start, start + len(gap.join(lines)), False)], (name, gap)
+
+
 def test_confirmed_tokens():
     part = lambda x: base64.urlsafe_b64encode(x if isinstance(x, bytes) else json.dumps(x).encode()).decode().rstrip("=")
     sign = part(b"s" * 32)

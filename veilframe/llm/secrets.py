@@ -4,7 +4,8 @@ Base kinds are patterns: assignments to a secret's name, access keys, long hex
 runs. On top of them base64 and hex candidates are decoded and parsed, and only
 what has the structure of a secret is reported:
 
-* ``key``: a private key in base64, possibly over several lines. DER must nest
+* ``key``: a private key in base64, possibly over several lines,
+  indented or with escaped breaks. DER must nest
   exactly (every length fits, children fill their parent) and have the fields of
   an RSA, EC, plain or encrypted private key; OpenSSH's format must have its
   length-prefixed fields end where the blob ends.
@@ -35,7 +36,10 @@ _EITHER = "|".join(["".join(f"[{c.upper()}{c}]" for c in n) for n in _NAMES] + [
 _ASSIGN = re.compile(rf"""(?:{_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_B64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A line break in a key, bare or escaped (a string of JSON), and the blanks it indents with.
+_BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+_B64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_BETWEEN = re.compile(_BREAK + "|=+")
 _ANCHOR = re.compile(r"M[A-P]|b3BlbnNzaC1r")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
@@ -151,7 +155,11 @@ def _key_in(chars: str) -> int | None:
 def _keys(text: str) -> list[tuple[int, int]]:
     out = []
     for run in _B64_RUN.finditer(text):
-        places = [i for i in range(run.start(), run.end()) if text[i] not in "\r\n="]
+        places, at = [], run.start()
+        for gap in _BETWEEN.finditer(text, *run.span()):
+            places += range(at, gap.start())
+            at = gap.end()
+        places += range(at, run.end())
         chars = "".join(text[i] for i in places)
         done = 0
         for anchor in _ANCHOR.finditer(chars):
