@@ -8,11 +8,14 @@ from veilframe.fixtures import view
 from veilframe.functions import text as T
 from veilframe.operators import align, boxes as ops
 from veilframe.operators import feedback as feedback_ops
+from veilframe.operators import gate as gate_ops
+from veilframe.operators import report
 from veilframe.operators import text as text_ops
 from veilframe.operators import tokens as token_ops
 from veilframe.plans import duck as D
 from veilframe.plans.page_queries import NUMBERED, numbered, tokens
 from veilframe.plans.registry import query
+from veilframe.session import checkpoint
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -218,17 +221,38 @@ def all_detections(spark, folder):
     return ops.union_all(_detectors(spark, folder)).select(*cols)
 
 
-@query("redact_pages")
-def redact_pages(spark, folder):
-    """The whole run over pages: all detectors, disabled patterns, checksums, merge,
-    calibration, and what a renderer has to draw."""
+def merged_pages(spark, folder):
+    """Pages' detections of all detectors without disabled patterns and wrong checksums, merged."""
     rated = view(spark, folder, "v_feedback")
     found = all_detections(spark, folder).drop("detector")
     live = feedback_ops.drop_disabled(found, feedback_ops.disabled_patterns(rated))
     checked = ops.valid_identifiers(live).withColumn("det_no", F.xxhash64(*PAGE, "idx", "n_tokens", "pattern", "label", *BOX))
-    merged = ops.merge_by_priority(checked)
+    return ops.merge_by_priority(checked)
+
+
+def page_gate(spark, folder):
+    """The gate's model; ratings of boxes are not among the given tables, so it learns from the ``gate`` query's stand-in."""
+    return gate_ops.train(ops.features(dets(spark, folder)).withColumn("user_feedback", F.col("label") != "B-LOC"))
+
+
+def gated_pages(merged, history, model):
+    """Merged detections with calibrated scores, those the gate believes in, and the risk of their page."""
     sized = merged.withColumn("page_w", F.lit(2550)).withColumn("page_h", F.lit(3300))
-    return ops.instructions(sized, F.lit(2)).select(*PAGE, "word", *BOX, "label", "pattern", "priority", "n_merged", "action", "fill")
+    scored = feedback_ops.calibrate(sized, history).withColumn("score", F.col("calibrated")).drop("calibrated", "key")
+    kept = checkpoint(gate_ops.apply(ops.features(scored), model).drop(*(c for c in gate_ops.INPUTS)))
+    return kept.join(report.page_risk(kept), PAGE)
+
+
+@query("redact_pages")
+def redact_pages(spark, folder):
+    """The whole run over pages: all detectors, disabled patterns, checksums, merge,
+    calibration, gate, page risk, and what a renderer has to draw."""
+    history = feedback_ops.corrections(view(spark, folder, "v_feedback"))
+    kept = gated_pages(merged_pages(spark, folder), history, page_gate(spark, folder))
+    if "gate" not in kept.columns:
+        kept = kept.withColumn("gate", F.lit(None).cast("double"))
+    return ops.instructions(kept, F.lit(2)).select(
+        *PAGE, "word", *BOX, "label", "pattern", "priority", "score", "gate", "risk", "n_merged", "action", "fill")
 
 
 @query("anti_overlap", f"""SELECT h.* FROM {_check_sql('id_patterns')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
