@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,3 +163,25 @@ def test_defined_cases(spark):
     by_id = {r.doc_id: r for r in span_digests(personal.scan(docs), personal.KINDS[:4]).collect()}
     assert by_id[5].n_email == 20_000 and by_id[None].n_email == 1 and by_id[6].n_ip == 5000
     assert by_id[10].spans == "email:2:8"
+
+
+def test_base64_that_is_no_key():
+    """Runs that break off inside a header, noise, nested payloads: no crash, nothing reported."""
+    rng = random.Random(8)
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    texts = ["Zq" * 16 + "M" + c + d for c in "ABCDEFGH" for d in "AQgw"]
+    texts.append(f"{part(b'{}')}.{part(b'[' * 100_000)}.{part(b's' * 32)}")
+    texts.append(f"{part(json.dumps({'alg': 'HS256'}).encode())}.e{part(b'[' * 99_999)}.{part(b's' * 32)}")
+    texts += [part(rng.randbytes(rng.randrange(24, 61))) for _ in range(30_000)]
+    texts += ["Zq" * 15 + part(bytes([0x30, 0x82]) + rng.randbytes(rng.randrange(0, 40))) for _ in range(3000)]
+    for text in texts:
+        assert not [s for s in secrets.spans_of(text) if s[0] in ("key", "hexkey", "jwt")], text[:80]
+
+
+def test_long_lines_take_linear_time():
+    rng, key = random.Random(9), base64.b64encode(keys()["rsa"]).decode()
+    for line in (base64.b64encode(rng.randbytes(6_000_000)).decode(), "MIIEowIBAAKCAQEA" * 200_000, "b3BlbnNzaC1rZXktdjEA" * 200_000):
+        began = time.time()
+        text = f"{line}{'A' * (-len(line) % 4)} {key}"
+        assert [s[:2] for s in secrets.spans_of(text) if s[0] == "key"][-1] == ("key", len(text) - len(key))
+        assert time.time() - began < 30

@@ -13,8 +13,8 @@ what has the structure of a secret is reported:
 * ``jwt``: a signed token whose header is a JSON object that names an algorithm,
   whose payload is a JSON object and whose signature fits.
 
-Each text is scanned whole, once, in time linear in its length for all but
-adversarial input. Defined results: a null text counts as empty and has no spans;
+Each text is scanned whole, once, in time linear in its length: a candidate is
+parsed through its headers, and only the bytes of those are decoded. Defined results: a null text counts as empty and has no spans;
 offsets are code points, ends exclusive; repeated rows are scanned alike; an
 empty table gives an empty result; other columns are not read.
 """
@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,85 +46,107 @@ _ANCHOR = re.compile(r"M[A-P]|b3BlbnNzaC1r")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{6,})\.(e[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
+#: A private key has at most nine fields and a few optional ones.
+MOST_PARTS = 12
 
 
-def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
+def _of_bytes(data: bytes) -> Callable[[int, int], bytes]:
+    """Reads n bytes at a place."""
+    return lambda at, n: data[at:at + n]
+
+
+def _of_base64(chars: str, begin: int) -> Callable[[int, int], bytes]:
+    """Reads n bytes at a place of what base64 from ``begin`` on stands for; decodes no more than that."""
+    def read(at: int, n: int) -> bytes:
+        part = chars[begin + at // 3 * 4:begin - (-(at + n) // 3) * 4]
+        return (_decode(part[:len(part) - (len(part) % 4 == 1)]) or b"")[at % 3:at % 3 + n]
+    return read
+
+
+def _header(read: Callable, at: int) -> tuple[int, int, int] | None:
     """Tag, start and length of the DER value at a place."""
-    if at + 2 > len(data):
+    head = read(at, 2)
+    if len(head) < 2:
         return None
-    tag, size = data[at], data[at + 1]
+    tag, size = head
     at += 2
     if size & 0x80:
         n = size & 0x7F
-        if not 1 <= n <= 4 or at + n > len(data):
+        if not 1 <= n <= 4:
             return None
-        size, at = int.from_bytes(data[at:at + n], "big"), at + n
-        if size < 0x80:
+        more = read(at, n)
+        size, at = int.from_bytes(more, "big"), at + n
+        if len(more) < n or size < 0x80:
             return None
     return tag, at, size
 
 
-def _children(data: bytes, start: int, stop: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, stop) of the values that fill a range exactly; None if they don't."""
+def _children(read: Callable, start: int, stop: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, stop) of the values that fill a range exactly; None if they don't or are more than a key has."""
     out = []
     while start < stop:
-        head = _header(data, start)
-        if head is None or head[1] + head[2] > stop:
+        head = _header(read, start)
+        if head is None or head[1] + head[2] > stop or len(out) == MOST_PARTS:
             return None
         out.append((head[0], head[1], head[1] + head[2]))
         start = head[1] + head[2]
     return out
 
 
-def private_der(data: bytes) -> bool:
-    """Whether bytes are, exactly, the DER of a private key."""
-    head = _header(data, 0)
-    if head is None or head[0] != 0x30 or head[1] + head[2] != len(data):
-        return False
-    parts = _children(data, head[1], len(data))
+def private_der(read: Callable, have: int) -> int | None:
+    """Length of the DER private key that bytes begin with; ``have`` is how many there are."""
+    head = _header(read, 0)
+    if head is None or head[0] != 0x30 or head[1] + head[2] > have:
+        return None
+    total = head[1] + head[2]
+    parts = _children(read, head[1], total)
     if not parts or len(parts) < 2:
-        return False
-    tags = [p[0] for p in parts]
-    body = [data[a:b] for _, a, b in parts]
-    if tags[0] == 0x02 and body[0] in (b"\0", b"\1"):
+        return None
+    tags, sizes = [p[0] for p in parts], [b - a for _, a, b in parts]
+
+    def algorithm(part: tuple[int, int, int]) -> list[int]:
+        inner = _children(read, part[1], part[2])
+        return [t for t, _, _ in inner] if inner and inner[0][0] == 0x06 else []
+
+    good = False
+    if tags[0] == 0x02 and sizes[0] == 1 and (version := read(parts[0][1], 1)) in (b"\0", b"\1"):
         if len(tags) >= 9 and set(tags[1:9]) == {0x02}:
-            return all(body[1:9])  # RSA: modulus, exponents, primes, coefficients
-        if body[0] == b"\1" and tags[1] == 0x04 and 16 <= len(body[1]) <= 80:
-            return True  # EC: the scalar
-        if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:
-            inner = _children(data, parts[1][1], parts[1][2])
-            return bool(inner) and inner[0][0] == 0x06 and len(body[2]) >= 16  # plain, any algorithm
-    if tags == [0x30, 0x04]:
-        inner = _children(data, parts[0][1], parts[0][2])
-        return bool(inner) and inner[0][0] == 0x06 and len(inner) >= 2 and inner[1][0] == 0x30 and len(body[1]) >= 16  # encrypted
-    return False
-
-
-def private_ssh(data: bytes) -> int | None:
+            good = all(sizes[1:9])  # RSA: modulus, exponents, primes, coefficients
+        elif version == b"\1" and tags[1] == 0x04 and 16 <= sizes[1] <= 80:
+            good = True  # EC: the scalar
+        elif tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:
+            good = bool(algorithm(parts[1])) and sizes[2] >= 16  # plain, any algorithm
+    elif tags == [0x30, 0x04]:
+        good = algorithm(parts[0])[1:2] == [0x30] and sizes[1] >= 16  # encrypted
+    return total if good else None
+
+
+def private_ssh(read: Callable, have: int) -> int | None:
     """Length of the OpenSSH private key that bytes begin with."""
     at = len(_SSH)
-    if not data.startswith(_SSH):
+    if read(0, at) != _SSH:
         return None
 
-    def field(at: int) -> int | None:
-        if at + 4 > len(data):
-            return None
-        end = at + 4 + int.from_bytes(data[at:at + 4], "big")
-        return end if end <= len(data) else None
+    def number(at: int) -> int | None:
+        return int.from_bytes(read(at, 4), "big") if at + 4 <= have else None
+
+    def field(at: int | None) -> int | None:
+        size = None if at is None else number(at)
+        return at + 4 + size if size is not None and at + 4 + size <= have else None
 
     for _ in range(3):  # cipher, derivation and its options
         at = field(at)
-        if at is None:
-            return None
-    if at + 4 > len(data):
+    keys = None if at is None else number(at)
+    if keys is None or not 1 <= keys <= 16:
         return None
-    keys = int.from_bytes(data[at:at + 4], "big")
     at += 4
-    for _ in range(keys + 1 if 1 <= keys <= 16 else 0):  # public keys, then the private block
+    for _ in range(keys + 1):  # public keys, then the private block
         at = field(at)
-        if at is None:
-            return None
-    return at if 1 <= keys <= 16 and at > len(_SSH) + 20 else None
+    return at if at is not None and at > len(_SSH) + 20 else None
+
+
+def private_key(read: Callable, have: int) -> int | None:
+    return private_der(read, have) or private_ssh(read, have)
 
 
 def _decode(chars: str) -> bytes | None:
@@ -132,46 +156,29 @@ def _decode(chars: str) -> bytes | None:
         return None
 
 
-def _key_in(chars: str) -> int | None:
-    """How many characters of base64 at the start of a run make up a private key."""
-    start = _decode(chars[:32])
-    if not start:
-        return None
-    if start[0] == 0x30:
-        head = _header(start, 0)
-        # A private key begins with a version or an algorithm; most runs end here.
-        if head is None or start[head[1]] not in (0x02, 0x30):
-            return None
-        need = -(-(head[1] + head[2]) * 4 // 3)
-        if need > len(chars):
-            return None
-        data = _decode(chars[:need] if need % 4 != 1 else chars[:need + 1])
-        return need if data is not None and private_der(data[:head[1] + head[2]]) else None
-    whole = len(chars) - (len(chars) % 4 == 1)
-    size = private_ssh(_decode(chars[:whole]) or b"") if start.startswith(_SSH) else None
-    return -(-size * 4 // 3) if size else None
-
-
 def _keys(text: str) -> list[tuple[int, int]]:
     out = []
     for run in _B64_RUN.finditer(text):
-        places, at = [], run.start()
-        for gap in _BETWEEN.finditer(text, *run.span()):
-            places += range(at, gap.start())
-            at = gap.end()
-        places += range(at, run.end())
-        chars = "".join(text[i] for i in places)
-        done = 0
+        # The run's characters without its breaks, and where each of its lines begins in both.
+        lines, begins, places, at, n = [], [], [], run.start(), 0
+        for stop, after in [g.span() for g in _BETWEEN.finditer(text, *run.span())] + [(run.end(), run.end())]:
+            lines.append(text[at:stop])
+            begins.append(n)
+            places.append(at)
+            n, at = n + stop - at, after
+        chars, done = "".join(lines), 0
+        place = lambda i: places[(k := bisect.bisect_right(begins, i) - 1)] + i - begins[k]
         for anchor in _ANCHOR.finditer(chars):
-            if anchor.start() < done:
+            begin = anchor.start()
+            if begin < done:
                 continue
-            need = _key_in(chars[anchor.start():])
-            if need:
-                done = anchor.start() + need
-                stop = places[done - 1] + 1
+            size = private_key(_of_base64(chars, begin), (n - begin) * 3 // 4)
+            if size:
+                done = begin - (-size * 4 // 3)
+                stop = place(done - 1) + 1
                 while text[stop:stop + 1] == "=" and stop < run.end():
                     stop += 1
-                out.append((places[anchor.start()], stop))
+                out.append((place(begin), stop))
     return out
 
 
@@ -180,10 +187,7 @@ def _hex_keys(text: str) -> list[tuple[int, int]]:
     for run in _HEX_RUN.finditer(text):
         at = run.start()
         data = bytes.fromhex(text[at:run.end() - (run.end() - at) % 2])
-        head = _header(data, 0)
-        size = head[1] + head[2] if data[0] == 0x30 and head else None
-        if not (size and size <= len(data) and private_der(data[:size])):
-            size = private_ssh(data)
+        size = private_key(_of_bytes(data), len(data))
         if size:
             out.append((at, at + 2 * size))
     return out
@@ -195,7 +199,7 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     for part in (header, payload):
         try:
             parts.append(json.loads(_decode(part) or b""))
-        except ValueError:
+        except (ValueError, RecursionError):
             return False
     if not all(isinstance(p, dict) for p in parts) or not isinstance(parts[0].get("alg"), str) or not parts[0]["alg"]:
         return False
