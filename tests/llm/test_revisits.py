@@ -62,3 +62,28 @@ def test_headers_and_urls(spark):
     assert by_id[3].outcome == by_id[4].outcome == by_id[5].outcome == "orphan"
     assert by_id[7].outcome == "unchecked" and by_id[7].base_id == 6 and by_id[7].headers == {}
     assert revisits.resolve(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_repeated_record_ids(spark):
+    """One record_id on several URLs and times, repeated rows: one row per revisit, each by its own URL."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(1500):
+        full = rng.random() < 0.5
+        url, tag = f"http://a.example/{rng.randrange(6)}", rng.choice(['"1"', '"2"', None])
+        rows.append((rng.choice([None, *range(8)]), url, rng.choice([None, *range(40)]), "response" if full else "revisit",
+                     {"ETag": tag} if tag else None, rng.choice("ab") if full else None, 1 if full else None))
+    rows += rng.sample(rows, 200)
+    got = sorted(((r.record_id, r.canonical, r.ts, r.outcome, r.base_id, r.body_sha256) for r in revisits.resolve(frame(spark, rows)).collect()), key=repr)
+    early = lambda t: -1 if t is None else t
+    want = []
+    for i, url, ts, kind, headers, _, _ in rows:
+        if kind == "response":
+            continue
+        before = [r for r in rows if r[3] == "response" and r[1] == url and r[0] is not None and early(r[2]) < early(ts)]
+        base = max(before, key=lambda r: (early(r[2]), r[0], r[5], repr(r[4]) if r[4] else ""), default=None) if i is not None else None
+        a, b = (headers or {}).get("ETag"), ((base or [None] * 5)[4] or {}).get("ETag")
+        outcome = "orphan" if base is None else "unchecked" if a is None or b is None else "etag" if a == b else "mismatch"
+        good = outcome in ("etag", "unchecked")
+        want.append((i, url.removeprefix("http://"), ts, outcome, base[0] if good else None, base[5] if good else None))
+    assert got == sorted(want, key=repr)

@@ -18,7 +18,8 @@ results: a null URL or record_id is never matched; a null time comes before all
 responses at one time the one with the greatest record_id counts, and a revisit at the
 same time does not see it; null headers are empty; header names are compared
 without case and, of names that differ in case only, the first in order is used;
-repeated revisits are each resolved, repeated responses count once; an empty
+repeated revisits are each resolved, repeated responses (same URL, time and
+record_id) count once; one record_id may stand for several captures; an empty
 table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
@@ -77,20 +78,24 @@ def resolve(captures: DataFrame) -> DataFrame:
     named = base.filter(F.col("canonical").isNotNull())
     order = ["canonical", "ts", "full", "record_id"]
     sorted_ = checkpoint(named.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    seen = F.when(F.col("full"), F.struct(F.col("ts"), F.col("record_id")))
+    seen = F.when(F.col("full") & F.col("record_id").isNotNull(), F.struct(F.col("ts"), F.col("record_id")))
     narrow = sorted_.select(*order, "_part")
     scanned = exclusive_scan(narrow, ["canonical"], F.col("_part"), ["ts", "full", "record_id"], {"latest": ("max", seen)})
+    # A record_id alone may be used twice; URL, time and record_id name a capture.
+    name_of = lambda ts, i: F.to_json(F.struct(F.col("canonical"), F.col(ts).alias("ts"), F.col(i).alias("id")))
     pointers = checkpoint(scanned.filter("not full and latest is not null").select(
-        F.col("record_id").alias("_id"), F.col("latest.record_id").alias("base_id")).distinct())
-    full = sorted_.filter("full").select(
-        F.col("record_id").alias("base_id"), F.col("headers").alias("stored"), "body_sha256", "body_length").dropDuplicates(["base_id"])
+        "canonical", "ts", "record_id", F.col("latest.record_id").alias("base_id"), name_of("latest.ts", "latest.record_id").alias("base")).distinct())
+    # Captures of one name that differ: the one with the greatest digest, length and headers.
+    stored = F.struct(F.col("headers").alias("stored"), "body_sha256", "body_length")
+    rank = F.struct("body_sha256", "body_length", F.to_json(F.array_sort(F.map_entries("headers"))))
+    full = sorted_.filter("full").groupBy(name_of("ts", "record_id").alias("base")).agg(F.max_by(stored, rank).alias("_stored")).select("base", "_stored.*")
     # A response that answers most revisits is hot, so it is looked up by weight.
-    uses = pointers.groupBy("base_id").agg(F.count("*").alias("uses"))
+    uses = pointers.groupBy("base").agg(F.count("*").alias("uses"))
     total = max(1, pointers.count())
-    table = checkpoint(full.join(uses, "base_id"))
-    answered = look_up(pointers, table, "base_id", "uses", total)
+    table = checkpoint(full.join(uses, "base"))
+    answered = look_up(pointers, table, "base", "uses", total)
     revisits = base.filter("not full").select("record_id", "canonical", "ts", F.col("headers").alias("fresh"))
-    met = revisits.join(answered, F.col("record_id") == F.col("_id"), "left")
+    met = revisits.join(answered, ["canonical", "ts", "record_id"], "left")
     weak = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     a, b = weak(F.col("fresh")), weak(F.col("stored"))
     c, d = F.element_at("fresh", "last-modified"), F.element_at("stored", "last-modified")
