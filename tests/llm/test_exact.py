@@ -51,3 +51,28 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact.dedup(none).count() == 0
     assert exact.keep_one(none).count() == 0
+
+
+def test_deliveries_meet_again(spark):
+    """State outlives a run: later deliveries know what earlier ones brought."""
+    from veilframe.session import scratch_path
+
+    folder = scratch_path(spark, "deliveries")
+    frame = lambda rows: spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], SCHEMA)
+    first = exact.deliver(frame([(1, "Same"), (5, "other"), (6, None)]), folder).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in first) == [(1, 1, 1, True), (5, 5, 1, True), (6, 6, 1, True)]
+    again = exact.deliver(frame([(1, "Same"), (5, "other"), (6, None)]), folder).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in again) == [(1, 1, 2), (5, 5, 2), (6, 6, 2)]
+    third = exact.deliver(frame([(3, "sAME"), (0, "OTHER"), (9, "new")]), folder).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in third) == [(0, 5, 3, False), (3, 3, 3, True), (9, 9, 1, True)]
+
+
+def test_small_batches(spark):
+    """Many batches give the state of one."""
+    from veilframe.session import scratch_path
+
+    folder = scratch_path(spark, "batches")
+    docs = spark.createDataFrame([(i, f"text {i % 7}", "a", "b", "c", "d") for i in range(100)], SCHEMA).repartition(5)
+    exact.arrivals(docs, folder)
+    held = exact.registry(spark, folder, bytes_per_batch=1).collect()
+    assert sorted((r.group_size, r.keep.doc_id) for r in held) == sorted((len(range(k, 100, 7)), max(range(k, 100, 7))) for k in range(7))
