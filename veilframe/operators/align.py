@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
-from veilframe.functions import fuzzy, geometry as G
+from veilframe.functions import geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.scan import bind, unfold
+from veilframe.operators import similar
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
+from veilframe.session import checkpoint
 
 SEGMENT_TOKENS = 512
 
@@ -134,48 +136,34 @@ def align(
     return joined.withColumnRenamed("found", "word").drop("needle")
 
 
-def _scorer(fn, schema: str):
-    """A pandas UDF over (needle, token texts, own count) with a small memory of pairs."""
-    @F.pandas_udf(schema)
-    def column(needle: pd.Series, texts: pd.Series, own: pd.Series) -> pd.DataFrame:
-        known: dict = {}
-        rows = [fn(n, list(t), int(o), known) for n, t, o in zip(needle, texts, own)]
-        return pd.DataFrame(rows, columns=[part.split(":")[0].strip().split(" ")[0] for part in schema.split(",")])
-    return column
+def _low(tokens: DataFrame) -> DataFrame:
+    return tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("low"))
 
 
-def _best_token(needle: str, texts: list, own: int, known: dict) -> tuple:
-    best, at = 0, -1
-    for i in range(own):
-        pair = (needle, texts[i])
-        if pair not in known:
-            known[pair] = fuzzy.token_set_ratio(needle, texts[i])
-        if known[pair] > best:
-            best, at = known[pair], i
-    return best, at
-
-
-def _first_window(width: int, least: int):
-    def find(needle: str, texts: list, own: int, known: dict) -> tuple:
-        for i in range(own):
-            if fuzzy.partial_reaches(needle, " ".join(texts[i:i + width]), least):
-                return i, 1
-        return -1, 0
-    return find
-
-
-def _meet(needles: DataFrame, tokens: DataFrame, ahead: int, fn, schema: str) -> DataFrame:
-    """Score needles against the segments of their page; adds the scorer's columns."""
-    segs = _segments(tokens, ahead).select(
+def _windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """Runs of so many tokens from each token on, fewer at a page's end; equal ones of a page as their first."""
+    segs = _segments(tokens, max(widths) - 1).select(
         *PAGE, F.transform("toks", lambda t: t["low"]).alias("lows"), F.get("toks", 0)["idx"].alias("idx0"),
         F.size(F.filter("toks", lambda t: F.floor(t["idx"] / SEGMENT_TOKENS) == F.col("seg"))).alias("own"))
-    scored = needles.join(segs, PAGE).withColumn("s", _scorer(fn, schema)("needle", "lows", "own"))
-    return scored.select(*needles.columns, "idx0", "s.*")
+    starts = segs.where("own > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("at"))
+    runs = starts.select(*PAGE, (F.col("idx0") + F.col("at")).alias("idx"), F.explode(F.array(*[F.lit(w) for w in widths])).alias("w"), "lows", "at")
+    named = runs.select(*PAGE, F.array_join(F.slice("lows", F.col("at") + 1, F.col("w")), " ").alias("body"), F.struct("idx", "w").alias("run"))
+    return named.groupBy(*PAGE, "body").agg(F.min("run").alias("run"))
+
 
+def _first_window(needles: DataFrame, tokens: DataFrame, widths: list[int], least: int) -> DataFrame:
+    """Start (and width) of the first run that holds something similar to a needle."""
+    pages = needles.select(*PAGE).distinct()
+    runs = _windows(tokens.join(pages, PAGE, "left_semi"), widths)
+    hits = similar.partial_join(needles, runs, PAGE, "needle", "body", least)
+    met = hits.select(*PAGE, F.col("a").alias("needle"), F.col("b").alias("body")).join(runs, [*PAGE, "body"])
+    return met.groupBy(*PAGE, "needle").agg(F.min("run").alias("run")).select(*PAGE, "needle", "run.idx", "run.w")
 
-def _boxed_run(found: DataFrame, tokens: DataFrame, keys: list[str], width: int) -> DataFrame:
+
+def _boxed_run(found: DataFrame, tokens: DataFrame, keys: list[str], width: int | Column) -> DataFrame:
     """Fetch ``width`` tokens from ``idx`` on and put one box around them."""
-    wide = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("_at", F.col("idx") + F.col("k"))
+    width = F.lit(width) if isinstance(width, int) else width
+    wide = found.withColumn("k", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("_at", F.col("idx") + F.col("k"))
     toks = tokens.select(*PAGE, F.col("idx").alias("_at"), "text", "left_x", "top", "width", "height")
     item = F.struct(
         "k", "text", F.col("left_x").alias("x0"), F.col("top").alias("y0"),
@@ -189,13 +177,13 @@ def align_fuzzy(preds: DataFrame, tokens: DataFrame, least: int = 72) -> DataFra
     """Tokens for predictions that do not occur literally: the most similar
     token, else the first run of four that holds something similar."""
     needles = _needles(preds)
-    missing = needles.join(occurrences(needles, tokens).select(*PAGE, "needle"), PAGE + ["needle"], "left_anti")
-    best = _meet(missing, tokens, 0, _best_token, "best int, pos int").where("best > 0")
-    top = best.groupBy(*PAGE, "needle").agg(F.max(F.struct("best", (-(F.col("idx0") + F.col("pos"))).alias("neg"))).alias("m"))
-    single = top.where(F.col("m.best") >= least).select(*PAGE, "needle", (-F.col("m.neg")).alias("idx"))
+    missing = checkpoint(needles.join(occurrences(needles, tokens).select(*PAGE, "needle"), PAGE + ["needle"], "left_anti"))
+    words = _low(tokens.join(missing.select(*PAGE).distinct(), PAGE, "left_semi"))
+    alike = similar.token_set_join(missing, words, PAGE, "needle", "low", least).withColumnsRenamed({"a": "needle", "b": "low"})
+    best = F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m")
+    single = checkpoint(alike.join(words, [*PAGE, "low"]).groupBy(*PAGE, "needle").agg(best).select(*PAGE, "needle", (-F.col("m.neg")).alias("idx")))
     rest = missing.join(single, PAGE + ["needle"], "left_anti")
-    windows = _meet(rest, tokens, 3, _first_window(4, 70), "pos int, hit int").where("hit = 1")
-    first = windows.groupBy(*PAGE, "needle").agg(F.min(F.col("idx0") + F.col("pos")).alias("idx"))
+    first = _first_window(rest, tokens, [4], 70)
     keys = [*PAGE, "needle"]
     found = _boxed_run(single, tokens, keys, 1).withColumn("how", F.lit("token")).unionByName(
         _boxed_run(first, tokens, keys, 4).withColumn("how", F.lit("window")))
@@ -203,18 +191,21 @@ def align_fuzzy(preds: DataFrame, tokens: DataFrame, least: int = 72) -> DataFra
     return labels.join(found, keys)
 
 
-def align_hits(hits: DataFrame, tokens: DataFrame, width: int = 6) -> DataFrame:
+def align_hits(hits: DataFrame, tokens: DataFrame, width: int = 6, variant: str = "v3") -> DataFrame:
     """Tokens for text hits (columns word, label): an equal token, else the
-    first run that holds something similar."""
+    first run that holds something similar.
+
+    Runs have ``width`` tokens, in variant v1 one to eight: the first start
+    that any run fits, and from there the shortest.
+    """
     keyed = hits.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "label").where(F.length("needle") > 0).distinct()
-    exact = keyed.join(tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("needle")), PAGE + ["needle"])
-    exact = exact.groupBy(*PAGE, "needle", "label").agg(F.min("idx").alias("idx"))
+    exact = checkpoint(exact_hits(hits, tokens))
     rest = keyed.join(exact, PAGE + ["needle", "label"], "left_anti").select(*PAGE, "needle").distinct()
-    windows = _meet(rest, tokens, width - 1, _first_window(width, 70), "pos int, hit int").where("hit = 1")
-    first = windows.groupBy(*PAGE, "needle").agg(F.min(F.col("idx0") + F.col("pos")).alias("idx"))
+    widths = list(range(1, 9)) if variant == "v1" else [width]
+    first = _first_window(checkpoint(rest), tokens, widths, 70)
     keys = [*PAGE, "needle", "label"]
     one = _boxed_run(exact, tokens, keys, 1).withColumn("how", F.lit("token"))
-    run = _boxed_run(first, tokens, [*PAGE, "needle"], width).withColumn("how", F.lit("window"))
+    run = _boxed_run(first, tokens, [*PAGE, "needle"], F.col("w")).withColumn("how", F.lit("window"))
     labels = keyed.join(exact, keys, "left_anti")
     return one.unionByName(labels.join(run, [*PAGE, "needle"]).select(*one.columns))
 
@@ -226,34 +217,21 @@ def exact_hits(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     return same.groupBy(*PAGE, "needle", "label").agg(F.min("idx").alias("idx"))
 
 
-def _matching(ratio_least: int | None, partial_least: int):
-    def find(needle: str, texts: list, own: int, known: dict) -> tuple:
-        hits = []
-        for i in range(own):
-            pair = (needle, texts[i])
-            if pair not in known:
-                known[pair] = needle == texts[i] or (
-                    ratio_least is not None and fuzzy.reaches(needle, texts[i], ratio_least)
-                ) or fuzzy.partial_reaches(needle, texts[i], partial_least)
-            if known[pair]:
-                hits.append(i)
-        return (hits,)
-    return find
-
-
 def propagate_names(people: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
     """More places of the people found on a page: like tokens and merged lines
     that hold a name. Boxes already known are left out."""
     needles = people.select(*PAGE, F.lower(F.col("word")).alias("needle")).distinct()
 
-    def spread(table: DataFrame, fn) -> DataFrame:
-        met = _meet(needles, table, 0, fn, "hits array<int>")
-        at = met.select(*PAGE, "idx0", F.explode("hits").alias("pos")).select(*PAGE, (F.col("idx0") + F.col("pos")).alias("idx")).distinct()
-        boxed = table.select(*PAGE, "idx", F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),
-                             (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
-        return boxed.join(at, PAGE + ["idx"], "left_semi").drop("idx")
+    def spread(table: DataFrame, pairs) -> DataFrame:
+        low = table.join(needles.select(*PAGE).distinct(), PAGE, "left_semi").withColumn("low", F.lower(F.col("text")))
+        like = pairs(low).select(*PAGE, F.col("b").alias("low")).distinct()
+        return low.join(like, PAGE + ["low"], "left_semi").select(
+            *PAGE, F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),
+            (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
 
-    near = spread(tokens, _matching(88, 85)).unionByName(spread(lines, _matching(None, 75)))
+    args = (PAGE, "needle", "low")
+    near = spread(tokens, lambda low: similar.ratio_join(needles, low, *args, 88).unionByName(similar.partial_join(needles, low, *args, 85))).unionByName(
+        spread(lines, lambda low: similar.partial_join(needles, low, *args, 75)))
     fresh = near.join(people.select(*PAGE, *BOX).distinct(), PAGE + BOX, "left_anti")
     first = fresh.groupBy(*PAGE, *BOX).agg(F.min("word").alias("word"))
     return first.withColumn("label", F.lit("B-PER"))

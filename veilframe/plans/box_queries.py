@@ -290,6 +290,11 @@ def regex_align(spark, folder):
     return align.align_hits(_page_hits(spark, folder), numbered(spark, folder))
 
 
+@query("regex_align_v1")
+def regex_align_v1(spark, folder):
+    return align.align_hits(_page_hits(spark, folder), numbered(spark, folder), variant="v1")
+
+
 @query("ner_align_fuzzy")
 def ner_align_fuzzy(spark, folder):
     return align.align_fuzzy(align.vote(view(spark, folder, "v_ner_preds")), numbered(spark, folder))
