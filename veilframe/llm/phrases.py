@@ -40,6 +40,8 @@ from veilframe.llm.registry import query
 from veilframe.session import checkpoint
 
 TOP, LEAST, LONGEST = 2000, 30, 4
+#: The first batch takes pairs of as many times TOP ranks.
+FIRST = 4
 FULL = 2_000_000
 #: Bits of a filter (4 MB), tokens to a chunk, bytes to a slice, words and languages a task remembers.
 FILTER_BITS, CHUNK, SLICE, WORDS, LANGS = 25, 1 << 20, 1 << 22, 1 << 20, 64
@@ -102,36 +104,41 @@ def _holds(bitmap, bits):
 
 
 class _Vocabulary(dict):
-    """Numbers a task's words; a word that is too rare, like the end of a piece, is 0."""
+    """Numbers a task's words; 0 is the end of a piece. What is known of a word is looked up in bulk."""
 
     def __init__(self, lang: str, common):
         import numpy as np
 
         super().__init__({b".": 0})
-        self.lang, self.common, self.words, self.hashes = lang, common, [b"."], np.zeros(1024, np.uint64)
+        self.lang, self.common, self.words = lang, common, [b"."]
+        self.hashes, self.usual = np.zeros(1, np.uint64), np.zeros(1, bool)
 
     def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+    def learn(self) -> None:
+        """Hashes of the words that came in, and whether they are common."""
         import numpy as np
 
-        h = _word_hash(self.lang, word)
-        number = 0
-        if _holds(self.common, _bits([np.array([h], np.uint64)]))[0]:
-            number = len(self.words)
-            self.words.append(word)
-            if number == len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros(number, np.uint64)])
-            self.hashes[number] = h
-        self[word] = number
-        return number
+        fresh = self.words[len(self.hashes):]
+        hashes = np.fromiter((_word_hash(self.lang, w) for w in fresh), np.uint64, len(fresh))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.usual = np.concatenate([self.usual, _holds(self.common, _bits([hashes]))])
 
 
 class _Chunks:
-    """The token stream of one language in a task, counted chunk by chunk."""
+    """The token stream of one language in a task, counted chunk by chunk.
+
+    ``wanted`` has, per size of phrase, the filters of what a phrase may begin with
+    and end with; None lets every phrase of common words pass.
+    """
 
-    def __init__(self, lang: str, size: int, common, before, after, whole):
-        self.lang, self.size, self.common = lang, size, common
-        self.before, self.after, self.whole = before, after, whole
+    def __init__(self, lang: str, common, wanted: dict):
+        self.lang, self.common, self.wanted = lang, common, wanted
         self.numbers, self.waiting, self.held = _Vocabulary(lang, common), [], 0
+        self.kept = max(wanted) - 1
 
     def add(self, tokens: list[bytes]) -> Iterator[tuple[list[str], list[int]]]:
         import numpy as np
@@ -139,52 +146,65 @@ class _Chunks:
         self.waiting.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens)))
         self.held += len(tokens)
         if self.held >= CHUNK or len(self.numbers) > WORDS:
-            yield self.counted()
+            yield from self.counted()
 
     def end(self) -> None:
         """No phrase goes on into the next text."""
         import numpy as np
 
-        self.waiting.append(np.zeros(1, np.int64))
+        self.waiting.append(np.zeros(self.kept, np.int64))
 
-    def counted(self) -> tuple[list[str], list[int]]:
+    def counted(self) -> Iterator[tuple[list[str], list[int]]]:
         """Phrases of the waiting tokens and their counts; the last few tokens wait on."""
         import numpy as np
 
-        ids, m = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.int64), self.size
-        words = self.numbers.words
-        tail = ids[-(m - 1):]
-        span = max(0, len(ids) - m + 1)
-        at = np.flatnonzero(reduce(np.logical_and, [ids[k:k + span] > 0 for k in range(m)]))
-        if any(b is not None for b in (self.before, self.after, self.whole)):
-            hashes = [self.numbers.hashes[ids[at + k]] for k in range(m)]
-            tests = [(self.before, hashes[:-1]), (self.after, hashes[1:]), (self.whole, hashes)]
-            at = at[reduce(np.logical_or, [_holds(kept, _bits(h)) for kept, h in tests if kept is not None])]
+        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.int64)
+        words, tail = self.numbers.words, ids[-self.kept:]
+        self.numbers.learn()
+        usual = self.numbers.usual[ids]
+        for m, filters in self.wanted.items():
+            # Of shorter phrases those that lie in the last tokens are counted with what follows.
+            span = max(0, len(ids) - self.kept)
+            yield self._of_size(ids, usual, span, m, filters)
+        if len(self.numbers) > WORDS:
+            self.numbers = _Vocabulary(self.lang, self.common)
+            tail = np.fromiter((self.numbers[words[i]] for i in tail.tolist()), np.int64, len(tail))
+        self.waiting, self.held = [tail], len(tail)
+
+    def _of_size(self, ids, usual, span: int, m: int, filters) -> tuple[list[str], list[int]]:
+        import numpy as np
+
+        words, hashes = self.numbers.words, self.numbers.hashes
+        at = np.flatnonzero(reduce(np.logical_and, [usual[k:k + span] for k in range(m)]))
+        if filters is not None:
+            before, after = filters
+            pass_ = np.zeros(len(at), bool)
+            for kept, first in ((before, 0), (after, 1)):
+                if kept is not None:
+                    pass_ |= _holds(kept, _bits([hashes[ids[at + first + k]] for k in range(m - 1)]))
+            at = at[pass_]
         # A phrase's number: that of all words but the last, in order, then the last word's.
         key = ids[at]
         for k in range(1, m):
             key = (np.unique(key, return_inverse=True)[1] if k > 1 else key) << 32 | ids[at + k]
         _, index, n = np.unique(key, return_index=True, return_counts=True)
         columns = [[words[i] for i in ids[at[index] + k].tolist()] for k in range(m)]
-        phrases = [b" ".join(p).decode() for p in zip(*columns)]
-        if len(self.numbers) > WORDS:
-            self.numbers = _Vocabulary(self.lang, self.common)
-            tail = np.fromiter((self.numbers[words[i]] for i in tail.tolist()), np.int64, len(tail))
-        self.waiting, self.held = [tail], len(tail)
-        return phrases, n.tolist()
+        return b"\n".join(map(b" ".join, zip(*columns))).decode().split("\n") if len(index) else [], n.tolist()
 
 
-def counts(docs: DataFrame, size: int, common=None, before=None, after=None, whole=None) -> DataFrame:
-    """lang, phrase and f of phrases of ``size`` words with LEAST occurrences or more.
+def counts(docs: DataFrame, common=None, wanted: dict | None = None) -> DataFrame:
+    """lang, phrase and f of phrases with LEAST occurrences or more.
 
-    Single words come with a row of null phrase that counts all words. Longer phrases
-    are counted if their words are ``common`` and, where filters are given, if they begin
-    with a phrase of ``before``, end with one of ``after`` or are one of ``whole``.
+    Without ``wanted``, of single words, with a row of null phrase that counts all
+    words. Else of phrases of ``common`` words of the wanted sizes, whose value is a pair of
+    filters, of what a phrase begins with and of what it ends with; one of them
+    must hold. None takes every phrase.
     """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [None if b is None else b.value for b in (common, before, after, whole)]
+        value = lambda b: None if b is None else b.value
+        told = wanted and {m: f and tuple(map(value, f)) for m, f in wanted.items()}
         by_lang: dict = {}
 
         def out(lang, phrases, numbers):
@@ -199,22 +219,25 @@ def counts(docs: DataFrame, size: int, common=None, before=None, after=None, who
         def all_out():
             while by_lang:
                 lang, state = by_lang.popitem()
-                yield words_out(lang, state) if size == 1 else out(lang, *state.counted())
+                if told:
+                    state.end()
+                    yield from (out(lang, *found) for found in state.counted())
+                else:
+                    yield words_out(lang, state)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for tokens in tokens_of(text.as_buffer().to_pybytes()):
-                    if size == 1:
+                    if not told:
                         c = by_lang.setdefault(lang, Counter())
                         c.update(tokens)
-                        if len(c) > WORDS // 4:
+                        if len(c) > WORDS // 2:
                             yield words_out(lang, by_lang.pop(lang))
                         continue
                     if lang not in by_lang:
-                        by_lang[lang] = _Chunks(lang, size, *kept)
-                    for phrases, numbers in by_lang[lang].add(tokens):
-                        yield out(lang, phrases, numbers)
-                if size > 1 and lang in by_lang:
+                        by_lang[lang] = _Chunks(lang, value(common), told)
+                    yield from (out(lang, *found) for found in by_lang[lang].add(tokens))
+                if told and lang in by_lang:
                     by_lang[lang].end()
                 if len(by_lang) > LANGS:
                     yield from all_out()
@@ -283,36 +306,39 @@ def _unexplained(rows: DataFrame, size: int, longer: DataFrame) -> DataFrame:
         F.col("_most").isNull() | (100 * F.col("_most").cast("decimal(20,0)") < 80 * F.col("a").cast("decimal(20,0)"))).drop("_most")
 
 
+def _joined(old: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Counts of old and new phrases, each once; a phrase counted twice has the same count."""
+    return more if old is None else checkpoint(old.unionByName(more).distinct())
+
+
 def mine(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
     spark = docs.sparkSession
     docs = docs.select("lang", "text")
-    words = counts(docs, 1)
+    words = counts(docs)
     common = phrase_filter(words.filter("phrase is not null"))
-    pairs = counts(docs, 2, common)
+    pairs = counts(docs, common, {2: None})
     two = checkpoint(scored(pairs, 2, words))
     known = words.unionByName(pairs)
     open_langs = two.select("lang").distinct().withColumn("before", F.lit(FULL).cast("bigint"))
     threes = fours = None
-    settled, rank = [], TOP
+    settled, rank = [], FIRST * TOP
     while True:
         taus = checkpoint(_at_rank(two, rank).join(open_langs, "lang"))
         if taus.isEmpty():
             break
         # Pairs are grown where their bound, and looked behind where their score, reaches tau.
-        more = counts(docs, 3, common, phrase_filter(_between(two, taus, "bound")), phrase_filter(_between(two, taus, "score")))
-        threes = more if threes is None else checkpoint(threes.unionByName(more).distinct())
+        grown, likely = _between(two, taus, "bound"), _between(two, taus, "score")
+        threes = _joined(threes, counts(docs, common, {3: (phrase_filter(grown), phrase_filter(likely))}))
         three = checkpoint(scored(threes, 3, known))
-        grown = _between(three, taus, "bound")
-        more = counts(docs, 4, common, phrase_filter(grown), phrase_filter(_between(three, taus, "score")))
-        fours = more if fours is None else checkpoint(fours.unionByName(more).distinct())
-        # Of four words, those that can reach tau; their last three may not have been counted yet.
-        parents = three.select("lang", F.col("phrase").alias("_p"), "bound")
-        near = fours.withColumn("_p", _words(F.col("phrase"), 3)).join(parents, ["lang", "_p"]).drop("_p")
-        near = checkpoint(_with(near, taus).filter("bound >= tau").select("lang", "phrase", "f"))
-        ends = near.select("lang", _words(F.col("phrase"), -3).alias("phrase")).distinct().join(threes, ["lang", "phrase"], "left_anti")
-        if not ends.isEmpty():
-            threes = checkpoint(threes.unionByName(counts(docs, 3, common, whole=phrase_filter(ends))).distinct())
+        grown, likely = checkpoint(_between(three, taus, "bound")), _between(three, taus, "score")
+        # What a grown phrase ends with may end a longer one, and so has its own count taken.
+        ends = phrase_filter(grown.select("lang", _words(F.col("phrase"), -2).alias("phrase")).distinct())
+        more = counts(docs, common, {4: (phrase_filter(grown), phrase_filter(likely)), 3: (ends, None)})
+        blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+        fours, threes = _joined(fours, more.filter(blanks == 3)), _joined(threes, more.filter(blanks == 2))
+        parents = _with(three, taus).filter("bound >= tau").select("lang", F.col("phrase").alias("_p"))
+        near = fours.withColumn("_p", _words(F.col("phrase"), 3)).join(parents, ["lang", "_p"], "left_semi").drop("_p")
         four = scored(near, 4, known.unionByName(threes))
         reached = _unexplained(two, 2, threes).unionByName(_unexplained(three, 3, fours)).unionByName(four)
         reached = checkpoint(_with(reached, taus).filter("score >= tau"))
