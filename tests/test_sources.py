@@ -108,7 +108,7 @@ def test_text_report(spark):
     assert empty[3] == "Total Pages: 1" and empty[-1] == "Page 1: 0 redactions" and "Total Redactions: 0" in empty
 
 
-def test_identity_spreads_and_matches(spark):
+def test_identity_spreads_and_matches(spark, monkeypatch):
     import random
     rng = random.Random(1)
     vectors = [[rng.gauss(0, .3) for _ in range(8)] for _ in range(300)]
@@ -116,9 +116,34 @@ def test_identity_spreads_and_matches(spark):
     refs = df.where("vec_id < 20")
     dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** .5
     want = {i for i, v in enumerate(vectors) if min(dist(v, r) for r in vectors[:20]) < .5}
-    for most in (1 << 20, 300):
-        got = [r.vec_id for r in video.match_identities(df, refs, most=most).collect()]
+    for block in (1024, 3):
+        monkeypatch.setattr(video, "MATCH_BLOCK", block)
+        got = [r.vec_id for r in video.match_identities(df, refs).collect()]
         assert set(got) == want and len(got) == len(want) > 20
+    none = df.limit(0)
+    assert video.match_identities(df, none).count() == 0 and video.match_identities(none, refs).count() == 0
+
+
+def test_many_identities_meet_few_blocks(spark):
+    """A hundred thousand vectors against ten thousand references in clusters: right, and most pairs never meet."""
+    import numpy as np
+    from veilframe.session import checkpoint
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 2
+    make = lambda n, spread: centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 16)) * spread
+    refs, vectors = make(10_000, 0.05), make(100_000, 0.14)
+    pd = __import__("pandas")
+    frame = lambda m: spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(m)), "embedding": list(m)})).repartition(8)
+    df, known = frame(vectors), frame(refs)
+    want, pairs = set(), 0
+    for at in range(0, 100_000, 5000):
+        gaps = (vectors[at:at + 5000]**2).sum(1)[:, None] + (refs**2).sum(1) - 2 * vectors[at:at + 5000] @ refs.T
+        want |= set((at + np.flatnonzero(gaps.min(1) < 0.25)).tolist())
+    got = [r.vec_id for r in video.match_identities(df, known, limit=0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 1000 < len(want) < 99_000
+    row = lambda d: d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    pairs = video._blocks(checkpoint(row(df)), checkpoint(row(known).select("v")), 0.5).selectExpr("sum(cast(size(ids) as bigint) * size(refs))").first()[0]
+    assert pairs < 0.3 * len(vectors) * len(refs)
 
 
 def test_report_counts_frames_without_boxes(spark):

@@ -141,54 +141,118 @@ def sticky_authorised(rows: DataFrame, keys: list[str], frame: str = "frame_no",
         "authorised", F.coalesce(F.col(frame) >= F.col("_since"), F.lit(False))).drop("_since")
 
 
-#: References of up to this many bytes are compared in one pass.
-REFERENCE_BYTES = 64 << 20
+#: Vectors to a block of the comparison; pivots at most, whatever the number of references.
+MATCH_BLOCK, MOST_PIVOTS = 1024, 256
 
 
-def match_identities(
-    vectors: DataFrame, refs: DataFrame, limit: float = C.FACE_MATCH_DISTANCE, ident: str = "vec_id",
-    vector: str = "embedding", most: int = REFERENCE_BYTES,
-) -> DataFrame:
-    """Ids of vectors nearer than ``limit`` to any reference.
+def _distances(own, others):
+    """Euclidean distances of all rows to all others, by one product."""
+    import numpy as np
+
+    return np.sqrt(np.maximum((own**2).sum(1)[:, None] + (others**2).sum(1) - 2 * own @ others.T, 0))
+
+
+def _slack(own, others) -> float:
+    """More than what rounding can take from a distance."""
+    return 1e-6 * (1 + max(float(abs(m).max(initial=0)) * m.shape[1] ** 0.5 for m in (own, others)))
+
 
-    References are a small authorised set. Their bytes are summed first and
-    divided by ``most`` into blocks; each block is sent to all tasks and compared
-    with whole batches by one matrix product. A larger set takes more passes over
-    the vectors, never a larger block.
+def _rows_of(column):
+    """A matrix from a column of equally long lists."""
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def pivot_keys(rows: DataFrame, pivots, limit: float | None = None) -> DataFrame:
+    """Add each row's reach: of its nearest pivot or, with a limit, of every pivot that can
+    be the nearest of a row closer than that, the cell and the least and greatest
+    distance from the pivot that the row, or such a row, can have.
+
+    A row nearest to pivot p and closer than the limit to v has v no further from
+    p than from any other pivot plus twice the limit.
     """
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _rows_of(batch.column(1))
+            gaps, slack = _distances(own, pivots), _slack(own, pivots)
+            near = np.arange(len(pivots)) == gaps.argmin(1)[:, None] if limit is None else gaps <= gaps.min(1)[:, None] + 2 * (limit + slack)
+            wide = slack + (limit or 0)
+            reach = [[{"cell": int(c), "low": float(g[c] - wide), "high": float(g[c] + wide)} for c in np.flatnonzero(n)] for g, n in zip(gaps, near)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(reach, kind)], names=["id", "v", "reach"])
+
+    return rows.select("id", "v").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, reach array<struct<cell:int,low:double,high:double>>")
+
+
+def _blocks(vectors: DataFrame, refs: DataFrame, limit: float) -> DataFrame:
+    """Blocks of vectors beside the blocks of references that may be closer than the limit."""
     import numpy as np
+
+    n = refs.count()
+    pivots = np.array([r[0] for r in refs.orderBy(F.xxhash64("v")).limit(max(1, min(MOST_PIVOTS, n // MATCH_BLOCK))).select("v").collect()], np.float64)
+    placed = checkpoint(pivot_keys(refs.select(F.lit(0).alias("id"), "v"), pivots).select("v", F.inline("reach")))
+    # A cell is cut into rings, by the distance from its pivot, and those into chunks.
+    cells = placed.groupBy("cell").agg(F.min("low").alias("_low"), (F.max("low") - F.min("low")).alias("_span"), F.ceil(F.count("*") / MATCH_BLOCK).alias("_rings"))
+    ring = F.least(F.col("_rings") - 1, F.floor((F.col("low") - F.col("_low")) / F.greatest("_span", F.lit(1e-12)) * F.col("_rings"))).cast("int")
+    placed = placed.join(F.broadcast(cells), "cell").select("v", "cell", "low", "high", ring.alias("ring"))
+    rings = checkpoint(placed.groupBy("cell", "ring").agg(
+        F.min("low").alias("_low"), F.max("high").alias("_high"), F.ceil(F.count("*") / MATCH_BLOCK).cast("int").alias("chunks")))
+    key = ["cell", "ring", "chunk"]
+    chunked = placed.join(rings.select("cell", "ring", "chunks"), ["cell", "ring"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    known = chunked.groupBy(*key).agg(F.collect_list("v").alias("refs"))
+    spread = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, vectors.count() // MATCH_BLOCK)))
+    reach = pivot_keys(vectors, pivots, limit).select("id", "v", spread.alias("block"), F.inline("reach"))
+    close = (F.col("low") <= F.col("_high")) & (F.col("high") >= F.col("_low"))
+    sent = reach.join(rings, "cell").where(close).select("id", "v", "block", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    grouped = sent.groupBy(*key, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    return grouped.join(known, key)
+
+
+def match_identities(
+    vectors: DataFrame, refs: DataFrame, limit: float = C.FACE_MATCH_DISTANCE, ident: str = "vec_id", vector: str = "embedding",
+) -> DataFrame:
+    """Distinct ids of vectors nearer than ``limit`` to any reference: an exact range join by pivots.
+
+    References belong to the cell of their nearest pivot and to a ring around it.
+    By the triangle inequality a vector can only be near those in cells and
+    rings that its own distances to the pivots allow; it is sent to no others. What
+    meets is compared in blocks of bounded size, so a cell of any size is
+    spread over tasks and no set of vectors or references passes the driver (only
+    the pivots do, 256 at most). Rows with a null vector take no part.
+    """
     import pyarrow as pa
 
-    known = refs.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    size = known.agg(F.sum(F.size("v") * 8)).first()[0] or 0
-    blocks = max(1, -(-size // most))
     kind = vectors.schema[ident].dataType.simpleString()
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def compared(block: int) -> DataFrame:
-        held = known.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block).toArrow()
-        table = np.array(held["v"].to_pylist(), np.float64).reshape(held.num_rows, -1)
-        squares = (table**2).sum(1)
-
-        def run(batches):
-            for batch in batches:
-                if not len(table) or not batch.num_rows:
-                    continue
-                own = np.array(batch.column(1).to_pylist(), np.float64)
-                gaps = (own**2).sum(1)[:, None] + squares - 2 * own @ table.T
-                near = gaps < limit * limit
+    known = refs.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct()
+    known = checkpoint(known)
+    if known.isEmpty():
+        return vectors.select(ident).limit(0)
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, own, table = (batch.column(n).slice(i, 1).flatten() for n in ("ids", "vs", "refs"))
+                own, table = _rows_of(own), _rows_of(table)
+                gaps = _distances(own, table)
+                near = gaps < limit
                 # The product rounds; what is close to the limit is measured again.
-                for i, k in zip(*np.nonzero(np.abs(gaps - limit * limit) < 1e-6 * max(1.0, limit * limit))):
-                    near[i, k] = np.sqrt(((own[i] - table[k])**2).sum()) < limit
-                yield pa.record_batch([batch.column(0).filter(pa.array(near.any(1)))], names=["id"])
-
-        return rows.mapInArrow(run, f"id {kind}")
+                for j, k in zip(*np.nonzero(np.abs(gaps - limit) < _slack(own, table))):
+                    near[j, k] = np.sqrt(((own[j] - table[k])**2).sum()) < limit
+                yield pa.record_batch([ids.filter(pa.array(near.any(1)))], names=["id"])
 
-    out = compared(0)
-    for block in range(1, blocks):
-        out = out.union(compared(block))
-    out = out.select(F.col("id").alias(ident))
-    return out if blocks == 1 else out.distinct()
+    met = _blocks(checkpoint(rows), known, limit).select("ids", "vs", "refs")
+    return met.mapInArrow(run, f"id {kind}").distinct().select(F.col("id").alias(ident))
 
 
 def policies(spark) -> DataFrame:
