@@ -17,18 +17,52 @@ def run(stream, tmp_path, mode="append"):
     return stream.sparkSession.sql("SELECT * FROM out").collect()
 
 
-def test_tracks_equal_batch(spark, frame_dets, tmp_path):  # noqa: F811
-    dets = spark.createDataFrame(frame_dets, FRAMES)
-    timed = dets.withColumn("ts", F.timestamp_seconds(F.col("frame_no") + 1000))
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    yield
+    spark.conf.unset(name)
+
+
+def timed(spark, rows):
+    return spark.createDataFrame(rows, FRAMES).withColumn("ts", F.timestamp_seconds(F.col("frame_no") + 1000))
+
+
+def late(spark, at, video=9):
+    """A row of another video that moves the watermark."""
+    return spark.createDataFrame([(video, 0, 0, "face", 0, 0, 50, 50, 1.0, False)], FRAMES).withColumn("ts", F.timestamp_seconds(F.lit(at)))
+
+
+def test_tracks_equal_batch(spark, frame_dets, tmp_path, rocks):  # noqa: F811
+    dets = timed(spark, frame_dets)
     # Frames of a video arrive in two halves each, out of order inside a file.
-    for part, cond in enumerate(("frame_no < 31", "frame_no >= 31")):
-        timed.where(cond).orderBy(F.desc("frame_no")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    # A late row of another video moves the watermark past everything.
-    end = spark.createDataFrame([(9, 0, 0, "face", 0, 0, 50, 50, 1.0, False)], FRAMES).withColumn("ts", F.timestamp_seconds(F.lit(10000)))
-    end.write.mode("append").parquet(f"{tmp_path}/in")
+    for cond in ("frame_no < 31", "frame_no >= 31"):
+        dets.where(cond).orderBy(F.desc("frame_no")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    late(spark, 10000).write.mode("append").parquet(f"{tmp_path}/in")
     stream = tracker.track_stream(flows.frame_detections(spark, f"{tmp_path}/in", files_per_batch=1))
     got = sorted(tuple(r) for r in run(stream, tmp_path) if r.video_id != 9)
-    assert got == sorted(map(tuple, video.track(dets).collect())) and any(r[-1] for r in got)
+    assert got == sorted(map(tuple, video.track(spark.createDataFrame(frame_dets, FRAMES)).collect())) and any(r[-1] for r in got)
+
+
+def test_ended_videos_leave_no_state(spark, frame_dets, tmp_path, rocks):  # noqa: F811
+    """With lengths the tail equals the batch's; a restart goes on from the state; at the end only the last video is held."""
+    lengths = [(v, 3 + max(r[1] for r in frame_dets if r[0] == v)) for v in {r[0] for r in frame_dets}]
+    videos = spark.createDataFrame(lengths, "video_id bigint, frames int")
+    dets = timed(spark, frame_dets).join(videos, "video_id")
+    path, schema = f"{tmp_path}/in", dets.schema
+    start = lambda: tracker.track_stream(spark.readStream.schema(schema).parquet(path)).writeStream.format("parquet").option(
+        "path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").start()
+    for part in (dets.where("frame_no < 31"), dets.where("frame_no >= 31"), late(spark, 10000).withColumn("frames", F.lit(1)), late(spark, 20000, 10).withColumn("frames", F.lit(1))):
+        part.select(dets.columns).coalesce(1).write.mode("append").parquet(path)
+        query = start()
+        query.processAllAvailable()
+        query.stop()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.video_id < 9)
+    want = video.track(spark.createDataFrame(frame_dets, FRAMES), videos)
+    assert got == sorted(map(tuple, want.collect())) and len(got) > video.track(spark.createDataFrame(frame_dets, FRAMES)).count()
+    held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/checkpoint")
+    assert {r.key.video_id for r in held("progress").collect()} <= {10}
+    assert held("tracks").count() <= 1
 
 
 def test_redaction_stream(spark, tmp_path):
