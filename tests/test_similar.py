@@ -125,3 +125,32 @@ def test_names_like_a_loop(spark, folder, pages):
                 want[(*key, *b)] = min(want.get((*key, *b), t.text), t.text)
     got = {(r.doc_id, r.page_no, r.x0, r.y0, r.x1, r.y1): r.word for r in align.propagate_names(people, toks, token_ops.number_tokens(token_ops.merge_lines(toks))).collect()}
     assert got == want and len(want) > 50
+
+
+def test_occurrences_like_find(spark):
+    """Needles that start and end inside tokens, repeat, overlap, or cross pages' ends, against ``str.find``."""
+    rng = random.Random(12)
+    rows, needles = [], []
+    for page in range(12):
+        words = ["".join(rng.choice("abé-") for _ in range(rng.randrange(0 if page == 3 else 1, 5))) for _ in range(60 if page else 1)]
+        text, at = " ".join(words), 0
+        for i, w in enumerate(words):
+            rows.append((1, page, i, at, w.upper()))
+            at += len(w) + 1
+        for _ in range(60):
+            start = rng.randrange(len(text) + 1)
+            needle = text[start:start + rng.randrange(1, 14)] if rng.random() < 0.7 else "".join(rng.choice("abé- ") for _ in range(rng.randrange(1, 6)))
+            if needle.strip() == needle and needle:
+                needles.append((1, page, needle))
+        needles += [(1, page, text.strip()), (1, page, text.strip() + " a")]
+    toks = spark.createDataFrame(rows, "doc_id bigint, page_no int, idx bigint, char0 bigint, text string")
+    asked = spark.createDataFrame(sorted(set(needles)), "doc_id bigint, page_no int, needle string")
+    got = {(r.page_no, r.needle): (r.place, r.idx, r.inside) for r in align.occurrences(asked, toks).collect()}
+    want = {}
+    for _, page, needle in set(needles):
+        own = [r for r in rows if r[1] == page]
+        at = " ".join(r[4].lower() for r in own).find(needle)
+        if at >= 0:
+            tok = [r for r in own if r[3] <= at][-1]
+            want[page, needle] = (at, tok[2], at - tok[3])
+    assert got == want and 250 < len(want) < len(set(needles))

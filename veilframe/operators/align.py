@@ -71,24 +71,51 @@ def _needles(df: DataFrame, word: str = "word") -> DataFrame:
     return df.select(*PAGE, low.alias("needle")).where(F.length("needle") > 0).distinct()
 
 
-def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
-    """First place of each needle in its page's lower-case text.
+#: Characters of a needle's first word by which it is looked up.
+GRAM = 3
+
 
-    A segment carries all of the next one and is at least as long as the longest
-    needle, so a needle of any length is found wherever it starts.
+def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
+    """First place of each needle in its page's lower-case text, found through an index of phrases.
+
+    A needle starts somewhere in a token and, if it has several words, fills that
+    token's rest. The first characters of its first word are an equi-join key; the
+    tokens of a page are indexed under the pieces that start in them. What meets is
+    compared in place, and following words are fetched by token number: first the
+    second word, then, where that fits, the others. So the work is in proportion to
+    tokens and hits, and a page of any size is spread over its pieces.
+    Tokens are numbered without gaps and hold no blanks.
     """
-    # A needle of n characters covers fewer than n + 1 tokens; blanks tell them apart.
-    widest = needles.agg(F.max(F.length("needle") - F.length(F.replace(F.col("needle"), F.lit(" "), F.lit(""))) + 1)).first()[0]
-    size = max(SEGMENT_TOKENS, widest or 0)
-    texts = _segments(tokens, size, size).select(
-        *PAGE, F.array_join(F.transform("toks", lambda t: t["low"]), " ").alias("body"),
-        F.transform("toks", lambda t: t["char0"]).alias("starts"), F.get("toks", 0)["idx"].alias("idx0"))
-    met = bind(needles.join(texts, PAGE), at=F.expr("instr(body, needle)")).where("at > 0")
-    met = met.select(*PAGE, "needle", (F.get("starts", 0) + F.col("at") - 1).alias("place"), "starts", "idx0")
-    nth = F.size(F.filter("starts", lambda s: s <= F.col("place"))) - 1
-    met = met.select(*PAGE, "needle", F.struct(
-        "place", (F.col("idx0") + nth).alias("idx"), (F.col("place") - F.get("starts", nth)).alias("inside")).alias("at"))
-    return met.groupBy(*PAGE, "needle").agg(F.min("at").alias("at")).select(*PAGE, "needle", "at.*")
+    low = tokens.select(*PAGE, "idx", "char0", F.lower(F.col("text")).alias("low"))
+    parts = bind(needles.select(*PAGE, "needle"), parts=F.split("needle", " ", -1))
+    head = F.get("parts", 0)
+    keyed = parts.select("*", head.alias("head"), F.substring(head, F.lit(1), F.least(F.lit(GRAM), F.length(head))).alias("gram"))
+    sizes = keyed.groupBy(*PAGE).agg(F.collect_set(F.length("gram")).alias("sizes"))
+    # The sizes of pieces that a page's needles ask for are GRAM at most.
+    pieces = F.flatten(F.transform("sizes", lambda g: F.transform(
+        F.when(F.length("low") >= g, F.sequence(F.lit(0), F.length("low") - g)).otherwise(F.array().cast("array<int>")),
+        lambda at: F.struct(at.alias("inside"), F.substring(F.col("low"), at + 1, g).alias("gram")))))
+    index = unfold(low.join(sizes, PAGE), [*PAGE, "idx", "char0", "low"], pieces)
+    more = F.size("parts") - 1
+    rest = F.substring(F.col("low"), F.col("inside") + 1, F.length("low"))
+    begins = F.when(more == 0, F.startswith(rest, F.col("head"))).otherwise(rest == F.col("head"))
+    starts = index.join(keyed, [*PAGE, "gram"]).where(begins).select(*PAGE, "needle", "parts", "idx", "char0", "inside")
+
+    def following(hits: DataFrame, first: Column, last: Column) -> DataFrame:
+        """Hits whose words from ``first`` to ``last`` are the tokens that follow."""
+        names = [*PAGE, "needle", "idx", "char0", "inside"]
+        steps = hits.select("*", F.explode(F.sequence(first, last)).alias("k")).withColumn("_at", F.col("idx") + F.col("k"))
+        nxt = low.select(*PAGE, F.col("idx").alias("_at"), F.col("low").alias("_low"))
+        word = F.get("parts", F.col("k"))
+        fits = F.when(F.col("k") == more, F.startswith(F.col("_low"), word)).otherwise(F.col("_low") == word)
+        met = steps.join(nxt, [*PAGE, "_at"]).where(fits)
+        return met.groupBy(*names).agg(F.count("*").alias("_n"), F.first("parts").alias("parts"), F.first(last - first + 1).alias("_want")).where(
+            "_n = _want").select(*PAGE, "needle", "parts", "idx", "char0", "inside")
+
+    several = following(starts.where(more > 0), F.lit(1), F.lit(1))
+    whole = starts.where(more == 0).unionByName(several.where(more == 1)).unionByName(following(several.where(more > 1), F.lit(2), more))
+    at = F.struct((F.col("char0") + F.col("inside")).alias("place"), "idx", F.col("inside").cast("bigint").alias("inside"))
+    return whole.groupBy(*PAGE, "needle").agg(F.min(at).alias("at")).select(*PAGE, "needle", "at.*")
 
 
 def align(
