@@ -98,10 +98,10 @@ def test_chunks_and_slices_lose_nothing(monkeypatch):
                 want.update(" ".join(ws[i:i + m]) for m in sizes for i in range(len(ws) - m + 1))
             for tokens in phrases.tokens_of(text.encode()):
                 for found, n in state.add(tokens):
-                    got.update(dict(zip(found, n)))
+                    got.update(dict(zip(found.to_pylist(), n.to_pylist())))
             state.end()
         for found, n in state.counted():
-            got.update(dict(zip(found, n)))
+            got.update(dict(zip(found.to_pylist(), n.to_pylist())))
         assert got == want
 
 

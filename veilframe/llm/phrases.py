@@ -62,10 +62,12 @@ def tokens_of(text: bytes) -> Iterator[list[bytes]]:
         at = stop
 
 
-def _word_hash(lang: str, word: bytes) -> int:
+def _word_hashes(lang: str, words: list[bytes]):
+    import numpy as np
     import xxhash
 
-    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + word)
+    digest, head = xxhash.xxh64_intdigest, lang.encode() + b"\0"
+    return np.fromiter((digest(head + w) for w in words), np.uint64, len(words))
 
 
 def _bits(hashes: list):
@@ -85,8 +87,7 @@ def phrase_filter(phrases: DataFrame):
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [int(_bits([np.uint64(_word_hash(lang, w)) for w in phrase.encode().split(b" ")]))
-                   for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            out = [int(_bits(list(_word_hashes(lang, phrase.encode().split(b" "))))) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.record_batch([pa.array(out, pa.int64())], names=["bit"])
 
     bit = F.col("bit") + 1
@@ -123,7 +124,7 @@ class _Vocabulary(dict):
         import numpy as np
 
         fresh = self.words[len(self.hashes):]
-        hashes = np.fromiter((_word_hash(self.lang, w) for w in fresh), np.uint64, len(fresh))
+        hashes = _word_hashes(self.lang, fresh)
         self.hashes = np.concatenate([self.hashes, hashes])
         self.usual = np.concatenate([self.usual, _holds(self.common, _bits([hashes]))])
 
@@ -140,7 +141,7 @@ class _Chunks:
         self.numbers, self.waiting, self.held = _Vocabulary(lang, common), [], 0
         self.kept = max(wanted) - 1
 
-    def add(self, tokens: list[bytes]) -> Iterator[tuple[list[str], list[int]]]:
+    def add(self, tokens: list[bytes]) -> Iterator[tuple]:
         import numpy as np
 
         self.waiting.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens)))
@@ -154,27 +155,30 @@ class _Chunks:
 
         self.waiting.append(np.zeros(self.kept, np.int64))
 
-    def counted(self) -> Iterator[tuple[list[str], list[int]]]:
-        """Phrases of the waiting tokens and their counts; the last few tokens wait on."""
+    def counted(self) -> Iterator[tuple]:
+        """Phrases of the waiting tokens and their counts, as Arrow arrays; the last few tokens wait on."""
         import numpy as np
+        import pyarrow as pa
 
         ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.int64)
         words, tail = self.numbers.words, ids[-self.kept:]
         self.numbers.learn()
-        usual = self.numbers.usual[ids]
+        usual, named = self.numbers.usual[ids], pa.array(words, pa.binary())
         for m, filters in self.wanted.items():
             # Of shorter phrases those that lie in the last tokens are counted with what follows.
             span = max(0, len(ids) - self.kept)
-            yield self._of_size(ids, usual, span, m, filters)
+            yield self._of_size(ids, usual, named, span, m, filters)
         if len(self.numbers) > WORDS:
             self.numbers = _Vocabulary(self.lang, self.common)
             tail = np.fromiter((self.numbers[words[i]] for i in tail.tolist()), np.int64, len(tail))
         self.waiting, self.held = [tail], len(tail)
 
-    def _of_size(self, ids, usual, span: int, m: int, filters) -> tuple[list[str], list[int]]:
+    def _of_size(self, ids, usual, named, span: int, m: int, filters) -> tuple:
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        words, hashes = self.numbers.words, self.numbers.hashes
+        hashes = self.numbers.hashes
         at = np.flatnonzero(reduce(np.logical_and, [usual[k:k + span] for k in range(m)]))
         if filters is not None:
             before, after = filters
@@ -188,8 +192,8 @@ class _Chunks:
         for k in range(1, m):
             key = (np.unique(key, return_inverse=True)[1] if k > 1 else key) << 32 | ids[at + k]
         _, index, n = np.unique(key, return_index=True, return_counts=True)
-        columns = [[words[i] for i in ids[at[index] + k].tolist()] for k in range(m)]
-        return b"\n".join(map(b" ".join, zip(*columns))).decode().split("\n") if len(index) else [], n.tolist()
+        columns = [named.take(pa.array(ids[at[index] + k])) for k in range(m)]
+        return pc.binary_join_element_wise(*columns, b" ").cast(pa.string()), pa.array(n, pa.int64())
 
 
 def counts(docs: DataFrame, common=None, wanted: dict | None = None) -> DataFrame:
@@ -208,13 +212,11 @@ def counts(docs: DataFrame, common=None, wanted: dict | None = None) -> DataFram
         by_lang: dict = {}
 
         def out(lang, phrases, numbers):
-            return pa.record_batch([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(numbers, pa.int64())],
-                                   names=["lang", "phrase", "f"])
+            return pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases, numbers], names=["lang", "phrase", "f"])
 
         def words_out(lang, c):
             del c[b"."]
-            phrases = [w.decode() for w in c]
-            return out(lang, [*phrases, None], [*c.values(), sum(c.values())])
+            return out(lang, pa.array([*c, None], pa.binary()).cast(pa.string()), pa.array([*c.values(), sum(c.values())], pa.int64()))
 
         def all_out():
             while by_lang:
