@@ -221,6 +221,30 @@ def test_tracks(spark, frame_dets):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("moving", [False, True])
+def test_stitched_segments(spark, frame_dets, monkeypatch, moving):
+    """Small segments with short warm-ups equal one walk: resting boxes, where guesses hold, and moving ones, where seams are redone."""
+    monkeypatch.setattr(video, "TRACK_SEGMENT", 4)
+    monkeypatch.setattr(video, "TRACK_WARM_UP", 3)
+    monkeypatch.setattr(video, "TRACK_ROUNDS", 2)
+    rng = random.Random(3)
+    rows = []
+    for vid in (1, 2, 3):
+        things = [[rng.randrange(900), rng.randrange(900), rng.randrange(-4, 5) if moving else 0] for _ in range(5)]
+        for frame in range(0, 400, 5):
+            if frame == 200 and vid == 2:
+                continue  # a gap ends all tracks
+            for i, (x, y, v) in enumerate(things):
+                if rng.random() < 0.9:
+                    shift = v * frame // 5
+                    rows.append((vid, frame, i, "face", x + shift, y + shift // 2, x + shift + 90, y + shift // 2 + 80, 1.0, rng.random() < 0.01))
+            if rng.random() < 0.2:
+                things[rng.randrange(5)][:2] = rng.randrange(900), rng.randrange(900)
+    got = video.track(spark.createDataFrame(rows, FRAMES)).collect()
+    want = [row for vid in (1, 2, 3) for row in loop_tracks([r for r in rows if r[0] == vid])]
+    assert sorted(map(tuple, got)) == sorted(want) and any(r[-1] for r in want)
+
+
 def test_votes(spark, frame_dets):
     want = []
     keys = sorted({r[:2] for r in frame_dets})

@@ -1,6 +1,9 @@
 """Video detections: filters, votes, tracks, identity, policy and risk."""
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,51 +85,143 @@ def vote(dets: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     return groups.unionByName(alone).where(F.col("votes") >= least)
 
 
-def track(dets: DataFrame, videos: DataFrame | None = None) -> DataFrame:
-    """Boxes with track numbers on every frame from detection to detection.
+#: Detection frames to a segment of a video, and those before it that a guess starts from.
+TRACK_SEGMENT, TRACK_WARM_UP, TRACK_ROUNDS = 2000, 64, 3
+_PIECE = ["video_id", "stretch", "seg"]
+_FOLDED = ("kind string, video_id bigint, stretch int, seg bigint, frame_no int, track_id bigint, x1 int, y1 int, x2 int, y2 int, type string, "
+           "authorised boolean, live string, ids string, fresh bigint")
 
-    ``videos`` gives each video's number of frames, up to which boxes are
-    predicted; without it a video ends with its last detection. Faces and
-    plates are what is tracked; text boxes are carried on as they stand.
 
-    Tracks die where a detection frame sees nothing, so a video falls into
-    stretches of detection frames without a gap. Each is folded on its own
-    with only the live tracks in memory; numbers are then shifted by the
-    tracks begun earlier.
+def _fold_segments(rows: DataFrame) -> DataFrame:
+    """Track each segment on its own: box rows, and the live tracks at its start and end.
+
+    A segment begins with the live tracks of its first row (``live``) or, without any,
+    with those that its warm-up rows leave. They have the numbers -1, -2 .. in order and
+    are not authorised; tracks begun inside count from 1. Live tracks are compared by
+    their boxes, speeds, ages and types, in order, which is all that matching sees.
     """
-    known = F.col("is_auth") if "is_auth" in dets.columns else F.lit(False)
-    dets = dets.withColumn("is_auth", F.coalesce(known, F.lit(False)))
-    if videos is None:
-        last = dets.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
-    else:
-        last = videos.select("video_id", (F.col("frames") - 1).alias("last_frame"))
-    seen = detection_frames(dets).join(last, "video_id")
-    cut = bands(seen, ["video_id"], "frame_no", F.col("frame_no") + C.DETECTION_INTERVAL, "stretch")
-    rows = cut.select(*FRAME, "stretch", "det_id", *BOX, "type", "is_auth", "last_frame")
+    def begin() -> dict:
+        return {"tracks": [], "next": 1, "found": [], "at": None, "warm": True, "out": []}
+
+    def shown(state: dict, kind: str) -> tuple:
+        at = state["at"]
+        return (kind, *at[:3], None, None, None, None, None, None, None, None, json.dumps([t[1:11] for t in state["tracks"]]),
+                json.dumps([[t[0], t[11]] for t in state["tracks"]]), state["next"] - 1)
 
     def settle(state: dict) -> list:
         """Update with the collected frame, then predict up to the next one."""
         if not state["found"]:
             return []
-        video, stretch, frame, last_frame = state["at"]
+        video, stretch, seg, frame, last_frame, warm = state["at"]
         state["tracks"], state["next"] = tracking.update(state["tracks"], state["found"], state["next"])
-        state["found"] = []
-        out = tracking.rows(state["tracks"], video, stretch, frame)
-        for ahead in range(frame + 1, min(frame + C.DETECTION_INTERVAL, last_frame + 1)):
-            tracking.predict(state["tracks"])
-            out += tracking.rows(state["tracks"], video, stretch, ahead)
+        state["found"], out = [], []
+        for ahead in range(frame, min(frame + C.DETECTION_INTERVAL, last_frame + 1)):
+            if ahead > frame:
+                tracking.predict(state["tracks"])
+            if not warm:
+                out += [("box", video, stretch, seg, ahead, t[0], *[int(v) for v in t[1:5]], t[10], t[11], None, None, None) for t in state["tracks"]]
         return out
 
     def step(state: dict, row: tuple) -> tuple[dict, list]:
-        at = (row.video_id, row.stretch, row.frame_no, row.last_frame)
+        at = (row.video_id, row.stretch, row.seg, row.frame_no, row.last_frame, row.warm)
+        if row.live is not None:
+            state["tracks"] = [[0, *t, False] for t in json.loads(row.live)]
+            return state, []
         out = settle(state) if at != state["at"] else []
         state["at"] = at
+        if state["warm"] and not row.warm:
+            state["warm"], state["next"] = False, 1
+            for i, t in enumerate(state["tracks"]):
+                t[0], t[11] = -1 - i, False
+            out.append(shown(state, "start"))
         state["found"].append((row.x1, row.y1, row.x2, row.y2, row.type, row.is_auth))
         return state, out
 
-    schema = ("video_id bigint, stretch int, frame_no int, track_id bigint, x1 int, y1 int, x2 int, y2 int, type string, authorised boolean")
-    local = ordered_fold(rows, ["video_id", "stretch"], [F.col("frame_no"), F.col("det_id")],
-                         lambda: {"tracks": [], "next": 1, "found": [], "at": None}, step, settle, schema)
+    def finish(state: dict) -> list:
+        return settle(state) + ([shown(state, "end")] if not state["warm"] else [])
+
+    return ordered_fold(rows, _PIECE, [F.col("frame_no"), F.col("det_id")], begin, step, finish, _FOLDED)
+
+
+def _stitched(rows: DataFrame) -> DataFrame:
+    """Box rows of all segments as if each had begun where the one before ended.
+
+    Segments whose guessed start differs from the end before them are tracked again from
+    that end, all at once, until no seam differs. A stretch that still has wrong seams
+    after a few rounds is tracked in one go from the first of them on, with only its
+    live tracks in memory.
+    """
+    span = TRACK_SEGMENT * C.DETECTION_INTERVAL
+    seg = F.floor(F.col("frame_no") / span)
+    ahead = F.col("frame_no") % span >= span - TRACK_WARM_UP * C.DETECTION_INTERVAL
+    own = rows.select("*", seg.alias("seg"), F.lit(False).alias("warm"), F.lit(None).cast("string").alias("live"))
+    early = rows.where(ahead).select("*", (seg + 1).alias("seg"), F.lit(True).alias("warm"), F.lit(None).cast("string").alias("live"))
+    own = checkpoint(own)
+    pieces = [checkpoint(_fold_segments(own.unionByName(early)).withColumn("round", F.lit(0)))]
+    states = checkpoint(pieces[0].where("kind <> 'box'"))
+    while True:
+        ends = states.where("kind = 'end'").select("video_id", "stretch", (F.col("seg") + 1).alias("seg"), F.col("live").alias("_want"))
+        wrong = checkpoint(states.where("kind = 'start'").join(ends, _PIECE).where("live <> _want").select(*_PIECE, "_want"))
+        if wrong.isEmpty():
+            break
+        again, gone = own.join(wrong.drop("_want"), _PIECE, "left_semi"), wrong
+        if len(pieces) > TRACK_ROUNDS:
+            # Tracks of this stretch never forget their start: from its first wrong seam on it is one segment.
+            first = wrong.groupBy("video_id", "stretch").agg(F.min("seg").alias("_first"))
+            wrong = checkpoint(wrong.join(first, ["video_id", "stretch"]).where("seg = _first").drop("_first"))
+            again = own.join(first, ["video_id", "stretch"]).where("seg >= _first").withColumn("seg", F.col("_first")).drop("_first")
+            gone = states.join(first, ["video_id", "stretch"]).where("seg >= _first").select(*_PIECE).distinct()
+        # A row before all others brings the live tracks; its numbers mean nothing.
+        fixed = {"frame_no": -1, "warm": True, "type": "", "is_auth": False}
+        heads = wrong.select(*[F.col(c) if c in _PIECE else F.col("_want").alias(c) if c == "live" else F.lit(fixed.get(c, 0)).cast(own.schema[c].dataType).alias(c)
+                               for c in own.columns])
+        redone = _fold_segments(again.unionByName(heads))
+        pieces.append(checkpoint(redone.withColumn("round", F.lit(len(pieces)))))
+        states = checkpoint(states.join(gone, _PIECE, "left_anti").unionByName(pieces[-1].where("kind <> 'box'")))
+
+    def carry(known: dict, row: tuple) -> tuple[dict, list]:
+        """Numbers and authorisation of the tracks a segment inherits."""
+        if row.kind == "start":
+            known["in"] = known["live"]
+            return known, []
+        inherited, ids = known["in"], json.loads(row.ids)
+        out = [(row.video_id, row.stretch, row.seg, row.round, known["begun"], json.dumps([{"id": i, "known": a} for i, a in inherited]))]
+        known["live"] = [[inherited[-1 - i][0], inherited[-1 - i][1] or a] if i < 0 else [known["begun"] + i, a] for i, a in ids]
+        known["begun"] += int(row.fresh)
+        return known, out
+
+    named = checkpoint(ordered_fold(
+        states.select(*_PIECE, "kind", "round", "ids", "fresh"), ["video_id", "stretch"], [F.col("seg"), F.col("kind").desc()],
+        lambda: {"live": [], "in": [], "begun": 0}, carry, lambda known: [],
+        "video_id bigint, stretch int, seg bigint, round int, begun bigint, inherited string"))
+    named = named.withColumn("inherited", F.from_json("inherited", "array<struct<id:bigint,known:boolean>>"))
+    boxes = reduce(DataFrame.unionByName, pieces).where("kind = 'box'").join(named, [*_PIECE, "round"])
+    mine = F.get("inherited", (-1 - F.col("track_id")).cast("int"))
+    return boxes.select(*FRAME, "stretch", F.when(F.col("track_id") < 0, mine["id"]).otherwise(F.col("begun") + F.col("track_id")).alias("track_id"), *BOX, "type",
+                        (F.col("authorised") | ((F.col("track_id") < 0) & F.coalesce(mine["known"], F.lit(False)))).alias("authorised"))
+
+
+def track(dets: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """Boxes with track numbers on every frame from detection to detection.
+
+    ``videos`` gives each video's number of frames, up to which boxes are
+    predicted; without it a video ends with its last detection. Faces and
+    plates are what is tracked; text boxes are carried on as they stand.
+
+    Tracks die where a detection frame sees nothing, so a video falls into
+    stretches of detection frames without a gap. A stretch of any length is cut into
+    segments that are tracked side by side and stitched; numbers are then shifted by
+    the tracks begun earlier.
+    """
+    known = F.col("is_auth") if "is_auth" in dets.columns else F.lit(False)
+    dets = dets.withColumn("is_auth", F.coalesce(known, F.lit(False)))
+    if videos is None:
+        last = dets.groupBy("video_id").agg(F.max("frame_no").alias("last_frame"))
+    else:
+        last = videos.select("video_id", (F.col("frames") - 1).alias("last_frame"))
+    seen = detection_frames(dets).join(last, "video_id")
+    cut = bands(seen, ["video_id"], "frame_no", F.col("frame_no") + C.DETECTION_INTERVAL, "stretch")
+    local = _stitched(cut.select(F.col("video_id").cast("bigint").alias("video_id"), "stretch", F.col("frame_no").cast("int").alias("frame_no"), "det_id", *BOX, "type", "is_auth", "last_frame"))
     begun = local.groupBy("video_id", "stretch").agg(F.max("track_id").alias("n"))
     earlier = Window.partitionBy("video_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     shift = begun.select("video_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
