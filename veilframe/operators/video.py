@@ -380,7 +380,13 @@ def report(dets: DataFrame, fps: float, videos: DataFrame | None = None) -> Data
     ``videos`` gives the number of frames of every video, those without a box
     included; without it only frames with boxes count.
     """
-    kinds = dets.groupBy("video_id", "type").agg(F.count("*").alias("n"))
+    frames = videos.select("video_id", "frames") if videos is not None else dets.groupBy("video_id").agg(
+        F.countDistinct("frame_no").alias("frames"))
+    return report_of_counts(dets.groupBy("video_id", "type").agg(F.count("*").alias("n")), frames, fps)
+
+
+def report_of_counts(kinds: DataFrame, frames: DataFrame, fps: float) -> DataFrame:
+    """The privacy reports from counts n per video and type, and the number of frames per video."""
     low = F.lower("type")
     points = F.lit(C.REPORT_TEXT_DEFAULT)
     for part, value in reversed(C.REPORT_TEXT_POINTS):
@@ -393,8 +399,6 @@ def report(dets: DataFrame, fps: float, videos: DataFrame | None = None) -> Data
         F.map_from_entries(F.array_sort(F.collect_list(F.when(is_text, F.struct("type", "n"))))).alias("pii_detected"),
         F.least(F.lit(C.RISK_CAP).cast("bigint"), F.sum(F.col("n") * points)).alias("privacy_risk_score"),
         F.lit(C.RISK_CAP).alias("max_score"))
-    frames = videos.select("video_id", "frames") if videos is not None else dets.groupBy("video_id").agg(
-        F.countDistinct("frame_no").alias("frames"))
     length = F.col("frames") / F.lit(float(fps)) if fps else F.lit(0.0)
     none = F.lit(0).cast("bigint")
     return frames.join(per_video, "video_id", "left").select(

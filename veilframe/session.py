@@ -69,6 +69,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    if not make(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(make(path), make(to)):
+        raise OSError(f"could not rename {path} to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder once nothing reads it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
