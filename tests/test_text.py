@@ -216,3 +216,20 @@ def test_chunks_cover_the_whole_text(spark):
         assert own[0][1] == 0 and own[-1][1] + len(own[-1][2]) == len(body)
         # Anything as long as the overlap lies whole in some piece.
         assert all(any(s <= at and at + 30 <= s + len(c) for _, s, c in own) for at in range(len(body) - 29))
+
+
+def test_what_patterns_need():
+    """Every match holds the run of digits and the marks that the search is spared without."""
+    assert T.needs(C.Pattern("X", r"\b(?:\+91[-\s]?)?[6-9]\d{9}\b")) == (10, frozenset())
+    assert T.needs(C.Pattern("X", r"\d{3}-(?:\d{2}|\d{5})@?a+[0-9]?")) == (3, frozenset("-"))
+    assert T.needs(C.Pattern("X", r"(?:#\d{4}|#\d{2}/)x*")) == (2, frozenset("#"))
+    rng, seen = random.Random(6), 0
+    every = [p for name in dir(C) if name.endswith("PATTERNS") or "PATTERNS_V" in name for p in getattr(C, name) if isinstance(p, C.Pattern)]
+    for _ in range(4000):
+        text = "".join(rng.choice(["1234", "56", "7890123", " ", "-", "/", "@", ".", "A", "ABCDE", "b", "+91", "9876543210", "com"]) for _ in range(8))
+        for p in every:
+            for m in re.finditer(p.regex, text, re.I if p.ignore_case else 0):
+                digits, marks = T.needs(p)
+                seen += 1
+                assert max(map(len, re.findall(r"\d+", m.group())), default=0) >= digits and marks <= set(m.group()), (p, m)
+    assert seen > 1000

@@ -5,8 +5,11 @@ a shuffle however large the collection is.
 """
 from __future__ import annotations
 
+import re
+import re._constants as sre
+import re._parser as sre_parse
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,7 +111,67 @@ def _sums_before(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(whole(v)))
 
 
-def _candidates(text: Column, pattern: C.Pattern, order: int) -> Column:
+_DIGIT = frozenset("0123456789")
+
+
+def needs(pattern: C.Pattern) -> tuple[int, frozenset]:
+    """What every match of a pattern holds: the length of a run of digits, and marks
+    (no letters or digits). A text without them need not be searched."""
+    def is_digit(kind, value) -> bool:
+        if kind is sre.LITERAL:
+            return chr(value) in _DIGIT
+        if kind is sre.IN:
+            return all(k is sre.CATEGORY and v is sre.CATEGORY_DIGIT or k is sre.LITERAL and chr(v) in _DIGIT
+                       or k is sre.RANGE and {chr(v[0]), chr(v[1])} <= _DIGIT for k, v in value)
+        return False
+
+    def of(sequence) -> tuple[int, frozenset]:
+        best, run, marks = 0, 0, frozenset()
+        for kind, value in sequence:
+            repeats, inner = 1, [(kind, value)]
+            if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                repeats, inner = value[0], list(value[2])
+            if len(inner) == 1 and is_digit(*inner[0]):
+                run += repeats
+            elif kind is not sre.AT:
+                run = 0
+                if kind is sre.BRANCH:
+                    arms = [of(arm) for arm in value[1]]
+                    found = min(a[0] for a in arms), frozenset.intersection(*[a[1] for a in arms])
+                elif kind is sre.SUBPATTERN:
+                    found = of(value[3])
+                elif kind is sre.LITERAL:
+                    found = 0, frozenset() if chr(value).isalnum() or chr(value) in _MARK + _STAND_IN else frozenset(chr(value))
+                elif repeats and kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                    found = of(inner)
+                else:
+                    found = 0, frozenset()
+                best, marks = max(best, found[0]), marks | found[1]
+            best = max(best, run)
+        return best, marks
+
+    try:
+        return of(sre_parse.parse(pattern.regex))
+    except (re.error, OverflowError):  # a form that only Java knows
+        return 0, frozenset()
+
+
+def _may_match(text: Column, run: Column, pattern: C.Pattern) -> Column:
+    digits, marks = needs(pattern)
+    tests = [run >= digits] if digits else []
+    return reduce(and_, tests + [F.contains(text, F.lit(m)) for m in sorted(marks)], F.lit(True))
+
+
+def _longest_run(text: Column, patterns: list[C.Pattern]) -> Column:
+    """Length of the longest run of digits, 0 if it is shorter than any pattern needs."""
+    least = min((n for n, _ in map(needs, patterns) if n), default=0)
+    if not least:
+        return F.lit(0)
+    runs = F.regexp_extract_all(text, F.lit(rf"(?U)\d{{{least},}}"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
+
+
+def _candidates(text: Column, pattern: C.Pattern, order: int, may_match: Column) -> Column:
     """All matches of one pattern with exact offsets, as sortable structs."""
     empty = F.from_json(F.lit("[]"), _CANDIDATE)
 
@@ -119,7 +182,7 @@ def _candidates(text: Column, pattern: C.Pattern, order: int) -> Column:
         return F.filter(spans, lambda span, i: i % 2 == 1)
 
     found = let(F.transform(_pieces(text, pattern), lambda piece: F.length(piece)), matches)
-    return F.when(text.rlike(regex(pattern)), found).otherwise(empty)
+    return F.when(may_match & text.rlike(regex(pattern)), found).otherwise(empty)
 
 
 def _with_original(text: Column, spans: Column) -> Column:
@@ -130,11 +193,19 @@ def _with_original(text: Column, spans: Column) -> Column:
 
 
 def find_spans(text: Column, patterns: list[C.Pattern]) -> Column:
-    """Every match of every pattern, ordered by start, longer first, list order."""
-    parts = [_candidates(text, p, i) for i, p in enumerate(patterns)]
-    every = F.array_sort(F.concat(*parts))
-    found = _with_original(text, every)
-    return F.when(any_of(text, patterns), found).otherwise(F.from_json(F.lit("[]"), f"array<{SPAN}>"))
+    """Every match of every pattern, ordered by start, longer first, list order.
+
+    One pass finds the runs of digits; a pattern is searched for only where
+    what it needs occurs.
+    """
+    def found(run: Column) -> Column:
+        parts = [_candidates(text, p, i, _may_match(text, run, p)) for i, p in enumerate(patterns)]
+        return F.array_sort(F.concat(*parts))
+
+    none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    every = let(_longest_run(text, patterns), lambda run: F.when(
+        reduce(or_, [_may_match(text, run, p) for p in patterns]), found(run)))
+    return let(every, lambda spans: F.when(F.size(spans) > 0, _with_original(text, spans)).when(text.isNotNull(), none))
 
 
 def resolve_overlaps(spans: Column, text: Column | None = None) -> Column:
