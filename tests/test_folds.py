@@ -1,4 +1,5 @@
 """Order-dependent operators against plain loops on random pages."""
+import json
 import random
 
 import pytest
@@ -311,3 +312,61 @@ def test_spoken_phone_numbers(spark):
     numbered = audio.number_words(words)
     hits = audio.hit_words(numbered, audio.phone_spans(numbered))
     assert sorted(r.pos for r in hits.collect()) == [1, 2, 3, 5, 6]
+
+
+def test_whole_video_run_like_a_loop(spark, folder):
+    """The registered run over whole tables: vote, track, authorise, decide and report, video by video."""
+    from veilframe.fixtures import view
+    from veilframe.plans import media_queries as Q
+    from veilframe.plans.registry import QUERIES
+
+    frames = {r.video_id: r.frames for r in view(spark, folder, "v_videos").collect()}
+    seen = {}
+    for r in view(spark, folder, "v_frame_dets").collect():
+        seen.setdefault(r.video_id, []).append(r)
+    want, known = {}, 0
+    for vid, length in frames.items():
+        faces, plates, pii, keep = C.POLICIES[Q._MODES[vid % 7]]
+        shown, live, nxt = {}, [], 1
+        dets_ = [r for r in seen.get(vid, []) if r.frame_no % 5 == 0]
+        for r in dets_:
+            if r.type not in ("face", "plate") and pii:
+                shown[r.type] = shown.get(r.type, 0) + min(5, max(0, length - r.frame_no))
+        for frame in range(length):
+            for t in live:
+                t["box"] = [b + v for b, v in zip(t["box"], t["v"])]
+                t["missed"] += 1
+            if frame % 5 == 0:
+                found, used = sorted([r for r in dets_ if r.frame_no == frame and r.type in ("face", "plate")], key=lambda r: r.det_id), set()
+                box_of, old = (lambda r: (r.x1, r.y1, r.x2, r.y2)), list(live)
+                for i, r in enumerate(found):
+                    if i in used:
+                        continue
+                    group = [j for j in range(i, len(found)) if j not in used and (j == i or iou(box_of(r), box_of(found[j])) > .5)]
+                    used.update(group)
+                    box = [int(sum(box_of(found[j])[k] for j in group) / len(group)) for k in range(4)]
+                    best, share = None, 0.3
+                    for t in old:
+                        if iou(box, t["box"]) > share:
+                            best, share = t, iou(box, t["box"])
+                    if best:
+                        old = [t for t in old if t is not best]
+                        best["v"] = [.5 * v + .5 * (n - b) for v, n, b in zip(best["v"], box, best["box"])]
+                        best.update(box=[float(v) for v in box], missed=0, type=r.type, auth=best["auth"] or r.det_id % 50 == 0)
+                    else:
+                        live.append({"box": [float(v) for v in box], "v": [0.0] * 4, "missed": 0, "type": r.type, "auth": r.det_id % 50 == 0})
+                        nxt += 1
+                live = [t for t in live if t["missed"] <= 2]
+            for t in live:
+                known += t["auth"]
+                if plates if t["type"] == "plate" else faces and not (keep and t["auth"]):
+                    shown[t["type"]] = shown.get(t["type"], 0) + 1
+        points = {k: C.REPORT_FACE_POINTS if k == "face" else C.REPORT_PLATE_POINTS if k == "plate" else
+                  next((v for part, v in C.REPORT_TEXT_POINTS if part in k), C.REPORT_TEXT_DEFAULT) for k in shown}
+        want[vid] = (length / 24, shown.get("face", 0), shown.get("plate", 0), {k: n for k, n in shown.items() if k not in ("face", "plate")},
+                     min(50, sum(n * points[k] for k, n in shown.items())))
+    got = {}
+    for r in QUERIES["redact_video"](spark, folder).collect():
+        x = json.loads(r.report)
+        got[r.video_id] = (x["video_duration_sec"], x["faces_redacted"], x["plates_redacted"], json.loads(x["pii_detected"]), x["privacy_risk_score"])
+    assert got == want and known and any(w[1] for w in want.values())
