@@ -221,7 +221,7 @@ def track(dets: DataFrame, videos: DataFrame | None = None) -> DataFrame:
         last = videos.select("video_id", (F.col("frames") - 1).alias("last_frame"))
     seen = detection_frames(dets).join(last, "video_id")
     cut = bands(seen, ["video_id"], "frame_no", F.col("frame_no") + C.DETECTION_INTERVAL, "stretch")
-    local = _stitched(cut.select(F.col("video_id").cast("bigint").alias("video_id"), "stretch", F.col("frame_no").cast("int").alias("frame_no"), "det_id", *BOX, "type", "is_auth", "last_frame"))
+    local = _stitched(cut.select(*FRAME, "stretch", "det_id", *BOX, "type", "is_auth", "last_frame"))
     begun = local.groupBy("video_id", "stretch").agg(F.max("track_id").alias("n"))
     earlier = Window.partitionBy("video_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     shift = begun.select("video_id", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
