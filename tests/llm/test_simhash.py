@@ -80,6 +80,28 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, long):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_tally_decides(spark):
+    """The tally keeps exactly the pairs with six or more equal positional bytes."""
+    rng = random.Random(9)
+    base = [rng.randbytes(8) for _ in range(12)]
+    values = set(base)
+    for x in base:
+        for n in (1, 2, 3, 3, 4, 4):
+            y = bytearray(x)
+            for at in rng.sample(range(8), n):
+                y[at] ^= rng.randrange(1, 256)
+            values.add(bytes(y))
+    shared = {(a, b): sum(p == q for p, q in zip(a, b)) for a in values for b in values if a < b}
+    number = lambda x: int.from_bytes(x, "little", signed=True)
+    nodes = spark.createDataFrame([(number(x),) for x in values], "fp bigint")
+    got = {frozenset((r.a, r.b)): r.shared for r in simhash.tallied(simhash.postings(nodes)).collect()}
+    want = {frozenset(map(number, pair)): n for pair, n in shared.items() if n >= 6}
+    assert {pair: n for pair, n in got.items() if n >= 6} == want
+    # Pairs with four or five equal bytes meet in a posting and go by their tally.
+    assert len(got) > len(want) + 20
+    assert {n for pair, n in got.items() if pair not in want} == {4}
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (None, "one two"), (5, "one TWO"), (6, "É a b"), (7, "é a b"),
             (8, "w " * 60_000), (9, "w " * 50), (None, "nobody else says this")]

@@ -1,17 +1,21 @@
 """SimHash near-dedup over an inverted index of byte positions.
 
-A fingerprint has eight positional bytes. Two that differ in at most two bits
-share at least six of them, hence the bytes of two whole quarters: each
-fingerprint is posted under its six pairs of quarters (four positional bytes
-each; single bytes would pair nearly everything). Members of a posting are
-paired, their shared positional bytes tallied, and pairs with six or more
-verified by their differing bits. Copies collapse before indexing.
+A fingerprint has eight positional bytes; two that differ in at most two bits
+share at least six of them. Each fingerprint is posted under fourteen sets of
+four positional bytes (single bytes would pair nearly everything). Number the
+bytes 0 to 7: the sets are those whose numbers cancel under exclusive or. Any
+six bytes hold three of the sets, which cover the six; five bytes hold one. So the
+bytes that a pair's shared postings prove, joined over all of them, are all the
+bytes it shares if these are six or more, and only four if they are fewer. Pairs
+with at least six proven bytes are verified by their differing bits, the others
+are dropped by their tally. Copies collapse before indexing.
 
 A posting of more than ``LONG`` fingerprints is not paired. There two members
 link if and only if they have a common neighbour among the fingerprints that
 differ from each in at most one bit of the other four bytes, so every
 member is listed under its 33 neighbours and tied to the least fingerprint of
-each list. That loses no link between groups and stays linear.
+each list. That loses no link between groups and stays linear. A pair with a
+long posting is found there, any other has all its postings in the tally.
 
 Groups are connected components, found by alternating star contraction. With
 ``copies`` the near copies of ``jaccard`` (five words, 0.8) are linked as well.
@@ -39,8 +43,7 @@ SEED = 42
 BITS = 2
 #: Fingerprints in a posting up to which its members are paired.
 LONG = 32
-_QUARTERS = [(0, 1), (2, 3), (4, 5), (6, 7)]
-_SLOTS = [a + b for a, b in combinations(_QUARTERS, 2)]
+_SLOTS = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -79,35 +82,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, fp bigint, body bigint")
 
 
-def _byte(x: Column, at: int) -> Column:
-    return F.shiftrightunsigned(x, 8 * at).bitwiseAND(F.lit(255))
+def _mask(slot: tuple) -> int:
+    mask = sum(255 << (8 * at) for at in slot)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share."""
-    x, n = a.bitwiseXOR(b), F.lit(0)
-    for at in range(8):
-        n = n + F.when(_byte(x, at) == 0, 1).otherwise(0)
-    return n
+def postings(nodes: DataFrame) -> DataFrame:
+    """Every fingerprint under the value of each slot's positional bytes."""
+    masks = F.array(*[F.lit(_mask(s)) for s in _SLOTS])
+    return nodes.select("fp", F.posexplode(masks).alias("slot", "mask")).select(
+        "fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
-def _mask(slot: tuple) -> int:
-    mask = sum(255 << (8 * at) for at in slot)
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
+def tallied(short: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a posting, with the positional bytes their postings prove."""
+    other = short.select("slot", "key", F.col("fp").alias("b"))
+    pairs = short.join(other, ["slot", "key"]).filter(F.col("fp") < F.col("b"))
+    proven = F.get(F.array(*[F.lit(sum(1 << at for at in s)) for s in _SLOTS]), F.col("slot"))
+    return pairs.groupBy(F.col("fp").alias("a"), "b").agg(F.bit_count(F.bit_or(proven)).alias("shared"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough of them to connect
     all that differ in at most two bits; none that differ in more."""
-    masks = F.array(*[F.lit(_mask(s)) for s in _SLOTS])
-    posted = nodes.select("fp", F.posexplode(masks).alias("slot", "mask")).select(
-        "fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    posted = postings(nodes)
     lengths = checkpoint(posted.groupBy("slot", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     short = posted.join(lengths.filter(F.col("n") <= LONG).drop("n"), ["slot", "key"])
-    other = short.select("slot", "key", F.col("fp").alias("other"))
-    pairs = short.join(other, ["slot", "key"]).filter(F.col("fp") < F.col("other"))
-    close = (shared_bytes(F.col("fp"), F.col("other")) >= 8 - BITS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= BITS)
-    paired = pairs.filter(close).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    candidates = tallied(short).filter(F.col("shared") >= 8 - BITS)
+    paired = candidates.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     # Long postings: list members under their neighbours in the free bits.
     free = [[1 << (8 * at + k) for at in range(8) if at not in slot for k in range(8)] for slot in _SLOTS]
     flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(f - (1 << 64) if f >= 1 << 63 else f).cast("bigint") for f in row]) for row in free])
