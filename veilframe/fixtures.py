@@ -120,6 +120,11 @@ SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'B-LOC' WHEN 1 THEN 'B-PER' WHEN
   CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_type = 'view' THEN event_id % 3 = 0
        ELSE event_id % 4 <> 0 OR event_id % 3 = 0 END AS user_feedback,
   event_id % 7 = 0 AND event_id % 2 = 0 AS missed_detection, ts FROM events
+""",) * 2,
+    # Users call boxes right of the middle wrong, and most place names; some rate at random, some not at all.
+    "v_ratings": ("""
+SELECT e.event_id AS det_no, e.event_id, e.ts, CASE WHEN e.event_id % 7 = 0 THEN NULL WHEN e.event_type = 'view' THEN e.event_id % 3 = 0
+  WHEN d.label = 'B-LOC' THEN d.x0 < 500 ELSE d.x0 < 1500 END AS user_feedback FROM events e JOIN v_dets d ON e.event_id = d.det_no
 """,) * 2,
     "v_ocr_conf": ("""
 SELECT l_orderkey AS page_id, CAST(90 * (l_linenumber % 4) AS INT) AS rotation,

@@ -92,6 +92,14 @@ def chunks(df: DataFrame, size: int = 5000, overlap: int = 500, text: str = "tex
     return unfold(df.where(F.col(text).isNotNull()), rest, pieces)
 
 
+def truncate(df: DataFrame, size: int = 5000, text: str = "text") -> DataFrame:
+    """Texts cut behind ``size`` characters, as a model with bounded input sees them.
+
+    ``cut`` tells how many characters are lost (null for a null text); ``chunks`` loses none.
+    """
+    return df.withColumns({text: F.substring(text, 1, size), "cut": F.when(F.col(text).isNotNull(), F.greatest(F.lit(0), F.length(text) - size))})
+
+
 def label_counts(df: DataFrame) -> DataFrame:
     """Redactions per label over all texts."""
     kept = unfold(df, [], T.resolve_overlaps(F.col("spans")), "s")

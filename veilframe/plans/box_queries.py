@@ -9,6 +9,7 @@ from veilframe.functions import text as T
 from veilframe.operators import align, boxes as ops
 from veilframe.operators import feedback as feedback_ops
 from veilframe.operators import gate as gate_ops
+from veilframe.operators import selftrain
 from veilframe.operators import report
 from veilframe.operators import text as text_ops
 from veilframe.operators import tokens as token_ops
@@ -231,8 +232,8 @@ def merged_pages(spark, folder):
 
 
 def page_gate(spark, folder):
-    """The gate's model; ratings of boxes are not among the given tables, so it learns from the ``gate`` query's stand-in."""
-    return gate_ops.train(ops.features(dets(spark, folder)).withColumn("user_feedback", F.col("label") != "B-LOC"))
+    """The gate's model, learned from the ratings stored under detections' numbers."""
+    return selftrain.learn(selftrain.rate(dets(spark, folder), view(spark, folder, "v_ratings"))).model
 
 
 def gated_pages(merged, history, model):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
-from veilframe.operators import boxes, feedback as fb, gate as gate_ops, generate as gen, report
+from veilframe.operators import feedback as fb, generate as gen, report, selftrain
 from veilframe.plans import duck as D
 from veilframe.plans.registry import query
 
@@ -285,8 +285,39 @@ def label_vocab(spark, folder):
     return gen.label_vocabulary(real_examples(spark, folder))
 
 
+def rated_boxes(spark, folder):
+    """Detections with the ratings stored under their numbers."""
+    return selftrain.rate(dets(spark, folder), view(spark, folder, "v_ratings"))
+
+
 @query("gate")
 def gate(spark, folder):
-    found = boxes.features(dets(spark, folder))
-    model = gate_ops.train(found.withColumn("user_feedback", F.col("label") != "B-LOC"))
-    return gate_ops.apply(found, model).select("doc_id", "page_no", "det_no", "label", "pattern")
+    lessons = selftrain.learn(rated_boxes(spark, folder))
+    return selftrain.through_gate(dets(spark, folder), lessons).select("doc_id", "page_no", "det_no", "label", "pattern")
+
+
+_LESSONS = """rt AS (SELECT d.*, r.event_id, r.ts, r.user_feedback FROM v_dets d LEFT JOIN v_ratings r USING (det_no)),
+off AS (SELECT coalesce(pattern, 'UNKNOWN') AS pattern FROM rt GROUP BY 1
+  HAVING count(user_feedback) >= 5 AND count(*) FILTER (user_feedback) / count(user_feedback) < 0.40),
+shifts AS (SELECT label, 0.30 AS shift FROM rt WHERE label = 'B-LOC' GROUP BY 1
+  HAVING count(user_feedback) > 0 AND count(*) FILTER (user_feedback) / count(user_feedback) < 0.40),
+hi AS (SELECT CASE WHEN pattern IS NOT NULL THEN label || '_' || pattern ELSE label END AS key,
+  CASE WHEN user_feedback THEN 1 - score ELSE -score END AS correction, event_id, ts FROM rt WHERE score IS NOT NULL AND user_feedback IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS rn FROM hi),
+mn AS (SELECT key, CAST(sum(CAST(correction AS DECIMAL(18, 6))) FILTER (rn <= 50) AS DOUBLE) / count(*) FILTER (rn <= 50) AS shift FROM rk GROUP BY 1 HAVING count(*) > 10)"""
+
+
+@query("feedback_next_run", f"""WITH {_LESSONS},
+n AS (SELECT doc_id, page_no, trim(word) AS word, score, {D.canonical("entity_group", "v3", T.LABEL_RULES, T.LABEL_DEFAULT)} AS label FROM v_ner_preds),
+ev AS (SELECT 'pattern' AS origin, doc_id, page_no, det_no, word, label, pattern, score FROM v_dets
+    WHERE pattern IS NULL OR pattern NOT IN (SELECT pattern FROM off)
+  UNION ALL SELECT 'model', doc_id, page_no, NULL, word, label, NULL, score FROM n LEFT JOIN shifts USING (label)
+    WHERE length(word) > 2 AND NOT regexp_matches(word, '\\d') AND NOT {D.non_sensitive('word')} AND label <> 'O'
+    AND score >= greatest(0.2, least(0.95, CASE label WHEN 'B-PER' THEN 0.60 WHEN 'B-LOC' THEN 0.82 WHEN 'B-DATE' THEN 0.75 ELSE 0.70 END + coalesce(shift, 0)))
+    AND NOT (label = 'B-LOC' AND (lower(word) IN {D.in_list(C.IGNORE_WORDS)} OR (NOT contains(word, ' ') AND length(word) < 5))))
+SELECT ev.*, CASE WHEN shift IS NULL THEN score ELSE greatest(0.0, least(1.0, score + shift * CAST(0.3 AS DOUBLE))) END AS calibrated
+FROM ev LEFT JOIN mn ON mn.key = CASE WHEN pattern IS NOT NULL THEN label || '_' || pattern ELSE label END""")
+def feedback_next_run(spark, folder):
+    """From stored ratings to the next run: counts, patterns off, shifts, corrections, all taking effect."""
+    lessons = selftrain.learn(rated_boxes(spark, folder), gated=False)
+    return selftrain.next_run(dets(spark, folder), view(spark, folder, "v_ner_preds"), lessons)

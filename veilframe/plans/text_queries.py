@@ -211,6 +211,11 @@ def model_chunks(spark, folder):
     return ops.chunks(view(spark, folder, "v_texts"))
 
 
+@query("truncate_text", "SELECT src, id, substr(text, 1, 5000) AS text, CAST(greatest(0, length(text) - 5000) AS INT) AS cut FROM v_texts WHERE text IS NOT NULL")
+def truncate_text(spark, folder):
+    return ops.truncate(view(spark, folder, "v_texts").where("text IS NOT NULL"))
+
+
 @query("verhoeff", f"""
 WITH n AS (SELECT c_custkey, lpad(CAST((c_custkey * 7919007) % 1000000000000 AS VARCHAR), 12, '0') AS number FROM customer)
 SELECT c_custkey, number, list_reduce(list_prepend(0, range(0, 12)), lambda c, i:
