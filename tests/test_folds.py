@@ -59,9 +59,9 @@ def test_strict_duplicates(spark, page_dets):
     assert {r.det_no for r in got.collect()} == want and len(want) < len(page_dets)
 
 
-def test_priority_merge(spark, page_dets):
+def plain_merge(dets):
     want = []
-    for key, rows in pages(page_dets).items():
+    for key, rows in pages(dets).items():
         kept = []
         for r in sorted(rows, key=lambda r: (-r[10], r[2])):
             box, word = list(r[4:8]), r[3].strip().lower()
@@ -76,8 +76,63 @@ def test_priority_merge(spark, page_dets):
             else:
                 kept.append({"box": box, "word": r[3], "no": r[2]})
         want += [(*key, k["no"], k["word"], *k["box"]) for k in kept]
-    got = boxes.merge_by_priority(spark.createDataFrame(page_dets, DET)).collect()
-    assert sorted(tuple(r)[:8] for r in got) == sorted(want)
+    return sorted(want)
+
+
+def merged(spark, rows):
+    return sorted(tuple(r)[:8] for r in boxes.merge_by_priority(spark.createDataFrame(rows, DET)).collect())
+
+
+def test_priority_merge(spark, page_dets):
+    assert merged(spark, page_dets) == plain_merge(page_dets)
+
+
+@pytest.mark.parametrize("large", [1, 40, 4096])
+def test_priority_merge_of_any_boxes(spark, monkeypatch, large):
+    """Dense, wide, empty and turned boxes, negative places, equal ranks; split as deep as it goes."""
+    monkeypatch.setattr(boxes, "LARGE_BLOCK", large)
+    rng, rows = random.Random(3), []
+    for i in range(900):
+        x, y = rng.randrange(-300, 2400), rng.randrange(-200, 3200)
+        w = rng.choice([0, 30, 60, 90, 90, 400, 2500 if i % 60 == 0 else 20]) * rng.choice([1, 1, 1, -1])
+        h = rng.choice([0, 12, 20, 60, 3000 if i % 90 == 0 else 15]) * rng.choice([1, 1, -1])
+        rows.append((1, rng.choice([1, 1, 1, 2]), i, rng.choice(["ravi", "asha patil", "", None]) or "", x, y, x + w, y + h, "B-PER", None,
+                     rng.choice([40, 75, 90]), None))
+    want = plain_merge(rows)
+    assert len(want) < len(rows)
+    assert merged(spark, rows) == want
+
+
+def nest(x, y, side, depth):
+    """Boxes around the four sides of a square like sails, another square inside: each level opens only when cut from outside."""
+    if depth == 0:
+        return [(x, y, x + side, y + side)]
+    t = side // 4
+    ring = [(x, y, x + side, y + t), (x, y + t + 40, x + t, y + side)]
+    return ring + nest(x + t + 60, y + t + 40, side - t - 60, depth - 1)
+
+
+def test_blocks_open_level_by_level(spark, monkeypatch):
+    rows = [(1, 1, i, "w", *box, "B-PER", None, 75, None) for i, box in enumerate(nest(0, 0, 4000, 4))]
+    dets = spark.createDataFrame(rows, DET)
+    count = lambda: boxes.merge_blocks(dets).select("block").distinct().count()
+    coarse = count()
+    monkeypatch.setattr(boxes, "LARGE_BLOCK", 1)
+    assert coarse < count() == len(rows)
+    assert merged(spark, rows) == plain_merge(rows)
+
+
+def test_a_page_that_never_falls_apart(spark):
+    """Bricks: no blank row or column crosses them, nothing merges, and 40 000 take seconds."""
+    import time
+    rows = spark.range(40_000).selectExpr(
+        "1L doc_id", "1 page_no", "id det_no", "concat('w', id) word", "cast((id % 200) * 100 + (id div 200) % 2 * 50 as int) x0",
+        "cast((id div 200) * 16 as int) y0", "cast((id % 200) * 100 + (id div 200) % 2 * 50 + 75 as int) x1",
+        "cast((id div 200) * 16 + 20 as int) y1", "'B-PER' label", "cast(null as string) pattern", "75 priority", "cast(null as double) score")
+    began = time.time()
+    got = boxes.merge_by_priority(rows)
+    assert got.agg({"n_merged": "sum"}).first()[0] == 40_000 == got.count()
+    assert time.time() - began < 60
 
 
 def test_chain_merge(spark, page_dets):

@@ -110,43 +110,108 @@ def _iou(a: list, b: list) -> float:
     return shared / joint if joint > 0 else 0.0
 
 
+#: Boxes in a part of a page up to which it is not split any further.
+LARGE_BLOCK = 4096
+
+
+def _split(dets: DataFrame) -> DataFrame:
+    """Cut every block at its blank rows (15 px), then those at their blank columns (20 px)."""
+    # Numbering bands reads its input twice; writing between the two levels
+    # keeps that from multiplying.
+    rows = checkpoint(bands(dets, [*PAGE, "block"], "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "_row"))
+    rows = bands(rows, [*PAGE, "block", "_row"], "x0", F.greatest(F.col("x1"), F.col("x0")) + 19, "_col")
+    return rows.withColumn("block", F.concat_ws("/", "block", "_row", "_col")).drop("_row", "_col")
+
+
+def merge_blocks(dets: DataFrame) -> DataFrame:
+    """Detections with the block of their page outside which nothing can meet them.
+
+    A cut can open another one across it, so blocks of more than ``LARGE_BLOCK`` boxes
+    are cut again until none of them falls apart. Every round works on such blocks
+    only; all others are done.
+    """
+    block = [*PAGE, "block"]
+    rows, before, done = _split(dets.withColumn("block", F.lit(""))), 0, None
+    while True:
+        rows = checkpoint(rows)
+        large = checkpoint(rows.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_BLOCK).drop("_n"))
+        here = rows.select(*block).distinct().count() if before else None
+        if large.isEmpty() or here == before:
+            return rows if done is None else done.unionByName(rows)
+        small = rows.join(large, block, "left_anti")
+        done = small if done is None else done.unionByName(small)
+        before = large.count()
+        rows = _split(rows.join(large, block, "left_semi"))
+
+
+class _Near:
+    """Numbers of kept boxes by the page cells that they and their surroundings touch."""
+
+    SIDE, MANY = 64, 256
+
+    def __init__(self) -> None:
+        self.cells: dict[tuple, set] = {}
+        self.wide: set[int] = set()  # boxes over very many cells, looked at always
+
+    def _over(self, box: list, dx: int, dy: int) -> list | None:
+        (x0, x1), (y0, y1) = sorted((box[0], box[2])), sorted((box[1], box[3]))
+        across = range((x0 - dx) // self.SIDE, (x1 + dx) // self.SIDE + 1)
+        down = range((y0 - dy) // self.SIDE, (y1 + dy) // self.SIDE + 1)
+        return None if len(across) * len(down) > self.MANY else [(i, j) for i in across for j in down]
+
+    def add(self, number: int, box: list) -> None:
+        cells = self._over(box, 20, 15)
+        if cells is None:
+            self.wide.add(number)
+        for cell in cells or ():
+            self.cells.setdefault(cell, set()).add(number)
+
+    def around(self, box: list, n: int) -> list[int] | range:
+        """Numbers, in order, of all of the ``n`` boxes that may meet this one."""
+        cells = self._over(box, 0, 0)
+        if cells is None:
+            return range(n)
+        return sorted(self.wide.union(*(self.cells.get(cell, ()) for cell in cells)))
+
+
 def merge_by_priority(dets: DataFrame) -> DataFrame:
     """Drop near duplicates and merge neighbours on a line, best priority first.
 
-    A kept box grows while it absorbs others, so rows are handled in order.
-    Boxes can only meet inside a stretch of the page that no blank rows (15 px)
-    and no blank columns (20 px) cut, so pages split into such blocks, each
-    folded on its own with nothing but its kept boxes in memory.
+    A kept box grows while it absorbs others, so rows are handled in order. Pages
+    split into blocks that nothing reaches across (``merge_blocks``), each folded
+    on its own with nothing but its kept boxes in memory; a box is compared with
+    the kept ones around it only, so a block that does not fall apart still takes
+    time in proportion to its boxes.
     """
-    # Numbering bands reads its input twice; writing between the two levels
-    # keeps that from multiplying.
-    rows = checkpoint(bands(dets, PAGE, "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "band"))
-    rows = bands(rows, [*PAGE, "band"], "x0", F.greatest(F.col("x1"), F.col("x0")) + 19, "block")
-    rows = rows.select(*PAGE, "band", "block", "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX,
-                       "label", "pattern", "priority", "score")
+    rows = merge_blocks(dets).select(*PAGE, "block", "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX,
+                                     "label", "pattern", "priority", "score")
 
-    def step(kept: list, row: tuple) -> tuple[list, list]:
+    def step(state: tuple, row: tuple) -> tuple[tuple, list]:
+        kept, near = state
         box, look = [row.x0, row.y0, row.x1, row.y1], row.word.strip().lower()
-        for other in kept:
+        for number in near.around(box, len(kept)):
+            other = kept[number]
             have, said = other["box"], other["word"].strip().lower()
             if _iou(box, have) > 0.6 and fuzzy.ratio(look, said) > 85:
-                return kept, []
+                return state, []
             gap = min(abs(box[2] - have[0]), abs(have[2] - box[0]))
             if abs(box[1] - have[1]) < 15 and gap < 20:
                 other["box"] = [min(box[0], have[0]), min(box[1], have[1]), max(box[2], have[2]), max(box[3], have[3])]
                 other["word"] = f"{said} {look}"
                 other["n"] += 1
-                return kept, []
+                near.add(number, other["box"])
+                return state, []
+        near.add(len(kept), box)
         kept.append({"row": row, "box": box, "word": row.word, "n": 1})
-        return kept, []
+        return state, []
 
-    def finish(kept: list) -> list:
+    def finish(state: tuple) -> list:
         return [(k["row"].doc_id, k["row"].page_no, k["row"].det_no, k["word"], *k["box"], k["row"].label,
-                 k["row"].pattern, k["row"].priority, k["row"].score, k["n"]) for k in kept]
+                 k["row"].pattern, k["row"].priority, k["row"].score, k["n"]) for k in state[0]]
 
     schema = ("doc_id bigint, page_no int, det_no bigint, word string, x0 int, y0 int, x1 int, y1 int, "
               "label string, pattern string, priority int, score double, n_merged int")
-    return ordered_fold(rows, [*PAGE, "band", "block"], [F.desc("priority"), F.col("det_no")], list, step, finish, schema)
+    return ordered_fold(rows, [*PAGE, "block"], [F.desc("priority"), F.col("det_no")], lambda: ([], _Near()), step, finish, schema)
 
 
 def merge_chain(dets: DataFrame) -> DataFrame:
