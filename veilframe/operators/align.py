@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import bind, unfold
+from veilframe.functions.scan import bind, dealt, unfold
 from veilframe.operators import similar
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
 from veilframe.session import checkpoint
@@ -95,11 +95,11 @@ def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
     pieces = F.flatten(F.transform("sizes", lambda g: F.transform(
         F.when(F.length("low") >= g, F.sequence(F.lit(0), F.length("low") - g)).otherwise(F.array().cast("array<int>")),
         lambda at: F.struct(at.alias("inside"), F.substring(F.col("low"), at + 1, g).alias("gram")))))
-    index = unfold(low.join(sizes, PAGE), [*PAGE, "idx", "char0", "low"], pieces)
+    index = unfold(low.join(dealt(sizes), PAGE), [*PAGE, "idx", "char0", "low"], pieces)
     more = F.size("parts") - 1
     rest = F.substring(F.col("low"), F.col("inside") + 1, F.length("low"))
     begins = F.when(more == 0, F.startswith(rest, F.col("head"))).otherwise(rest == F.col("head"))
-    starts = index.join(keyed, [*PAGE, "gram"]).where(begins).select(*PAGE, "needle", "parts", "idx", "char0", "inside")
+    starts = index.join(dealt(keyed), [*PAGE, "gram"]).where(begins).select(*PAGE, "needle", "parts", "idx", "char0", "inside")
 
     def following(hits: DataFrame, first: Column, last: Column) -> DataFrame:
         """Hits whose words from ``first`` to ``last`` are the tokens that follow."""
@@ -108,7 +108,7 @@ def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
         nxt = low.select(*PAGE, F.col("idx").alias("_at"), F.col("low").alias("_low"))
         word = F.get("parts", F.col("k"))
         fits = F.when(F.col("k") == more, F.startswith(F.col("_low"), word)).otherwise(F.col("_low") == word)
-        met = steps.join(nxt, [*PAGE, "_at"]).where(fits)
+        met = steps.join(dealt(nxt), [*PAGE, "_at"]).where(fits)
         return met.groupBy(*names).agg(F.count("*").alias("_n"), F.first("parts").alias("parts"), F.first(last - first + 1).alias("_want")).where(
             "_n = _want").select(*PAGE, "needle", "parts", "idx", "char0", "inside")
 
@@ -136,7 +136,7 @@ def align(
         found = found.where("inside = 0")
     wide = found.select(*PAGE, "needle", "inside", F.col("idx").alias("first"), F.explode(F.sequence(F.lit(0), parts)).alias("k"))
     wide = wide.withColumn("idx", F.col("first") + F.col("k"))
-    near = wide.join(tokens.select(*PAGE, "idx", "char0", "text", "left_x", "top", "width", "height"), PAGE + ["idx"])
+    near = wide.join(dealt(tokens.select(*PAGE, "idx", "char0", "text", "left_x", "top", "width", "height")), PAGE + ["idx"])
     item = F.struct(
         "k", "char0", "text", F.col("left_x").alias("x0"), F.col("top").alias("y0"),
         (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
@@ -157,7 +157,7 @@ def align(
         box = G.valid_box(*[F.col(f"_m.{c}") for c in BOX], F.lit(size[0]), F.lit(size[1]))
         runs = runs.withColumn("_m", box).where("_m IS NOT NULL")
     keyed = preds.withColumn("needle", F.lower(T.strip(F.col("word")))).drop("word")
-    joined = keyed.join(runs.select(*PAGE, "needle", "idx", "n_tokens", "found", "_m.*"), PAGE + ["needle"])
+    joined = keyed.join(dealt(runs.select(*PAGE, "needle", "idx", "n_tokens", "found", "_m.*")), PAGE + ["needle"])
     if quiet_foot:
         joined = joined.where((F.col("y0") <= size[1] * 0.75) | (F.col("score") >= 0.90))
     return joined.withColumnRenamed("found", "word").drop("needle")
@@ -181,9 +181,9 @@ def _windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
 def _first_window(needles: DataFrame, tokens: DataFrame, widths: list[int], least: int) -> DataFrame:
     """Start (and width) of the first run that holds something similar to a needle."""
     pages = needles.select(*PAGE).distinct()
-    runs = _windows(tokens.join(pages, PAGE, "left_semi"), widths)
+    runs = _windows(tokens.join(dealt(pages), PAGE, "left_semi"), widths)
     hits = similar.partial_join(needles, runs, PAGE, "needle", "body", least)
-    met = hits.select(*PAGE, F.col("a").alias("needle"), F.col("b").alias("body")).join(runs, [*PAGE, "body"])
+    met = hits.select(*PAGE, F.col("a").alias("needle"), F.col("b").alias("body")).join(dealt(runs), [*PAGE, "body"])
     return met.groupBy(*PAGE, "needle").agg(F.min("run").alias("run")).select(*PAGE, "needle", "run.idx", "run.w")
 
 
@@ -195,7 +195,7 @@ def _boxed_run(found: DataFrame, tokens: DataFrame, keys: list[str], width: int
     item = F.struct(
         "k", "text", F.col("left_x").alias("x0"), F.col("top").alias("y0"),
         (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
-    runs = wide.join(toks, PAGE + ["_at"]).groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(item)).alias("run"))
+    runs = wide.join(dealt(toks), PAGE + ["_at"]).groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(item)).alias("run"))
     return runs.select(*keys, "idx", F.size("run").alias("n_tokens"), F.array_join(F.transform("run", lambda t: t["text"]), " ").alias("word"),
                        G.union_box(F.col("run")).alias("_m")).select(*keys, "idx", "n_tokens", "word", "_m.*")
 
@@ -204,18 +204,18 @@ def align_fuzzy(preds: DataFrame, tokens: DataFrame, least: int = 72) -> DataFra
     """Tokens for predictions that do not occur literally: the most similar
     token, else the first run of four that holds something similar."""
     needles = _needles(preds)
-    missing = checkpoint(needles.join(occurrences(needles, tokens).select(*PAGE, "needle"), PAGE + ["needle"], "left_anti"))
-    words = _low(tokens.join(missing.select(*PAGE).distinct(), PAGE, "left_semi"))
+    missing = checkpoint(needles.join(dealt(occurrences(needles, tokens).select(*PAGE, "needle")), PAGE + ["needle"], "left_anti"))
+    words = _low(tokens.join(dealt(missing.select(*PAGE).distinct()), PAGE, "left_semi"))
     alike = similar.token_set_join(missing, words, PAGE, "needle", "low", least).withColumnsRenamed({"a": "needle", "b": "low"})
     best = F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m")
     single = checkpoint(alike.join(words, [*PAGE, "low"]).groupBy(*PAGE, "needle").agg(best).select(*PAGE, "needle", (-F.col("m.neg")).alias("idx")))
-    rest = missing.join(single, PAGE + ["needle"], "left_anti")
+    rest = missing.join(dealt(single), PAGE + ["needle"], "left_anti")
     first = _first_window(rest, tokens, [4], 70)
     keys = [*PAGE, "needle"]
     found = _boxed_run(single, tokens, keys, 1).withColumn("how", F.lit("token")).unionByName(
         _boxed_run(first, tokens, keys, 4).withColumn("how", F.lit("window")))
     labels = preds.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "entity_group", "score")
-    return labels.join(found, keys)
+    return labels.join(dealt(found), keys)
 
 
 def align_hits(hits: DataFrame, tokens: DataFrame, width: int = 6, variant: str = "v3") -> DataFrame:
@@ -227,20 +227,20 @@ def align_hits(hits: DataFrame, tokens: DataFrame, width: int = 6, variant: str
     """
     keyed = hits.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "label").where(F.length("needle") > 0).distinct()
     exact = checkpoint(exact_hits(hits, tokens))
-    rest = keyed.join(exact, PAGE + ["needle", "label"], "left_anti").select(*PAGE, "needle").distinct()
+    rest = keyed.join(dealt(exact), PAGE + ["needle", "label"], "left_anti").select(*PAGE, "needle").distinct()
     widths = list(range(1, 9)) if variant == "v1" else [width]
     first = _first_window(checkpoint(rest), tokens, widths, 70)
     keys = [*PAGE, "needle", "label"]
     one = _boxed_run(exact, tokens, keys, 1).withColumn("how", F.lit("token"))
     run = _boxed_run(first, tokens, [*PAGE, "needle"], F.col("w")).withColumn("how", F.lit("window"))
-    labels = keyed.join(exact, keys, "left_anti")
-    return one.unionByName(labels.join(run, [*PAGE, "needle"]).select(*one.columns))
+    labels = keyed.join(dealt(exact), keys, "left_anti")
+    return one.unionByName(labels.join(dealt(run), [*PAGE, "needle"]).select(*one.columns))
 
 
 def exact_hits(hits: DataFrame, tokens: DataFrame) -> DataFrame:
     """Only the first step of ``align_hits``: the first token equal to a hit."""
     keyed = hits.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "label").where(F.length("needle") > 0).distinct()
-    same = keyed.join(tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("needle")), PAGE + ["needle"])
+    same = keyed.join(dealt(tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("needle"))), PAGE + ["needle"])
     return same.groupBy(*PAGE, "needle", "label").agg(F.min("idx").alias("idx"))
 
 
@@ -250,16 +250,16 @@ def propagate_names(people: DataFrame, tokens: DataFrame, lines: DataFrame) -> D
     needles = people.select(*PAGE, F.lower(F.col("word")).alias("needle")).distinct()
 
     def spread(table: DataFrame, pairs) -> DataFrame:
-        low = table.join(needles.select(*PAGE).distinct(), PAGE, "left_semi").withColumn("low", F.lower(F.col("text")))
+        low = table.join(dealt(needles.select(*PAGE).distinct()), PAGE, "left_semi").withColumn("low", F.lower(F.col("text")))
         like = pairs(low).select(*PAGE, F.col("b").alias("low")).distinct()
-        return low.join(like, PAGE + ["low"], "left_semi").select(
+        return low.join(dealt(like), PAGE + ["low"], "left_semi").select(
             *PAGE, F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),
             (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
 
     args = (PAGE, "needle", "low")
     near = spread(tokens, lambda low: similar.ratio_join(needles, low, *args, 88).unionByName(similar.partial_join(needles, low, *args, 85))).unionByName(
         spread(lines, lambda low: similar.partial_join(needles, low, *args, 75)))
-    fresh = near.join(people.select(*PAGE, *BOX).distinct(), PAGE + BOX, "left_anti")
+    fresh = near.join(dealt(people.select(*PAGE, *BOX).distinct()), PAGE + BOX, "left_anti")
     first = fresh.groupBy(*PAGE, *BOX).agg(F.min("word").alias("word"))
     return first.withColumn("label", F.lit("B-PER"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import fuzzy
-from veilframe.functions.scan import bind
+from veilframe.functions.scan import bind, dealt
 
 #: Blank and letters by falling frequency in English; others count as rarer. Any order is right.
 _FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
@@ -51,7 +51,7 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], least_common: Colum
     """Pairs that meet in a looked-up element, once each, and pass the length and count filters."""
     a = left.select("*", F.explode("a_first").alias("_e"))
     b = right.select("*", F.explode("b_first").alias("_e"))
-    pairs = a.join(b, [*keys, "_e"]).filter(fits)
+    pairs = a.join(dealt(b), [*keys, "_e"]).filter(fits)
     once = F.get(F.array_intersect("a_first", "b_first"), F.lit(0)) == F.col("_e")
     enough = F.size(F.array_intersect("a_all", "b_all")) >= least_common
     return pairs.filter(once).filter(enough).select(*keys, F.col("a"), F.col("b"))
@@ -96,11 +96,11 @@ def token_set_candidates(left: DataFrame, right: DataFrame, keys: list[str], a:
     that share a word, and those whose sorted words are alike."""
     split = lambda df, c, side: bind(df.select(*keys, F.col(c).alias(side)).distinct(), **{f"{side}_set": word_set(F.col(side))})
     one, two = split(left, a, "a"), split(right, b, "b")
-    shared = one.select(*keys, "a", F.explode("a_set").alias("_w")).join(two.select(*keys, "b", F.explode("b_set").alias("_w")), [*keys, "_w"])
+    shared = one.select(*keys, "a", F.explode("a_set").alias("_w")).join(dealt(two.select(*keys, "b", F.explode("b_set").alias("_w"))), [*keys, "_w"])
     joined = lambda df, side: df.select(*keys, side, F.array_join(f"{side}_set", " ").alias(f"{side}_norm"))
     one, two = joined(one, "a"), joined(two, "b")
     alike = ratio_candidates(one, two, keys, "a_norm", "b_norm", least).withColumnsRenamed({"a": "a_norm", "b": "b_norm"})
-    alike = alike.join(one, [*keys, "a_norm"]).join(two, [*keys, "b_norm"])
+    alike = alike.join(dealt(one), [*keys, "a_norm"]).join(dealt(two), [*keys, "b_norm"])
     return shared.select(*keys, "a", "b").unionByName(alike.select(*keys, "a", "b")).distinct()
 
 
