@@ -9,7 +9,7 @@ from veilframe import catalogue as C
 from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.greedy import dropped_rows
-from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold
+from veilframe.functions.scan import SEGMENT, bands, bind, dealt, exclusive_scan, ordered_fold
 from veilframe.session import checkpoint
 
 PAGE = ["doc_id", "page_no"]
@@ -53,13 +53,13 @@ def label_tokens(tokens: DataFrame, dets: DataFrame) -> DataFrame:
                           (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
     touched = G.overlapping_pairs(boxed, dets.select(*PAGE, *BOX, "det_no", "label"), PAGE)
     last = touched.groupBy(*PAGE, F.col("a_pos").alias("pos")).agg(F.max_by("b_label", "b_det_no").alias("label"))
-    return tokens.join(last, PAGE + ["pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    return tokens.join(dealt(last), PAGE + ["pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 
 
 def without_overlap(extra: DataFrame, base: DataFrame, ident: str) -> DataFrame:
     """Rows of ``extra`` whose box shares no area with any row of ``base``."""
     hit = G.overlapping_pairs(extra.select(*PAGE, *BOX, ident), base.select(*PAGE, *BOX), PAGE)
-    return extra.join(hit.select(*PAGE, F.col(f"a_{ident}").alias(ident)).distinct(), PAGE + [ident], "left_anti")
+    return extra.join(dealt(hit.select(*PAGE, F.col(f"a_{ident}").alias(ident)).distinct()), PAGE + [ident], "left_anti")
 
 
 def _look(word: Column) -> Column:
@@ -87,9 +87,9 @@ def drop_similar(dets: DataFrame, keys: list[str], rank: Column, ident: str, min
     edges = near.where(alike).select(F.struct(*keys, F.col("a__rank").alias("_rank")).alias("lo"),
                                      F.struct(*keys, F.col("b__rank").alias("_rank")).alias("hi"))
     lost = dropped_rows(edges).select("id.*")
-    kept = firsts.join(lost, [*keys, "_rank"], "left_anti").select(*keys, "_rank")
+    kept = firsts.join(dealt(lost), [*keys, "_rank"], "left_anti").select(*keys, "_rank")
     rest = ranked.where(~solid)
-    return ranked.join(kept, [*keys, "_rank"], "left_semi").unionByName(rest).select(*dets.columns)
+    return ranked.join(dealt(kept), [*keys, "_rank"], "left_semi").unionByName(rest).select(*dets.columns)
 
 
 def drop_similar_strict(dets: DataFrame) -> DataFrame:
@@ -138,10 +138,10 @@ def merge_blocks(dets: DataFrame) -> DataFrame:
         here = rows.select(*block).distinct().count() if before else None
         if large.isEmpty() or here == before:
             return rows if done is None else done.unionByName(rows)
-        small = rows.join(large, block, "left_anti")
+        small = rows.join(dealt(large), block, "left_anti")
         done = small if done is None else done.unionByName(small)
         before = large.count()
-        rows = _split(rows.join(large, block, "left_semi"))
+        rows = _split(rows.join(dealt(large), block, "left_semi"))
 
 
 class _Near:

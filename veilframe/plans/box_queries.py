@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
+from veilframe.functions.scan import dealt
 from veilframe.operators import align, boxes as ops
 from veilframe.operators import feedback as feedback_ops
 from veilframe.operators import gate as gate_ops
@@ -241,7 +242,7 @@ def gated_pages(merged, history, model):
     sized = merged.withColumn("page_w", F.lit(2550)).withColumn("page_h", F.lit(3300))
     scored = feedback_ops.calibrate(sized, history).withColumn("score", F.col("calibrated")).drop("calibrated", "key")
     kept = checkpoint(gate_ops.apply(ops.features(scored), model).drop(*(c for c in gate_ops.INPUTS)))
-    return kept.join(report.page_risk(kept), PAGE)
+    return kept.join(dealt(report.page_risk(kept)), PAGE)
 
 
 @query("redact_pages")
@@ -315,7 +316,7 @@ def fuzz_scores(spark, folder):
     # Every token against the next one of its page.
     toks = numbered(spark, folder).select(*PAGE, "idx", F.lower("text").alias("a"))
     after = toks.select(*PAGE, (F.col("idx") - 1).alias("idx"), F.col("a").alias("b"))
-    pairs = toks.join(after, PAGE + ["idx"])
+    pairs = toks.join(dealt(after), PAGE + ["idx"])
     return pairs.select(*PAGE, "idx", "a", "b", fuzzy.ratio_udf("a", "b").alias("ratio"),
                         fuzzy.partial_ratio_udf("a", "b").alias("partial"), fuzzy.token_set_ratio_udf("a", "b").alias("token_set"))
 
