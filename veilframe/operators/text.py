@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
 from veilframe.functions import text as T
-from veilframe.functions.scan import bind, unfold
+from veilframe.functions.scan import bind, dealt, unfold
 
 
 def detect(df: DataFrame, patterns: list[C.Pattern] | None = None, text: str = "text", e164: bool = False) -> DataFrame:
@@ -43,9 +43,9 @@ def with_entities(df: DataFrame, entities: DataFrame, keys: list[str], text: str
     Entities come first among spans with the same bounds.
     """
     kept = allow_entities(entities, C.TEXT_ENTITY_LABELS)
-    titled = expand_titles(kept.join(df.select(*keys, text), keys), text)
+    titled = expand_titles(kept.join(dealt(df.select(*keys, text)), keys), text)
     per_text = titled.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "original", "label")).alias("_ents"))
-    joined = df.join(per_text, keys, "left")
+    joined = df.join(dealt(per_text), keys, "left")
     mixed = F.concat(F.coalesce("_ents", F.from_json(F.lit("[]"), f"array<{T.SPAN}>")), F.col("spans"))
     keyed = F.transform(mixed, lambda s, i: F.struct(
         s["start"].alias("start"), (s["start"] - s["end"]).alias("neg_len"), i.alias("ord"), s.alias("span")))

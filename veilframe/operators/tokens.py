@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import SEGMENT, bands, bind, exclusive_scan, ordered_fold, unfold
+from veilframe.functions.scan import SEGMENT, bands, bind, dealt, exclusive_scan, ordered_fold, unfold
 
 PAGE = ["doc_id", "page_no"]
 PAGE_SIZE = (2550, 3300)
@@ -168,7 +168,7 @@ def field_values(tokens: DataFrame, size: tuple = PAGE_SIZE, limit: int = C.FIEL
         F.greatest(F.lit(15.0), F.col("height") * 0.7).alias("reach")], rows)
     steps = [s for s in range(-C.FIELD_LOOK_BACK, C.FIELD_LOOK_AHEAD + 1) if s]
     wanted = labels.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("idx", F.col("at") + F.col("step"))
-    near = wanted.join(tokens.select(*PAGE, "idx", "text", "left_x", "top", "width", "height"), PAGE + ["idx"])
+    near = wanted.join(dealt(tokens.select(*PAGE, "idx", "text", "left_x", "top", "width", "height")), PAGE + ["idx"])
     word = T.strip(F.col("text"))
     item = F.struct(
         "step", "text", F.col("left_x").alias("x0"), F.col("top").alias("y0"),
@@ -220,7 +220,7 @@ def name_context(tokens: DataFrame, size: tuple = PAGE_SIZE, cell: int = 64) ->
         (names["left_x"] > F.col("l_right")) | (names["left_x"] < F.col("l_left") - 100))
     same = [names[k] == labels[k] for k in PAGE + ["cell"]]
     on = same[0] & same[1] & same[2] & beside
-    found = names.join(labels, on, "left_semi")
+    found = names.join(dealt(labels), on, "left_semi")
     found = found.select(*PAGE, "idx", F.lit(1).alias("n_tokens"), F.col("text").alias("word"), token_box(size).alias("_b"),
                          F.lit("B-PER").alias("label"), F.lit("NAME_FIELD_CONTEXT").alias("pattern"), F.lit(92).alias("priority"))
     return found.where("_b IS NOT NULL").select("*", "_b.*").select(*DETECTION)
@@ -346,7 +346,7 @@ def rescue_ids(
         F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i, n=n: F.substring("w", i, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in lengths]))
     covered = unfold(pieces, PAGE, cut, "hit").distinct()
-    left = hits.join(covered, PAGE + ["hit"], "left_anti")
+    left = hits.join(dealt(covered), PAGE + ["hit"], "left_anti")
     return left.select(
         *PAGE, F.col("t.idx").alias("idx"), F.lit(1).alias("n_tokens"), F.col("hit").alias("word"),
         F.col("t.left_x").alias("x0"), F.col("t.top").alias("y0"), (F.col("t.left_x") + F.col("t.width")).alias("x1"),
