@@ -1,7 +1,11 @@
 """Joins of tables that views and generators make large: no side is collected by the driver."""
+import random
+
 import pytest
 
 import veilframe.plans  # noqa: F401
+from veilframe.functions import fuzzy
+from veilframe.operators import align
 from veilframe.plans.registry import QUERIES
 
 LARGE = ["anon_examples", "dedup_tokens", "ner_align", "ner_align_v0", "ner_align_fuzzy", "token_labels", "all_detections", "anti_overlap",
@@ -17,3 +21,24 @@ def test_no_side_is_broadcast(spark, folder, name):
     # The smallest tables, which Spark would broadcast unless told otherwise.
     assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, folder))
 
+
+
+def test_first_fit_is_the_first_of_all_runs():
+    rng = random.Random(7)
+    for _ in range(400):
+        lows = ["".join(rng.choices("ab12-", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 14))]
+        needle = " ".join("".join(rng.choices("ab12-", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+        own, widths = rng.randint(1, len(lows)), rng.choice([[4], [6], list(range(1, 9))])
+        want = next(((at, w) for at in range(own) for w in widths if fuzzy.partial_reaches(needle, " ".join(lows[at:at + w]), 70)), None)
+        assert align._first_fit(needle, lows, own, widths, 70) == want
+        assert want is None or want == next((at, w) for at in range(own) for w in widths if fuzzy.partial_ratio(needle, " ".join(lows[at:at + w])) >= 70)
+
+
+def test_many_needles_meet_a_long_page(spark):
+    page = spark.range(1500).selectExpr("1L doc_id", "1 page_no", "id idx", "id * 8 char0", "concat('w', lpad(cast(id as string), 6, '0')) text")
+    needles = spark.range(0, 1500, 2).selectExpr("1L doc_id", "1 page_no", "concat('w', lpad(cast(id as string), 6, '0')) needle")
+    found = align._first_window(needles, page, [4], 100)
+    # A run of tokens is not a row: nothing but page segments and blocks of needles is joined.
+    assert plan_of(found).count("SortMergeJoin") == 1
+    rows = found.collect()
+    assert len(rows) == 750 and all(r.idx == max(0, int(r.needle[1:]) - 3) for r in rows)

@@ -7,12 +7,15 @@ their number.
 """
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import catalogue as C
-from veilframe.functions import geometry as G
+from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.scan import bind, dealt, unfold
 from veilframe.operators import similar
@@ -167,24 +170,61 @@ def _low(tokens: DataFrame) -> DataFrame:
     return tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("low"))
 
 
-def _windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
-    """Runs of so many tokens from each token on, fewer at a page's end; equal ones of a page as their first."""
+#: Needles of a page that travel together to its segments.
+NEEDLE_BLOCK = 256
+
+
+def _first_fit(needle: str, lows: list[str], own: int, widths: list[int], least: int) -> tuple[int, int] | None:
+    """Start and width of the first run of tokens that holds something similar to the needle.
+
+    Runs that have too few of its characters for the score are ruled out all at once,
+    by running counts; the others are scored in order until one fits.
+    """
+    counts = Counter(needle)
+    have = np.array([[low.count(c) for c in counts] for low in lows])
+    sums = np.concatenate([np.zeros((1, len(counts)), int), have.cumsum(0)])
+    size = np.concatenate([[0], np.array([len(low) for low in lows]).cumsum()])
+    blank = np.array([c == " " for c in counts])
+    first = np.arange(own)[:, None]
+    last = np.minimum(first + np.array(widths), len(lows))
+    gaps = last - first - 1
+    held = sums[last] - sums[first] + gaps[..., None] * blank
+    shared = np.minimum(held, np.array(list(counts.values()))).sum(-1)
+    short = np.minimum(size[last] - size[first] + gaps, len(needle))
+    for at, k in np.argwhere((shared > 0) & (2 * shared / np.maximum(1, short + shared) >= (least - 0.5) / 100)):
+        if fuzzy.partial_reaches(needle, " ".join(lows[at:at + widths[k]]), least):
+            return int(at), widths[k]
+    return None
+
+
+def _first_window(needles: DataFrame, tokens: DataFrame, widths: list[int], least: int) -> DataFrame:
+    """Start (and width, the smallest that fits there) of the first run that holds something similar to a needle.
+
+    Needles meet the segments of their page in blocks and are compared in place, so
+    that no run is ever a row of its own and nothing behind the first fit is scored.
+    """
+    place = F.row_number().over(Window.partitionBy(*PAGE, F.pmod(F.xxhash64("needle"), F.lit(64))).orderBy("needle"))
+    blocks = needles.select(*PAGE, "needle").distinct().withColumn("block", F.floor((place - 1) / (NEEDLE_BLOCK // 64)))
+    blocks = blocks.groupBy(*PAGE, "block").agg(F.collect_list("needle").alias("needles"))
     segs = _segments(tokens, max(widths) - 1).select(
         *PAGE, F.transform("toks", lambda t: t["low"]).alias("lows"), F.get("toks", 0)["idx"].alias("idx0"),
         F.size(F.filter("toks", lambda t: F.floor(t["idx"] / SEGMENT_TOKENS) == F.col("seg"))).alias("own"))
-    starts = segs.where("own > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("at"))
-    runs = starts.select(*PAGE, (F.col("idx0") + F.col("at")).alias("idx"), F.explode(F.array(*[F.lit(w) for w in widths])).alias("w"), "lows", "at")
-    named = runs.select(*PAGE, F.array_join(F.slice("lows", F.col("at") + 1, F.col("w")), " ").alias("body"), F.struct("idx", "w").alias("run"))
-    return named.groupBy(*PAGE, "body").agg(F.min("run").alias("run"))
-
 
-def _first_window(needles: DataFrame, tokens: DataFrame, widths: list[int], least: int) -> DataFrame:
-    """Start (and width) of the first run that holds something similar to a needle."""
-    pages = needles.select(*PAGE).distinct()
-    runs = _windows(tokens.join(dealt(pages), PAGE, "left_semi"), widths)
-    hits = similar.partial_join(needles, runs, PAGE, "needle", "body", least)
-    met = hits.select(*PAGE, F.col("a").alias("needle"), F.col("b").alias("body")).join(dealt(runs), [*PAGE, "body"])
-    return met.groupBy(*PAGE, "needle").agg(F.min("run").alias("run")).select(*PAGE, "needle", "run.idx", "run.w")
+    def run(batches):
+        for batch in batches:
+            found = []
+            for doc, page, lows, idx0, own, wanted in zip(*[batch[c] for c in ("doc_id", "page_no", "lows", "idx0", "own", "needles")]):
+                lows = list(lows)
+                for needle in wanted:
+                    fit = _first_fit(needle, lows, own, widths, least)
+                    if fit:
+                        found.append((doc, page, needle, idx0 + fit[0], fit[1]))
+            yield pd.DataFrame(found, columns=["doc_id", "page_no", "needle", "idx", "w"])
+
+    met = segs.where("own > 0").join(dealt(blocks), PAGE).select(*PAGE, "lows", "idx0", "own", "needles")
+    kinds = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in PAGE)
+    fits = met.mapInPandas(run, f"{kinds}, needle string, idx bigint, w int")
+    return fits.groupBy(*PAGE, "needle").agg(F.min(F.struct("idx", "w")).alias("run")).select(*PAGE, "needle", "run.idx", "run.w")
 
 
 def _boxed_run(found: DataFrame, tokens: DataFrame, keys: list[str], width: int | Column) -> DataFrame:
