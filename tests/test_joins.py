@@ -35,8 +35,8 @@ def test_first_fit_is_the_first_of_all_runs():
 
 
 def test_many_needles_meet_a_long_page(spark):
-    page = spark.range(1500).selectExpr("1L doc_id", "1 page_no", "id idx", "id * 8 char0", "concat('w', lpad(cast(id as string), 6, '0')) text")
-    needles = spark.range(0, 1500, 2).selectExpr("1L doc_id", "1 page_no", "concat('w', lpad(cast(id as string), 6, '0')) needle")
+    page = spark.range(1500).selectExpr("id div 100000 doc_id", "cast(id div 100000 as int) page_no", "id idx", "id * 8 char0", "concat('w', lpad(cast(id as string), 6, '0')) text")
+    needles = spark.range(0, 1500, 2).selectExpr("id div 100000 doc_id", "cast(id div 100000 as int) page_no", "concat('w', lpad(cast(id as string), 6, '0')) needle")
     found = align._first_window(needles, page, [4], 100)
     # A run of tokens is not a row: nothing but page segments and blocks of needles is joined.
     assert plan_of(found).count("SortMergeJoin") == 1
