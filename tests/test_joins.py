@@ -42,3 +42,9 @@ def test_many_needles_meet_a_long_page(spark):
     assert plan_of(found).count("SortMergeJoin") == 1
     rows = found.collect()
     assert len(rows) == 750 and all(r.idx == max(0, int(r.needle[1:]) - 3) for r in rows)
+
+
+def test_both_redactions_in_one_pass(spark, folder):
+    # Texts are joined with their entities, not a second time with themselves.
+    plan = plan_of(QUERIES["redact_text_entities"](spark, folder))
+    assert plan.count("SortMergeJoin") <= 2 and "BroadcastHashJoin" not in plan

@@ -53,18 +53,27 @@ def with_entities(df: DataFrame, entities: DataFrame, keys: list[str], text: str
     return joined.withColumn("spans", ordered).drop("_ents")
 
 
-def redact(df: DataFrame, level: int, text: str = "text", key: str = "veil", out: str = "redacted") -> DataFrame:
-    """Replace the resolved spans: level 1 masks them, level 2 swaps in pseudonyms."""
+def resolve(df: DataFrame, text: str = "text") -> DataFrame:
+    """Spans joined where they overlap."""
+    rest = [c for c in df.columns if c != "spans"]
+    return bind(df, _kept=T.resolve_overlaps(F.col("spans"), F.col(text))).select(*rest, F.col("_kept").alias("spans"))
+
+
+def replace(df: DataFrame, level: int, text: str = "text", key: str = "veil", out: str = "redacted") -> DataFrame:
+    """Replace resolved spans: level 1 masks them, level 2 swaps in pseudonyms."""
     if level not in (1, 2):
         raise ValueError(f"redaction level must be 1 or 2, not {level!r}")
-    rest = [c for c in df.columns if c != "spans"]
-    df = bind(df, _kept=T.resolve_overlaps(F.col("spans"), F.col(text))).select(*rest, F.col("_kept").alias("spans"))
     if level == 1:
         return df.withColumn(out, T.splice(F.col(text), F.col("spans"), lambda span, i: F.lit(C.PLACEHOLDER)))
     return df.withColumn(out, T.let(T.last_labels(F.col("spans")), lambda labels: T.splice(
         F.col(text), F.col("spans"), lambda span, i: T.pseudonym(F.get(labels, i), span["original"], key))))
 
 
+def redact(df: DataFrame, level: int, text: str = "text", key: str = "veil", out: str = "redacted") -> DataFrame:
+    """Resolve the spans and replace them."""
+    return replace(resolve(df, text), level, text, key, out)
+
+
 def address_windows(df: DataFrame, keys: list[str], variant: str = "v0", text: str = "text") -> DataFrame:
     """Snippets around address keywords, one row per occurrence."""
     words = C.ADDRESS_KEYWORDS_V0 if variant == "v0" else C.ADDRESS_KEYWORDS_V1

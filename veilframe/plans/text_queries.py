@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
-from veilframe.functions.scan import bind, dealt
+from veilframe.functions.scan import bind
 from veilframe.operators import text as ops
 from veilframe.plans import duck as D
 from veilframe.plans.registry import query
@@ -122,8 +122,8 @@ def redact_text_entities(spark, folder):
     entities = texts.select(*KEYS, F.explode("_found").alias("s")).select(
         *KEYS, "s.start", "s.end", F.when(F.col("s.start") % 2 == 0, "PERSON").otherwise("ORG").alias("label"))
     mixed = ops.with_entities(ops.detect(texts.drop("_found")), entities, KEYS)
-    masked = ops.redact(mixed, level=1, out="masked").select(*KEYS, "masked", F.size("spans").alias("n_spans"))
-    return masked.join(dealt(ops.redact(mixed, level=2, out="swapped").select(*KEYS, "swapped")), KEYS)
+    both = ops.replace(ops.replace(ops.resolve(mixed), level=1, out="masked"), level=2, out="swapped")
+    return both.select(*KEYS, "masked", "swapped", F.size("spans").alias("n_spans"))
 
 
 _WORDS_OF_TEXTS = """words AS (SELECT src, id, unnest(range(len(string_split(text, ' ')))) AS pos,
