@@ -1,11 +1,13 @@
 """Joins of tables that views and generators make large: no side is collected by the driver."""
 import random
+import re
 
 import pytest
 
 import veilframe.plans  # noqa: F401
+from veilframe import catalogue as C
 from veilframe.functions import fuzzy
-from veilframe.operators import align
+from veilframe.operators import align, tokens
 from veilframe.plans.registry import QUERIES
 
 LARGE = ["anon_examples", "dedup_tokens", "ner_align", "ner_align_v0", "ner_align_fuzzy", "token_labels", "all_detections", "anti_overlap",
@@ -48,3 +50,25 @@ def test_both_redactions_in_one_pass(spark, folder):
     # Texts are joined with their entities, not a second time with themselves.
     plan = plan_of(QUERIES["redact_text_entities"](spark, folder))
     assert plan.count("SortMergeJoin") <= 2 and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("patterns", [C.ID_PATTERNS, C.HEALTH_PATTERNS])
+def test_windows_equal_a_plain_loop(spark, patterns):
+    rng = random.Random(5)
+    words = ["12", "1234", "5678", "MG", "Road", "user@ex", ".com", "ABCPK", "1234X", "MRN:", "MRN", "Blood", "HI", "V", "9", "98765432", "03/", "1984", "Patient", "ID", "-", "x"]
+    texts = [rng.choice(words) for _ in range(600)]
+    rows = [(1, 1, i, t, 60 + i % 8 * 40, 40, 30, 20) for i, t in enumerate(texts)]
+    page = spark.createDataFrame(rows, "doc_id long, page_no int, idx long, text string, left_x int, top int, width int, height int")
+    found = tokens.match_windows(page, patterns, segment=50)
+    # Texts of runs are put together and tested as rows, not inside lambda functions.
+    assert "array_join" not in plan_of(found)
+    got = {(r.idx, r.n_tokens, r.pno): r.word for r in found.collect()}
+    want = {}
+    for at in range(len(texts)):
+        for n in range(2, min(10, len(texts) - at) + 1):
+            for i, p in enumerate(patterns):
+                joined = [sep.join(texts[at:at + n]) for sep in ("", " ", "-")]
+                fits = [w for w in joined if re.fullmatch(p.regex, w, re.I if p.ignore_case else 0)]
+                if fits:
+                    want[at, n, i] = fits[0]
+    assert want and got == want

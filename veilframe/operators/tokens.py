@@ -82,44 +82,44 @@ def match_windows(
     inside = Window.partitionBy(*PAGE, "seg").orderBy("idx")
     ahead = inside.rowsBetween(0, longest - 1)
     needed = "".join(sorted({p.needs for p in patterns if p.needs}))
-    marked = F.col("t").rlike(f"[{needed}]") if needed else F.lit(False)
-    placed = placed.withColumn("c", F.sum(F.length("t")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # An absent box would vanish from a collected list, so it travels in a struct.
-    runs = placed.select(*PAGE, "idx", "own", "t", F.col("c") - F.length("t"), F.collect_list(F.struct("t", "b", "c")).over(ahead).alias("run"),
-                         (F.min(F.when(marked, F.col("idx"))).over(ahead) - F.col("idx")).alias("mark"))
-    runs = runs.toDF(*PAGE, "idx", "own", "t", "c0", "run", "mark").where("own AND size(run) > 1")
-    # Most runs are ruled out by length, a missing character or their first
-    # letter before any text is put together.
     most = max((p.longest for p in patterns), default=0)
     heads = "".join(p.first for p in patterns if not p.longest and not p.needs)
     tails = "".join(p.last for p in patterns if not p.longest and not p.needs)
-    opens = F.col("t").rlike(rf"(?U)\A[{heads}]") if heads else F.lit(False)
+    # What a token alone decides is found once per token, not once per run that holds it.
+    short = [p for p in patterns if p.longest and not p.needs]
+    digits = bool(short) and all(T.needs(p)[0] for p in short)
+    tests = {"marked": rf"[{needed}]" if needed else "", "digit": r"(?U)\d" if digits else "", "opens": rf"(?U)\A[{heads}]" if heads else "", "closes": rf"[{tails}]\z" if tails else ""}
+    placed = placed.select("*", *[(F.col("t").rlike(test) if test else F.lit(False)).alias(name) for name, test in tests.items()])
+    placed = placed.withColumn("c", F.sum(F.length("t")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # An absent box would vanish from a collected list, so it travels in a struct.
+    runs = placed.select(*PAGE, "idx", "own", "opens", F.col("c") - F.length("t"), F.collect_list(F.struct("t", "b", "c", "closes")).over(ahead).alias("run"),
+                         *[F.min(F.when(F.col(flag), F.col("idx"))).over(ahead) - F.col("idx") for flag in ("marked", "digit")])
+    runs = runs.toDF(*PAGE, "idx", "own", "opens", "c0", "run", "mark", "digit").where("own AND size(run) > 1")
 
+    # Most runs are ruled out by length, a missing character or their first
+    # letter before any text is put together.
     def hopeful(n: Column) -> Column:
         end = F.get("run", n - 1)
-        return (end["c"] - F.col("c0") <= most) | (n > F.col("mark")) | (opens & end["t"].rlike(rf"[{tails}]\z"))
-
-    def worded(n: Column) -> Column:
-        texts = F.transform(F.slice("run", F.lit(1), n), lambda r: r["t"])
-        return F.struct(n.alias("n_tokens"), *[F.array_join(texts, sep).alias(f"w{i}") for i, sep in enumerate(("", " ", "-"))])
+        brief = end["c"] - F.col("c0") <= most
+        return (brief & (n > F.col("digit")) if digits else brief) | (n > F.col("mark")) | (F.col("opens") & end["closes"])
 
-    def boxed(w: Column) -> Column:
-        boxes = F.transform(F.slice("run", F.lit(1), w["n_tokens"]), lambda r: r["b"])
-        return F.struct(*[w[c].alias(c) for c in ("n_tokens", "w0", "w1", "w2")], F.filter(boxes, lambda b: b.isNotNull()).alias("boxes"))
+    sizes = F.filter(F.sequence(F.lit(2), F.size("run")), hopeful)
+    tried = unfold(runs, [*PAGE, "idx", "opens", "run"], sizes, "n_tokens")
+    # Runs become rows here, so that texts are put together and tested by compiled expressions.
+    words = {f"w{i}": F.concat_ws(sep, F.slice("run.t", F.lit(1), F.col("n_tokens"))) for i, sep in enumerate(("", " ", "-"))}
 
     # One test per kind of pattern, so that only hits are told apart.
     kinds = [[p for p in patterns if p.needs], [p for p in patterns if p.longest and not p.needs],
              [p for p in patterns if not p.longest and not p.needs]]
 
     def any_fit(word: Column) -> Column:
-        limits = [word.rlike(f"[{needed}]") if needed else F.lit(False), F.length(word) <= most,
-                  word.rlike(rf"(?U)\A[{heads}]") if heads else F.lit(False)]
+        limits = [reduce(or_, [F.contains(word, F.lit(c)) for c in needed], F.lit(False)), F.length(word) <= most,
+                  F.col("opens") & F.get("run", F.col("n_tokens") - 1)["closes"]]
         tests = [limit & T.any_of(word, kind, True) for limit, kind in zip(limits, kinds) if kind]
         return reduce(or_, tests)
 
-    sizes = F.filter(F.sequence(F.lit(2), F.size("run")), hopeful)
-    fitting = F.filter(F.transform(sizes, worded), lambda w: any_fit(w["w0"]) | any_fit(w["w1"]) | any_fit(w["w2"]))
-    texts = unfold(runs, [*PAGE, "idx"], F.transform(fitting, boxed))
+    fitting = bind(tried, **words).where(any_fit(F.col("w0")) | any_fit(F.col("w1")) | any_fit(F.col("w2")))
+    texts = fitting.select(*PAGE, "idx", "n_tokens", *[F.when(any_fit(F.col(w)), F.col(w)).alias(w) for w in words], F.array_compact(F.slice("run.b", F.lit(1), F.col("n_tokens"))).alias("boxes"))
 
     def fits(p: C.Pattern, word: Column) -> Column:
         """The pattern covers the word; cheap necessary conditions come first."""
@@ -129,12 +129,12 @@ def match_windows(
         return (F.length(word) <= p.longest) & test if p.longest else test
 
     def hit(p: C.Pattern, i: int) -> Column:
-        chosen = F.coalesce(*[F.when(fits(p, F.col(w)), F.col(w)) for w in ("w0", "w1", "w2")])
-        return F.transform(F.array(chosen), lambda w: F.when(w.isNotNull(), F.struct(
-            w.alias("word"), *[_row(p, i)[n].alias(n) for n in ("label", "pattern", "priority", "pno")])))
+        chosen = F.when(fits(p, F.col("w0")), 0).when(fits(p, F.col("w1")), 1).when(fits(p, F.col("w2")), 2)
+        return F.struct(chosen.alias("joiner"), *[_row(p, i)[n].alias(n) for n in ("label", "pattern", "priority", "pno")])
 
-    rows = F.array_compact(F.concat(*[hit(p, i) for i, p in enumerate(patterns)]))
-    found = unfold(texts, [*PAGE, "idx", "n_tokens", "boxes"], rows)
+    rows = F.filter(F.array(*[hit(p, i) for i, p in enumerate(patterns)]), lambda h: h["joiner"].isNotNull())
+    found = unfold(texts, [*PAGE, "idx", "n_tokens", "boxes", *words], rows)
+    found = found.withColumn("word", F.element_at(F.array(*words), F.col("joiner") + 1))
     merged = bind(found, _m=G.union_box(F.col("boxes")))
     box = G.valid_box(*[F.col(f"_m.{c}") for c in BOX], F.lit(size[0]), F.lit(size[1]))
     return _detections(merged, box).select(*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority", "pno")
