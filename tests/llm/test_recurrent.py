@@ -144,3 +144,37 @@ def test_every_training_token_is_a_target(spark):
     found = Counter(t for r in R.spans(cut, d).collect() for t in r.ids[1:])
     want = Counter(d.numbers([w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*split(t), b""]]))
     assert found == want and sum(want.values()) == d.total
+
+
+def test_texts_are_numbered_once(spark):
+    """What is written of a text serves training and scoring: its words need not be found again."""
+    rows = [(i, t) for i, t in enumerate([None, "", "a b a", "B c " * 200, "rare", "a"])]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], SCHEMA)
+    cut = R._rows(docs)
+    words = [(b"", 6), (b"a", 4), (b"b", 2)]
+    d = R.Dictionary(words, 600, 5)
+    got = {r.doc_id: r for r in R.numbered(cut, d).collect()}
+    for i, t in rows:
+        assert got[i].ids == [d.number.get(w, -1) for w in [*split(t), b""]]
+        assert {bytes(o.token): o.times for o in got[i].outside} == Counter(w for w in split(t) if w not in d.number)
+        assert got[i].n_out == got[i].ids.count(-1) and got[i].base == pytest.approx(sum(d.base[w] for w in got[i].ids))
+
+
+def test_lists_and_arrays():
+    lists = [np.arange(n, dtype=np.int32) for n in (3, 0, 5, 1)]
+    column = R._lists(lists)
+    assert [a.tolist() for a in R._arrays(column)] == [a.tolist() for a in lists]
+    assert [a.tolist() for a in R._arrays(column.slice(1, 2))] == [a.tolist() for a in lists[1:3]]
+    assert R._arrays(column.slice(0, 0)) == [] and len(R._lists([])) == 0
+
+
+def test_score_does_not_depend_on_company(monkeypatch):
+    words = [(b"", 50)] + [(b"w%d" % i, 400 - i) for i in range(200)]
+    d = R.Dictionary(words, sum(n for _, n in words), len(words))
+    p = R.initial(d)
+    rng = np.random.default_rng(5)
+    p["C"] += rng.standard_normal(p["C"].shape).astype(np.float32)
+    texts = [rng.integers(-1, 200, n) for n in (1, 40, 700, 3, 64, 65, 31)]
+    whole = R.score_texts(p, d, texts)
+    monkeypatch.setattr(R, "SIDE_BY_SIDE", 2)
+    assert np.allclose(R.score_texts(p, d, texts), whole, rtol=1e-5)

@@ -14,8 +14,9 @@ every span is trained on; a keyed hash deals them to shards of bounded size, whi
 train copies in parallel, whose weights are averaged by Spark.
 
 Scoring runs each whole text in windows, the state carried across them.
-Dictionary words are looked up in place (the dictionary has at most ``WORDS``
-entries); other words are joined with the counts in a shuffle.
+Every text is turned into word numbers once, for training and scoring; dictionary
+words are looked up in place (the dictionary has at most ``WORDS`` entries), other
+words are joined with the counts in a shuffle.
 
 Defined results: a null text counts as empty, whose only token is the end;
 a null doc_id hashes as empty text; repeated rows are scored alike and each
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ HIDDEN = 24
 WINDOW, SPAN = 32, 128
 SHARD_SPANS = 32_768
 ROUNDS, LEARNING_RATE, BATCH = 1, 0.015, 64
+#: Texts that are scored together, few enough for the processor's cache.
+SIDE_BY_SIDE = 512
 END = b""
 
 
@@ -127,8 +131,7 @@ class Dictionary:
         self.word_bias.flat[:head] = np.log(n[:head])
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        get = self.number.get
-        return [get(w, -1) for w in words]
+        return list(map(self.number.get, words, repeat(-1)))
 
 
 def dictionary(table: DataFrame) -> Dictionary:
@@ -155,77 +158,98 @@ def initial(d: Dictionary) -> dict:
 
 
 def forward(p: dict, x, h, keep: bool = True):
-    """States after each input (steps first) and, with ``keep``, what the way back needs."""
+    """States after each input (steps first) and, with ``keep``, what the way back needs.
+
+    The gates lie one behind the other, so that each is one stretch of memory.
+    """
     import numpy as np
 
-    k, inputs, weights = HIDDEN, p["E"], p["U"]
-    states, kept = np.empty((len(x), *h.shape), h.dtype), []
-    for t in range(len(x)):
-        a, g = inputs[x[t]], h @ weights
-        gates = a[:, :2 * k] + g[:, :2 * k]
-        np.negative(gates, out=gates)
+    k, steps, rows = HIDDEN, len(x), len(h)
+    inputs = np.ascontiguousarray(p["E"].reshape(-1, 3, k).transpose(1, 0, 2))
+    weights = np.ascontiguousarray(p["U"].reshape(k, 3, k).transpose(1, 0, 2))
+    # The gates want the exponential of the negative.
+    np.negative(inputs[:2], out=inputs[:2])
+    np.negative(weights[:2], out=weights[:2])
+    states = np.empty((steps, rows, k), h.dtype)
+    kept = [np.empty((steps, *shape, rows, k), h.dtype) for shape in ((2,), (), ())] if keep else None
+    a, g, gates, n = (np.empty((*shape, rows, k), h.dtype) for shape in ((3,), (3,), (2,), ()))
+    before = h
+    for t in range(steps):
+        if keep:
+            gates, n = kept[0][t], kept[1][t]
+        inputs.take(x[t], axis=1, out=a, mode="clip")
+        np.matmul(before, weights, out=g)
+        np.add(a[:2], g[:2], out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        r, z = gates[:, :k], gates[:, k:]
-        n = r * g[:, 2 * k:]
-        n += a[:, 2 * k:]
+        if keep:
+            kept[2][t] = g[2]
+        np.multiply(gates[0], g[2], out=n)
+        n += a[2]
         np.tanh(n, out=n)
         after = states[t]
-        np.subtract(h, n, out=after)
-        after *= z
+        np.subtract(before, n, out=after)
+        after *= gates[1]
         after += n
-        if keep:
-            kept.append((h, r, z, n, g[:, 2 * k:]))
-        h = after
-    return states, kept
+        before = after
+    return states, (h, states, *kept) if keep else None
 
 
 def outputs(p: dict, states, cls, slot, grads: dict | None = None):
     """Natural log probability of each target's class times head word; with
-    ``grads``, also adds the output weights' gradients and returns the states'."""
+    ``grads``, also adds the output weights' gradients and returns the states'.
+
+    Choices lie in rows and tokens in columns, so sums over choices run along memory.
+    """
     import numpy as np
 
     logp = np.empty(len(states), states.dtype)
     back = None if grads is None else np.empty_like(states)
-    for at in range(0, len(states), 4096):  # blocks that stay in the processor's cache
-        some = slice(at, at + 4096)
-        own, want = states[some], cls[some]
-        rows = np.arange(len(own))
-        soft = own @ p["C"]
-        soft += p["c"]
-        soft -= soft.max(1, keepdims=True)
-        target = soft[rows, want]
-        np.exp(soft, out=soft)
-        whole = soft.sum(1, keepdims=True)
-        logp[some] = target - np.log(whole[:, 0])
-        if grads is not None:
-            soft /= whole
-            soft[rows, want] -= 1
-            grads["C"] += own.T @ soft
-            grads["c"] += soft.sum(0)
-            back[some] = soft @ p["C"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(len(p["w"]) + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        some = order[bounds[c]:bounds[c + 1]]
-        if slot[some[0]] < 0:
-            continue  # a tail class
-        own = states[some]
-        soft = own @ p["W"][c]
-        soft += p["w"][c]
-        soft -= soft.max(1, keepdims=True)
-        at = np.arange(len(some)), slot[some]
-        target = soft[at]
+    turned, words = np.ascontiguousarray(p["C"].T), np.ascontiguousarray(p["W"].transpose(0, 2, 1))
+
+    def choose(soft, target):
+        """Log probabilities of the targets; with ``grads``, ``soft`` becomes the gradient."""
+        at = target, np.arange(len(target))
+        soft -= soft.max(0)
+        chosen = soft[at]
         np.exp(soft, out=soft)
-        whole = soft.sum(1, keepdims=True)
-        logp[some] += target - np.log(whole[:, 0])
+        whole = soft.sum(0)
         if grads is not None:
             soft /= whole
             soft[at] -= 1
-            grads["W"][c] += own.T @ soft
-            grads["w"][c] += soft.sum(0)
-            back[some] += soft @ p["W"][c].T
+        return chosen - np.log(whole)
+
+    for at in range(0, len(states), 4096):  # blocks that stay in the processor's cache
+        some = slice(at, at + 4096)
+        own, want, place = states[some], cls[some], slot[some]
+        soft = turned @ own.T
+        soft += p["c"][:, None]
+        logp[some] = choose(soft, want)
+        if grads is not None:
+            grads["C"] += own.T @ soft.T
+            grads["c"] += soft.sum(1)
+            back[some] = soft.T @ turned
+        # Words of the head classes, class by class.
+        order = np.argsort(want.astype(np.int16), kind="stable")
+        order = order[place[order] >= 0]
+        if not len(order):
+            continue
+        own, want, place = own.take(order, axis=0), want[order], place[order]
+        starts = np.flatnonzero(np.diff(want, prepend=-1))
+        classes, bounds = want[starts], [*starts.tolist(), len(order)]
+        met = [(c, slice(*ends)) for c, ends in zip(classes.tolist(), zip(bounds, bounds[1:]))]
+        soft = p["w"].T.take(want, axis=1)
+        for c, part in met:
+            soft[:, part] += words[c] @ own[part].T
+        logp[some][order] += choose(soft, place)
+        if grads is not None:
+            grads["w"][classes] += np.add.reduceat(soft, starts, axis=1).T
+            more = np.empty_like(own)
+            for c, part in met:
+                grads["W"][c] += own[part].T @ soft[:, part].T
+                np.matmul(soft[:, part].T, words[c], out=more[part])
+            back[some][order] += more
     return logp, back
 
 
@@ -233,53 +257,83 @@ def backward(p: dict, x, kept, back, grads: dict) -> None:
     """Gradients through one window; they stop at its beginning."""
     import numpy as np
 
-    k, dh = HIDDEN, np.zeros_like(kept[0][0])
-    da = np.empty((*x.shape, 3 * k), dh.dtype)
-    dg = np.empty_like(da)
+    k, (h, states, gates, n, gn) = HIDDEN, kept
+    r, z = gates[:, 0], gates[:, 1]
+    before = np.concatenate([h[None], states[:-1]])
+    # What the gradient of a state is multiplied by, for all steps at once.
+    open_ = 1 - z
+    by_n = (1 - n * n) * open_
+    by_z = (before - n) * z * open_
+    by_r = gn * r * (1 - r)
+    dg = np.empty((*x.shape, 3 * k), h.dtype)
+    dn = np.empty_like(n)
     turned = p["U"].T.copy()
+    dh = np.zeros_like(h)
     for t in range(len(x) - 1, -1, -1):
-        h, r, z, n, gn = kept[t]
-        dh = dh + back[t]
-        dn = dh * (1 - z)
-        dn *= 1 - n * n
-        da[t, :, k:2 * k] = dh * (h - n) * z * (1 - z)
-        da[t, :, :k] = dn * gn * r * (1 - r)
-        da[t, :, 2 * k:] = dn
-        dg[t] = da[t]
-        dg[t, :, 2 * k:] *= r
-        dh = dh * z + dg[t] @ turned
+        dh += back[t]
+        np.multiply(dh, by_n[t], out=dn[t])
+        np.multiply(dn[t], by_r[t], out=dg[t, :, :k])
+        np.multiply(dh, by_z[t], out=dg[t, :, k:2 * k])
+        np.multiply(dn[t], r[t], out=dg[t, :, 2 * k:])
+        dh *= z[t]
+        dh += dg[t] @ turned
     # One product for the recurrent weights, one sum per input met.
-    before = np.concatenate([kept_t[0] for kept_t in kept])
-    grads["U"] += before.T @ dg.reshape(-1, 3 * k)
+    grads["U"] += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+    dg[..., 2 * k:] = dn
     flat = np.asarray(x).ravel()
-    order = np.argsort(flat, kind="stable")
-    met, first = np.unique(flat[order], return_index=True)
-    grads["E"][met] += np.add.reduceat(da.reshape(-1, 3 * k)[order], first)
+    order = np.argsort(flat.astype(np.int16), kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    grads["E"][flat[first]] += np.add.reduceat(dg.reshape(-1, 3 * k).take(order, axis=0), first)
+
+
+def _views(flat, p: dict) -> dict:
+    """Arrays of the shapes of ``p`` over one stretch of memory."""
+    views, at = {}, 0
+    for k, w in p.items():
+        views[k] = flat[at:at + w.size].reshape(w.shape)
+        at += w.size
+    return views
 
 
 class Adam:
+    """Weights, and room for their gradients, each in one stretch of memory."""
+
     def __init__(self, p: dict):
         import numpy as np
-        self.p, self.t = p, 0
-        self.m, self.v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+        self.flat, self.t = np.concatenate([w.ravel() for w in p.values()]), 0
+        self.grad, self.m, self.v, self.spare = (np.zeros_like(self.flat) for _ in range(4))
+        self.p, self.grads = _views(self.flat, p), _views(self.grad, p)
 
-    def step(self, grads: dict, tokens: int) -> None:
+    def step(self, tokens: int) -> None:
+        """Take one step and clear the gradients."""
         import numpy as np
         self.t += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / tokens
-        scale = min(1.0, 1.0 / max(norm, 1e-12)) / tokens
-        for k, g in grads.items():
-            g *= scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= LEARNING_RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-
-
-def train(p: dict, spans: list[list[int]], d: Dictionary) -> int:
+        g, m, v, own = self.grad, self.m, self.v, self.spare
+        norm = math.sqrt(float(g @ g)) / tokens
+        g *= min(1.0, 1.0 / max(norm, 1e-12)) / tokens
+        np.subtract(g, m, out=own)
+        own *= 0.1
+        m += own
+        np.multiply(g, g, out=own)
+        own -= v
+        own *= 0.01
+        v += own
+        np.multiply(v, 1 / (1 - 0.99**self.t), out=own)
+        np.sqrt(own, out=own)
+        own += 1e-6
+        np.divide(m, own, out=own)
+        own *= LEARNING_RATE / (1 - 0.9**self.t)
+        self.flat -= own
+        g.fill(0)
+
+
+def train(p: dict, spans: list, d: Dictionary) -> int:
     """One pass over spans, a batch side by side; returns the tokens met."""
     import numpy as np
 
     adam, met = Adam(p), 0
+    own, grads = adam.p, adam.grads
     for at in range(0, len(spans), BATCH):
         some = sorted(spans[at:at + BATCH], key=len, reverse=True)
         lengths = np.array([len(s) - 1 for s in some])
@@ -291,36 +345,103 @@ def train(p: dict, spans: list[list[int]], d: Dictionary) -> int:
             live = int((lengths > start).sum())
             stop = min(start + WINDOW, int(lengths[0]))
             x, y = d.inp[ids[:live, start:stop].T], ids[:live, start + 1:stop + 1].T
-            states, kept = forward(p, x, h[:live])
+            states, kept = forward(own, x, h[:live])
             valid = np.arange(start, stop)[:, None] < lengths[None, :live]
-            grads = {k: np.zeros_like(w) for k, w in p.items()}
             back = np.zeros_like(states)
-            _, back[valid] = outputs(p, states[valid], d.cls[y[valid]], d.slot[y[valid]], grads)
-            backward(p, x, kept, back, grads)
-            adam.step(grads, max(1, int(valid.sum())))
+            _, back[valid] = outputs(own, states[valid], d.cls[y[valid]], d.slot[y[valid]], grads)
+            backward(own, x, kept, back, grads)
+            adam.step(max(1, int(valid.sum())))
             met += int(valid.sum())
             h = states[-1]
+    for k, w in p.items():
+        w[...] = own[k]
     return met
 
 
-def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
-    """All spans of all training texts as word numbers, each with the token before it."""
+_LISTS = "array<int>"
+_OUTSIDE = "array<struct<token:binary,times:bigint>>"
+
+
+def _lists(values: list):
+    """An Arrow column of arrays of numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
+
+
+def _arrays(column) -> list:
+    """The arrays of an Arrow column of lists, without copying."""
+    import numpy as np
+
+    if not len(column):
+        return []
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[ends[0]:ends[-1]], ends[1:-1] - ends[0])
+
+
+def numbered(rows: DataFrame, d: Dictionary) -> DataFrame:
+    """Every text as word numbers, the end included, with what its base score needs.
+
+    ``mark`` is a hash of the row; ``outside`` counts the words without a number.
+    """
+    import pyarrow as pa
+
+    item = pa.struct([("token", pa.binary()), ("times", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+        from collections import Counter
+
+        import numpy as np
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                marks, texts, outside, base, n_out = [], [], [], [], []
+                for i, body in zip(some.column(0).to_pylist(), some.column(1)):
+                    body = body.as_py()
+                    words = [*tokens(body), END]
+                    ids = np.array(d.numbers(words), np.int32)
+                    missing = np.flatnonzero(ids < 0)
+                    marks.append(zlib.crc32(body, zlib.crc32(str(i).encode())))
+                    outside.append([{"token": w, "times": n} for w, n in Counter(words[i] for i in missing).items()])
+                    base.append(float(d.base[ids].sum()))
+                    n_out.append(len(missing))
+                    texts.append(ids)
+                yield pa.record_batch([
+                    some.column(0), some.column(2), pa.array(marks, pa.int64()), _lists(texts), pa.array(n_out, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(outside, pa.list_(item))],
+                    names=["doc_id", "held_out", "mark", "ids", "n_out", "base", "outside"])
+
+    return rows.select("doc_id", "body", "held_out").mapInArrow(
+        run, f"doc_id bigint, held_out boolean, mark bigint, ids {_LISTS}, n_out bigint, base double, outside {_OUTSIDE}")
+
+
+def _cut(texts: DataFrame, d: Dictionary) -> DataFrame:
     import pyarrow as pa
 
+    first = d.number.get(END, -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
+
+        import numpy as np
         for batch in batches:
             keys, out = [], []
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = body.as_py()
-                row = zlib.crc32(body, zlib.crc32(str(i).encode()))
-                ids = d.numbers([END, *tokens(body), END])
+            for mark, ids in zip(batch.column(0).to_pylist(), _arrays(batch.column(1))):
+                ids = np.concatenate([np.array([first], np.int32), ids])
                 for k, at in enumerate(range(0, len(ids) - 1, SPAN)):
-                    keys.append(zlib.crc32(f"span {row} {k}".encode()) * (1 << 20) + k % (1 << 20))
+                    keys.append(zlib.crc32(f"span {mark} {k}".encode()) * (1 << 20) + k % (1 << 20))
                     out.append(ids[at:at + SPAN + 1])
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), _lists(out)], names=["key", "ids"])
 
-    return rows.filter("not held_out").select("doc_id", "body").mapInArrow(run, "key bigint, ids array<int>")
+    return texts.filter("not held_out").select("mark", "ids").mapInArrow(run, f"key bigint, ids {_LISTS}")
+
+
+def spans(rows: DataFrame, d: Dictionary) -> DataFrame:
+    """All spans of all training texts as word numbers, each with the token before it."""
+    return _cut(numbered(rows, d), d)
 
 
 def averaged(batches: Iterator) -> Iterator:
@@ -339,15 +460,15 @@ def averaged(batches: Iterator) -> Iterator:
                               names=["part", "weights"])
 
 
-def fit(rows: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
-    """Train shards in parallel from common weights and average them, ``rounds`` times."""
+def fit(texts: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
+    """Train shards of numbered texts in parallel from common weights and average them, ``rounds`` times."""
     import numpy as np
     import pyarrow as pa
 
     p = initial(d)
-    every = checkpoint(spans(rows, d))
-    shards = max(1, every.count() // SHARD_SPANS)
-    table = every.repartition(shards, F.xxhash64("key")).sortWithinPartitions("key")
+    n_spans = F.sum(F.ceil(F.size("ids") / SPAN))
+    shards = max(1, (texts.filter("not held_out").agg(n_spans).first()[0] or 0) // SHARD_SPANS)
+    table = _cut(texts, d).repartition(shards, F.xxhash64("key")).sortWithinPartitions("key")
     names, block = sorted(p), 4096
     for _ in range(rounds):
         start = {k: w.copy() for k, w in p.items()}
@@ -355,7 +476,7 @@ def fit(rows: DataFrame, d: Dictionary, rounds: int = ROUNDS) -> dict:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, met = {k: w.copy() for k, w in start.items()}, 0
             for batch in batches:
-                met += train(own, batch.column(0).to_pylist(), d)
+                met += train(own, _arrays(batch.column(0)), d)
             if met:
                 flat = np.concatenate([own[k].ravel() for k in names])
                 parts = [flat[i:i + block] for i in range(0, len(flat), block)]
@@ -380,26 +501,28 @@ def score_texts(p: dict, d: Dictionary, texts: list[list[int]]):
     """log10 probability of each text's tokens but for the part of outside words within their class."""
     import numpy as np
 
+    out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    lengths = np.array([len(texts[i]) for i in order])
-    logs = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), np.float32)
-    last = np.full(len(texts), d.number.get(END, -1), np.int64)
-    for start in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
-        live = int((lengths > start).sum())
-        y = np.full((WINDOW, live), -1, np.int64)
-        for j in range(live):
-            piece = texts[order[j]][start:start + WINDOW]
-            y[:len(piece), j] = piece
-        x = np.concatenate([last[None, :live], y[:-1]])
-        states, _ = forward(p, d.inp[x], h[:live], keep=False)
-        valid = np.arange(start, start + WINDOW)[:, None] < lengths[None, :live]
-        target = y[valid]
-        logp, _ = outputs(p, states[valid], d.cls[target], d.slot[target])
-        logs[:live] += np.bincount(np.nonzero(valid)[1], logp / math.log(10) + d.within[target], live)
-        h, last = states[-1], y[-1]
-    out = np.empty(len(texts))
-    out[order] = logs
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        some = order[at:at + SIDE_BY_SIDE]
+        lengths = np.array([len(texts[i]) for i in some])
+        ids = np.concatenate([np.asarray(texts[i], np.int64) for i in some])
+        begins = np.cumsum(lengths) - lengths
+        logs = np.zeros(len(some))
+        h = np.zeros((len(some), HIDDEN), np.float32)
+        last = np.full(len(some), d.number.get(END, -1), np.int64)
+        for start in range(0, int(lengths[0]), WINDOW):
+            live = int((lengths > start).sum())
+            steps = np.arange(start, min(start + WINDOW, int(lengths[0])))[:, None]
+            valid = steps < lengths[None, :live]
+            y = np.where(valid, ids[np.minimum(begins[:live] + steps, len(ids) - 1)], -1)
+            x = np.concatenate([last[None, :live], y[:-1]])
+            states, _ = forward(p, d.inp[x], h[:live], keep=False)
+            target = y[valid]
+            logp, _ = outputs(p, states[valid], d.cls[target], d.slot[target])
+            logs[:live] += np.bincount(np.nonzero(valid)[1], logp / math.log(10) + d.within[target], live)
+            h, last = states[-1], y[-1]
+        out[some] = logs
     return out
 
 
@@ -410,35 +533,18 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = _rows(docs)
     table = checkpoint(counts(rows))
     d = dictionary(table)
-    p = fit(rows, d, rounds)
-    outside_schema = "array<struct<token:binary,times:bigint>>"
-    item = pa.struct([("token", pa.binary()), ("times", pa.int64())])
+    texts = checkpoint(numbered(rows, d).withColumn("row", F.monotonically_increasing_id()))
+    p = fit(texts, d, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        import numpy as np
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
-                texts, outside, base, n_out = [], [], [], []
-                for body in some.column(1):
-                    words = [*tokens(body.as_py()), END]
-                    ids = np.array(d.numbers(words), np.int32)
-                    missing = np.flatnonzero(ids < 0)
-                    outside.append([{"token": w, "times": n} for w, n in Counter(words[i] for i in missing).items()])
-                    base.append(float(d.base[ids].sum()))
-                    n_out.append(len(missing))
-                    texts.append(ids)
-                yield pa.record_batch([
-                    some.column(0), some.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_out, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(score_texts(p, d, texts), pa.float64()), pa.array(outside, pa.list_(item))],
-                    names=["doc_id", "held_out", "n_tokens", "n_out", "base", "logs", "outside"])
-
-    scored = rows.select("doc_id", "body", "held_out").mapInArrow(
-        run, f"doc_id bigint, held_out boolean, n_tokens bigint, n_out bigint, base double, logs double, outside {outside_schema}")
-    scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.inline("outside")).join(table, "token").groupBy("row").agg(
+            found = _arrays(batch.column(5))
+            yield pa.record_batch([*batch.columns[:5], pa.array([len(t) for t in found], pa.int64()), pa.array(score_texts(p, d, found), pa.float64())],
+                                  names=["row", "doc_id", "held_out", "n_out", "base", "n_tokens", "logs"])
+
+    scored = checkpoint(texts.select("row", "doc_id", "held_out", "n_out", "base", "ids").mapInArrow(
+        run, "row bigint, doc_id bigint, held_out boolean, n_out bigint, base double, n_tokens bigint, logs double"))
+    rare = texts.select("row", F.inline("outside")).join(table, "token").groupBy("row").agg(
         F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
     met, gain = F.coalesce("met", F.lit(0)), F.coalesce("gain", F.lit(0.0))
     everything, rest = math.log10(d.total + d.distinct + 1), math.log10(d.rest_n + d.rest_v + 1)
