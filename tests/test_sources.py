@@ -1,5 +1,6 @@
 """Readers, sinks, feedback loop pieces and alignment on small inputs."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -295,3 +296,26 @@ def test_busy_page_makes_few_pairs(spark):
     rows = spark.range(200_000).selectExpr("1 page", "id i", "cast(id % 500 * 5 as int) x0", "cast(id div 500 * 8 as int) y0")
     df = rows.withColumn("x1", F.col("x0") + 60).withColumn("y1", F.col("y0") + 20)
     assert G.similar_pairs(df, ["page"], 0.85).count() >= 200_000
+
+
+def test_quiet_pages_meet_by_centres(spark):
+    """A pair meets once, and only boxes with near centres meet: long ones that cross are no rows of every cell."""
+    rng = random.Random(3)
+    sides = (1, 2, 40, 127, 128, 700, 4000)
+    rows = []
+    for i in range(240):
+        x, y, w, h = rng.randrange(-300, 900), rng.randrange(-300, 900), rng.choice(sides), rng.choice(sides)
+        rows += [(i % 3, 2 * i, x, y, x + w, y + h), (i % 3, 2 * i + 1, x + rng.randrange(3), y, x + w + rng.randrange(4), y + h + rng.randrange(3))]
+    rows += [(0, 900, 5, 5, 5, 9), (0, 901, 9, 9, 5, 5)]
+    df = spark.createDataFrame(rows, "page int, i int, x0 int, y0 int, x1 int, y1 int")
+
+    def share(a, b):
+        shared = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return shared / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - shared)
+
+    solid = [r for r in rows if r[4] > r[2] and r[5] > r[3]]
+    for least in (0.3, 0.5, 0.85):
+        got = sorted((r.a_i, r.b_i) for r in G.similar_pairs(df, ["page"], least).collect())
+        assert got == sorted((a[1], b[1]) for a in solid for b in solid if a[0] == b[0] and share(a, b) > least)
+    plan = G.similar_pairs(df, ["page"], 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Generate") == 2  # one side has a single cell a box
