@@ -319,3 +319,17 @@ def test_quiet_pages_meet_by_centres(spark):
         assert got == sorted((a[1], b[1]) for a in solid for b in solid if a[0] == b[0] and share(a, b) > least)
     plan = G.similar_pairs(df, ["page"], 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("Generate") == 2  # one side has a single cell a box
+
+
+def test_exact_hits_share_a_large_page_out(spark, monkeypatch):
+    """What a task sorts does not grow with the table: more rows are dealt among more tasks."""
+    from veilframe.functions import scan
+    monkeypatch.setattr(scan, "TASK_ROWS", 100)
+    rows = [(1, 1, i, f"W{i % 300}", 0, 0, 9, 9, 90) for i in range(2000)]
+    toks = spark.createDataFrame(rows, "doc_id bigint, page_no int, pos bigint, text string, left_x int, top int, width int, height int, conf int")
+    hits = spark.createDataFrame([(1, 1, f"w{i} ", "B-DOC") for i in range(250, 350)], "doc_id bigint, page_no int, word string, label string")
+    tasks = scan.tasks_for(toks)
+    assert tasks == 20 and scan.tasks_for(toks.limit(300)) is None
+    found = align.exact_hits(hits, tokens.number_tokens(toks, tasks=tasks), tasks)
+    assert sorted((r.needle, r.idx) for r in found.collect()) == sorted((f"w{i}", i) for i in range(250, 300))
+    assert found.rdd.getNumPartitions() == tasks

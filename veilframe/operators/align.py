@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
-from veilframe.functions.scan import bind, dealt, unfold
+from veilframe.functions.scan import among, bind, dealt, unfold
 from veilframe.operators import similar
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
 from veilframe.session import checkpoint
@@ -277,10 +277,15 @@ def align_hits(hits: DataFrame, tokens: DataFrame, width: int = 6, variant: str
     return one.unionByName(labels.join(dealt(run), [*PAGE, "needle"]).select(*one.columns))
 
 
-def exact_hits(hits: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Only the first step of ``align_hits``: the first token equal to a hit."""
+def exact_hits(hits: DataFrame, tokens: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Only the first step of ``align_hits``: the first token equal to a hit.
+
+    Both sides are sorted; ``tasks`` deals them among so many tasks.
+    """
     keyed = hits.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "label").where(F.length("needle") > 0).distinct()
-    same = keyed.join(dealt(tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("needle"))), PAGE + ["needle"])
+    low = tokens.select(*PAGE, "idx", F.lower(F.col("text")).alias("needle"))
+    keyed, low = [among(side, tasks, *PAGE, "needle") for side in (keyed, low)]
+    same = keyed.join(dealt(low), PAGE + ["needle"])
     return same.groupBy(*PAGE, "needle", "label").agg(F.min("idx").alias("idx"))
 
 

@@ -23,7 +23,7 @@ BOX = ["x0", "y0", "x1", "y1"]
 DETECTION = [*PAGE, "idx", "n_tokens", "word", *BOX, "label", "pattern", "priority"]
 
 
-def number_tokens(tokens: DataFrame, gap: Column | None = None) -> DataFrame:
+def number_tokens(tokens: DataFrame, gap: Column | None = None, tasks: int | None = None) -> DataFrame:
     """Add ``idx``, the place of a token on its page, counted without holes.
 
     ``char0`` is the token's place in the page text. ``gap`` is an optional
@@ -33,7 +33,7 @@ def number_tokens(tokens: DataFrame, gap: Column | None = None) -> DataFrame:
     measures = {"idx": ("sum", F.lit(1).cast("bigint")), "char0": ("sum", (F.length("text") + 1).cast("bigint"))}
     if gap is not None:
         measures["gaps"] = ("sum", F.when(gap, 1).otherwise(0).cast("bigint"))
-    return exclusive_scan(tokens, PAGE, F.floor(F.col("pos") / SEGMENT), ["pos"], measures)
+    return exclusive_scan(tokens, PAGE, F.floor(F.col("pos") / SEGMENT), ["pos"], measures, tasks)
 
 
 def token_box(size: tuple = PAGE_SIZE) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import catalogue as C
 from veilframe.fixtures import view
 from veilframe.functions import text as T
-from veilframe.functions.scan import dealt
+from veilframe.functions.scan import bind, dealt, tasks_for
 from veilframe.operators import align, boxes as ops
 from veilframe.operators import feedback as feedback_ops
 from veilframe.operators import gate as gate_ops
@@ -268,8 +268,8 @@ def anti_overlap(spark, folder):
     return ops.without_overlap(keyed, _aligned(spark, folder, "v3"), "hit").drop("hit")
 
 
-def _page_hits(spark, folder):
-    pages = token_ops.page_text(tokens(spark, folder))
+def _page_hits(toks):
+    pages = token_ops.page_text(toks)
     found = text_ops.explode_spans(text_ops.detect(pages, C.ID_PATTERNS_V0), PAGE)
     labels = F.create_map(*[F.lit(x) for p in C.ID_PATTERNS_V0 for x in (p.name, p.label)])
     return found.select(*PAGE, F.col("original").alias("word"), labels[F.col("label")].alias("label"))
@@ -284,17 +284,23 @@ hits AS (SELECT DISTINCT doc_id, page_no, lower(hit) AS needle, label FROM ({_HI
 SELECT h.doc_id, h.page_no, h.needle, h.label, min(t.idx) AS idx FROM hits h
 JOIN tok t ON t.doc_id = h.doc_id AND t.page_no = h.page_no AND lower(t.text) = h.needle GROUP BY ALL""")
 def regex_align_exact(spark, folder):
-    return align.exact_hits(_page_hits(spark, folder), numbered(spark, folder))
+    toks = tokens(spark, folder)
+    tasks = tasks_for(toks)
+    if tasks:
+        # Where all pages have one number it would be left out of the keys of joins and windows,
+        # which would then not be those that rows were dealt by.
+        toks = bind(toks.withColumnRenamed("page_no", "_page"), page_no=F.col("_page")).drop("_page")
+    return align.exact_hits(_page_hits(toks), token_ops.number_tokens(toks, tasks=tasks), tasks)
 
 
 @query("regex_align")
 def regex_align(spark, folder):
-    return align.align_hits(_page_hits(spark, folder), numbered(spark, folder))
+    return align.align_hits(_page_hits(tokens(spark, folder)), numbered(spark, folder))
 
 
 @query("regex_align_v1")
 def regex_align_v1(spark, folder):
-    return align.align_hits(_page_hits(spark, folder), numbered(spark, folder), variant="v1")
+    return align.align_hits(_page_hits(tokens(spark, folder)), numbered(spark, folder), variant="v1")
 
 
 @query("ner_align_fuzzy")
