@@ -178,3 +178,100 @@ def test_score_does_not_depend_on_company(monkeypatch):
     whole = R.score_texts(p, d, texts)
     monkeypatch.setattr(R, "SIDE_BY_SIDE", 2)
     assert np.allclose(R.score_texts(p, d, texts), whole, rtol=1e-5)
+
+
+def test_following_gives_the_states_of_training():
+    words = [(b"", 50)] + [(b"w%d" % i, 400 - i) for i in range(200)]
+    d = R.Dictionary(words, sum(n for _, n in words), len(words))
+    p = R.initial(d)
+    rng = np.random.default_rng(6)
+    for steps, rows in ((1, 1), (32, 64), (7, 5)):
+        x, h = d.inp[rng.integers(-1, 200, (steps, rows))], rng.standard_normal((rows, R.HIDDEN)).astype(np.float32)
+        assert np.allclose(R.follow(p, x, h), R.forward(p, x, h)[0], rtol=1e-5, atol=1e-6)
+
+
+def test_rows_are_added_by_key():
+    rng = np.random.default_rng(7)
+    for n, keys in ((1, 1), (40, 1), (500, 3), (500, 400), (2048, 60)):
+        at, rows, got = rng.integers(0, keys, n), rng.standard_normal((n, 6)), np.ones((keys, 6))
+        want = got.copy()
+        np.add.at(want, at, rows)
+        R._add_rows(got, at, rows)
+        assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("shift", [0, 300, -300])
+def test_choices_far_from_zero(shift):
+    """What all choices have in common changes nothing, also where its exponential has no number."""
+    words = [(b"", 50)] + [(b"w%d" % i, 400 - i) for i in range(200)]
+    d = R.Dictionary(words, sum(n for _, n in words), len(words))
+    p = R.initial(d)
+    rng = np.random.default_rng(8)
+    p["C"] += rng.standard_normal(p["C"].shape).astype(np.float32)
+    states, y = rng.standard_normal((50, R.HIDDEN)).astype(np.float32), rng.integers(-1, 200, 50)
+    results = []
+    for by in (0, shift):
+        own = {k: w + np.float32(by if k in "cw" else 0) for k, w in p.items()}
+        grads = {k: np.zeros_like(w) for k, w in p.items()}
+        results.append((*R.outputs(own, states, d.cls[y], d.slot[y], grads), *grads.values()))
+    for a, b in zip(*results):
+        assert np.isfinite(b).all() and np.allclose(a, b, atol=2e-3)
+
+
+def test_training_equals_plain_steps(monkeypatch):
+    """Weights after training against one token, one row and one weight array at a time."""
+    monkeypatch.setattr(R, "HEAD_CLASSES", 2)
+    monkeypatch.setattr(R, "CLASS_WORDS", 4)
+    words = [(b"", 9)] + [(b"w%d" % i, 40 - i) for i in range(15)]
+    d = R.Dictionary(words, 700, 20)
+    rng = np.random.default_rng(9)
+    spans = [rng.integers(-1, 16, n) for n in (2, 129, 40, 33, 34, 70)]
+    k, got = R.HIDDEN, R.initial(d)
+    p = {n: w.astype(np.float64) for n, w in got.items()}
+    m, v = ({n: np.zeros_like(w) for n, w in p.items()} for _ in range(2))
+    assert R.train(got, spans, d) == sum(len(s) - 1 for s in spans)
+
+    def softmax(a):
+        e = np.exp(a - a.max())
+        return e / e.sum()
+
+    h = {i: np.zeros(k) for i in range(len(spans))}
+    for t, at in enumerate(range(0, 128, R.WINDOW), 1):
+        g, met = {n: np.zeros_like(w) for n, w in p.items()}, 0
+        for i, s in enumerate(spans):
+            kept = []
+            for x, y in zip(d.inp[s[at:at + R.WINDOW]], s[at + 1:at + 1 + R.WINDOW]):
+                a, u = p["E"][x], h[i] @ p["U"]
+                r, z = (1 / (1 + np.exp(-(a + u)[part])) for part in (slice(0, k), slice(k, 2 * k)))
+                n = np.tanh(a[2 * k:] + r * u[2 * k:])
+                kept.append((x, y, h[i], r, z, n, u[2 * k:]))
+                h[i] = (1 - z) * n + z * h[i]
+            dh = np.zeros(k)
+            for j, (x, y, before, r, z, n, un) in reversed(list(enumerate(kept))):
+                after, c, w = (1 - z) * n + z * before, d.cls[y], d.slot[y]
+                soft = softmax(after @ p["C"] + p["c"])
+                soft[c] -= 1
+                g["C"] += np.outer(after, soft)
+                g["c"] += soft
+                dh = dh + p["C"] @ soft
+                if w >= 0:
+                    soft = softmax(after @ p["W"][c] + p["w"][c])
+                    soft[w] -= 1
+                    g["W"][c] += np.outer(after, soft)
+                    g["w"][c] += soft
+                    dh = dh + p["W"][c] @ soft
+                dn = dh * (1 - z) * (1 - n * n)
+                gates = np.concatenate([dn * un * r * (1 - r), dh * (before - n) * z * (1 - z), dn])
+                g["E"][x] += gates
+                gates[2 * k:] *= r
+                g["U"] += np.outer(before, gates)
+                dh = dh * z + p["U"] @ gates
+                met += 1
+        norm = math.sqrt(sum(float((w * w).sum()) for w in g.values())) / met
+        for name, w in g.items():
+            w = w * min(1, 1 / norm) / met
+            m[name] = 0.9 * m[name] + 0.1 * w
+            v[name] = 0.99 * v[name] + 0.01 * w * w
+            p[name] = p[name] - R.LEARNING_RATE * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-6)
+    for name in p:
+        assert np.allclose(got[name], p[name], atol=2e-4), name

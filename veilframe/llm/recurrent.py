@@ -25,9 +25,9 @@ unseen word; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,7 +131,12 @@ class Dictionary:
         self.word_bias.flat[:head] = np.log(n[:head])
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        return list(map(self.number.get, words, repeat(-1)))
+        return self.array(words).tolist()
+
+    def array(self, words: list[bytes]):
+        """The words' numbers, which go into the array as they are found."""
+        import numpy as np
+        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int32, len(words))
 
 
 def dictionary(table: DataFrame) -> Dictionary:
@@ -157,43 +162,68 @@ def initial(d: Dictionary) -> dict:
             "W": np.zeros((max(d.heads, 1), HIDDEN, CLASS_WORDS), np.float32), "w": d.word_bias.copy()}
 
 
-def forward(p: dict, x, h, keep: bool = True):
-    """States after each input (steps first) and, with ``keep``, what the way back needs.
+def forward(p: dict, x, h):
+    """States after each input (steps first), and what the way back needs.
 
-    The gates lie one behind the other, so that each is one stretch of memory.
+    Rows lie along memory and gates one behind the other, so that one product gives all
+    gates of a step and each gate is one stretch of memory.
     """
     import numpy as np
 
+    k, steps, rows = HIDDEN, len(x), len(h)
+    # The gates want the exponential of the negative.
+    weights = p["U"].T.copy()
+    np.negative(weights[:2 * k], out=weights[:2 * k])
+    a, g = (np.empty((steps, 3 * k, rows), h.dtype) for _ in range(2))
+    states, n = (np.empty((steps, k, rows), h.dtype) for _ in range(2))
+    met = p["E"].take(x, axis=0, mode="clip").transpose(0, 2, 1)
+    np.negative(met[:, :2 * k], out=a[:, :2 * k])
+    a[:, 2 * k:] = met[:, 2 * k:]
+    before = first = np.ascontiguousarray(h.T)
+    for both, own, new, after in zip(g, a, n, states):
+        np.dot(weights, before, out=both)
+        gates = both[:2 * k]
+        gates += own[:2 * k]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(both[:k], both[2 * k:], out=new)
+        new += own[2 * k:]
+        np.tanh(new, out=new)
+        np.subtract(before, new, out=after)
+        after *= both[k:2 * k]
+        after += new
+        before = after
+    return states.transpose(0, 2, 1), (first, states, g, n)
+
+
+def follow(p: dict, x, h):
+    """The same states where nothing goes back: many rows at once, inputs taken gate by gate."""
+    import numpy as np
+
     k, steps, rows = HIDDEN, len(x), len(h)
     inputs = np.ascontiguousarray(p["E"].reshape(-1, 3, k).transpose(1, 0, 2))
     weights = np.ascontiguousarray(p["U"].reshape(k, 3, k).transpose(1, 0, 2))
-    # The gates want the exponential of the negative.
     np.negative(inputs[:2], out=inputs[:2])
     np.negative(weights[:2], out=weights[:2])
     states = np.empty((steps, rows, k), h.dtype)
-    kept = [np.empty((steps, *shape, rows, k), h.dtype) for shape in ((2,), (), ())] if keep else None
-    a, g, gates, n = (np.empty((*shape, rows, k), h.dtype) for shape in ((3,), (3,), (2,), ()))
+    a, g = (np.empty((3, rows, k), h.dtype) for _ in range(2))
+    gates, n = g[:2], g[2]
     before = h
-    for t in range(steps):
-        if keep:
-            gates, n = kept[0][t], kept[1][t]
-        inputs.take(x[t], axis=1, out=a, mode="clip")
+    for own, after in zip(x, states):
+        inputs.take(own, axis=1, out=a, mode="clip")
         np.matmul(before, weights, out=g)
-        np.add(a[:2], g[:2], out=gates)
+        gates += a[:2]
         np.exp(gates, out=gates)
         gates += 1
-        np.reciprocal(gates, out=gates)
-        if keep:
-            kept[2][t] = g[2]
-        np.multiply(gates[0], g[2], out=n)
+        n /= gates[0]
         n += a[2]
         np.tanh(n, out=n)
-        after = states[t]
         np.subtract(before, n, out=after)
-        after *= gates[1]
+        after /= gates[1]
         after += n
         before = after
-    return states, (h, states, *kept) if keep else None
+    return states
 
 
 def outputs(p: dict, states, cls, slot, grads: dict | None = None):
@@ -201,90 +231,132 @@ def outputs(p: dict, states, cls, slot, grads: dict | None = None):
     ``grads``, also adds the output weights' gradients and returns the states'.
 
     Choices lie in rows and tokens in columns, so sums over choices run along memory.
+    A one behind every state makes the biases part of the products.
     """
     import numpy as np
 
+    k = HIDDEN
     logp = np.empty(len(states), states.dtype)
     back = None if grads is None else np.empty_like(states)
-    turned, words = np.ascontiguousarray(p["C"].T), np.ascontiguousarray(p["W"].transpose(0, 2, 1))
+    turned = np.concatenate([p["C"].T, p["c"][:, None]], 1)
+    words = np.concatenate([p["W"].transpose(0, 2, 1), p["w"][:, :, None]], 2)
 
     def choose(soft, target):
         """Log probabilities of the targets; with ``grads``, ``soft`` becomes the gradient."""
         at = target, np.arange(len(target))
-        soft -= soft.max(0)
+        top = soft.max(0)
+        if not (top.max() < 60 and top.min() > -60):  # exponentials might leave their range
+            soft -= top
         chosen = soft[at]
         np.exp(soft, out=soft)
         whole = soft.sum(0)
+        chosen -= np.log(whole)
         if grads is not None:
-            soft /= whole
+            soft *= np.reciprocal(whole, out=whole)
             soft[at] -= 1
-        return chosen - np.log(whole)
+        return chosen
 
     for at in range(0, len(states), 4096):  # blocks that stay in the processor's cache
         some = slice(at, at + 4096)
-        own, want, place = states[some], cls[some], slot[some]
+        want, place = cls[some], slot[some]
+        own = np.empty((len(want), k + 1), states.dtype)
+        own[:, :k], own[:, k] = states[some], 1
         soft = turned @ own.T
-        soft += p["c"][:, None]
         logp[some] = choose(soft, want)
         if grads is not None:
-            grads["C"] += own.T @ soft.T
-            grads["c"] += soft.sum(1)
-            back[some] = soft.T @ turned
+            met = soft @ own
+            grads["C"] += met[:, :k].T
+            grads["c"] += met[:, k]
+            np.matmul(soft.T, turned[:, :k], out=back[some])
         # Words of the head classes, class by class.
         order = np.argsort(want.astype(np.int16), kind="stable")
-        order = order[place[order] >= 0]
+        order = order[place.take(order) >= 0]
         if not len(order):
             continue
-        own, want, place = own.take(order, axis=0), want[order], place[order]
+        own, want, place = own.take(order, axis=0), want.take(order), place.take(order)
         starts = np.flatnonzero(np.diff(want, prepend=-1))
-        classes, bounds = want[starts], [*starts.tolist(), len(order)]
-        met = [(c, slice(*ends)) for c, ends in zip(classes.tolist(), zip(bounds, bounds[1:]))]
-        soft = p["w"].T.take(want, axis=1)
-        for c, part in met:
-            soft[:, part] += words[c] @ own[part].T
+        parts = [slice(*ends) for ends in itertools.pairwise([*starts.tolist(), len(order)])]
+        classes = want[starts].tolist()
+        soft, turned_own = np.empty((words.shape[1], len(order)), states.dtype), own.T
+        for c, part in zip(classes, parts):
+            np.matmul(words[c], turned_own[:, part], out=soft[:, part])
         logp[some][order] += choose(soft, place)
         if grads is not None:
-            grads["w"][classes] += np.add.reduceat(soft, starts, axis=1).T
-            more = np.empty_like(own)
-            for c, part in met:
-                grads["W"][c] += own[part].T @ soft[:, part].T
-                np.matmul(soft[:, part].T, words[c], out=more[part])
+            more, met = np.empty((len(order), k), states.dtype), np.empty((len(classes), len(soft), k + 1), states.dtype)
+            turned_soft, plain = soft.T, words[:, :, :k]
+            for c, part, sums in zip(classes, parts, met):
+                np.matmul(soft[:, part], own[part], out=sums)
+                np.matmul(turned_soft[part], plain[c], out=more[part])
+            grads["W"][classes] += met[:, :, :k].transpose(0, 2, 1)
+            grads["w"][classes] += met[:, :, k]
             back[some][order] += more
     return logp, back
 
 
+def _add_rows(into, keys, rows) -> None:
+    """Add every row to the entry of its key.
+
+    The first rows of all keys are added at once, then the second ones, and so on; of keys
+    with many rows the rest is summed key by key.
+    """
+    import numpy as np
+
+    order = np.argsort(keys.astype(np.int16), kind="stable")
+    starts = np.flatnonzero(np.diff(keys.take(order), prepend=-1))
+    times = np.diff(starts, append=len(keys))
+    by = np.argsort(-times, kind="stable")
+    starts, times, layers = starts.take(by), times.take(by), 12
+    sums = rows.take(order.take(starts), axis=0)
+    left = np.searchsorted(-times, -np.arange(layers + 1)).tolist()
+    for nth in range(1, layers):
+        n = left[nth]
+        if not n:
+            break
+        sums[:n] += rows.take(order.take(starts[:n] + nth), axis=0)
+    ones = np.ones(len(keys), rows.dtype)
+    for own, at, n in zip(sums[:left[layers]], starts.tolist(), times.tolist()):
+        own += ones[layers:n] @ rows.take(order[at + layers:at + n], axis=0)
+    into[keys.take(order.take(starts))] += sums
+
+
 def backward(p: dict, x, kept, back, grads: dict) -> None:
     """Gradients through one window; they stop at its beginning."""
     import numpy as np
 
-    k, (h, states, gates, n, gn) = HIDDEN, kept
-    r, z = gates[:, 0], gates[:, 1]
-    before = np.concatenate([h[None], states[:-1]])
-    # What the gradient of a state is multiplied by, for all steps at once.
+    k, (first, states, g, n) = HIDDEN, kept
+    steps, _, rows = states.shape
+    before = np.concatenate([first[None], states[:-1]])
+    # What the gradient of a state is multiplied by, for all steps at once: for the gates r and z,
+    # the recurrent part of n, the state before, the whole of n.
+    factors, products = np.empty((5, steps, k, rows), n.dtype), np.empty((steps, 5, k, rows), n.dtype)
+    by_r, by_z, by_new, z, by_n = factors
+    z[...] = g[:, k:2 * k]
     open_ = 1 - z
-    by_n = (1 - n * n) * open_
-    by_z = (before - n) * z * open_
-    by_r = gn * r * (1 - r)
-    dg = np.empty((*x.shape, 3 * k), h.dtype)
-    dn = np.empty_like(n)
-    turned = p["U"].T.copy()
-    dh = np.zeros_like(h)
-    for t in range(len(x) - 1, -1, -1):
+    np.subtract(states, n, out=by_z)
+    by_z *= open_
+    np.multiply(n, n, out=by_n)
+    np.subtract(1, by_n, out=by_n)
+    by_n *= open_
+    r = np.ascontiguousarray(g[:, :k])
+    np.multiply(by_n, r, out=by_new)
+    np.subtract(1, r, out=by_r)
+    by_r *= g[:, 2 * k:]
+    by_r *= by_new
+    # One product carries the gradient to the state before, over the gates and directly.
+    turned = np.concatenate([p["U"], np.eye(k, dtype=n.dtype)], 1)
+    back = np.ascontiguousarray(back.transpose(0, 2, 1))
+    dh = np.zeros((k, rows), n.dtype)
+    flat = products.reshape(steps, 5 * k, rows)
+    for t in range(steps - 1, -1, -1):
         dh += back[t]
-        np.multiply(dh, by_n[t], out=dn[t])
-        np.multiply(dn[t], by_r[t], out=dg[t, :, :k])
-        np.multiply(dh, by_z[t], out=dg[t, :, k:2 * k])
-        np.multiply(dn[t], r[t], out=dg[t, :, 2 * k:])
-        dh *= z[t]
-        dh += dg[t] @ turned
-    # One product for the recurrent weights, one sum per input met.
-    grads["U"] += before.reshape(-1, k).T @ dg.reshape(-1, 3 * k)
-    dg[..., 2 * k:] = dn
-    flat = np.asarray(x).ravel()
-    order = np.argsort(flat.astype(np.int16), kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.diff(flat, prepend=-1))
-    grads["E"][flat[first]] += np.add.reduceat(dg.reshape(-1, 3 * k).take(order, axis=0), first)
+        np.multiply(factors[:, t], dh, out=products[t])
+        np.dot(turned, flat[t, :4 * k], out=dh)
+    own = flat[:, :3 * k].transpose(0, 2, 1)
+    grads["U"] += np.matmul(before, own).sum(0)
+    per_row = np.empty((steps, rows, 3 * k), n.dtype)
+    per_row[:, :, :2 * k] = own[:, :, :2 * k]
+    per_row[:, :, 2 * k:] = flat[:, 4 * k:].transpose(0, 2, 1)
+    _add_rows(grads["E"], np.asarray(x).ravel(), per_row.reshape(-1, 3 * k))
 
 
 def _views(flat, p: dict) -> dict:
@@ -306,26 +378,27 @@ class Adam:
         self.p, self.grads = _views(self.flat, p), _views(self.grad, p)
 
     def step(self, tokens: int) -> None:
-        """Take one step and clear the gradients."""
+        """Take one step and clear the gradients, in blocks that stay in the processor's cache."""
         import numpy as np
         self.t += 1
-        g, m, v, own = self.grad, self.m, self.v, self.spare
-        norm = math.sqrt(float(g @ g)) / tokens
-        g *= min(1.0, 1.0 / max(norm, 1e-12)) / tokens
-        np.subtract(g, m, out=own)
-        own *= 0.1
-        m += own
-        np.multiply(g, g, out=own)
-        own -= v
-        own *= 0.01
-        v += own
-        np.multiply(v, 1 / (1 - 0.99**self.t), out=own)
-        np.sqrt(own, out=own)
-        own += 1e-6
-        np.divide(m, own, out=own)
-        own *= LEARNING_RATE / (1 - 0.9**self.t)
-        self.flat -= own
-        g.fill(0)
+        norm = math.sqrt(float(self.grad @ self.grad)) / tokens
+        scale = 0.1 * min(1.0, 1.0 / max(norm, 1e-12)) / tokens
+        root = math.sqrt(1 - 0.99**self.t)
+        rate, least = LEARNING_RATE / (1 - 0.9**self.t) * root, 1e-6 * root
+        for at in range(0, len(self.flat), 16_384):
+            g, m, v, own, flat = (a[at:at + 16_384] for a in (self.grad, self.m, self.v, self.spare, self.flat))
+            g *= scale
+            m *= 0.9
+            m += g
+            g *= g  # a hundredth of the square
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=own)
+            own += least
+            np.divide(m, own, out=own)
+            own *= rate
+            flat -= own
+            g.fill(0)
 
 
 def train(p: dict, spans: list, d: Dictionary) -> int:
@@ -346,12 +419,16 @@ def train(p: dict, spans: list, d: Dictionary) -> int:
             stop = min(start + WINDOW, int(lengths[0]))
             x, y = d.inp[ids[:live, start:stop].T], ids[:live, start + 1:stop + 1].T
             states, kept = forward(own, x, h[:live])
-            valid = np.arange(start, stop)[:, None] < lengths[None, :live]
-            back = np.zeros_like(states)
-            _, back[valid] = outputs(own, states[valid], d.cls[y[valid]], d.slot[y[valid]], grads)
+            if lengths[live - 1] >= stop:
+                flat, target = states.reshape(-1, HIDDEN), y.ravel()
+                back = outputs(own, flat, d.cls.take(target), d.slot.take(target), grads)[1].reshape(states.shape)
+            else:
+                valid = np.arange(start, stop)[:, None] < lengths[None, :live]
+                target, back = y[valid], np.zeros(states.shape, states.dtype)
+                _, back[valid] = outputs(own, states[valid], d.cls[target], d.slot[target], grads)
             backward(own, x, kept, back, grads)
-            adam.step(max(1, int(valid.sum())))
-            met += int(valid.sum())
+            adam.step(max(1, len(target)))
+            met += len(target)
             h = states[-1]
     for k, w in p.items():
         w[...] = own[k]
@@ -388,8 +465,6 @@ def numbered(rows: DataFrame, d: Dictionary) -> DataFrame:
     """
     import pyarrow as pa
 
-    item = pa.struct([("token", pa.binary()), ("times", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
         from collections import Counter
@@ -398,20 +473,25 @@ def numbered(rows: DataFrame, d: Dictionary) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                marks, texts, outside, base, n_out = [], [], [], [], []
+                marks, texts, base, n_out = [], [], [], []
+                ends, outside, times = [0], [], []
                 for i, body in zip(some.column(0).to_pylist(), some.column(1)):
                     body = body.as_py()
                     words = [*tokens(body), END]
-                    ids = np.array(d.numbers(words), np.int32)
-                    missing = np.flatnonzero(ids < 0)
+                    ids = d.array(words)
+                    missing = np.flatnonzero(ids < 0).tolist()
+                    met = Counter(map(words.__getitem__, missing))
                     marks.append(zlib.crc32(body, zlib.crc32(str(i).encode())))
-                    outside.append([{"token": w, "times": n} for w, n in Counter(words[i] for i in missing).items()])
-                    base.append(float(d.base[ids].sum()))
+                    outside.extend(met)
+                    times.extend(met.values())
+                    ends.append(len(outside))
+                    base.append(float(d.base.take(ids, mode="wrap").sum()))
                     n_out.append(len(missing))
                     texts.append(ids)
+                pairs = pa.StructArray.from_arrays([pa.array(outside, pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
                 yield pa.record_batch([
                     some.column(0), some.column(2), pa.array(marks, pa.int64()), _lists(texts), pa.array(n_out, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(outside, pa.list_(item))],
+                    pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                     names=["doc_id", "held_out", "mark", "ids", "n_out", "base", "outside"])
 
     return rows.select("doc_id", "body", "held_out").mapInArrow(
@@ -517,7 +597,7 @@ def score_texts(p: dict, d: Dictionary, texts: list[list[int]]):
             valid = steps < lengths[None, :live]
             y = np.where(valid, ids[np.minimum(begins[:live] + steps, len(ids) - 1)], -1)
             x = np.concatenate([last[None, :live], y[:-1]])
-            states, _ = forward(p, d.inp[x], h[:live], keep=False)
+            states = follow(p, d.inp[x], h[:live])
             target = y[valid]
             logp, _ = outputs(p, states[valid], d.cls[target], d.slot[target])
             logs[:live] += np.bincount(np.nonzero(valid)[1], logp / math.log(10) + d.within[target], live)
