@@ -46,6 +46,24 @@ def test_many_needles_meet_a_long_page(spark):
     assert len(rows) == 750 and all(r.idx == max(0, int(r.needle[1:]) - 3) for r in rows)
 
 
+def test_only_asked_pieces_are_dealt(spark, monkeypatch):
+    page = spark.range(2000).selectExpr("1L doc_id", "1 page_no", "id idx", "id * 9 char0", "concat('w', lpad(cast(id * 7919 % 100000 as string), 7, '0')) text")
+    needles = spark.createDataFrame([(1, 1, "w0007919 w0015838"), (1, 1, "38")], "doc_id long, page_no int, needle string")
+    dealt = []
+    unfold = align.unfold
+    monkeypatch.setattr(align, "unfold", lambda *args: dealt.append(unfold(*args)) or dealt[-1])
+    found = {(r.needle, r.idx, r.inside) for r in align.occurrences(needles, page).collect()}
+    assert found == {("w0007919 w0015838", 1, 0), ("38", 2, 6)}
+    # Of some 26000 pieces of two and three characters, those that a needle begins with.
+    assert 2000 <= dealt[0].count() < 3000
+
+
+@pytest.mark.parametrize("name", ["ner_align", "ner_align_v0"])
+def test_tokens_are_numbered_once(spark, folder, name):
+    # Joins read written tokens; none of them numbers and shuffles the tokens of its own.
+    assert "Window" not in plan_of(QUERIES[name](spark, folder))
+
+
 def test_both_redactions_in_one_pass(spark, folder):
     # Texts are joined with their entities, not a second time with themselves.
     plan = plan_of(QUERIES["redact_text_entities"](spark, folder))

@@ -20,7 +20,7 @@ from veilframe.functions import text as T
 from veilframe.functions.scan import among, bind, dealt, unfold
 from veilframe.operators import similar
 from veilframe.operators.tokens import BOX, PAGE, PAGE_SIZE
-from veilframe.session import checkpoint
+from veilframe.session import checkpoint, written
 
 SEGMENT_TOKENS = 512
 
@@ -76,6 +76,12 @@ def _needles(df: DataFrame, word: str = "word") -> DataFrame:
 
 #: Characters of a needle's first word by which it is looked up.
 GRAM = 3
+#: Numbers that stand for the pieces a page's needles ask for.
+ASKED = 1024
+
+
+def _asked(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(ASKED)).cast("smallint")
 
 
 def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -86,23 +92,27 @@ def occurrences(needles: DataFrame, tokens: DataFrame) -> DataFrame:
     tokens of a page are indexed under the pieces that start in them. What meets is
     compared in place, and following words are fetched by token number: first the
     second word, then, where that fits, the others. So the work is in proportion to
-    tokens and hits, and a page of any size is spread over its pieces.
+    tokens and hits, and a page of any size is spread over its pieces. Pieces that no
+    needle of the page asks for are left out before anything is dealt by pieces.
     Tokens are numbered without gaps and hold no blanks.
     """
     low = tokens.select(*PAGE, "idx", "char0", F.lower(F.col("text")).alias("low"))
     parts = bind(needles.select(*PAGE, "needle"), parts=F.split("needle", " ", -1))
     head = F.get("parts", 0)
     keyed = parts.select("*", head.alias("head"), F.substring(head, F.lit(1), F.least(F.lit(GRAM), F.length(head))).alias("gram"))
-    sizes = keyed.groupBy(*PAGE).agg(F.collect_set(F.length("gram")).alias("sizes"))
-    # The sizes of pieces that a page's needles ask for are GRAM at most.
-    pieces = F.flatten(F.transform("sizes", lambda g: F.transform(
+    sizes = keyed.groupBy(*PAGE).agg(F.collect_set(F.length("gram")).alias("sizes"), F.collect_set(_asked(F.col("gram"))).alias("asked"))
+    # The sizes of pieces that a page's needles ask for are GRAM at most, their numbers ASKED at most.
+    pieces = F.filter(F.flatten(F.transform("sizes", lambda g: F.transform(
         F.when(F.length("low") >= g, F.sequence(F.lit(0), F.length("low") - g)).otherwise(F.array().cast("array<int>")),
-        lambda at: F.struct(at.alias("inside"), F.substring(F.col("low"), at + 1, g).alias("gram")))))
+        lambda at: F.struct(at.alias("inside"), F.substring(F.col("low"), at + 1, g).alias("gram"))))),
+        lambda piece: F.array_contains("asked", _asked(piece["gram"])))
     index = unfold(low.join(dealt(sizes), PAGE), [*PAGE, "idx", "char0", "low"], pieces)
     more = F.size("parts") - 1
     rest = F.substring(F.col("low"), F.col("inside") + 1, F.length("low"))
     begins = F.when(more == 0, F.startswith(rest, F.col("head"))).otherwise(rest == F.col("head"))
     starts = index.join(dealt(keyed), [*PAGE, "gram"]).where(begins).select(*PAGE, "needle", "parts", "idx", "char0", "inside")
+    # Read three times below, so it is written once.
+    starts = written(starts, "starts")
 
     def following(hits: DataFrame, first: Column, last: Column) -> DataFrame:
         """Hits whose words from ``first`` to ``last`` are the tokens that follow."""

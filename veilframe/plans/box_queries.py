@@ -15,7 +15,7 @@ from veilframe.operators import report
 from veilframe.operators import text as text_ops
 from veilframe.operators import tokens as token_ops
 from veilframe.plans import duck as D
-from veilframe.plans.page_queries import NUMBERED, numbered, tokens
+from veilframe.plans.page_queries import NUMBERED, numbered, numbered_once, tokens
 from veilframe.plans.registry import query
 from veilframe.session import checkpoint
 
@@ -108,8 +108,8 @@ def det_distinct(spark, folder):
 
 
 def _detectors(spark, folder):
-    toks = numbered(spark, folder)
-    named = _aligned(spark, folder, "v3").withColumn("label", T.canonical_label(F.col("entity_group"), "v3")).select(
+    toks = numbered_once(spark, folder)
+    named = _aligned(spark, folder, "v3", toks).withColumn("label", T.canonical_label(F.col("entity_group"), "v3")).select(
         *PAGE, "idx", "n_tokens", "word", *BOX, "label", F.lit(None).cast("string").alias("pattern"), F.lit(C.NER_PRIORITY).alias("priority"), "score")
     return {
         "ner": named, "name": token_ops.upper_names(tokens(spark, folder)),
@@ -191,9 +191,9 @@ m AS (SELECT *, {box} AS b FROM g)
 SELECT doc_id, page_no, entity_group, votes, score, idx, CAST(n AS INT) AS n_tokens, word, {_B} FROM m WHERE b IS NOT NULL"""
 
 
-def _aligned(spark, folder, rule):
+def _aligned(spark, folder, rule, toks=None):
     voted = align.vote(view(spark, folder, "v_ner_preds"))
-    return align.align(voted, numbered(spark, folder), rule).select(
+    return align.align(voted, toks or numbered_once(spark, folder), rule).select(
         *PAGE, "entity_group", "votes", "score", "idx", "n_tokens", "word", *BOX)
 
 
@@ -262,10 +262,10 @@ def redact_pages(spark, folder):
 UNION ALL SELECT h.* FROM {_check_sql('field_values')} h WHERE NOT EXISTS (SELECT 1 FROM {_check_sql('ner_align')} a
   WHERE a.doc_id = h.doc_id AND a.page_no = h.page_no AND a.x0 < h.x1 AND h.x0 < a.x1 AND a.y0 < h.y1 AND h.y0 < a.y1)""")
 def anti_overlap(spark, folder):
-    toks = numbered(spark, folder)
+    toks = numbered_once(spark, folder)
     extra = token_ops.match_tokens(toks, C.ID_PATTERNS).drop("pno").unionByName(token_ops.field_values(toks))
     keyed = extra.withColumn("hit", F.struct("idx", "pattern", "priority", "n_tokens"))
-    return ops.without_overlap(keyed, _aligned(spark, folder, "v3"), "hit").drop("hit")
+    return ops.without_overlap(keyed, _aligned(spark, folder, "v3", toks), "hit").drop("hit")
 
 
 def _page_hits(toks):
@@ -295,23 +295,23 @@ def regex_align_exact(spark, folder):
 
 @query("regex_align")
 def regex_align(spark, folder):
-    return align.align_hits(_page_hits(tokens(spark, folder)), numbered(spark, folder))
+    return align.align_hits(_page_hits(tokens(spark, folder)), numbered_once(spark, folder))
 
 
 @query("regex_align_v1")
 def regex_align_v1(spark, folder):
-    return align.align_hits(_page_hits(tokens(spark, folder)), numbered(spark, folder), variant="v1")
+    return align.align_hits(_page_hits(tokens(spark, folder)), numbered_once(spark, folder), variant="v1")
 
 
 @query("ner_align_fuzzy")
 def ner_align_fuzzy(spark, folder):
-    return align.align_fuzzy(align.vote(view(spark, folder, "v_ner_preds")), numbered(spark, folder))
+    return align.align_fuzzy(align.vote(view(spark, folder, "v_ner_preds")), numbered_once(spark, folder))
 
 
 @query("name_propagate")
 def name_propagate(spark, folder):
-    toks = numbered(spark, folder)
-    people = _aligned(spark, folder, "v3").where("entity_group = 'PER'")
+    toks = numbered_once(spark, folder)
+    people = _aligned(spark, folder, "v3", toks).where("entity_group = 'PER'")
     lines = token_ops.number_tokens(token_ops.merge_lines(toks))
     return align.propagate_names(people, toks, lines)
 

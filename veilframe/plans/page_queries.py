@@ -11,6 +11,7 @@ from veilframe.operators import feedback as feedback_ops
 from veilframe.operators import tokens as ops
 from veilframe.plans import duck as D
 from veilframe.plans.registry import query
+from veilframe.session import written
 from veilframe.sources import readers
 
 W, H = ops.PAGE_SIZE
@@ -25,6 +26,11 @@ def numbered(spark, folder):
     return ops.number_tokens(tokens(spark, folder))
 
 
+def numbered_once(spark, folder):
+    """Numbered tokens for queries that join them many times: written once, each join reads its columns."""
+    return written(numbered(spark, folder), "tokens")
+
+
 NUMBERED = f"""tok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) - 1 AS idx,
   {D.valid_box('left_x', 'top', 'left_x + width', 'top + height', W, H)} AS box FROM v_tokens)"""
 _BOX = "CAST(b.x0 AS INT) AS x0, CAST(b.y0 AS INT) AS y0, CAST(b.x1 AS INT) AS x1, CAST(b.y1 AS INT) AS y1"
