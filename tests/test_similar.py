@@ -154,3 +154,21 @@ def test_occurrences_like_find(spark):
             tok = [r for r in own if r[3] <= at][-1]
             want[page, needle] = (at, tok[2], at - tok[3])
     assert got == want and 250 < len(want) < len(set(needles))
+
+
+@pytest.mark.parametrize("join", [similar.ratio_join, similar.partial_join, similar.token_set_join])
+def test_quiet_and_busy_pages_alike(spark, monkeypatch, join):
+    """Pages with few texts meet by their number alone and are not indexed by character; the pairs are the same."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé12") for _ in range(rng.randrange(0, 6))) for _ in range(40)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 3)))
+    left = [(page, text()) for page in (1, 2, 3) for _ in range(20)]
+    right = [(page, text()) for page, n in ((1, 60), (2, 10), (4, 60)) for _ in range(n)] + [(2, "😀 a"), (2, "")]
+    a, b = spark.createDataFrame(left, "page int, needle string"), spark.createDataFrame(right * 2, "page int, word string")
+    found = []
+    for quiet in (0, 50, 1000):
+        monkeypatch.setattr(similar, "QUIET", quiet)
+        pairs = join(a, b, ["page"], "needle", "word", 75)
+        assert ("explode" in pairs._jdf.queryExecution().executedPlan().toString()) == (quiet < 1000)
+        found.append(sorted(map(tuple, pairs.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(set(found[0])) > 10

@@ -304,8 +304,9 @@ def propagate_names(people: DataFrame, tokens: DataFrame, lines: DataFrame) -> D
     that hold a name. Boxes already known are left out."""
     needles = people.select(*PAGE, F.lower(F.col("word")).alias("needle")).distinct()
 
+    people = written(people.select(*PAGE, "word", *BOX), "people")
     def spread(table: DataFrame, pairs) -> DataFrame:
-        low = table.join(dealt(needles.select(*PAGE).distinct()), PAGE, "left_semi").withColumn("low", F.lower(F.col("text")))
+        low = table.withColumn("low", F.lower(F.col("text")))
         like = pairs(low).select(*PAGE, F.col("b").alias("low")).distinct()
         return low.join(dealt(like), PAGE + ["low"], "left_semi").select(
             *PAGE, F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),

@@ -8,8 +8,10 @@ few of their elements by any fixed order (prefix filter); rare characters come
 first. Only pairs that meet there, have fitting lengths and enough elements in
 common are scored; none that reaches the score is lost.
 
-All of it is an equi-join on (keys, element), so a page of any size is spread over
-its characters. Longer q-grams would cut more, but at the scores in use a short
+Busy pages are joined on (keys, element), so that a page of any size is spread over
+its characters. On a quiet one, with at most ``QUIET`` texts on the right, all texts meet
+by the keys alone and the common characters are counted in place: an index has a row for
+each character of each text, and each of them is dealt. Longer q-grams would cut more, but at the scores in use a short
 word may differ in every pair of neighbours and still be alike.
 """
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import fuzzy
 from veilframe.functions.scan import bind, dealt
+from veilframe.session import checkpoint
 
 #: Blank and letters by falling frequency in English; others count as rarer. Any order is right.
 _FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
@@ -32,6 +35,47 @@ def elements(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda k: F.substring(r, F.lit(1), k))))
 
 
+#: Texts of one key on the right up to which each on the left is compared with all of them.
+QUIET = 256
+
+
+def _apart(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Right texts of quiet keys that have texts on the left, dealt by the keys, and those of busy ones, if any."""
+    asked = left.select(*keys).distinct()
+    busy = checkpoint(right.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > QUIET).select(*keys))
+    if busy.isEmpty():
+        return right.join(dealt(asked), keys, "left_semi"), None
+    quiet = right.join(dealt(busy), keys, "left_anti").join(dealt(asked), keys, "left_semi")
+    return quiet, right.join(dealt(busy.join(dealt(asked), keys, "left_semi")), keys, "left_semi")
+
+
+def _counts(text: Column) -> Column:
+    """Distinct characters of a text with their numbers."""
+    parts = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.transform(parts, lambda c: F.struct(c.alias("c"), _occurs(text, c).alias("k")))
+
+
+def _occurs(text: Column, char: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+
+
+def _common(counts: str, text: Column) -> Column:
+    """Number of characters that a text shares with the counted one, repeats counted."""
+    return F.aggregate(counts, F.lit(0), lambda n, x: n + F.least(x["k"], _occurs(text, x["c"])))
+
+
+def _in_place(left: DataFrame, right: DataFrame, keys: list[str], least_common: Column, fits: Column) -> DataFrame:
+    """Pairs of equal keys, once each, that pass the length and count filters."""
+    one = bind(left.select(*keys, "a").distinct(), a_k=_counts(F.col("a"))).withColumn("a_n", F.length("a"))
+    two = right.select(*keys, "b").distinct().withColumn("b_n", F.length("b"))
+    common = F.greatest(F.lit(1), least_common)
+    return one.join(dealt(two), keys).where(fits).where(_common("a_k", F.col("b")) >= common).select(*keys, "a", "b")
+
+
+def _sides(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    return left.select(*keys, F.col(a).alias("a")), right.select(*keys, F.col(b).alias("b"))
+
+
 def _least(least: int) -> float:
     return (least - 0.5) / 100  # scores are rounded
 
@@ -66,8 +110,13 @@ def ratio_candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str,
         return F.slice(all_, F.lit(1), F.greatest(F.lit(0), size - need + 1))
 
     n, m = F.col("a_n"), F.col("b_n")
-    return _met(_index(left, keys, a, "a", first), _index(right, keys, b, "b", first), keys, (n + m) * (t / 2) - 1e-9,
-                2 * F.least(n, m) >= (n + m) * t - 1e-9)
+    enough, fits = (n + m) * (t / 2) - 1e-9, 2 * F.least(n, m) >= (n + m) * t - 1e-9
+    left, right = _sides(left, right, keys, a, b)
+    quiet, busy = _apart(left, right, keys)
+    near = _in_place(left, quiet, keys, enough, fits)
+    if busy is None:
+        return near
+    return near.unionByName(_met(_index(left, keys, "a", "a", first), _index(busy, keys, "b", "b", first), keys, enough, fits))
 
 
 def partial_candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: int) -> DataFrame:
@@ -81,9 +130,14 @@ def partial_candidates(left: DataFrame, right: DataFrame, keys: list[str], a: st
     some = lambda all_, n, size: F.slice(all_, F.lit(1), F.greatest(F.lit(0), size - need(n) + 1))
     every = lambda all_, n, size: all_
     n, m = F.col("a_n"), F.col("b_n")
-    short_a = _met(_index(left, keys, a, "a", some), _index(right, keys, b, "b", every), keys, need(n), n <= m)
-    short_b = _met(_index(left, keys, a, "a", every), _index(right, keys, b, "b", some), keys, need(m), n > m)
-    return short_a.unionByName(short_b)
+    left, right = _sides(left, right, keys, a, b)
+    quiet, busy = _apart(left, right, keys)
+    near = _in_place(left, quiet, keys, need(F.least(n, m)), F.lit(True))
+    if busy is None:
+        return near
+    short_a = _met(_index(left, keys, "a", "a", some), _index(busy, keys, "b", "b", every), keys, need(n), n <= m)
+    short_b = _met(_index(left, keys, "a", "a", every), _index(busy, keys, "b", "b", some), keys, need(m), n > m)
+    return near.unionByName(short_a).unionByName(short_b)
 
 
 def word_set(text: Column) -> Column:
@@ -94,6 +148,26 @@ def word_set(text: Column) -> Column:
 def token_set_candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: int) -> DataFrame:
     """Pairs (a, b) of equal keys, among them all with ``token_set_ratio(a, b) >= least``: those
     that share a word, and those whose sorted words are alike."""
+    left, right = _sides(left, right, keys, a, b)
+    quiet, busy = _apart(left, right, keys)
+    near = _words_in_place(left, quiet, keys, least)
+    return near if busy is None else near.unionByName(_words_met(left, busy, keys, least))
+
+
+def _words_in_place(left: DataFrame, right: DataFrame, keys: list[str], least: int) -> DataFrame:
+    t = _least(least)
+    one = bind(left.distinct(), a_set=word_set(F.col("a")))
+    one = bind(one, a_norm=F.array_join("a_set", " "))
+    one = bind(one, a_k=_counts(F.col("a_norm")), a_n=F.length("a_norm"))
+    two = bind(right.distinct(), b_norm=F.array_join(word_set(F.col("b")), " ")).withColumn("b_n", F.length("b_norm"))
+    n, m = F.col("a_n"), F.col("b_n")
+    alike = (2 * F.least(n, m) >= (n + m) * t - 1e-9) & (_common("a_k", F.col("b_norm")) >= F.greatest(F.lit(1), (n + m) * (t / 2) - 1e-9))
+    shares = F.arrays_overlap("a_set", F.split("b_norm", " "))
+    return one.join(dealt(two), keys).where(shares | alike).select(*keys, "a", "b")
+
+
+def _words_met(left: DataFrame, right: DataFrame, keys: list[str], least: int) -> DataFrame:
+    a, b = "a", "b"
     split = lambda df, c, side: bind(df.select(*keys, F.col(c).alias(side)).distinct(), **{f"{side}_set": word_set(F.col(side))})
     one, two = split(left, a, "a"), split(right, b, "b")
     shared = one.select(*keys, "a", F.explode("a_set").alias("_w")).join(dealt(two.select(*keys, "b", F.explode("b_set").alias("_w"))), [*keys, "_w"])

@@ -17,7 +17,7 @@ from veilframe.operators import tokens as token_ops
 from veilframe.plans import duck as D
 from veilframe.plans.page_queries import NUMBERED, numbered, numbered_once, tokens
 from veilframe.plans.registry import query
-from veilframe.session import checkpoint
+from veilframe.session import checkpoint, written
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -312,7 +312,7 @@ def ner_align_fuzzy(spark, folder):
 def name_propagate(spark, folder):
     toks = numbered_once(spark, folder)
     people = _aligned(spark, folder, "v3", toks).where("entity_group = 'PER'")
-    lines = token_ops.number_tokens(token_ops.merge_lines(toks))
+    lines = written(token_ops.merge_lines(toks), "lines")
     return align.propagate_names(people, toks, lines)
 
 
