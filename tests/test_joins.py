@@ -58,10 +58,10 @@ def test_only_asked_pieces_are_dealt(spark, monkeypatch):
     assert 2000 <= dealt[0].count() < 3000
 
 
-@pytest.mark.parametrize("name", ["ner_align", "ner_align_v0"])
+@pytest.mark.parametrize("name", ["ner_align", "ner_align_v0", "ner_align_fuzzy", "name_propagate"])
 def test_tokens_are_numbered_once(spark, folder, name):
     # Joins read written tokens; none of them numbers and shuffles the tokens of its own.
-    assert "Window" not in plan_of(QUERIES[name](spark, folder))
+    assert "_seg#" not in plan_of(QUERIES[name](spark, folder))
 
 
 def test_both_redactions_in_one_pass(spark, folder):

@@ -255,15 +255,17 @@ def align_fuzzy(preds: DataFrame, tokens: DataFrame, least: int = 72) -> DataFra
     token, else the first run of four that holds something similar."""
     needles = _needles(preds)
     missing = checkpoint(needles.join(dealt(occurrences(needles, tokens).select(*PAGE, "needle")), PAGE + ["needle"], "left_anti"))
-    words = _low(tokens.join(dealt(missing.select(*PAGE).distinct()), PAGE, "left_semi"))
+    words = _low(tokens)
     alike = similar.token_set_join(missing, words, PAGE, "needle", "low", least).withColumnsRenamed({"a": "needle", "b": "low"})
     best = F.max(F.struct("score", (-F.col("idx")).alias("neg"))).alias("m")
-    single = checkpoint(alike.join(words, [*PAGE, "low"]).groupBy(*PAGE, "needle").agg(best).select(*PAGE, "needle", (-F.col("m.neg")).alias("idx")))
+    single = checkpoint(alike.join(dealt(words), [*PAGE, "low"]).groupBy(*PAGE, "needle").agg(best).select(*PAGE, "needle", (-F.col("m.neg")).alias("idx")))
     rest = missing.join(dealt(single), PAGE + ["needle"], "left_anti")
     first = _first_window(rest, tokens, [4], 70)
     keys = [*PAGE, "needle"]
-    found = _boxed_run(single, tokens, keys, 1).withColumn("how", F.lit("token")).unionByName(
-        _boxed_run(first, tokens, keys, 4).withColumn("how", F.lit("window")))
+    places = single.select(*keys, "idx", F.lit(1).alias("w"), F.lit("token").alias("how")).unionByName(
+        first.select(*keys, "idx", F.lit(4).alias("w"), F.lit("window").alias("how")))
+    found = _boxed_run(places, tokens, [*keys, "how"], F.col("w"))
+    found = found.select(*[c for c in found.columns if c != "how"], "how")
     labels = preds.select(*PAGE, F.lower(T.strip(F.col("word"))).alias("needle"), "entity_group", "score")
     return labels.join(dealt(found), keys)
 
@@ -302,9 +304,9 @@ def exact_hits(hits: DataFrame, tokens: DataFrame, tasks: int | None = None) ->
 def propagate_names(people: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
     """More places of the people found on a page: like tokens and merged lines
     that hold a name. Boxes already known are left out."""
+    people = written(people.select(*PAGE, "word", *BOX), "people")
     needles = people.select(*PAGE, F.lower(F.col("word")).alias("needle")).distinct()
 
-    people = written(people.select(*PAGE, "word", *BOX), "people")
     def spread(table: DataFrame, pairs) -> DataFrame:
         low = table.withColumn("low", F.lower(F.col("text")))
         like = pairs(low).select(*PAGE, F.col("b").alias("low")).distinct()
