@@ -7,7 +7,7 @@ import pytest
 import veilframe.plans  # noqa: F401
 from veilframe import catalogue as C
 from veilframe.functions import fuzzy
-from veilframe.operators import align, tokens
+from veilframe.operators import align, boxes, tokens
 from veilframe.plans.registry import QUERIES
 
 LARGE = ["anon_examples", "dedup_tokens", "ner_align", "ner_align_v0", "ner_align_fuzzy", "token_labels", "all_detections", "anti_overlap",
@@ -64,6 +64,42 @@ def test_tokens_are_numbered_once(spark, folder, name):
     assert "_seg#" not in plan_of(QUERIES[name](spark, folder))
 
 
+@pytest.mark.parametrize("name", ["all_detections", "anti_overlap"])
+def test_tokens_are_made_once(spark, folder, name):
+    assert "posexplode" not in plan_of(QUERIES[name](spark, folder))
+
+
+def test_names_of_numbered_tokens(spark):
+    rng = random.Random(11)
+    words = ["ASHA", "PATIL", "RAO", "and", "12", "PAN", None, "MEERA"]
+    rows = [(doc, 1, at, rng.choice(words), at % 9 * 100, at // 9 * 30, 40, 20) for doc in range(6) for at in range(0, 140, 2 if doc else 1)]
+    page = spark.createDataFrame(rows, "doc_id long, page_no int, pos long, text string, left_x int, top int, width int, height int")
+    plain, again = [sorted(map(tuple, tokens.upper_names(t).collect())) for t in (page, tokens.number_tokens(page))]
+    assert plain == again and len(plain) > 20
+    # Only tokens that may belong to a name are counted and shuffled a second time.
+    read = re.findall(r"_in_(\w+)#", plan_of(tokens.upper_names(tokens.number_tokens(page))))
+    assert "gaps" not in read
+
+
+def counted(df, seen):
+    """The same rows; ``seen`` counts how many were made."""
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    return df.mapInPandas(run, df.schema)
+
+
+def test_inputs_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    dets = spark.range(300).selectExpr("id % 7 doc_id", "1 page_no", "id det_no", "'w' word", "cast(id % 50 * 40 as int) x0", "cast(id % 30 * 60 as int) y0",
+                                       "cast(id % 50 * 40 + 30 as int) x1", "cast(id % 30 * 60 + 20 as int) y1", "'B-PER' label", "'X' pattern", "75 priority", "0.5D score")
+    assert boxes.merge_by_priority(counted(dets, seen)).count() > 100
+    assert seen.value == 300
+    left = boxes.without_overlap(counted(dets, seen), dets.where("det_no < 100"), "det_no")
+    assert left.count() == 200 and seen.value == 600
+
+
 def test_both_redactions_in_one_pass(spark, folder):
     # Texts are joined with their entities, not a second time with themselves.
     plan = plan_of(QUERIES["redact_text_entities"](spark, folder))

@@ -231,7 +231,8 @@ def upper_names(tokens: DataFrame, size: tuple = PAGE_SIZE, variant: str = "v3")
 
     Tokens that cannot belong to a name split a page into independent runs.
     A name starts at the first fitting token and takes the words after it; the
-    scan goes on behind the name, or one token on if the run was too long.
+    scan goes on behind the name, or one token on if the run was too long. Tokens
+    that are numbered already (``idx``) are not numbered again.
     """
     word = T.strip(F.col("text"))
     if variant == "v3":
@@ -243,7 +244,13 @@ def upper_names(tokens: DataFrame, size: tuple = PAGE_SIZE, variant: str = "v3")
                  & ~F.lower(word).isin(C.IGNORE_WORDS))
         begins = F.length(word) >= 3
         reach, most, least, look = F.greatest(F.lit(15.0), F.col("height") * 0.7), 6, 1, 6
-    numbered = number_tokens(tokens, ~joins)
+    if "idx" in tokens.columns:
+        # Numbered before: only tokens that end no run are counted, the rest of a place is those that do.
+        inside = tokens.where(F.coalesce(joins, F.lit(True)))
+        numbered = exclusive_scan(inside, PAGE, F.floor(F.col("idx") / SEGMENT), ["idx"], {"_inside": ("sum", F.lit(1).cast("bigint"))})
+        numbered = numbered.withColumn("gaps", F.col("idx") - F.col("_inside"))
+    else:
+        numbered = number_tokens(tokens, ~joins)
     runs = numbered.where(joins).select(
         *PAGE, "gaps", "idx", F.col("text").alias("word"), F.col("left_x").alias("x0"), F.col("top").alias("y0"),
         (F.col("left_x") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"),

@@ -112,7 +112,7 @@ def _detectors(spark, folder):
     named = _aligned(spark, folder, "v3", toks).withColumn("label", T.canonical_label(F.col("entity_group"), "v3")).select(
         *PAGE, "idx", "n_tokens", "word", *BOX, "label", F.lit(None).cast("string").alias("pattern"), F.lit(C.NER_PRIORITY).alias("priority"), "score")
     return {
-        "ner": named, "name": token_ops.upper_names(tokens(spark, folder)),
+        "ner": named, "name": token_ops.upper_names(toks),
         "pattern": token_ops.find_patterns(toks, C.ID_PATTERNS), "health": token_ops.find_patterns(toks, C.HEALTH_PATTERNS),
         "field": token_ops.field_values(toks), "context": token_ops.name_context(toks), "mrz": token_ops.machine_readable(toks),
         "given": ops.validate(dets(spark, folder)).select(*PAGE, "word", *BOX, "label", "pattern", "priority", "score"),
