@@ -10,7 +10,7 @@ from veilframe.functions import fuzzy, geometry as G
 from veilframe.functions import text as T
 from veilframe.functions.greedy import dropped_rows
 from veilframe.functions.scan import SEGMENT, bands, bind, dealt, exclusive_scan, ordered_fold
-from veilframe.session import checkpoint
+from veilframe.session import checkpoint, written
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -58,6 +58,7 @@ def label_tokens(tokens: DataFrame, dets: DataFrame) -> DataFrame:
 
 def without_overlap(extra: DataFrame, base: DataFrame, ident: str) -> DataFrame:
     """Rows of ``extra`` whose box shares no area with any row of ``base``."""
+    extra = written(extra, "extra")  # read twice below
     hit = G.overlapping_pairs(extra.select(*PAGE, *BOX, ident), base.select(*PAGE, *BOX), PAGE)
     return extra.join(dealt(hit.select(*PAGE, F.col(f"a_{ident}").alias(ident)).distinct()), PAGE + [ident], "left_anti")
 
