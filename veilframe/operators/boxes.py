@@ -119,7 +119,7 @@ def _split(dets: DataFrame) -> DataFrame:
     """Cut every block at its blank rows (15 px), then those at their blank columns (20 px)."""
     # Numbering bands reads its input twice; writing between the two levels
     # keeps that from multiplying.
-    rows = checkpoint(bands(dets, [*PAGE, "block"], "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "_row"))
+    rows = written(bands(dets, [*PAGE, "block"], "y0", F.greatest(F.col("y1"), F.col("y0") + 14), "_row"), "rows")
     rows = bands(rows, [*PAGE, "block", "_row"], "x0", F.greatest(F.col("x1"), F.col("x0")) + 19, "_col")
     return rows.withColumn("block", F.concat_ws("/", "block", "_row", "_col")).drop("_row", "_col")
 
@@ -132,9 +132,9 @@ def merge_blocks(dets: DataFrame) -> DataFrame:
     only; all others are done.
     """
     block = [*PAGE, "block"]
-    rows, before, done = _split(dets.withColumn("block", F.lit(""))), 0, None
+    rows, before, done = _split(written(dets.withColumn("block", F.lit("")), "boxes")), 0, None
     while True:
-        rows = checkpoint(rows)
+        rows = written(rows, "blocks")
         large = checkpoint(rows.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_BLOCK).drop("_n"))
         here = rows.select(*block).distinct().count() if before else None
         if large.isEmpty() or here == before:
@@ -184,8 +184,9 @@ def merge_by_priority(dets: DataFrame) -> DataFrame:
     the kept ones around it only, so a block that does not fall apart still takes
     time in proportion to its boxes.
     """
-    rows = merge_blocks(dets).select(*PAGE, "block", "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX,
-                                     "label", "pattern", "priority", "score")
+    rest = ["label", "pattern", "priority", "score"]
+    rows = merge_blocks(dets.select(*PAGE, "det_no", F.coalesce("word", F.lit("")).alias("word"), *BOX, *rest)).select(
+        *PAGE, "block", "det_no", "word", *BOX, *rest)
 
     def step(state: tuple, row: tuple) -> tuple[tuple, list]:
         kept, near = state

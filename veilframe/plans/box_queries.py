@@ -17,7 +17,7 @@ from veilframe.operators import tokens as token_ops
 from veilframe.plans import duck as D
 from veilframe.plans.page_queries import NUMBERED, numbered, numbered_once, tokens
 from veilframe.plans.registry import query
-from veilframe.session import checkpoint, written
+from veilframe.session import written
 
 PAGE = ["doc_id", "page_no"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -234,14 +234,14 @@ def merged_pages(spark, folder):
 
 def page_gate(spark, folder):
     """The gate's model, learned from the ratings stored under detections' numbers."""
-    return selftrain.learn(selftrain.rate(dets(spark, folder), view(spark, folder, "v_ratings"))).model
+    return selftrain.learn(written(selftrain.rate(dets(spark, folder), view(spark, folder, "v_ratings")), "rated")).model
 
 
 def gated_pages(merged, history, model):
     """Merged detections with calibrated scores, those the gate believes in, and the risk of their page."""
     sized = merged.withColumn("page_w", F.lit(2550)).withColumn("page_h", F.lit(3300))
     scored = feedback_ops.calibrate(sized, history).withColumn("score", F.col("calibrated")).drop("calibrated", "key")
-    kept = checkpoint(gate_ops.apply(ops.features(scored), model).drop(*(c for c in gate_ops.INPUTS)))
+    kept = written(gate_ops.apply(ops.features(scored), model).drop(*(c for c in gate_ops.INPUTS)), "kept")
     return kept.join(dealt(report.page_risk(kept)), PAGE)
 
 
