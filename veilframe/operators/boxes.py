@@ -78,17 +78,15 @@ def drop_similar(dets: DataFrame, keys: list[str], rank: Column, ident: str, min
     solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     # A box without area overlaps nothing, itself included.
     comparable = ranked.where(solid)
-    # Read several times below, so it is written once.
-    firsts = checkpoint(comparable.groupBy(*keys, *BOX, "_look").agg(F.min("_rank").alias("_rank")))
+    # Read several times below, so it is written once; rivals are told apart by the number a first gets there.
+    firsts = written(comparable.groupBy(*keys, *BOX, "_look").agg(F.min("_rank").alias("_rank")).withColumn("_id", F.monotonically_increasing_id()), "firsts")
     near = G.similar_pairs(firsts, keys, min_iou).where(F.col("a__rank") < F.col("b__rank"))
     la, lb = F.length("a__look"), F.length("b__look")
     # The score cannot exceed what the two lengths allow, so most pairs end here.
     near = near.where(200 * F.least(la, lb) >= (min_ratio + 0.5) * (la + lb))
     alike = (F.col("a__look") == F.col("b__look")) | (fuzzy.ratio_udf("a__look", "b__look") > min_ratio)
-    edges = near.where(alike).select(F.struct(*keys, F.col("a__rank").alias("_rank")).alias("lo"),
-                                     F.struct(*keys, F.col("b__rank").alias("_rank")).alias("hi"))
-    lost = dropped_rows(edges).select("id.*")
-    kept = firsts.join(dealt(lost), [*keys, "_rank"], "left_anti").select(*keys, "_rank")
+    lost = dropped_rows(near.where(alike).select(F.col("a__id").alias("lo"), F.col("b__id").alias("hi")))
+    kept = firsts.join(dealt(lost.withColumnRenamed("id", "_id")), "_id", "left_anti").select(*keys, "_rank")
     rest = ranked.where(~solid)
     return ranked.join(dealt(kept), [*keys, "_rank"], "left_semi").unionByName(rest).select(*dets.columns)
 
