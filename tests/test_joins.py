@@ -3,10 +3,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import veilframe.plans  # noqa: F401
 from veilframe import catalogue as C
-from veilframe.functions import fuzzy
+from veilframe.functions import fuzzy, geometry, greedy
 from veilframe.operators import align, boxes, tokens
 from veilframe.plans.registry import QUERIES
 
@@ -100,6 +101,18 @@ def test_inputs_are_made_once(spark):
     assert left.count() == 200 and seen.value == 600
 
 
+def test_rivals_are_numbers_from_one_shuffle(spark, monkeypatch):
+    dets = spark.range(200).selectExpr("id % 3 doc_id", "1 page_no", "id det_no", "'w' word", "cast(id div 2 * 40 + id % 2 as int) x0", "10 y0",
+                                       "cast(id div 2 * 40 + id % 2 + 30 as int) x1", "30 y1", "75 priority")
+    pairs = geometry.similar_pairs(dets, ["page_no"], 0.5)
+    assert plan_of(pairs).count("Exchange") == 1 and "SortMergeJoin" not in plan_of(pairs)
+    assert pairs.where("a_det_no < b_det_no").count() == 100
+    edges = []
+    monkeypatch.setattr(boxes, "dropped_rows", lambda found: edges.append(found) or greedy.dropped_rows(found))
+    assert boxes.drop_similar(dets, ["page_no"], -F.col("priority"), "det_no", 0.5, 80).count() == 100
+    assert edges[0].dtypes == [("lo", "bigint"), ("hi", "bigint")]
+
+
 def test_both_redactions_in_one_pass(spark, folder):
     # Texts are joined with their entities, not a second time with themselves.
     plan = plan_of(QUERIES["redact_text_entities"](spark, folder))
