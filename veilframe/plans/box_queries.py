@@ -268,13 +268,17 @@ def anti_overlap(spark, folder):
     return ops.without_overlap(keyed, _aligned(spark, folder, "v3", toks), "hit").drop("hit")
 
 
-def _page_hits(toks):
+def _hits_of(toks):
     pages = token_ops.page_text(toks)
     found = text_ops.explode_spans(text_ops.detect(pages, C.ID_PATTERNS_V0), PAGE)
     labels = F.create_map(*[F.lit(x) for p in C.ID_PATTERNS_V0 for x in (p.name, p.label)])
     return found.select(*PAGE, F.col("original").alias("word"), labels[F.col("label")].alias("label"))
 
 
+def _page_hits(spark, folder):
+    return _hits_of(tokens(spark, folder))
+
+
 _HITS = " UNION ALL ".join(
     f"SELECT doc_id, page_no, unnest(regexp_extract_all(body, {D.rx(p)})) AS hit, {D.lit(p.label)} AS label FROM pg" for p in C.ID_PATTERNS_V0)
 
@@ -290,17 +294,17 @@ def regex_align_exact(spark, folder):
         # Where all pages have one number it would be left out of the keys of joins and windows,
         # which would then not be those that rows were dealt by.
         toks = bind(toks.withColumnRenamed("page_no", "_page"), page_no=F.col("_page")).drop("_page")
-    return align.exact_hits(_page_hits(toks), token_ops.number_tokens(toks, tasks=tasks), tasks)
+    return align.exact_hits(_hits_of(toks), token_ops.number_tokens(toks, tasks=tasks), tasks)
 
 
 @query("regex_align")
 def regex_align(spark, folder):
-    return align.align_hits(_page_hits(tokens(spark, folder)), numbered_once(spark, folder))
+    return align.align_hits(_page_hits(spark, folder), numbered_once(spark, folder))
 
 
 @query("regex_align_v1")
 def regex_align_v1(spark, folder):
-    return align.align_hits(_page_hits(tokens(spark, folder)), numbered_once(spark, folder), variant="v1")
+    return align.align_hits(_page_hits(spark, folder), numbered_once(spark, folder), variant="v1")
 
 
 @query("ner_align_fuzzy")
